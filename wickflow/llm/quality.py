@@ -47,7 +47,7 @@ def _count_of(residue: Column, chars: str) -> Column:
 
 def _sorted_windows(hashes: Column) -> Column:
     """(hash, position) of every window, sorted."""
-    return F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
 
 def _repeated(pairs: Column) -> Column:
@@ -57,7 +57,7 @@ def _repeated(pairs: Column) -> Column:
     """
     same = F.zip_with(F.slice(pairs, 1, F.size(pairs) - 1), F.slice(pairs, 2, F.size(pairs) - 1),
                       lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")))
-    return F.array_sort(F.array_distinct(F.flatten(same)))
+    return F.sort_array(F.array_distinct(F.flatten(same)))
 
 
 def _union_length(at: Column) -> Column:
