@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from wickflow.llm.common import table
 from wickflow.llm.licenses import license_scan
 from wickflow.llm.mixing import mix, mix_sql
+from wickflow.llm.packing import pack
 from wickflow.llm.quality import quality_rules
 from wickflow.llm.secrets import secret_scan
+from wickflow.llm.tokenfile import token_round_trip
 from wickflow.llm.warc import warc_round_trip, warc_sql
 
 
@@ -26,10 +28,18 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_round_trip(table(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
