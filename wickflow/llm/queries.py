@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wickflow.llm.common import table
+from wickflow.llm.editsketch import fingerprint_report
+from wickflow.llm.jaccard import jaccard_join
 from wickflow.llm.licenses import license_scan
 from wickflow.llm.mixing import mix, mix_sql
 from wickflow.llm.packing import pack
 from wickflow.llm.quality import quality_rules
 from wickflow.llm.secrets import secret_scan
 from wickflow.llm.tokenfile import token_round_trip
+from wickflow.llm.toxicity import toxicity
 from wickflow.llm.warc import warc_round_trip, warc_sql
 
 
@@ -24,10 +27,18 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op3_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -36,6 +47,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_id", "n_links")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(table(spark, sf_dir, "documents"))
 
