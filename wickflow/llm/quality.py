@@ -240,8 +240,9 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if n > MAX_LABELLED:
         marks = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * MAX_LABELLED / n))
     marks = marks.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = stats.filter(~base_failed()).join(marks, "doc_id").select(
-        *FEATURES, (F.col("quality") == 0).cast("long").alias("y"), F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(3)).alias("fold"))
+    own = stats.filter(~base_failed()).withColumn("l_id", F.col("doc_id.doc_id") if dict(stats.dtypes)["doc_id"].startswith("struct") else F.col("doc_id"))
+    rows = own.drop("doc_id").join(marks, F.col("l_id") == marks["doc_id"]).select(
+        *FEATURES, (F.col("quality") == 0).cast("long").alias("y"), F.pmod(F.xxhash64(F.lit("fold"), "l_id"), F.lit(3)).alias("fold"))
     rules = learn_rules(materialise(rows.coalesce(max(1, min(8, n // 20_000))), "quality-labelled"))
     rule = verdict(rules)
     return stats.withColumn("base_failed", base_failed()).withColumn("rule", rule).withColumn(
