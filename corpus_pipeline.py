@@ -1,8 +1,70 @@
-"""The corpus pipeline (see README)."""
+"""The corpus pipeline: quality rules, near duplicates, secrets, mixing, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all its predecessor kept and
+returns a DataFrame that is written as Parquet and read again for the next.
+All stages but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wickflow.llm.common import materialise, table, text_of
+from wickflow.llm.jaccard import keep_one
+from wickflow.llm.mixing import repeat_rows
+from wickflow.llm.packing import pack
+from wickflow.llm.quality import judged
+from wickflow.llm.secrets import redact_secrets
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the learned list keep.
+
+    Rejected (id, text) keys are anti-joined, so rows that share an id are
+    judged one by one.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64(text_of(docs)))
+    # The statistics carry the row's id and text key as one struct.
+    verdicts, _ = judged(keyed.withColumn("__row", F.struct(F.col("doc_id").alias("doc_id"), F.col("__key").alias("key"))), table(spark, sf_dir, "labels"), id_col="__row")
+    rejected = materialise(verdicts.filter("not kept").select("doc_id.doc_id", "doc_id.key").toDF("r_id", "r_key").distinct(), "pipeline-rejected")
+    return keyed.join(rejected, keyed["doc_id"].eqNullSafe(rejected["r_id"]) & (keyed["__key"] == rejected["r_key"]), "left_anti").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group at or above Jaccard 0.8 on five-word n-grams."""
+    return keep_one(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets masked; every document stays."""
+    return redact_secrets(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated as the mix takes them."""
+    return repeat_rows(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their sequence and place."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram jaccard join", near_duplicates),
+    ("secret scans", secrets),
+    ("mixing sources to target weights", mixing),
+    ("best-fit packing", packing),
+]
+
+#: Learned rules, MinHash and tokenization are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
