@@ -208,7 +208,7 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Intervals are in characters of the normalised text, with a negated end.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), words_only(text_of(docs, text_col)).alias("x"))
-    gated = base.select("doc_id", F.greatest(_spaces(F.col("x")) - 1, F.lit(0)).cast("long").alias("n_words"), F.when(_any(F.lower("x"), GATE), F.col("x")).alias("x"))
+    gated = base.select("doc_id", F.when(F.length("x") > 2, _spaces(F.col("x")) - 1).otherwise(0).cast("long").alias("n_words"), F.when(_any(F.lower("x"), GATE), F.col("x")).alias("x"))
     lowered = gated.select("doc_id", "n_words", F.when(F.col("x").isNotNull(), lower_ascii(F.col("x"))).alias("t"))
     t = F.col("t")
     present = F.filter(_rule_table(), lambda r: F.contains(t, r["kw"]))
