@@ -69,23 +69,24 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], budget_ratio: f
     return water_fill(ready, F.col("budget"), max_epochs)
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget_ratio: float = 1.5, max_epochs: float = 2.0, seed: int = 7,
-        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken.
+def _keyed(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str, *keep: Column) -> DataFrame:
+    """doc_id, source, size, sampling hash and a null-safe source key, beside ``keep``."""
+    raw = docs.select(*keep, F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_of(docs, text_col)).alias("size"))
+    return raw.withColumns({"h": _sample_hash(seed), "key": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))})
+
+
+def source_plan(sizes: DataFrame, weights: tuple[float, ...], budget_ratio: float, max_epochs: float) -> DataFrame:
+    """One row per source: target, whole repetitions, and where its fraction ends.
 
-    Texts are read once; sizes and hashes go to a table in the shared folder.
     Sums by (source, hash bucket) locate each source's threshold bucket, and
     only that bucket, one part in ``BUCKETS`` of the source, is ordered by hash.
     """
-    raw = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_of(docs, text_col)).alias("size"))
-    sizes = materialise(raw.withColumn("h", _sample_hash(seed)), "mix-sizes").withColumn("bucket", F.shiftright("h", HASH_BITS - 12))
     targets = source_targets(sizes, weights, budget_ratio, max_epochs).withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.least(F.floor(rate), F.lit(int(max_epochs))).cast("long")
     targets = materialise(targets.withColumn("whole", whole).withColumn(
-        "extra", F.greatest(F.floor(F.col("target") - F.col("whole") * F.col("source_size")), F.lit(0)).cast("long")), "mix-targets").drop("weight")
-    sizes = sizes.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
-
+        "extra", F.greatest(F.floor(F.col("target") - F.col("whole") * F.col("source_size")), F.lit(0)).cast("long")).drop("weight", "source"), "mix-targets")
+    sizes = sizes.withColumn("bucket", F.shiftright("h", HASH_BITS - 12))
     upto = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     by_bucket = sizes.groupBy("key", "bucket").agg(F.sum("size").alias("words")).withColumn("below", F.coalesce(F.sum("words").over(upto), F.lit(0)))
     edge = by_bucket.join(targets.select("key", "extra"), "key").filter("below <= extra and extra < below + words").select("key", "bucket", "below", "extra")
@@ -94,35 +95,50 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget_ratio: f
     upto_h = Window.partitionBy("key").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
     cut = inside.withColumn("before", F.col("below") + F.coalesce(F.sum("words").over(upto_h), F.lit(0))).filter("before <= extra and extra < before + words")
     cut = cut.select("key", F.col("h").alias("cut"), (F.col("extra") - F.col("before")).alias("missing"), F.col("words").alias("at_cut"))
-    plan = materialise(targets.drop("source").join(cut, "key", "left"), "mix-plan")
+    return materialise(targets.join(cut, "key", "left"), "mix-plan")
+
+
+def _taken() -> Column:
+    """Words the mix takes of a row: whole repetitions and its share of the fraction.
 
-    # Without a threshold the fraction is empty or the whole source.
+    Without a threshold the fraction is empty or the whole source.
+    """
     partial = F.when(F.col("cut").isNull(), F.when(F.col("extra") > 0, F.col("size")).otherwise(0)).when(
         F.col("h") < F.col("cut"), F.col("size")).when(
         F.col("h") == F.col("cut"), F.expr("(missing * size) div at_cut")).otherwise(0)
-    taken = F.col("whole") * F.col("size") + partial
-    return join_dimension(sizes, plan, ["key"]).select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return (F.col("whole") * F.col("size") + partial).cast("long")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget_ratio: float = 1.5, max_epochs: float = 2.0, seed: int = 7,
+        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken.
+
+    Texts are read once; sizes and hashes go to a table in the shared folder.
+    """
+    sizes = materialise(_keyed(docs, seed, id_col, text_col, source_col), "mix-sizes")
+    plan = source_plan(sizes, weights, budget_ratio, max_epochs)
+    return join_dimension(sizes, plan, ["key"]).select("doc_id", "source", "size", "source_size", "target", _taken().alias("taken"))
 
 
-def repeat_rows(docs: DataFrame, **options) -> DataFrame:
+def repeat_rows(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget_ratio: float = 1.5, max_epochs: float = 2.0, seed: int = 7) -> DataFrame:
     """The mix itself: documents repeated as often as they are taken.
 
     A fractional repetition at a source's threshold is the document's first
-    words. Rows are matched with their plan by id, size and source.
+    words. Every row finds its own fate from its source's plan, so texts don't
+    move as long as the sources are few enough to broadcast.
     """
-    plan = mix(docs, **options).select(F.col("doc_id").alias("k_id"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("k_source"), F.col("size").alias("k_size"), "taken").distinct()
-    sized = docs.select(*[F.col(c) for c in docs.columns], word_count(text_of(docs)).alias("__size"))
-    on = sized["doc_id"].eqNullSafe(plan["k_id"]) & (F.coalesce(F.concat(F.lit("="), sized["source"]), F.lit("")) == plan["k_source"]) & (sized["__size"] == plan["k_size"])
-    met = sized.join(plan, on)
-    wholes = F.when(F.col("__size") > 0, F.expr("taken div __size")).otherwise(0)
-    part = F.when(F.col("__size") > 0, F.col("taken") % F.col("__size")).otherwise(0).cast("int")
-    head = F.array_join(F.slice(F.array_remove(F.split(text_of(docs), f"[{SPACE}]+"), ""), 1, part), " ")
+    plan = source_plan(materialise(_keyed(docs, seed, "doc_id", "text", "source"), "mix-sizes"), weights, budget_ratio, max_epochs)
+    row = F.struct(*docs.columns).alias("row")
+    met = join_dimension(_keyed(docs, seed, "doc_id", "text", "source", row), plan, ["key"]).select("row", "size", _taken().alias("taken"))
+    wholes = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(0)
+    part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0).cast("int")
+    head = F.array_join(F.slice(F.array_remove(F.split(F.col("row.text"), f"[{SPACE}]+"), ""), 1, part), " ")
     versions = F.concat(F.array_repeat(F.lit(False), wholes.cast("int")), F.when(part > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
-    out = met.withColumn("__cut", F.explode(versions))
-    out = out.withColumn("text", F.when(F.col("__cut"), head).otherwise(F.col("text")))
+    out = met.withColumn("head", F.when(part > 0, head)).select("row", "head", F.explode(versions).alias("cut"))
+    made = {"text": F.when(F.col("cut"), F.col("head")).otherwise(F.col("row.text"))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__cut"), F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        made["n_chars"] = F.when(F.col("cut"), F.length("head").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("row.n_chars"))
+    return out.select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def mix_sql(weights: tuple[float, ...] = (3, 1, 2), budget_ratio: float = 1.5, max_epochs: float = 2.0, seed: int = 7) -> str:

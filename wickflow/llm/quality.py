@@ -227,28 +227,44 @@ def verdict(rules: list[Rule]) -> Column:
     return out.otherwise(0) if out is not None else F.lit(0)
 
 
-def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[Rule]]:
-    """Statistics of every row with base_failed, rule and kept; the learned list.
+def learned(stats: DataFrame, labels: DataFrame) -> list[Rule]:
+    """The list learned from a table of statistics and ``labels`` (doc_id, quality).
 
-    Statistics are written once to the shared folder, so the texts are read
-    once however many passes the learning takes. ``labels`` needs ``doc_id`` and
-    ``quality``; of them at most ``MAX_LABELLED`` (by hash of the id) are used.
+    At most ``MAX_LABELLED`` labelled rows, by hash of the id, take part.
     """
-    stats = materialise(text_stats(docs, id_col, text_col), "quality-stats")
     marks = labels.select(F.col("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality is not null")
     n = marks.count()
     if n > MAX_LABELLED:
         marks = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * MAX_LABELLED / n))
     marks = marks.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    own = stats.filter(~base_failed()).withColumn("l_id", F.col("doc_id.doc_id") if dict(stats.dtypes)["doc_id"].startswith("struct") else F.col("doc_id"))
-    rows = own.drop("doc_id").join(marks, F.col("l_id") == marks["doc_id"]).select(
-        *FEATURES, (F.col("quality") == 0).cast("long").alias("y"), F.pmod(F.xxhash64(F.lit("fold"), "l_id"), F.lit(3)).alias("fold"))
-    rules = learn_rules(materialise(rows.coalesce(max(1, min(8, n // 20_000))), "quality-labelled"))
-    rule = verdict(rules)
-    return stats.withColumn("base_failed", base_failed()).withColumn("rule", rule).withColumn(
+    rows = stats.filter(~base_failed()).join(marks, "doc_id").select(
+        *FEATURES, (F.col("quality") == 0).cast("long").alias("y"), F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(3)).alias("fold"))
+    return learn_rules(materialise(rows.coalesce(max(1, min(8, n // 20_000))), "quality-labelled"))
+
+
+def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[Rule]]:
+    """Statistics of every row with base_failed, rule and kept; the learned list.
+
+    Statistics are written once to the shared folder, so the texts are read
+    once however many passes the learning takes.
+    """
+    stats = materialise(text_stats(docs, id_col, text_col), "quality-stats")
+    rules = learned(stats, labels)
+    return stats.withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules)).withColumn(
         "kept", ~F.col("base_failed") & (F.col("rule") == 0)), rules
 
 
+def kept_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that pass, with all their columns.
+
+    A first pass over the texts leaves the statistics to learn from; a second
+    judges each row where it is, so no text is shuffled.
+    """
+    rules = learned(materialise(text_stats(docs), "quality-stats"), labels)
+    rows = text_stats(docs.withColumn("__row", F.struct(*docs.columns)), id_col="__row")
+    return rows.filter(~base_failed() & (verdict(rules) == 0)).select("doc_id.*")
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     out, _ = judged(docs, labels)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
