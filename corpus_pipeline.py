@@ -8,27 +8,18 @@ All stages but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from wickflow.llm.common import materialise, table, text_of
+from wickflow.llm.common import materialise, table
 from wickflow.llm.jaccard import keep_one
 from wickflow.llm.mixing import repeat_rows
 from wickflow.llm.packing import pack
-from wickflow.llm.quality import judged
+from wickflow.llm.quality import kept_rows
 from wickflow.llm.secrets import redact_secrets
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the learned list keep.
-
-    Rejected (id, text) keys are anti-joined, so rows that share an id are
-    judged one by one.
-    """
-    keyed = docs.withColumn("__key", F.xxhash64(text_of(docs)))
-    # The statistics carry the row's id and text key as one struct.
-    verdicts, _ = judged(keyed.withColumn("__row", F.struct(F.col("doc_id").alias("doc_id"), F.col("__key").alias("key"))), table(spark, sf_dir, "labels"), id_col="__row")
-    rejected = materialise(verdicts.filter("not kept").select("doc_id.doc_id", "doc_id.key").toDF("r_id", "r_key").distinct(), "pipeline-rejected")
-    return keyed.join(rejected, keyed["doc_id"].eqNullSafe(rejected["r_id"]) & (keyed["__key"] == rejected["r_key"]), "left_anti").select(*docs.columns)
+    """Documents that the base rules and the learned list keep."""
+    return kept_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
