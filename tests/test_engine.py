@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wickflow.operators import backtest as B
 from wickflow.operators import metrics as M
 from wickflow.operators import signals as S
-from wickflow.operators.indicators import chunks, indicators, moves, window_ranges
+from wickflow.operators.indicators import chunks, indicators, window_ranges
 from wickflow.operators.patterns import REGISTRY, detect
 from wickflow.params import Params
 from wickflow.schemas import CANDLE
@@ -40,7 +40,7 @@ def test_indicators(enriched, rows):
 
 
 def test_patterns_fire_as_row_by_row(enriched, rows):
-    got = {(r["pair"], r["ts"]): r for r in detect(window_ranges(moves(enriched)), LOOSE).collect()}
+    got = {(r["pair"], r["ts"]): r for r in detect(window_ranges(enriched), LOOSE).collect()}
     seen = set()
     for pair, series in rows.items():
         for i in range(len(series)):
@@ -62,7 +62,7 @@ def test_compression_breakout(spark):
     rows = [{"bot_id": "b", "pair": "p", "timeframe": "5m", "ts": j * R.FIVE, "open": closes[j - 1] if j else 1000.0, "close": c, "high": max(c, closes[j - 1] if j else 1000.0),
              "low": min(c, closes[j - 1] if j else 1000.0), "volume": 900.0 if j == 45 else 200 * 0.97**j} for j, c in enumerate(closes)]
     df = spark.createDataFrame([tuple(float(r[c.split()[0]]) if "double" in c else r[c.split()[0]] for c in CANDLE.split(", ")) for r in rows], CANDLE)
-    got = {r["ts"]: r["p_compression_breakout"] for r in detect(window_ranges(moves(S.enrich(df, LOOSE))), LOOSE, ("compression_breakout",)).collect()}
+    got = {r["ts"]: r["p_compression_breakout"] for r in detect(window_ranges(S.enrich(df, LOOSE)), LOOSE, ("compression_breakout",)).collect()}
     series = R.enrich(rows, LOOSE)
     want = {r["ts"]: R.detect(series[max(0, i - 119):i + 1], LOOSE).get("compression_breakout") for i, r in enumerate(series)}
     assert {k: (v["direction"], v["confidence"]) for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
@@ -137,6 +137,28 @@ def test_chunks_give_equal_indicators(spark, rows):
     assert cut.select("chunk").distinct().count() > 3
     parts = {r["ts"]: r["adx"] for r in indicators(cut).filter("own").collect()}
     assert parts == {k: pytest.approx(v, abs=1e-9) for k, v in whole.items()}
+    pick = lambda d: {r["ts"]: (r["outcome"], r["stage"], r["reason"], r["regime"], r["pattern"]) for r in d.collect()}
+    assert pick(S.evaluate_chunked(df, LOOSE, rows=200)) == pick(S.evaluate(S.enrich(df, LOOSE), LOOSE))
+
+
+def test_native_folds_equal_the_arrow_pass(spark, rows):
+    raw = [tuple(r[c.split()[0]] for c in CANDLE.split(", ")) for v in rows.values() for r in v[:150]]
+    df = spark.createDataFrame(raw, CANDLE)
+    names = ("ema9", "ema21", "rsi14", "atr14", "adx", "bb_width", "volume_ratio", "atr14_w", "atr50_w", "atr14_prev")
+    a, b = ({(r["pair"], r["ts"]): [r[c] for c in names] for r in window_ranges(indicators(df, LOOSE, native=x), native=x).collect()} for x in (True, False))
+    assert a.keys() == b.keys() and all(b[k] == pytest.approx(v, abs=1e-9) for k, v in a.items())
+
+
+def test_small_arrow_batches_carry_context(spark, rows):
+    raw = [tuple(r[c.split()[0]] for c in CANDLE.split(", ")) for v in rows.values() for r in v]
+    df = spark.createDataFrame(raw, CANDLE)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(r["pair"], r["ts"]): r["adx"] for r in indicators(df).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        assert {(r["pair"], r["ts"]): r["adx"] for r in indicators(df).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
 
 def test_metrics(spark):

@@ -1,10 +1,10 @@
 """Rolling indicators: every value is a function of a bounded row frame.
 
-One window collects the frame once per row; recursive averages fold over it
-with scalar accumulators. All windows share a partition and order, so Catalyst
-plans one exchange and one sort for the whole bundle. ``chunks`` cuts long
-series into pieces with enough rows before them, so one series doesn't bound
-the parallelism.
+Recursive averages are folds over the frame: by default the Arrow pass of
+``rolling``, or native folds with scalar accumulators. Plain averages are
+window aggregates that share a partition and order, so Catalyst plans one
+exchange and one sort for all of them. ``chunks`` cuts long series into pieces
+with enough rows before them, so one series doesn't bound the parallelism.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickflow.functions.candle import ratio
+from wickflow.operators.rolling import Spec, rolling
 from wickflow.params import Params
 from wickflow.schemas import DAY_MS, SERIES
 
@@ -124,37 +125,43 @@ def rest_of(array: Column) -> Column:
     return F.slice(array, 2, F.greatest(F.size(array) - 1, F.lit(0)))
 
 
-def indicators(df: DataFrame, params: Params = Params(), buffer: int = FRAME) -> DataFrame:
-    """Add the indicator columns to candles; names are fixed although periods are parameters."""
-    df = moves(df)
-    row = F.struct("close", "tr", "up", "down", "delta")
+def indicators(df: DataFrame, params: Params = Params(), buffer: int = FRAME, native: bool = False) -> DataFrame:
+    """Add the indicator columns to candles; names are fixed although periods are parameters.
+
+    Recursive ones come from an Arrow pass, or with ``native`` from folds in the
+    plan; plain averages and deviations are window aggregates either way.
+    """
+    if native:
+        df = moves(df).withColumn("w", F.collect_list(F.struct("close", "tr", "up", "down", "delta")).over(frame(df, buffer)))
+        closes = F.col("w.close")
+        df = df.withColumns({"ema9": ema(closes, params.ema_fast), "ema21": ema(closes, params.ema_slow), "rsi14": rsi(rest_of(F.col("w.delta"))),
+                             "atr14": wilder(rest_of(F.col("w.tr")), 14), "adx": adx(rest_of(F.col("w")))}).drop("w")
+    else:
+        df = moves(rolling(df, keys(df), {"ema9": Spec("ema", params.ema_fast, buffer), "ema21": Spec("ema", params.ema_slow, buffer), "rsi14": Spec("rsi", 14, buffer),
+                                          "atr14": Spec("atr", 14, buffer), "adx": Spec("adx", 14, buffer)}))
     w20 = frame(df, 20)
     n20 = F.count(F.lit(1)).over(w20)
     df = df.withColumns({
-        "w": F.collect_list(row).over(frame(df, buffer)),
-        "sma20": F.avg("close").over(w20), "sd20": F.stddev_pop("close").over(w20), "n20": n20,
-        "volume_ma20": F.avg("volume").over(w20),
+        "sma20": F.avg("close").over(w20), "sd20": F.stddev_pop("close").over(w20), "n20": n20, "volume_ma20": F.avg("volume").over(w20),
         "volume_sd20": F.when(n20 < 2, 0.0).otherwise(F.stddev_pop("volume").over(w20)),
     })
-    closes, later = F.col("w.close"), rest_of(F.col("w"))
     wide = F.col("n20") >= 20
     df = df.withColumns({
-        "ema9": ema(closes, params.ema_fast), "ema21": ema(closes, params.ema_slow), "rsi14": rsi(rest_of(F.col("w.delta"))),
-        "atr14": wilder(rest_of(F.col("w.tr")), 14), "adx": adx(later),
         "bb_upper": F.col("sma20") + F.when(wide, 2.0 * F.col("sd20")).otherwise(0.0), "bb_lower": F.col("sma20") - F.when(wide, 2.0 * F.col("sd20")).otherwise(0.0),
         "volume_ratio": ratio(F.col("volume"), F.col("volume_ma20"), 1.0),
     })
     width = F.when(wide & (F.col("sma20") != 0), (F.col("bb_upper") - F.col("bb_lower")) / F.when(F.col("sma20") != 0, F.col("sma20"))).otherwise(0.0)
-    return df.withColumn("bb_width", width).drop("w", "sd20", "n20", "sma20")
-
-
-def window_ranges(df: DataFrame, window: int = FRAME) -> DataFrame:
-    """ATR variants the detectors recompute on the evaluation window (needs ``moves``)."""
-    df = df.withColumns({
-        "wt": F.collect_list("tr").over(frame(df, window)), "pt": F.collect_list("tr").over(frame(df, window - 1, -1)),
-        "tr5": F.avg("tr").over(frame(df, 5)), "tr20": F.avg("tr").over(frame(df, 20)),
-    })
-    rest, prior = rest_of(F.col("wt")), rest_of(F.col("pt"))
-    return df.withColumns({
-        "n": F.least(F.col("rn"), F.lit(window)), "atr14_w": wilder(rest, 14), "atr50_w": F.when(F.col("rn") >= 51, wilder(rest, 50)), "atr14_prev": wilder(prior, 14),
-    }).drop("wt", "pt")
+    return df.withColumn("bb_width", width).drop("sd20", "n20", "sma20")
+
+
+def window_ranges(df: DataFrame, window: int = FRAME, native: bool = False) -> DataFrame:
+    """Moves, and the ATR variants that detectors recompute on the evaluation window."""
+    if native:
+        df = moves(df)
+        df = df.withColumns({"wt": F.collect_list("tr").over(frame(df, window)), "pt": F.collect_list("tr").over(frame(df, window - 1, -1))})
+        rest, prior = rest_of(F.col("wt")), rest_of(F.col("pt"))
+        df = df.withColumns({"atr14_w": wilder(rest, 14), "atr50_w": wilder(rest, 50), "atr14_prev": wilder(prior, 14)}).drop("wt", "pt")
+    else:
+        df = moves(rolling(df, keys(df), {"atr14_w": Spec("atr", 14, window), "atr50_w": Spec("atr", 50, window), "atr14_prev": Spec("atr", 14, window - 1, -1)}))
+    return df.withColumns({"tr5": F.avg("tr").over(frame(df, 5)), "tr20": F.avg("tr").over(frame(df, 20)), "n": F.least(F.col("rn"), F.lit(window)),
+                           "atr50_w": F.when(F.col("rn") >= 51, F.col("atr50_w"))})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wickflow.functions.candle import geometry, session, session_confidence_multiplier
 from wickflow.operators import gates, memory
-from wickflow.operators.indicators import FRAME, indicators, moves, window_ranges
+from wickflow.operators.indicators import CHUNK_ROWS, FRAME, chunks, indicators, window_ranges
 from wickflow.operators.patterns import REGISTRY, detect
 from wickflow.params import Params
 
@@ -19,7 +19,7 @@ def enrich(candles: DataFrame, params: Params = Params(), buffer: int = FRAME) -
 
 def labelled(enriched: DataFrame, params: Params = Params()) -> DataFrame:
     """Enriched candles with the regime; QUIET is stored as null."""
-    out = gates.regime(window_ranges(moves(enriched)), params)
+    out = gates.regime(window_ranges(enriched), params)
     return out.withColumn("regime", F.when(F.col("regime") != "QUIET", F.col("regime")))
 
 
@@ -54,7 +54,7 @@ def evaluate(enriched: DataFrame, params: Params = Params(), pattern_memory: Dat
     A pure function of the evaluation window, so all candles are evaluated at
     once; frames stay inside a ``fold`` where the input has one.
     """
-    df = detect(gates.volume(gates.trend(gates.regime(window_ranges(moves(enriched)), params), params), params), params)
+    df = detect(gates.volume(gates.trend(gates.regime(window_ranges(enriched), params), params), params), params)
     df = scan(df, params, pattern_memory)
     least = F.lit(params.min_confidence) * session_confidence_multiplier(session(F.col("ts")))
     conf = F.col("best.confidence")
@@ -76,6 +76,16 @@ def evaluate(enriched: DataFrame, params: Params = Params(), pattern_memory: Dat
     }).drop("reject", "best")
 
 
+def evaluate_chunked(candles: DataFrame, params: Params = Params(), rows: int = CHUNK_ROWS) -> DataFrame:
+    """``evaluate`` of raw candles whose series are cut into chunks of about ``rows`` rows.
+
+    A chunk brings the rows before it that two frames and the lags need, so
+    results are those of the whole series, in as many tasks as there are chunks.
+    """
+    out = evaluate(enrich(chunks(candles, 2 * FRAME + 20, rows), params), params)
+    return out.filter("own").drop("own", "chunk", "rn", "n")
+
+
 def probe(evaluated: DataFrame, last: int | None = None) -> DataFrame:
     """Counts of outcomes by stage and reason with their share."""
     from pyspark.sql import Window

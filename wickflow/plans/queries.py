@@ -53,7 +53,7 @@ def _enriched(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _windowed(spark: SparkSession, d: str) -> DataFrame:
-    return window_ranges(moves(_enriched(spark, d)))
+    return window_ranges(_enriched(spark, d))
 
 
 def _gated(spark: SparkSession, d: str) -> DataFrame:
