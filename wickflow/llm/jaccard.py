@@ -271,7 +271,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     member = materialise(member.select("node", "block", "slice", "slices", "copies", F.col("rep.id").alias("r_id"), F.col("rep.k").alias("r_key")), "jaccard-members")
     # Every pair of slices is one cell; a class goes to the cells of its slice.
     others = F.sequence(F.lit(0), F.col("slices") - 1)
-    texts = docs.withColumn("text_key", F.xxhash64("text")).join(member, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_key") == F.col("r_key")))
+    # The members grow with the corpus, so they are never broadcast.
+    texts = docs.withColumn("text_key", F.xxhash64("text")).join(member.hint("merge"), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_key") == F.col("r_key")))
     celled = texts.select("block", "node", "copies", "slice", "text", F.explode(others).alias("other"))
     celled = celled.select("block", F.least("slice", "other").alias("cell_i"), F.greatest("slice", "other").alias("cell_j"), "node", "copies", "slice", "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -300,7 +301,8 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     own = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("class_key"))
     drop = fates.filter((F.col("n_grams") > 0) & ~own).select(F.col("doc_id").alias("d_id"), F.col("text_key").alias("d_key")).distinct()
     keyed = docs.withColumn("__key", F.xxhash64(text_of(docs)))
-    left = keyed.join(drop, keyed["doc_id"].cast("long").eqNullSafe(F.col("d_id")) & (F.col("__key") == F.col("d_key")), "left_anti")
+    # Like the members, this list grows with the corpus and isn't broadcast.
+    left = keyed.join(drop.hint("merge"), keyed["doc_id"].cast("long").eqNullSafe(F.col("d_id")) & (F.col("__key") == F.col("d_key")), "left_anti")
     repeated = fates.filter((F.col("n_grams") > 0) & own).groupBy("doc_id", "text_key").count().filter("count > 1").limit(1).count()
     if repeated:
         words = F.length(F.trim("text")) > 0
