@@ -28,8 +28,6 @@ from pyspark.sql import functions as F
 
 from wickflow.llm.common import materialise, scratch_uri, ship
 
-#: Payload bytes an archive aims at.
-ARCHIVE_BYTES = 64 << 20
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RECORD_SCHEMA = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
@@ -160,13 +158,12 @@ def write_archives(pages: DataFrame, uri: str | None = None, min_bytes: int = 0)
                         F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     heads = materialise(rows.select("page_id", base32_sha1(F.col("payload")).alias("payload_digest"), F.length("payload").cast("long").alias("payload_bytes")), "warc-headers")
     decided = materialise(resolve(heads, min_bytes), "warc-decisions")
-    total = decided.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0)).alias("b")).first()["b"]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // ARCHIVE_BYTES))
     keyed = rows.withColumn("payload_digest", base32_sha1(F.col("payload")))
     fates = decided.groupBy("page_id", "payload_digest").agg(F.first("record_type").alias("record_type"), F.first("refers_to").alias("refers_to"))
     ready = keyed.join(fates.withColumnRenamed("page_id", "f_id").withColumnRenamed("payload_digest", "f_digest"),
                        F.col("page_id").eqNullSafe(F.col("f_id")) & (F.col("payload_digest") == F.col("f_digest")))
-    ready = ready.select("page_id", "url", "payload", "payload_digest", "record_type", "refers_to").repartition(parts, "page_id", "payload_digest")
+    # The join's own partitions become archives: pages move once at most, and AQE sizes the partitions.
+    ready = ready.select("page_id", "url", "payload", "payload_digest", "record_type", "refers_to")
     done = ready.sortWithinPartitions("page_id", "payload_digest", "url").mapInArrow(_writer(uri), "file string, records long")
     materialise(done, "warc-manifest").count()
     return uri
