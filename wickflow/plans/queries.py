@@ -16,7 +16,7 @@ from wickflow.plans import sql
 from wickflow.plans.adapters import heartbeats_from_events, log_from_events, trades_from_orders
 from wickflow.schemas import DAY_MS, HOUR_MS
 from wickflow.scratch import scratch_uri
-from wickflow.sources.candles import candles_from_events, event_log, recent, since
+from wickflow.sources.candles import candles_from_events, dedupe, event_log, recent, since
 from wickflow.streaming import candles as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -387,6 +387,56 @@ def recent_n_candles(spark, d):
     return recent(_candles(spark, d), 120).select("pair", "ts", "close")
 
 
+@_add(sql.query(sql.CANDLES, """SELECT pair, ts, CASE WHEN row_number() OVER (PARTITION BY pair ORDER BY ts) <= floor(0.6::DOUBLE * count(*) OVER (PARTITION BY pair)) THEN 'in_sample' ELSE 'out_sample' END AS fold FROM candles"""))
+def walk_forward_split(spark, d):
+    return backtest.fold_split(_candles(spark, d)).select("pair", "ts", "fold")
+
+
+@_add(sql.query(sql.INDICATORS, """, e AS (SELECT *, CASE WHEN ts // 3600000 % 2 = 0 THEN 1 ELSE -1 END AS k FROM ind),
+p AS (SELECT *, close * CASE WHEN k = 1 THEN 1.0005::DOUBLE ELSE 0.9995::DOUBLE END AS fill, round(close + k * atr14 * 1.6::DOUBLE, 8) AS tp, round(close - k * atr14, 8) AS sl FROM e),
+q AS (SELECT *, fill * CASE WHEN k = 1 THEN 1 - 1.0::DOUBLE / 20 + 0.005::DOUBLE ELSE 1 + 1.0::DOUBLE / 20 - 0.005::DOUBLE END AS liq,
+  list({'ts': ts, 'h': high, 'l': low, 'c': close}) OVER (PARTITION BY pair ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS ahead FROM p),
+m AS (SELECT *, list_filter(list_transform(coalesce(ahead, []), lambda b: {'ts': b.ts, 'why': CASE WHEN k = 1 THEN CASE WHEN b.h >= tp THEN 'take_profit' WHEN b.l <= sl THEN 'stop_loss' WHEN b.l <= liq THEN 'liquidated' END
+  ELSE CASE WHEN b.l <= tp THEN 'take_profit' WHEN b.h >= sl THEN 'stop_loss' WHEN b.h >= liq THEN 'liquidated' END END}), lambda b: b.why IS NOT NULL) AS met FROM q),
+r AS (SELECT *, CASE WHEN len(met) > 0 THEN met[1].why ELSE 'timeout' END AS close_reason,
+  CASE WHEN len(met) > 0 THEN met[1].ts WHEN len(coalesce(ahead, [])) > 0 THEN ahead[-1].ts ELSE ts END AS exit_ts FROM m),
+x AS (SELECT *, CASE close_reason WHEN 'take_profit' THEN tp WHEN 'stop_loss' THEN sl WHEN 'liquidated' THEN liq ELSE coalesce(ahead[-1].c, close) END * CASE WHEN k = 1 THEN 0.9995::DOUBLE ELSE 1.0005::DOUBLE END AS price FROM r)
+SELECT pair, ts, close_reason, CAST(greatest((exit_ts - ts) // 900000, 1) AS INTEGER) AS hold_candles, round(CASE WHEN fill > 0 THEN k * (price - fill) / fill * 200 END, 5) AS pnl_gross_usdt FROM x"""))
+def position_results(spark, d):
+    """Every candle taken as an entry, long on even hours and short on odd ones."""
+    even = F.floor(F.col("ts") / HOUR_MS) % 2 == 0
+    sign = F.when(even, 1.0).otherwise(-1.0)
+    df = moves(_enriched(spark, d)).withColumns({"outcome": F.lit("fired"), "side": F.when(even, "long").otherwise("short"), "entry_price": F.col("close"), "size_usdt": F.lit(10.0),
+                                                 "tp_price": F.round(F.col("close") + sign * F.col("atr14") * 1.6, 8), "sl_price": F.round(F.col("close") - sign * F.col("atr14"), 8)})
+    df = backtest.exits(backtest.entries(df, 20)).withColumn("fill", F.when(F.col("fill") > 0, F.col("fill")))
+    return backtest.closes(df).select("pair", "ts", "close_reason", "hold_candles", F.round("pnl_gross_usdt", 5).alias("pnl_gross_usdt"))
+
+
+@_add(sql.query(sql.TRADES, "SELECT trade_id, CASE WHEN trade_id % 2 = 0 THEN exit_ts END AS exit_ts, CASE WHEN trade_id % 2 = 0 THEN close_reason END AS close_reason FROM trades"))
+def trade_closes(spark, d):
+    """Opened trades updated by the closing rows of every other one."""
+    t = _trades(spark, d)
+    opened = t.withColumns({"exit_ts": F.lit(None).cast("long"), "close_reason": F.lit(None).cast("string")})
+    return store.close_trades(opened, t.filter("exit_ts is not null and trade_id % 2 = 0").select("trade_id", "exit_ts", "close_reason")).select("trade_id", "exit_ts", "close_reason")
+
+
+@_add(f"SELECT event_id, epoch_us(ts) // 1000 AS ts FROM events WHERE epoch_us(ts) // 1000 >= {JAN_10}")
+def event_retention(spark, d):
+    return store.retained(log_from_events(_read(spark, d, "events")), JAN_10 + 30 * DAY_MS, 30).select("event_id", "ts")
+
+
+@_add("SELECT event_id, CAST(to_json({'event_id': event_id, 'category': event_type}) AS VARCHAR) AS line FROM events")
+def event_export(spark, d):
+    return log_from_events(_read(spark, d, "events")).select("event_id", F.to_json(F.struct("event_id", "category")).alias("line"))
+
+
+@_add("SELECT event_type AS pair, count(DISTINCT epoch_us(ts) // 3600000000) AS candles FROM events GROUP BY 1")
+def candle_dedupe(spark, d):
+    """Candles delivered twice count once."""
+    c = _candles(spark, d)
+    return dedupe(c.unionByName(c)).groupBy("pair").agg(F.count(F.lit(1)).alias("candles"))
+
+
 @_add(f"SELECT event_id, epoch_us(ts) // 1000 AS ts, event_type AS category, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE epoch_us(ts) // 1000 >= {JAN_10} AND event_type IN ('error', 'purchase') ORDER BY ts LIMIT 100")
 def event_log_filter(spark, d):
     log = event_log(log_from_events(_read(spark, d, "events")), JAN_10, categories=("error", "purchase"))
