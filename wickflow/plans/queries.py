@@ -401,7 +401,7 @@ m AS (SELECT *, list_filter(list_transform(coalesce(ahead, []), lambda b: {'ts':
 r AS (SELECT *, CASE WHEN len(met) > 0 THEN met[1].why ELSE 'timeout' END AS close_reason,
   CASE WHEN len(met) > 0 THEN met[1].ts WHEN len(coalesce(ahead, [])) > 0 THEN ahead[-1].ts ELSE ts END AS exit_ts FROM m),
 x AS (SELECT *, CASE close_reason WHEN 'take_profit' THEN tp WHEN 'stop_loss' THEN sl WHEN 'liquidated' THEN liq ELSE coalesce(ahead[-1].c, close) END * CASE WHEN k = 1 THEN 0.9995::DOUBLE ELSE 1.0005::DOUBLE END AS price FROM r)
-SELECT pair, ts, close_reason, CAST(greatest((exit_ts - ts) // 900000, 1) AS INTEGER) AS hold_candles, round(CASE WHEN fill > 0 THEN k * (price - fill) / fill * 200 END, 5) AS pnl_gross_usdt FROM x"""))
+SELECT pair, ts, close_reason, CAST(greatest((exit_ts - ts) // 900000, 1) AS INTEGER) AS hold_candles, round(CASE WHEN fill > 0 THEN k * (price - fill) / fill * 200 END, 6) AS pnl_gross_usdt FROM x"""))
 def position_results(spark, d):
     """Every candle taken as an entry, long on even hours and short on odd ones."""
     even = F.floor(F.col("ts") / HOUR_MS) % 2 == 0
@@ -409,7 +409,7 @@ def position_results(spark, d):
     df = moves(_enriched(spark, d)).withColumns({"outcome": F.lit("fired"), "side": F.when(even, "long").otherwise("short"), "entry_price": F.col("close"), "size_usdt": F.lit(10.0),
                                                  "tp_price": F.round(F.col("close") + sign * F.col("atr14") * 1.6, 8), "sl_price": F.round(F.col("close") - sign * F.col("atr14"), 8)})
     df = backtest.exits(backtest.entries(df, 20)).withColumn("fill", F.when(F.col("fill") > 0, F.col("fill")))
-    return backtest.closes(df).select("pair", "ts", "close_reason", "hold_candles", F.round("pnl_gross_usdt", 5).alias("pnl_gross_usdt"))
+    return backtest.closes(df).select("pair", "ts", "close_reason", "hold_candles", "pnl_gross_usdt")
 
 
 @_add(sql.query(sql.TRADES, "SELECT trade_id, CASE WHEN trade_id % 2 = 0 THEN exit_ts END AS exit_ts, CASE WHEN trade_id % 2 = 0 THEN close_reason END AS close_reason FROM trades"))
