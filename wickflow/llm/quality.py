@@ -176,6 +176,19 @@ def _best_condition(hist, edges, have: tuple[int, int]) -> tuple[float, Conditio
     return best
 
 
+def _with_margin(rows: DataFrame, c: Condition) -> Condition:
+    """The condition with its threshold halfway between the values it parts.
+
+    Bin edges are values of rows, so ``> edge`` would reject at the least excess
+    over what good rows show; the middle of the gap has the same coverage.
+    """
+    f = F.col(c.feature)
+    r = rows.agg(F.max(F.when(f <= c.threshold, f)).alias("below"), F.min(F.when(f > c.threshold, f)).alias("above")).first()
+    if r["below"] is None or r["above"] is None:
+        return c
+    return Condition(c.feature, c.above, (r["below"] + r["above"]) / 2)
+
+
 def learn_rules(labelled: DataFrame, max_rules: int = 6, max_conditions: int = 3, min_precision: float = 0.9, min_covered: int = 5) -> list[Rule]:
     """Sequential covering on rows of statistics with ``y`` (1: to be rejected) and ``fold``.
 
@@ -201,7 +214,7 @@ def learn_rules(labelled: DataFrame, max_rules: int = 6, max_conditions: int = 3
             best = _best_condition(hist, edges, have)
             if best is None or best[0] <= 1e-9:
                 break
-            chosen.append(best[1])
+            chosen.append(_with_margin(covered, best[1]))
             if have[1] == 0:
                 break
         if not chosen:
