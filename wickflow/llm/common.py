@@ -3,56 +3,18 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wickflow.scratch import materialise, scratch_uri, ship
+
+__all__ = ["BROADCAST_ROWS", "SPACE", "SPACE_CHARS", "join_dimension", "joined_spans", "materialise", "scratch_uri", "ship", "single_threaded", "table", "text_of"]
+
 #: The characters that separate words, as a Java/Python character class body.
 SPACE = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
-_shipped: set[str] = set()
-_own_base: dict[str, str] = {}
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package's code, once per application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    package = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="wickflow-code-")) / "wickflow_code.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, p.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(target))
-    _shipped.add(app)
-
-
-def scratch_uri(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``; a folder of our own is
-    used only where that is unset, as in tests on one machine.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if not base:
-        base = _own_base.setdefault(app, "file://" + tempfile.mkdtemp(prefix="wickflow-"))
-    return f"{base.rstrip('/')}/wickflow-{app}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there."""
-    path = scratch_uri(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_of(df: DataFrame, text: str = "text") -> Column:
     """The text column, null taken as empty."""
     return F.coalesce(df[text].cast("string"), F.lit(""))
@@ -82,10 +44,6 @@ def join_dimension(left: DataFrame, right: DataFrame, on: list[str], how: str =
     return left.join(right, on, how)
 
 
-def cores(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def single_threaded() -> None:
     """In a Python worker: one thread for each task, as Spark schedules them."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
