@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -32,7 +34,9 @@ def scratch_uri(spark: SparkSession, name: str) -> str:
     app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", None) or _own.get(app)
     if not base:
-        base = _own[app] = "file://" + tempfile.mkdtemp(prefix="wickflow-")
+        folder = tempfile.mkdtemp(prefix="wickflow-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = _own[app] = f"file://{folder}"
     return f"{base.rstrip('/')}/wickflow-{app}/{name}-{uuid.uuid4().hex[:12]}"
 
 
