@@ -83,6 +83,15 @@ def test_redaction_masks_all():
     assert secrets.redact(BASE) == BASE
 
 
+@pytest.mark.parametrize("use", ['signing_key = A + "LmQq77zz"', 'signing_key = "LmQq77zz" + A', 'B = A + "LmQq77zz"\nsigning_key = B'])
+def test_joined_parts_are_masked_where_they_stand(use):
+    t = f'A = "k9Jx82"\nclean text between\n{use}\nend'
+    spans = secrets.named_spans(t)
+    assert {t[s:e] for s, e in spans} == {"k9Jx82", "LmQq77zz"} and len(spans) == 2
+    assert secrets.redact(t) == t.replace("k9Jx82", "<secret>").replace("LmQq77zz", "<secret>")
+    assert secrets.scan(t)["n_named"] == 2
+
+
 # --- 2: mixing
 
 def test_mix_matches_sql(spark, docs, empty):

@@ -4,8 +4,8 @@ Each text is lexed into name-literal pairs: configuration lines, source
 assignments, object entries and keyword arguments. Constants propagate
 (``A = "..."`` then ``password = A``; adjacent and ``+``-joined literals), and a
 literal's score combines how sensitive its target name is with how secret-like
-the literal is. Literals at or above the threshold become spans of kind
-``named`` beside the three base kinds, which always stay.
+the joined literal is. Each part of a literal at or above the threshold becomes
+a span of kind ``named`` beside the three base kinds, which always stay.
 
 Defined results: null text counts as empty; empty texts have no spans and the
 digest of the empty string; every row keeps one output row, repeated or not;
@@ -81,20 +81,23 @@ def literal_score(value: str) -> float:
     return min(1.0, 0.35 + 0.03 * min(len(value), 12) + 0.1 * (classes - 1) + 0.05 * min(entropy, 4.0))
 
 
-def pairs(text: str) -> Iterator[tuple[str, str, int, int]]:
-    """(name, literal, start, end) of assignments in a text, constants propagated."""
-    constants: dict[str, tuple[str, int, int]] = {}
+def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
+    """(name, joined literal, spans of its parts) of assignments in a text, constants propagated.
+
+    Parts stand where they were written: that of a constant is its definition.
+    """
+    constants: dict[str, tuple[str, list[tuple[int, int]]]] = {}
     for line in _CANDIDATE.finditer(text):
         base = line.start()
         prev_name = target = None
-        value: list[tuple[str, int, int]] = []
+        value: list[tuple[str, list[tuple[int, int]]]] = []
         joining = False
 
         def flush():
             nonlocal target, value, joining
             found = None
             if target is not None and value:
-                found = (target, "".join(v for v, _, _ in value), value[0][1], value[-1][2])
+                found = (target, "".join(v for v, _ in value), [x for _, spans in value for x in spans])
                 constants[target] = found[1:]
                 constants[target.rsplit(".", 1)[-1]] = found[1:]
             target, value, joining = None, [], False
@@ -106,8 +109,8 @@ def pairs(text: str) -> Iterator[tuple[str, str, int, int]]:
                 break
             if kind == "string":
                 body = t.group()[1:-1]
-                if target is not None and (not value or joining or value[-1][2] + 1 <= s):
-                    value.append((body, s + 1, e - 1))
+                if target is not None:
+                    value.append((body, [(s + 1, e - 1)]))
                     joining = False
                 else:
                     prev_name = body if re.fullmatch(r"[A-Za-z_][\w.-]*", body) else None
@@ -135,17 +138,17 @@ def pairs(text: str) -> Iterator[tuple[str, str, int, int]]:
         if (found := flush()) is not None:
             yield found
     for m in _BARE_LINE.finditer(text):
-        yield m.group(1), m.group(2), m.start(2), m.end(2)
+        yield m.group(1), m.group(2), [m.span(2)]
 
 
 def named_spans(text: str) -> list[tuple[int, int]]:
     if "=" not in text and ":" not in text:
         return []
     found = set()
-    for name, value, start, end in pairs(text):
+    for name, value, parts in pairs(text):
         n = name_score(name)
         if n and n * literal_score(value) >= THRESHOLD:
-            found.add((start, end))
+            found.update((start, end) for start, end in parts if start < end)
     return sorted(found)
 
 
