@@ -76,6 +76,21 @@ def test_clean_lines_are_left(text):
     assert secrets.named_spans(text) == []
 
 
+@pytest.mark.parametrize("text", [
+    'config["db_password"] = "S3cr3t!Value"', "config['x']['db_password'] = 'S3cr3t!Value'", 'config("db_password") = "S3cr3t!Value"', 'DB_PASSWORD2 = "S3cr3t!Value"', '{"api_secret_1": "S3cr3t!Value"}',
+    'db_password: str = "S3cr3t!Value"', 'let dbPassword: string | null = "S3cr3t!Value";', "static API_SECRET: &'static str = \"S3cr3t!Value\";", 'val dbPassword: String? = "S3cr3t!Value"',
+    'db_password: Optional[str] = "S3cr3t!Value"', 'var dbPassword string = "S3cr3t!Value"', 'var dbPassword []byte = []byte("S3cr3t!Value")', "DECLARE @password VARCHAR(50) = 'S3cr3t!Value'",
+    'Dim dbPassword As String = "S3cr3t!Value"', 'def f(user: str = "bob", password: str = "S3cr3t!Value"): pass', 'Config: password = "S3cr3t!Value"',
+    'BASE: str = "S3cr3t!Value"\nauth_token = BASE', 'var base string = "S3cr3t!Value"\nauth_token = base', 'private static final String PASSWORD = "S3cr3t!Value";'])
+def test_indexed_numbered_and_typed_targets_are_found(text):
+    assert [text[s:e] for s, e in secrets.named_spans(text)] == ["S3cr3t!Value"]
+
+
+@pytest.mark.parametrize("text", ['BASE: str = "k9Jx82LmQq"\npassword: str = "changeme"', 'if secret: mode = "Interactive1"', 'def f(password): kind = "Interactive1"', 'password: str, kind: str = "Interactive1"'])
+def test_types_are_no_targets(text):
+    assert secrets.named_spans(text) == []
+
+
 def test_redaction_masks_all():
     t = TEXTS[14]
     out = secrets.redact(t)

@@ -57,8 +57,18 @@ _TOKEN = re.compile(
 )
 #: A whole configuration line with a bare value.
 _BARE_LINE = re.compile(r"^[ \t]*(?:export[ \t]+|set[ \t]+|-[ \t]+)?([A-Za-z_][\w.-]*)[ \t]*[=:][ \t]*([^\s\"'#;,(){}\[\]]{6,})[ \t]*(?:[#;][^\n]*)?$", re.M)
-#: Lines that may hold an assignment at all.
-_CANDIDATE = re.compile(r"[^\n]*[A-Za-z_][\"'\])]?[ \t]*(?::=|=>|=|:)[ \t]*[\"'`A-Za-z0-9_$+/][^\n]*")
+#: Lines that hold an operator at all.
+_CANDIDATE = re.compile(r"^[^\n=:]*[=:][^\n]*", re.M)
+#: A type between a colon and ``=``: ``str``, ``Option<&'static str>``, ``string | null``.
+_TYPE_ARGS = r"[^\n=\"`<>\[\]]{0,200}"
+for _ in range(3):  # nested brackets, each read one way only
+    _TYPE_ARGS = rf"(?:[^\n=\"`<>\[\]]|[<\[]{_TYPE_ARGS}[>\]]){{0,200}}"
+_TYPE_NAME = rf"(?:[&*]|'\w+[ \t]+|(?:mut|const|dyn|readonly)[ \t]+)*([A-Za-z_$][\w$]*(?:(?:\.|::)[A-Za-z_$][\w$]*)*)(?:[<\[]{_TYPE_ARGS}[>\]])*[?!]*"
+_TYPED = re.compile(rf"[ \t]*{_TYPE_NAME}(?:[ \t]*\|[ \t]*{_TYPE_NAME})*[ \t]*=(?![=>])")
+#: Words that may stand between a name and its ``=`` (lower case), that open a declaration, or whose colon opens a block.
+_TYPES = frozenset("str string char wchar varchar varchar2 nvarchar text bytes bytestring byte rune any object int long number as array slice".split())
+_DECLARES = frozenset("var let val dim declare const".split())
+_BLOCKS = frozenset("if elif else case while for with try default except when".split())
 THRESHOLD = 0.6
 
 
@@ -81,6 +91,13 @@ def literal_score(value: str) -> float:
     return min(1.0, 0.35 + 0.03 * min(len(value), 12) + 0.1 * (classes - 1) + 0.05 * min(entropy, 4.0))
 
 
+def _declared(names: list[str]) -> list[str]:
+    """Names that an assignment right after a run of names may mean: a declaration's types are left out."""
+    if names and (names[-1].lower() in _TYPES or names[0].lower() in _DECLARES):
+        return [n for n in names if n.lower() not in _TYPES | _DECLARES] or names[-1:]
+    return names[-1:]
+
+
 def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
     """(name, joined literal, spans of its parts) of assignments in a text, constants propagated.
 
@@ -88,53 +105,64 @@ def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
     """
     constants: dict[str, tuple[str, list[tuple[int, int]]]] = {}
     for line in _CANDIDATE.finditer(text):
-        base = line.start()
-        prev_name = target = None
+        base, whole = line.start(), line.group()
+        #: The run of names that ends here, and those that the open assignment may mean.
+        names: list[str] = []
+        targets: list[str] = []
         value: list[tuple[str, list[tuple[int, int]]]] = []
-        joining = False
+        joining = closed = False
 
         def flush():
-            nonlocal target, value, joining
+            nonlocal targets, value, joining
             found = None
-            if target is not None and value:
-                found = (target, "".join(v for v, _ in value), [x for _, spans in value for x in spans])
-                constants[target] = found[1:]
-                constants[target.rsplit(".", 1)[-1]] = found[1:]
-            target, value, joining = None, [], False
+            if targets and value:
+                # The most sensitive name; of equals the last.
+                found = (max(reversed(targets), key=name_score), "".join(v for v, _ in value), [x for _, spans in value for x in spans])
+                for n in targets:
+                    constants[n] = constants[n.rsplit(".", 1)[-1]] = found[1:]
+            targets, value, joining = [], [], False
             return found
 
-        for t in _TOKEN.finditer(line.group()):
+        tokens = _TOKEN.finditer(whole)
+        while (t := next(tokens, None)) is not None:
             kind, s, e = t.lastgroup, base + t.start(), base + t.end()
             if kind == "comment":
                 break
             if kind == "string":
                 body = t.group()[1:-1]
-                if target is not None:
+                if targets:
                     value.append((body, [(s + 1, e - 1)]))
                     joining = False
                 else:
-                    prev_name = body if re.fullmatch(r"[A-Za-z_][\w.-]*", body) else None
+                    names, closed = [body] if re.fullmatch(r"[A-Za-z_][\w.-]*", body) else [], False
             elif kind == "assign" and t.group() in ("=", ":", ":=", "=>", "+="):
-                if prev_name is not None:
+                if names and not (closed and t.group() == ":"):
                     if (found := flush()) is not None:
                         yield found
-                    target, prev_name = prev_name, None
+                    targets = _declared(names)
+                    if t.group() == ":" and names[0].lower() not in _BLOCKS and (typed := _TYPED.match(whole, t.end())):
+                        targets += [n for n in (typed.group(1),) if n.lower() not in _TYPES]
+                        tokens = _TOKEN.finditer(whole, typed.end())
+                    names = []
             elif kind == "name":
-                if target is not None and (not value or joining) and t.group() in constants:
+                if targets and (not value or joining) and t.group() in constants:
                     value.append(constants[t.group()])
                     joining = False
                 else:
                     if value and (found := flush()) is not None:
                         yield found
-                    prev_name = t.group()
+                    names, closed = [*names[-7:], t.group()], False
             elif kind == "plus":
                 joining = True
             elif kind == "other" and t.group() in ",;)}":
                 if (found := flush()) is not None:
                     yield found
-                target, prev_name = None, None
+                # A closed index or call may be assigned to.
+                closed = t.group() == ")"
+                names = names if closed else []
             elif kind == "other" and t.group() in "([{":
-                target = None if t.group() == "{" else target
+                targets = [] if t.group() == "{" else targets
+                names = [] if t.group() != "[" and not (names and names[-1].lower() in _TYPES) else names
         if (found := flush()) is not None:
             yield found
     for m in _BARE_LINE.finditer(text):
