@@ -194,6 +194,17 @@ def test_edits_move_fingerprints_little():
     assert editsketch.fingerprints([text]) == [a]  # whatever else is in the batch
 
 
+def test_one_insertion_moves_long_fingerprints_little():
+    rng = np.random.default_rng(4)
+    long = "".join(rng.choice(list("abcdefghij klmnop"), 100_000))
+    short = [long[k:k + n] for k, n in zip(range(200), rng.integers(1, 3000, 200).tolist())]
+    for k in (30, 100):
+        for at in (0, 1000):
+            a, b = editsketch.fingerprints([long, long[:at] + "q" * k + long[at:]])
+            assert editsketch.likeness(a, b) > 0.8
+    assert editsketch.fingerprints([long, *short, ""]) == [editsketch.fingerprints([t])[0] for t in (long, *short, "")]
+
+
 def test_edit_near_duplicates(docs):
     got = {(r["doc_id"], r["representative"]) for r in editsketch.near_duplicates(docs.filter("doc_id is not null")).collect()}
     assert (11, 9) in got

@@ -3,9 +3,9 @@
 A shared random walk reads a text character by character: at each step the
 current character is written out, and a shared random bit of (step, character)
 says whether to move on. Texts a few edits apart fall back into the same walk,
-so edit distance becomes Hamming distance of what is written. The walk is run
-on segments of ``SEGMENT`` characters, each ``STRIDE`` steps long, which keeps
-it parallel within long texts; a text of any length is read to its end.
+so edit distance becomes Hamming distance of what is written. One walk reads a
+whole text of any length to its end, so a shift is found again once. Texts are
+walked side by side; the longest, once few are left, one after the other.
 
 The fingerprint samples the written string at shared steps: one step in each
 block of 2^level steps, chosen so that coarser samples are subsets of finer
@@ -24,6 +24,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +34,13 @@ from pyspark.sql import functions as F
 from wickflow.llm.common import ship, text_of
 from wickflow.llm.tokenfile import range_bounds, range_of
 
-SEGMENT = 2048
-STRIDE = 4608
 #: Blocks of a fingerprint: more than half of this, up to this, once a text is long enough.
 SAMPLES = 512
 #: Characters are told apart by this many classes, and random bits repeat after PERIOD steps.
 CLASSES, PERIOD = 256, 1024
 SEED = 0x5DEECE66D
-#: Segments walked at once.
-LANES = 2048
+#: Characters walked at once (or one text), and the fewest texts walked side by side.
+CHARS, MIN_LANES = 1 << 22, 48
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -73,15 +72,51 @@ def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _steps(n_chars: int) -> int:
-    """Length of the embedding's step axis for a text."""
-    full, rest = divmod(n_chars, SEGMENT)
-    return full * STRIDE + (min(STRIDE, 2 * rest + 64) if rest else 0)
+@lru_cache(maxsize=1)
+def _waits_list() -> list[int]:
+    return _waits().tolist()
+
+
+def _classes(codes: np.ndarray) -> np.ndarray:
+    return ((codes * np.uint32(2654435761)) >> np.uint32(24)).astype(np.int32)
 
 
-def level_of(n_chars: int) -> int:
+def walks(codes: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each text, longest first, the step at which each of its characters is left."""
+    sizes = np.array([len(c) for c in codes], np.int64)
+    lanes = len(codes)
+    together = int(sizes[MIN_LANES]) if lanes > MIN_LANES else 0
+    # The characters of one step lie side by side; only texts that are that long have one.
+    active = np.searchsorted(-sizes, -np.arange(1, together + 1), "right")
+    first = np.concatenate([[0], np.cumsum(active)])
+    flat, left = np.zeros(first[-1], np.int32), np.zeros(first[-1], np.int64)
+    for k, c in enumerate(codes):
+        n = min(len(c), together)
+        flat[first[:n] + k] = _classes(c[:n])
+    waits, step = _waits(), np.zeros(lanes, np.int64)
+    at = first.tolist()
+    for i in range(together):
+        now = step[:at[i + 1] - at[i]]
+        now += waits[((now & (PERIOD - 1)) << 8) + flat[at[i]:at[i + 1]]]
+        left[at[i]:at[i + 1]] = now
+    table, last = _waits_list(), PERIOD - 1
+    for k, c in enumerate(codes):
+        n = min(len(c), together)
+        out = np.empty(len(c), np.int64)
+        out[:n] = left[first[:n] + k]
+        now = int(step[k])
+        for s in range(n, len(c), 1 << 16):
+            more = _classes(c[s:s + (1 << 16)]).tolist()
+            path = accumulate(more, lambda at, c: at + table[((at & last) << 8) + c], initial=now)
+            out[s:s + len(more)] = np.fromiter(path, np.int64, len(more) + 1)[1:]
+            now = int(out[s + len(more) - 1])
+        yield out
+
+
+def level_of(steps: int) -> int:
+    """The level at which a walk of so many steps has at most SAMPLES blocks."""
     level = 0
-    while -(-_steps(n_chars) >> level) > SAMPLES:
+    while -(-steps >> level) > SAMPLES:
         level += 1
     return level
 
@@ -98,66 +133,26 @@ def _positions(level: int, blocks: int) -> np.ndarray:
 def fingerprints(texts: list[str]) -> list[str]:
     """Fingerprints of texts: ``level:n_chars:digits``."""
     codes = [codes_of(t) for t in texts]
-    sizes = np.array([len(c) for c in codes], np.int64)
-    n_segments = -(-sizes // SEGMENT)
-    first = np.concatenate([[0], np.cumsum(n_segments)])
-    digits: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(texts)
-    wanted = []
-    for k, n in enumerate(sizes.tolist()):
-        level = level_of(n)
-        blocks = -(-_steps(n) >> level)
-        wanted.append((level, _positions(level, blocks)))
-        digits[k] = np.zeros(blocks, np.uint8)
-    waits = _waits()
-    k = 0
-    while k < len(texts):  # whole texts, about LANES segments at a time
-        end = k + 1
-        while end < len(texts) and first[end + 1] - first[k] <= LANES:
-            end += 1
-        lanes = int(first[end] - first[k])
-        if lanes:
-            flat = np.zeros(lanes * SEGMENT, np.uint32)
-            lengths = np.zeros(lanes, np.int64)
-            for d in range(k, end):
-                s = int(first[d] - first[k])
-                flat[s * SEGMENT:s * SEGMENT + sizes[d]] = codes[d]
-                lengths[s:s + n_segments[d]] = SEGMENT
-                if sizes[d] % SEGMENT:
-                    lengths[s + n_segments[d] - 1] = sizes[d] % SEGMENT
-            order = np.argsort(-lengths, kind="stable")
-            grid = np.ascontiguousarray(flat.reshape(lanes, SEGMENT)[order].T)
-            classes = ((grid * np.uint32(2654435761)) >> np.uint32(24)).astype(np.int32)
-            top = int(lengths.max())
-            left = np.full((top + 1, lanes), STRIDE, np.int32)
-            left[0] = 0
-            step = np.zeros(lanes, np.int32)
-            active = np.searchsorted(-lengths[order], -np.arange(1, top + 1), "right")
-            for i in range(top):
-                a = active[i]
-                now = step[:a]
-                now += waits[((now & (PERIOD - 1)) << 8) + classes[i, :a]]
-                left[i + 1, :a] = now
-            lane_of = np.empty(lanes, np.int64)
-            lane_of[order] = np.arange(lanes)
-            span = np.int64(2 * STRIDE)
-            flat_left = np.ascontiguousarray(left.T).astype(np.int64)
-            flat_left = np.minimum(flat_left, STRIDE) + np.arange(lanes, dtype=np.int64)[:, None] * span
-            flat_left = flat_left.ravel()
-            for d in range(k, end):
-                at = wanted[d][1]
-                if not len(at):
-                    continue
-                segment, local = at // STRIDE, at % STRIDE
-                known = segment < n_segments[d]
-                lane = lane_of[int(first[d] - first[k]) + np.where(known, segment, 0)]
-                char = np.searchsorted(flat_left, lane * span + local, "right") - 1 - lane * (top + 1)
-                known &= char < lengths[order][lane]
-                code = grid[np.where(known, char, 0), lane].astype(np.uint64)
-                value = (_mix((code << np.uint64(20)) ^ at.astype(np.uint64), 7) >> np.uint64(20)) % np.uint64(15) + np.uint64(1)
-                digits[d] = np.where(known, value, 0).astype(np.uint8)
-        k = end
+    out = ["0:0:"] * len(texts)
     hexed = np.frombuffer(b"0123456789abcdef", np.uint8)
-    return [f"{level}:{n}:{hexed[x].tobytes().decode()}" for (level, _), n, x in zip(wanted, sizes.tolist(), digits)]
+    order = sorted((k for k in range(len(texts)) if len(codes[k])), key=lambda k: -len(codes[k]))
+    s = 0
+    while s < len(order):
+        e, chars = s + 1, len(codes[order[s]])
+        while e < len(order) and chars + len(codes[order[e]]) <= CHARS:
+            chars += len(codes[order[e]])
+            e += 1
+        for k, left in zip(order[s:e], walks([codes[k] for k in order[s:e]])):
+            steps = int(left[-1])
+            level = level_of(steps)
+            at = _positions(level, -(-steps >> level))
+            char = np.searchsorted(left, at, "right")
+            known = char < len(left)
+            code = codes[k][np.where(known, char, 0)].astype(np.uint64)
+            value = (_mix((code << np.uint64(20)) ^ at.astype(np.uint64), 7) >> np.uint64(20)) % np.uint64(15) + np.uint64(1)
+            out[k] = f"{level}:{len(left)}:{hexed[np.where(known, value, 0).astype(np.uint8)].tobytes().decode()}"
+        s = e
+    return out
 
 
 def _at_level(digits: np.ndarray, level: int, to: int, blocks: int) -> np.ndarray:
