@@ -210,6 +210,38 @@ def test_edit_near_duplicates(docs):
     assert (11, 9) in got
 
 
+def test_edit_links_match_brute_force(spark, monkeypatch):
+    """Chains, copies, lengths on both sides of a level boundary, and blocks cut into cells."""
+    monkeypatch.setattr(editsketch, "CELL", 4)
+    rng = np.random.default_rng(6)
+    texts = []
+    for n in (40, 240, 250, 256, 300, 700, 1030):
+        t = "".join(rng.choice(list("abcdefghij "), n))
+        texts += [t, t]
+        for _ in range(8):  # each a few edits from the one before
+            for at in rng.integers(0, len(t), 2).tolist():
+                t = t[:at] + "xyz"[at % 3] * int(rng.integers(0, 3)) + t[at + int(rng.integers(0, 2)):]
+            texts.append(t)
+    ends = "".join(rng.choice(list("abcdefghij "), 560))
+    texts += [ends[:n] for n in (*range(220, 292, 6), *range(500, 560, 7))]
+    prints = editsketch.fingerprints(texts)
+    near = [[editsketch.likeness(a, b) for b in prints] for a in prints]
+    assert len({p.split(":")[0] for p in prints}) > 3
+    want, root = {}, list(range(len(texts)))
+    for i, row in enumerate(near):
+        for j, x in enumerate(row):
+            if x >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    for i, row in enumerate(near):
+        if links := [x for j, x in enumerate(row) if x >= 0.8 and j != i]:
+            want[i] = (root[i], max(links), len(links))
+    # Links across levels are among them.
+    assert any(near[i][j] >= 0.8 and prints[i][:2] != prints[j][:2] for i in range(len(texts)) for j in range(i))
+    got = editsketch.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["representative"], r["likeness"], r["n_links"]) for r in got} == want and len(got) == len(want)
+
+
 # --- 4: WARC
 
 def test_warc_round_trip(spark, empty):

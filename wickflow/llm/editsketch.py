@@ -10,8 +10,9 @@ walked side by side; the longest, once few are left, one after the other.
 The fingerprint samples the written string at shared steps: one step in each
 block of 2^level steps, chosen so that coarser samples are subsets of finer
 ones and texts of different length stay comparable. Each sample is one hex
-digit (0 past the end). ``near_duplicates`` bands sampled digits, joins on the
-bands and verifies candidates on whole fingerprints.
+digit (0 past the end). ``near_duplicates`` bands sampled digits at a
+fingerprint's own level and at coarser ones, ties what shares a band to blocks
+and verifies every pair of a block on whole fingerprints, large blocks in cells.
 
 Defined results: null text counts as empty, and two empty texts have likeness
 1; equal texts have equal fingerprints; repeated ids are ordered by their text;
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -31,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wickflow.llm.common import ship, text_of
+from wickflow.llm.common import materialise, ship, text_of
+from wickflow.llm.components import components
 from wickflow.llm.tokenfile import range_bounds, range_of
 
 #: Blocks of a fingerprint: more than half of this, up to this, once a text is long enough.
@@ -41,6 +44,8 @@ CLASSES, PERIOD = 256, 1024
 SEED = 0x5DEECE66D
 #: Characters walked at once (or one text), and the fewest texts walked side by side.
 CHARS, MIN_LANES = 1 << 22, 48
+#: Classes in a slice of a large block.
+CELL = 1024
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -168,7 +173,7 @@ def likeness(a: str, b: str) -> float:
         return 1.0
     (la, _, da), (lb, _, db) = (x.split(":") for x in (a, b))
     la, lb = int(la), int(lb)
-    xa, xb = (np.frombuffer(d.encode(), np.uint8) - 48 for d in (da, db))
+    xa, xb = (_digits(d) for d in (da, db))
     to = max(la, lb)
     blocks = max(len(xa) if la == to else -(-(len(xa) << la) >> to), len(xb) if lb == to else -(-(len(xb) << lb) >> to))
     if not blocks:
@@ -178,18 +183,45 @@ def likeness(a: str, b: str) -> float:
     return float((xa[used] == xb[used]).mean()) if used.any() else 1.0
 
 
-def band_keys(fingerprint: str, bands: int = 16, digits: int = 6) -> list[str]:
-    """Bit-sampled bands: each reads ``digits`` sampled blocks, chosen by a shared hash of band and level."""
-    level, _, body = fingerprint.split(":")
-    if not body:
-        return []
+def _digits(body: str) -> np.ndarray:
+    """The digits as numbers; 0 is past the end."""
+    return np.frombuffer(body.encode(), np.uint8) - 48
+
+
+@lru_cache(maxsize=256)
+def _picks(level: int, slots: int) -> np.ndarray:
+    """picks[blocks, slot]: the block of least shared hash. It stays the same for most other numbers of blocks,
+    so a slot of two fingerprints agrees at least as often as their digits do."""
+    at = np.arange(slots * SAMPLES, dtype=np.uint64).reshape(slots, SAMPLES)
+    ranks = _mix(at, 500 + level)
+    least = np.minimum.accumulate(ranks, axis=1)
+    best = np.maximum.accumulate(np.where(ranks == least, np.arange(SAMPLES), 0), axis=1)
+    return np.concatenate([np.zeros((1, slots), np.int64), best.T])
+
+
+def band_keys(fingerprint: str, bands: int = 16, digits: int = 6, coarser: int = 1) -> list[str]:
+    """Bit-sampled bands at a fingerprint's level and ``coarser`` ones: ``level.band.digits``.
+
+    Each band reads ``digits`` sampled blocks, chosen by a shared hash of band and
+    level among the blocks that have a digit.
+    """
+    own, _, body = fingerprint.split(":")
+    own, x = int(own), _digits(body)
     out = []
-    for k in range(bands):
-        at = _mix(np.arange(k * digits, (k + 1) * digits, dtype=np.uint64), 500 + int(level)) % np.uint64(SAMPLES)
-        out.append(f"{level}.{k}." + "".join(body[int(i) % len(body)] for i in at))
+    for level in range(own, own + coarser + 1):
+        y = x if level == own else _at_level(x, own, level, -(-len(x) >> (level - own)))
+        n = int(np.count_nonzero(y))
+        if n:
+            read = (y[_picks(level, bands * digits)[n]] + 48).astype(np.uint8).tobytes().decode("latin-1")
+            out += [f"{level}.{k}.{read[k * digits:(k + 1) * digits]}" for k in range(bands)]
     return out
 
 
+def shared_bands(a: str, b: str) -> int:
+    """Number of bands that two fingerprints share at any level."""
+    return len({x.split(".")[1] for x in set(band_keys(a)) & set(band_keys(b))})
+
+
 def edited_text(text: str, following: str) -> str:
     """The last third replaced by the first as many characters of the next text."""
     third = len(text) // 3
@@ -214,7 +246,7 @@ def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "edited_sha256": [hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in edited],
             "fingerprint": [own[i] for i in mine], "edited_fingerprint": changed,
             "near_edited": [likeness(own[i], c) for i, c in zip(mine, changed)], "near_next": [likeness(own[i], own[i + 1]) for i in mine],
-            "shared_bands": pa.array([len(set(band_keys(own[i])) & set(band_keys(c))) for i, c in zip(mine, changed)], pa.int64())})
+            "shared_bands": pa.array([shared_bands(own[i], c) for i, c in zip(mine, changed)], pa.int64())})
 
     part, chars = None, 0
     for b in batches:
@@ -278,22 +310,120 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 16, digits: int = 6) -> DataFrame:
-    """(doc_id, representative, likeness): documents whose fingerprint verifies against the
-    smallest id that shares a band with them; equal fingerprints are compared once."""
-    prints = fingerprint_table(docs).groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+def cell_links(prints: list[str], slice_of: np.ndarray, across: bool, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, partners j > i, likenesses) of all pairs at or above the threshold; ``across`` counts only pairs of different slices."""
+    parts = [p.split(":") for p in prints]
+    levels = np.array([int(p[0]) for p in parts])
+    at: dict[int, np.ndarray] = {}
+    for to in sorted(set(levels.tolist())):
+        at[to] = np.zeros((len(prints), SAMPLES), np.uint8)
+        for k in np.flatnonzero(levels <= to).tolist():
+            x, down = _digits(parts[k][2]), to - levels[k]
+            y = x if not down else _at_level(x, levels[k], to, -(-len(x) >> down))
+            at[to][k, :len(y)] = y
+    sizes = {to: np.count_nonzero(m, axis=1) for to, m in at.items()}
+    for i in range(len(prints) - 1):
+        after = np.arange(i + 1, len(prints))
+        if across:
+            after = after[slice_of[after] != slice_of[i]]
+        higher = np.maximum(levels[after], levels[i])
+        got = np.zeros(len(after))
+        for to in set(higher.tolist()):
+            here = np.flatnonzero(higher == to)
+            js, n = after[here], sizes[to]
+            # Lengths bound the likeness, so most unlike pairs aren't compared.
+            used = np.maximum(n[js], n[i])
+            close = np.minimum(n[js], n[i]) >= threshold * used
+            here, js, used = here[close], js[close], used[close]
+            same = (at[to][js, :n[i]] == at[to][i, :n[i]]).sum(axis=1)
+            got[here] = np.where(used > 0, same / np.maximum(used, 1), 1.0)
+        near = np.flatnonzero(got >= threshold)
+        if len(near):
+            yield i, after[near], got[near]
+
+
+def _verify(threshold: float):
+    """Rows sorted by cell; emits per class its links within the cell, the best likeness and its root there."""
+
+    def work(rows: list[tuple]) -> pa.RecordBatch | None:
+        copies = np.array([r[4] for r in rows], np.int64)
+        parent = np.arange(len(rows))
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        links, best = np.zeros(len(rows), np.int64), np.zeros(len(rows))
+        for i, near, got in cell_links([r[6] for r in rows], np.array([r[5] for r in rows]), rows[0][1] != rows[0][2], threshold):
+            links[i] += copies[near].sum()
+            links[near] += copies[i]
+            best[i] = max(best[i], got.max())
+            best[near] = np.maximum(best[near], got)
+            for j in near.tolist():
+                a, b = find(i), find(j)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+        met = np.flatnonzero(links)
+        if not len(met):
+            return None
+        return pa.RecordBatch.from_pydict({"node": pa.array([rows[k][3] for k in met], pa.int64()), "links": links[met], "best": best[met],
+                                           "root": pa.array([rows[find(k)][3] for k in met.tolist()], pa.int64())})
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "fingerprint": b.column("fingerprint"), "keys": [band_keys(f, bands, digits) for f in b.column("fingerprint").to_pylist()]})
+            for row in zip(*(b.column(c).to_pylist() for c in ("block", "cell_i", "cell_j", "node", "copies", "slice", "fingerprint"))):
+                if held and held[0][:3] != row[:3]:
+                    if (out := work(held)) is not None:
+                        yield out
+                    held = []
+                held.append(row)
+        if held and (out := work(held)) is not None:
+            yield out
 
-    banded = prints.mapInArrow(keys, "doc_id long, fingerprint string, keys array<string>").select("doc_id", "fingerprint", F.explode("keys").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min(F.struct("doc_id", "fingerprint")).alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "hub")
-    met = banded.join(hubs, "key").filter(F.col("doc_id") > F.col("hub.doc_id")).select("doc_id", "fingerprint", F.col("hub.doc_id").alias("representative"), F.col("hub.fingerprint").alias("other")).distinct()
+    return run
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [likeness(x, y) for x, y in zip(b.column("fingerprint").to_pylist(), b.column("other").to_pylist())]
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "representative": b.column("representative"), "likeness": pa.array(got, pa.float64())})
 
-    return met.mapInArrow(verify, "doc_id long, representative long, likeness double").filter(F.col("likeness") >= threshold)
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 31, digits: int = 6) -> DataFrame:
+    """(doc_id, representative, likeness, n_links) of every row that has a near duplicate, copies too.
+
+    ``representative`` is the smallest id of all that are linked with it, directly
+    or over others, ``n_links`` the number of other rows at or above the
+    threshold, and ``likeness`` the highest with any of them. A pair at 0.8
+    shares one of 31 bands of 6 digits with a probability of at least 0.9999.
+    """
+    spark = docs.sparkSession
+    coarser = max(1, math.ceil(-math.log2(threshold)))
+    prints = materialise(fingerprint_table(docs), "edit-prints")
+    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "edit-classes")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"node": b.column("node"), "keys": pa.array([band_keys(f, bands, digits, coarser) for f in b.column("fingerprint").to_pylist()], pa.list_(pa.string()))})
+
+    keyed = classes.select("node", "fingerprint").mapInArrow(keys, "node long, keys array<string>").select("node", F.explode("keys").alias("key"))
+    keyed = materialise(keyed.select("node", F.xxhash64("key").alias("key")), "edit-keys")
+    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "hub")
+    stars = keyed.join(hubs, "key").filter("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
+    blocks = components(stars, "edit-blocks").withColumnRenamed("root", "block")
+
+    wide = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("m")).withColumn("slices", F.ceil(F.col("m") / CELL).cast("int")).select("block", "slices")
+    member = blocks.join(wide, "block").join(classes, "node").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
+    # Every pair of slices is one cell; a class goes to the cells of its slice.
+    celled = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(
+        "block", F.least("slice", "other").alias("cell_i"), F.greatest("slice", "other").alias("cell_j"), "node", "copies", "slice", "fingerprint")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = celled.repartition(parts, "block", "cell_i", "cell_j").sortWithinPartitions("block", "cell_i", "cell_j", "node")
+    verified = materialise(dealt.mapInArrow(_verify(threshold), "node long, links long, best double, root long"), "edit-links")
+
+    linked = verified.groupBy("node").agg(F.sum("links").alias("links"), F.max("best").alias("best"))
+    joined = components(verified.filter("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v")), "edit-classes-of")
+    named = classes.join(linked, "node", "left").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = named.filter((F.col("copies") > 1) | F.col("links").isNotNull())
+    least = named.groupBy("root").agg(F.min("rep").alias("representative"))
+    full = named.join(least, "root").select("fingerprint", "representative", F.when(F.col("copies") > 1, F.lit(1.0)).otherwise(F.col("best")).alias("likeness"),
+                                            (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return prints.join(full, "fingerprint").select("doc_id", "representative", "likeness", "n_links")
