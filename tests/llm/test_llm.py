@@ -309,6 +309,13 @@ def test_encoder_equals_library(docs):
         assert enc.encode(t).tolist() == library_ids(t), t[:60]
 
 
+@pytest.mark.parametrize("c", "\x1c\x1d\x1e\x1f")
+def test_separators_are_tokens(c):
+    enc = encoder(default_tokenizer())
+    for t in (f"one{c}two", f"a {c} b", c, f"{c}{c} x\x85y"):
+        assert enc.encode(t).tolist() == library_ids(t) != enc.encode(t.replace(c, " ")).tolist()
+
+
 def test_best_fit():
     rng = np.random.default_rng(5)
     lengths = rng.integers(1, 100, 3000).tolist()

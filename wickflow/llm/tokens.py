@@ -4,7 +4,7 @@
 the known word-level byte BPE, texts are cut at white space (no token crosses
 it) and each distinct piece is encoded once by the library and remembered, for
 as long as the Python worker lives; the memory is bounded by ``MEMO`` entries.
-Other files go through the library as they are.
+Texts with U+001C to U+001F and other files go through the library as they are.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from wickflow.llm.common import single_threaded
 
 #: Most distinct pieces remembered by a Python worker; beyond that it starts anew.
 MEMO = 1_000_000
+#: White space for ``str.split`` but not for the tokenizer, which makes tokens of it.
+NO_SPACE = re.compile(r"[\x1c-\x1f]")
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -67,7 +69,7 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text, as unsigned 16 or 32 bit integers."""
-        if not self.by_word:
+        if not self.by_word or NO_SPACE.search(text):
             return np.frombuffer(self._library(text), self.dtype)
         pieces = text.split()
         memo = self.memo
