@@ -163,6 +163,15 @@ def test_repeated_rows_hold_the_taken_words(docs):
     assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
 
 
+def test_parts_keep_their_spacing(spark):
+    """What is repeated in part is the start of its text, line breaks and all."""
+    texts = {k: f" \n{k}\tfirst\n\n  second  third\r\nline" + "\n\tword  more" * (20 + k) + " \n" for k in range(6)}
+    rows = [(k, t, "ab"[k % 2]) for k, t in texts.items()]
+    out = mixing.repeat_rows(spark.createDataFrame(rows, "doc_id long, text string, source string"), budget_ratio=1.3).collect()
+    parts = [r for r in out if r["text"] != texts[r["doc_id"]]]
+    assert parts and all(texts[r["doc_id"]].startswith(r["text"]) and r["text"].rstrip() == r["text"] for r in parts)
+
+
 # --- 3: fingerprints
 
 def test_fingerprint_report(docs, empty):

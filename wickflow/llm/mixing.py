@@ -124,7 +124,7 @@ def repeat_rows(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget_
     """The mix itself: documents repeated as often as they are taken.
 
     A fractional repetition at a source's threshold is the document's first
-    words. Every row finds its own fate from its source's plan, so texts don't
+    words, spaced as they are there. Every row finds its own fate from its source's plan, so texts don't
     move as long as the sources are few enough to broadcast.
     """
     plan = source_plan(materialise(_keyed(docs, seed, "doc_id", "text", "source"), "mix-sizes"), weights, budget_ratio, max_epochs)
@@ -132,7 +132,8 @@ def repeat_rows(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget_
     met = join_dimension(_keyed(docs, seed, "doc_id", "text", "source", row), plan, ["key"]).select("row", "size", _taken().alias("taken"))
     wholes = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(0)
     part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0).cast("int")
-    head = F.array_join(F.slice(F.array_remove(F.split(F.col("row.text"), f"[{SPACE}]+"), ""), 1, part), " ")
+    # Cut after each word, so that every word keeps the space before it.
+    head = F.array_join(F.slice(F.split(F.col("row.text"), f"(?<=[^{SPACE}])(?=[{SPACE}])"), 1, part), "")
     versions = F.concat(F.array_repeat(F.lit(False), wholes.cast("int")), F.when(part > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
     out = met.withColumn("head", F.when(part > 0, head)).select("row", "head", F.explode(versions).alias("cut"))
     made = {"text": F.when(F.col("cut"), F.col("head")).otherwise(F.col("row.text"))}
