@@ -544,3 +544,37 @@ def test_signatures_are_gated_and_match(spark):
     got = {r["doc_id"]: r["labels"] for r in licenses.license_scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert got == {0: "gpl-3", 1: "bsd-3-clause", 2: "cc-by-nc,cc-by-nc-4", 3: "bsl-1", 4: "mit", 5: "mpl-2", 6: "", 7: "", 8: got[8], 9: "isc"}
     assert "cc-by-sa" in got[8]
+
+
+def expansions(parsed):
+    """All texts that a signature expression stands for, one optional part at a time there or not."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "IN":
+            more = [chr(a) for _, a in arg]
+        elif name == "BRANCH":
+            more = [x for p in arg[1] for x in expansions(p)]
+        elif name == "SUBPATTERN":
+            more = expansions(arg[3])
+        else:
+            assert name == "MAX_REPEAT" and arg[:2] == (0, 1)
+            more = ["", *expansions(arg[2])]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_every_alternative_passes_its_keyword():
+    grant = licenses._GRANT
+    for label, keyword, body, _ in licenses.signatures():
+        rest = body.removeprefix(grant)
+        assert all(keyword in x for x in expansions(re._parser.parse(rest))), (label, body)
+
+
+@pytest.mark.parametrize(("text", "label"), [("released under the Expat license", "mit"), ("licensed under GPLv3", "gpl-3"), ("Licensed under the LGPLv2.1 or later", "lgpl-2.1"),
+                                             ("released under GPL v3", "gpl-3"), ("distributed under Apache2", "apache-2")])
+def test_joined_versions_and_expat(spark, text, label):
+    row = licenses.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert any(label in str(v).split(",") for v in row.asDict().values()), row

@@ -28,7 +28,8 @@ BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apa
 #: Fixed values: (label, keyword, name expression over normalised words, versions).
 #: A version V stands for "version V", "v V", "vV" or "V" after the name.
 FAMILIES = (
-    ("mit", "mit", r"(?:mit|expat)(?: x11)?", ()),
+    ("mit", "mit", r"mit(?: x11)?", ()),
+    ("mit", "expat", r"expat(?: x11)?", ()),
     ("apache", "apache", r"apache(?: software)?(?: foundation)?", ("1 0", "1 1", "2 0", "2")),
     ("gpl", "general public", r"(?:gnu )?general public", ("1", "2", "3", "2 0", "3 0")),
     ("gpl", "gpl", r"(?:gnu )?gpl", ("1", "2", "3", "2 0", "3 0")),
@@ -105,9 +106,9 @@ def signatures() -> list[tuple[str, str, str, float]]:
         body = f"(?:{name})"
         for v in versions:
             forms = rf"(?:public )?(?:licen[sc]e )?(?:version |v ?)?{v}"
-            exact.append((f"{label}-{v.replace(' ', '.').removesuffix('.0')}", keyword, rf"{_GRANT}{body} {forms}", 1.0))
-            named.append((f"{label}-{v.replace(' ', '.').removesuffix('.0')}", keyword, rf"{body}{_LICENSE} (?:version |v ?)?{v}", 0.9))
-            spdx.append((f"{label}-{v.replace(' ', '.').removesuffix('.0')}", keyword, rf"spdx license identifier {body} {v}(?: only| or later)?", 1.0))
+            exact.append((f"{label}-{v.replace(' ', '.').removesuffix('.0')}", keyword, rf"{_GRANT}{body} ?{forms}", 1.0))
+            named.append((f"{label}-{v.replace(' ', '.').removesuffix('.0')}", keyword, rf"{body}{_LICENSE} ?(?:version |v ?)?{v}", 0.9))
+            spdx.append((f"{label}-{v.replace(' ', '.').removesuffix('.0')}", keyword, rf"spdx license identifier {body} ?(?:version |v ?)?{v}(?: only| or later)?", 1.0))
         exact.append((label, keyword, rf"{_GRANT}{body}(?:{_LICENSE})?", 0.9))
         spdx.append((label, keyword, rf"spdx license identifier {body}", 1.0))
         loose.append((label, keyword, rf"{body}(?: public)?{_LICENSE}", 0.7))
