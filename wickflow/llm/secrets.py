@@ -1,7 +1,8 @@
 """Secret scans by assignment-aware lexing.
 
 Each text is lexed into name-literal pairs: configuration lines, source
-assignments, object entries and keyword arguments. Constants propagate
+assignments, object entries, keyword arguments, comparisons, calls with a name
+and a default, and markup. Constants propagate
 (``A = "..."`` then ``password = A``; adjacent and ``+``-joined literals), and a
 literal's score combines how sensitive its target name is with how secret-like
 the joined literal is. Each part of a literal at or above the threshold becomes
@@ -20,6 +21,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,52 +44,82 @@ SENSITIVE = {
     "credential": 0.9, "credentials": 0.9, "privatekey": 1.0, "accesskey": 1.0, "secretkey": 1.0, "signingkey": 1.0,
     "encryptionkey": 1.0, "authkey": 0.9, "bearer": 0.8, "auth": 0.6, "pin": 0.4, "key": 0.4, "salt": 0.5, "cookie": 0.5,
 }
-_PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s|none|null|true|false|todo|tbd|changeme|change_me|example.*|your[_-]?.*|placeholder.*|dummy.*|sample.*)$", re.I)
-
-_TOKEN = re.compile(
-    r"""(?P<comment>(?:^|(?<=\s))(?:\#|//)[^\n]*)
-      | (?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)
-      | (?P<assign>:=|=>|->|\+=|==|!=|<=|>=|[=:])
+#: Names that end so hold a measure, a place or a label, not the secret itself.
+BENIGN = frozenset("count counts length len size limit ttl expiry expires timeout type name names url uri path file filename field header index max min regex pattern prefix suffix label hint prompt policy".split())
+#: Words of names whose secrets may be digits alone.
+DIGITS = frozenset("pin otp passcode password passwd pwd passphrase".split())
+#: Texts without any of these hold no sensitive name.
+_SENSITIVE_PART = re.compile("pass|pwd|secret|token|key|credential|bearer|auth|pin|salt|cookie", re.I)
+_PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|<.*>|\$\w+|\$?\{.*\}|\$\(.*\)|%\(.*\)s|%\w+%|none|null|true|false|todo|tbd|changeme|change_me|example.*|your[_-]?.*|placeholder.*|dummy.*|sample.*|(?:os\.)?(?:process\.)?env(?:iron)?[.:].*)$", re.I)
+#: Names written as values: ``session-token``, ``ACCESS_TOKEN``.
+_IDENTIFIER = re.compile(r"[a-z]+(?:[-_. /][a-z]+)*|[A-Z]+(?:_[A-Z]+)*")
+_URL = re.compile(r"[A-Za-z][\w+.-]*://[^/@]*(?:/|$)")
+
+_LEX = re.compile(
+    r"""(?P<comment>(?:^|(?<=\s))(?:\#|//))
+      | (?P<quote>(?<![\w$])[rRbBuUfFL]{1,2}(?:\"\"\"|\'\'\'|["'])|\"\"\"|\'\'\'|["`]|(?<!\w)')
+      | (?P<assign>:=|=>|->|\+=|===|!==|==|!=|<=|>=|[=:])
       | (?P<name>[A-Za-z_$][\w$]*(?:(?:\.|->|::|-(?=[A-Za-z]))[A-Za-z_$][\w$]*)*)
       | (?P<number>\d[\w.]*)
       | (?P<plus>\+|\.\.)
       | (?P<newline>\n)
       | (?P<other>[^\s])""",
-    re.X,
+    re.X | re.M,
 )
-#: A whole configuration line with a bare value.
-_BARE_LINE = re.compile(r"^[ \t]*(?:export[ \t]+|set[ \t]+|-[ \t]+)?([A-Za-z_][\w.-]*)[ \t]*[=:][ \t]*([^\s\"'#;,(){}\[\]]{6,})[ \t]*(?:[#;][^\n]*)?$", re.M)
-#: Lines that hold an operator at all.
-_CANDIDATE = re.compile(r"^[^\n=:]*[=:][^\n]*", re.M)
+#: What may follow an opening quote, up to where the closing one must stand.
+_BODY = {
+    '"': re.compile(r'(?:[^"\\\n]++|\\[\s\S])*+'), "'": re.compile(r"(?:[^'\\\n]++|\\[\s\S])*+"), "`": re.compile(r"[^`]*+"),
+    '"""': re.compile(r'(?:[^"\\]++|\\[\s\S]|"(?!""))*+'), "\'\'\'": re.compile(r"(?:[^'\\]++|\\[\s\S]|'(?!''))*+"),
+}
+#: A whole configuration line with a bare value; ``#`` and ``;`` end it only after a space.
+_BARE_LINE = re.compile(r"^[ \t]*(?:export[ \t]+|set[ \t]+|-[ \t]+)?([A-Za-z_][\w.-]*)[ \t]*[=:][ \t]*([^\s\"'(){}\[\]]{5,}[^\s\"'(){}\[\];,])[;,]?[ \t]*(?:[#;][^\n]*)?$", re.M)
+#: An element or tag of markup, up to its text.
+_TAG = re.compile(r"<([A-Za-z_][\w.:-]*)[^<>]*+>([^<>\s]{6,})?(</\1\s*>)?")
+_ATTRIBUTE = re.compile(r"([\w.:-]+)\s*=\s*(?:\"([^\"<>]*)\"|'([^'<>]*)')")
+#: Places where a name-literal pair may stand: an operator, or a literal first in a call.
+_TRIGGER = re.compile(r"[=:]|\([ \t]*[\"']|\.equals")
 #: A type between a colon and ``=``: ``str``, ``Option<&'static str>``, ``string | null``.
 _TYPE_ARGS = r"[^\n=\"`<>\[\]]{0,200}"
 for _ in range(3):  # nested brackets, each read one way only
     _TYPE_ARGS = rf"(?:[^\n=\"`<>\[\]]|[<\[]{_TYPE_ARGS}[>\]]){{0,200}}"
 _TYPE_NAME = rf"(?:[&*]|'\w+[ \t]+|(?:mut|const|dyn|readonly)[ \t]+)*([A-Za-z_$][\w$]*(?:(?:\.|::)[A-Za-z_$][\w$]*)*)(?:[<\[]{_TYPE_ARGS}[>\]])*[?!]*"
 _TYPED = re.compile(rf"[ \t]*{_TYPE_NAME}(?:[ \t]*\|[ \t]*{_TYPE_NAME})*[ \t]*=(?![=>])")
+_NEXT_JOINS = re.compile(r"[ \t]*(?:\+(?![+=])|\.\.)")
 #: Words that may stand between a name and its ``=`` (lower case), that open a declaration, or whose colon opens a block.
 _TYPES = frozenset("str string char wchar varchar varchar2 nvarchar text bytes bytestring byte rune any object int long number as array slice".split())
 _DECLARES = frozenset("var let val dim declare const".split())
 _BLOCKS = frozenset("if elif else case while for with try default except when".split())
+#: Last words of calls whose first two literals are a name and its value (or its default).
+_CALLS = frozenset("get getenv getordefault get_or_default setdefault set put setproperty getproperty setenv putenv env environ add append header setheader config param option define".split())
 THRESHOLD = 0.6
+#: A joined constant is propagated up to this many characters; its parts are still scored where they are assigned.
+MAX_JOINED = 4096
 
 
+@lru_cache(maxsize=100_000)
 def name_score(name: str) -> float:
-    """How sensitive a target name is: its best word, words joined pairwise too."""
+    """How sensitive a target name is: its best word, words joined pairwise too; 0 for measures, places and labels."""
     words = [w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", name)]
+    if not words or words[-1] in BENIGN:
+        return 0.0
     joined = words + [a + b for a, b in zip(words, words[1:])]
     return max((SENSITIVE.get(w, 0.0) for w in joined), default=0.0)
 
 
-def literal_score(value: str) -> float:
-    """How secret-like a literal is: length, variety of classes and entropy; prose and placeholders score 0."""
-    if len(value) < 6 or _PLACEHOLDER.match(value) or any(c.isspace() for c in value):
+def literal_score(value: str, name: str = "") -> float:
+    """How secret-like a literal is: length, variety of classes and entropy; prose, placeholders, plain URLs and names score low."""
+    if value.lstrip().startswith("-----BEGIN") and "PRIVATE KEY" in value[:80]:
+        return 1.0
+    value = value.strip()
+    if len(value) < 6 or _PLACEHOLDER.match(value) or any(c.isspace() for c in value) or _URL.match(value):
         return 0.0
+    if value.isdigit() and not DIGITS & {w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", name)}:
+        return 0.3
+    if len(value) < 24 and _IDENTIFIER.fullmatch(value):
+        return 0.5
     counts = Counter(value)
     entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
     classes = sum(map(bool, (re.search(p, value) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))))
-    if classes == 1 and not value.isdigit() and len(value) < 16 and entropy < 3.0:
-        return 0.5
     return min(1.0, 0.35 + 0.03 * min(len(value), 12) + 0.1 * (classes - 1) + 0.05 * min(entropy, 4.0))
 
 
@@ -98,84 +130,174 @@ def _declared(names: list[str]) -> list[str]:
     return names[-1:]
 
 
-def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
-    """(name, joined literal, spans of its parts) of assignments in a text, constants propagated.
-
-    Parts stand where they were written: that of a constant is its definition.
-    """
-    constants: dict[str, tuple[str, list[tuple[int, int]]]] = {}
-    for line in _CANDIDATE.finditer(text):
-        base, whole = line.start(), line.group()
+Pair = tuple[str, str, list[tuple[int, int]]]
+
+
+class _Lexer:
+    """One pass over a text from one place with an operator to the next."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.found = text, []
+        #: Constants seen so far: value and the places of its parts.
+        self.constants: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+        #: Up to where an opening quote of this kind is known to have no closing one.
+        self.dead = dict.fromkeys(_BODY, 0)
+
+    def run(self) -> list[Pair]:
+        at = 0
+        while (t := _TRIGGER.search(self.text, at)) is not None:
+            at = self._statement(self.text.rfind("\n", at, t.start()) + 1 or at)
+        return self.found
+
+    def _string(self, quote: str, at: int) -> int | None:
+        """The end of a literal's body that starts at ``at``; None if it never closes."""
+        if at < self.dead[quote]:
+            return None
+        end = _BODY[quote].match(self.text, at).end()
+        if not self.text.startswith(quote, end):
+            # A later quote of this kind would be an escaped one and never close either.
+            self.dead[quote] = end
+            return None
+        return end
+
+    def _flush(self) -> None:
+        if self.targets and self.value:
+            # The most sensitive name; of equals the last.
+            name, joined = max(reversed(self.targets), key=name_score), "".join(v for v, _ in self.value)
+            parts = [x for _, spans in self.value for x in spans]
+            self.found.append((name, joined, parts))
+            if not self.compared and len(joined) <= MAX_JOINED:
+                for n in self.targets:
+                    self.constants[n] = self.constants[n.rsplit(".", 1)[-1]] = joined, parts
+        self.targets, self.value, self.joining, self.compared, self.fresh = [], [], False, False, False
+
+    def _statement(self, at: int) -> int:
+        """Lex from a line's start until a line end at which nothing is open; the place after it."""
+        text, size = self.text, len(self.text)
         #: The run of names that ends here, and those that the open assignment may mean.
         names: list[str] = []
-        targets: list[str] = []
-        value: list[tuple[str, list[tuple[int, int]]]] = []
-        joining = closed = False
-
-        def flush():
-            nonlocal targets, value, joining
-            found = None
-            if targets and value:
-                # The most sensitive name; of equals the last.
-                found = (max(reversed(targets), key=name_score), "".join(v for v, _ in value), [x for _, spans in value for x in spans])
-                for n in targets:
-                    constants[n] = constants[n.rsplit(".", 1)[-1]] = found[1:]
-            targets, value, joining = [], [], False
-            return found
-
-        tokens = _TOKEN.finditer(whole)
+        self.targets, self.value = [], []
+        self.joining = self.compared = self.fresh = closed = False
+        depth, called, first = 0, "", None
+        tokens = _LEX.finditer(text, at)
         while (t := next(tokens, None)) is not None:
-            kind, s, e = t.lastgroup, base + t.start(), base + t.end()
-            if kind == "comment":
-                break
-            if kind == "string":
-                body = t.group()[1:-1]
-                if targets:
-                    value.append((body, [(s + 1, e - 1)]))
-                    joining = False
+            kind, word = t.lastgroup, t.group()
+            if kind == "newline":
+                more = text[t.end():t.end() + 1] not in ("", "\n") and self.targets and (
+                    self.fresh if not self.value else self.joining or depth > 0 or _NEXT_JOINS.match(text, t.end()))
+                if not more:
+                    self._flush()
+                    return t.end()
+                continue
+            if kind == "quote":
+                quote = word.lstrip("rRbBuUfFL")
+                end = self._string(quote, t.end())
+                if end is None:
+                    names, self.fresh = [], False
+                    continue
+                tokens = _LEX.finditer(text, end + len(quote))
+                body = text[t.end():end]
+                if self.targets:
+                    lead = len(body) - len(body.lstrip()) if len(quote) == 3 else 0
+                    tail = len(body) - len(body.rstrip()) if len(quote) == 3 else 0
+                    self.value.append((body[lead:len(body) - tail], [(t.end() + lead, end - tail)] if lead + tail < len(body) else []))
+                    self.joining = False
                 else:
                     names, closed = [body] if re.fullmatch(r"[A-Za-z_][\w.-]*", body) else [], False
-            elif kind == "assign" and t.group() in ("=", ":", ":=", "=>", "+="):
-                if names and not (closed and t.group() == ":"):
-                    if (found := flush()) is not None:
-                        yield found
-                    targets = _declared(names)
-                    if t.group() == ":" and names[0].lower() not in _BLOCKS and (typed := _TYPED.match(whole, t.end())):
-                        targets += [n for n in (typed.group(1),) if n.lower() not in _TYPES]
-                        tokens = _TOKEN.finditer(whole, typed.end())
+                    first = body if called and names else None
+                    called = ""
+            elif kind == "assign" and word in ("=", ":", ":=", "=>", "+=", "==", "===", "!=", "!=="):
+                if names and not (closed and word == ":"):
+                    self._flush()
+                    self.targets, self.fresh, self.compared = _declared(names), True, word in ("==", "===", "!=", "!==")
+                    if word == ":" and names[0].lower() not in _BLOCKS and (typed := _TYPED.match(text, t.end())):
+                        self.targets += [n for n in (typed.group(1),) if n.lower() not in _TYPES]
+                        tokens = _LEX.finditer(text, typed.end())
                     names = []
+                first = None
             elif kind == "name":
-                if targets and (not value or joining) and t.group() in constants:
-                    value.append(constants[t.group()])
-                    joining = False
+                if self.targets and (not self.value or self.joining) and word in self.constants:
+                    self.value.append(self.constants[word])
+                    self.joining = False
                 else:
-                    if value and (found := flush()) is not None:
-                        yield found
-                    names, closed = [*names[-7:], t.group()], False
+                    if self.value:
+                        self._flush()
+                    names, closed, self.fresh = [*names[-7:], word], False, False
+                first, called = None, ""
             elif kind == "plus":
-                joining = True
-            elif kind == "other" and t.group() in ",;)}":
-                if (found := flush()) is not None:
-                    yield found
+                self.joining = True
+            elif kind == "comment" or kind == "other" and word in ",;)}":
+                self._flush()
+                if word == "," and first is not None:
+                    # The second literal of a call belongs to the first one's name.
+                    self.targets, self.compared = [first], True
+                depth -= word in ")}"
                 # A closed index or call may be assigned to.
-                closed = t.group() == ")"
+                closed = word == ")"
                 names = names if closed else []
-            elif kind == "other" and t.group() in "([{":
-                targets = [] if t.group() == "{" else targets
-                names = [] if t.group() != "[" and not (names and names[-1].lower() in _TYPES) else names
-        if (found := flush()) is not None:
-            yield found
+                first, called = None, ""
+            elif kind == "other" and word in "([{":
+                last = names[-1] if names else ""
+                called = last.rsplit(".", 1)[-1].lower() in _CALLS if word == "(" else ""
+                depth += word != "["
+                if word == "(" and last.endswith(".equals"):
+                    self._flush()
+                    self.targets, self.compared = [last.removesuffix(".equals")], True
+                else:
+                    self.targets = [] if word == "{" else self.targets
+                names = [] if word != "[" and not (names and names[-1].lower() in _TYPES) else names
+            else:
+                self.fresh = self.fresh and kind == "other" and word == "-"
+                first = None
+        self._flush()
+        return size
+
+
+def _markup(text: str) -> Iterator[Pair]:
+    """Elements and name-value attributes of markup."""
+    for m in _TAG.finditer(text):
+        if m.group(2) and m.group(3):
+            yield m.group(1), m.group(2), [m.span(2)]
+        end = m.start(2) if m.group(2) else m.end()
+        if "=" not in text[m.start():end]:
+            continue
+        found = {a.group(1).lower(): a for a in _ATTRIBUTE.finditer(text, m.start(), end)}
+        named, valued = found.get("name") or found.get("key"), found.get("value") or found.get("content")
+        if named:
+            name = named.group(2) or named.group(3) or ""
+            if valued:
+                g = 2 if valued.group(2) is not None else 3
+                yield name, valued.group(g), [valued.span(g)]
+            elif m.group(2):
+                yield name, m.group(2), [m.span(2)]
+
+
+def pairs(text: str) -> list[Pair]:
+    """(name, joined literal, spans of its parts) of assignments in a text, constants propagated.
+
+    Read are assignments, object entries, keyword arguments, comparisons with a
+    literal, calls such as ``get("name", "default")``, whole configuration lines
+    with a bare value and markup. Literals may be joined, triple-quoted or stand
+    on the next line. Parts stand where they were written: that of a constant is
+    its definition. The time is in proportion to the text's length.
+    """
+    found = _Lexer(text).run()
     for m in _BARE_LINE.finditer(text):
-        yield m.group(1), m.group(2), [m.span(2)]
+        # A bare word or path of names is a reference rather than a literal.
+        if re.search(r"[0-9]|[^\w.-]", m.group(2)):
+            found.append((m.group(1), m.group(2), [m.span(2)]))
+    if "</" in text or "/>" in text:
+        found += _markup(text)
+    return found
 
 
 def named_spans(text: str) -> list[tuple[int, int]]:
-    if "=" not in text and ":" not in text:
+    if not _SENSITIVE_PART.search(text):
         return []
     found = set()
     for name, value, parts in pairs(text):
         n = name_score(name)
-        if n and n * literal_score(value) >= THRESHOLD:
+        if n and n * literal_score(value, name) >= THRESHOLD:
             found.update((start, end) for start, end in parts if start < end)
     return sorted(found)
 
@@ -226,7 +348,11 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """The documents with their secrets masked; texts without any stay as they are."""
+    """The documents with their secrets masked; nothing else of a text changes.
+
+    Null and empty texts and texts without secrets stay as they are; ``n_chars``
+    follows a changed text; every row keeps one row, and an empty table stays empty.
+    """
     ship(docs.sparkSession)
     schema, names = docs.schema, docs.columns
     sized = "n_chars" in names
