@@ -10,7 +10,7 @@ import pytest
 import rowwise as R
 from pyspark.sql import functions as F
 
-from wickflow import registry
+from wickflow import registry, scratch
 from wickflow.operators import memory, risk, store
 from wickflow.operators.signals import enrich, evaluate
 from wickflow.schemas import CANDLE, DAY_MS, HOUR_MS
@@ -135,3 +135,33 @@ def test_positions_stream(spark, tmp_path):
     q.awaitTermination()
     got = [(r["ts"], r["event"], r["reason"]) for r in spark.sql("SELECT * FROM positions ORDER BY ts").collect()]
     assert got == [(1, "open", None), (3, "close", "take_profit")]
+
+
+class _Cluster:
+    """A session of a cluster without a shared folder."""
+
+    class sparkContext:
+        applicationId, master = "app-1", "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class conf:
+        get = staticmethod(lambda key, default=None: default)
+
+
+def test_scratch_needs_a_shared_folder():
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.scratch_uri(_Cluster, "x")
+
+
+def test_scratch_honours_the_contexts_checkpoint_folder(monkeypatch):
+    monkeypatch.setattr(_Cluster.sparkContext, "getCheckpointDir", staticmethod(lambda: "file:/shared/x/"))
+    assert scratch.scratch_root(_Cluster) == "file:///shared/x/wickflow-app-1"
+
+
+def test_scratch_is_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "scratch_root", lambda _: f"file://{tmp_path}/own")
+    df = scratch.materialise(spark.range(3), "t")
+    assert df.count() == 3 and list((tmp_path / "own").iterdir())
+    scratch.remove_scratch(spark)
+    assert not list((tmp_path / "own").iterdir())
+    scratch.remove_scratch(spark)

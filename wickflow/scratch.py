@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -29,15 +31,33 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def scratch_uri(spark: SparkSession, name: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder under ``spark.checkpoint.dir``, or under the context's checkpoint folder.
+
+    Only a local master may do without either: a temporary folder of one machine
+    would scatter the tables of a cluster over its executors' disks.
+    """
     app = spark.sparkContext.applicationId
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own.get(app)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _own.get(app)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="wickflow-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         base = _own[app] = f"file://{folder}"
-    return f"{base.rstrip('/')}/wickflow-{app}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{re.sub('^file:/(?!/)', 'file:///', base.rstrip('/'))}/wickflow-{app}"
+
+
+def scratch_uri(spark: SparkSession, name: str) -> str:
+    """A fresh path in this application's folder."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete this application's tables; results that still read them end with it."""
+    fs, path = pafs.FileSystem.from_uri(scratch_root(spark))
+    if fs.get_file_info(path).type != pafs.FileType.NotFound:
+        fs.delete_dir(path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
