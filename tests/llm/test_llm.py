@@ -1,6 +1,9 @@
 """Training-data operators against brute force on small fixtures and edge cases."""
 
+import base64
+import glob
 import hashlib
+import io
 import re
 import time
 import zlib
@@ -303,7 +306,6 @@ def test_warc_round_trip(spark, empty):
     first = {}
     for k, _, h, _ in sorted((r for r in rows if r[0] is not None)):
         first.setdefault(h or "", k)
-    import base64
     for k, _, h, _ in rows:
         b = (h or "").encode()
         f = first.get(h or "")
@@ -312,7 +314,30 @@ def test_warc_round_trip(spark, empty):
     assert sorted(map(tuple, got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=repr) == sorted(want, key=repr)
     payloads = {r["page_id"]: bytes(r["payload"]) for r in warc.resolved_payloads(got).collect()}
     assert payloads == {k: (h or "").encode() for k, _, h, _ in rows}
-    assert warc.warc_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    none = warc.warc_round_trip(spark.createDataFrame([], "page_id long, url string, html string"))
+    assert none.count() == 0 and none.dtypes == warc.warc_round_trip(pages.drop("payload_digest")).dtypes
+    for name in glob.glob(uri.removeprefix("file://") + "/*.warc.gz"):
+        with open(name, "rb") as f:
+            records = list(warc.parse_archive(f, 7))
+        assert records[0][0]["WARC-Type"] == "warcinfo" and records[0][0]["WARC-Filename"] == name.rsplit("/", 1)[1]
+        for head, block in records:
+            assert head["WARC-Date"] > "2020" and head["WARC-Block-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode() and int(head["Content-Length"]) == len(block)
+            assert head["WARC-Type"] == "warcinfo" or warc.payload_of(block)[0] >= len(warc.payload_of(block)[1])
+
+
+def test_archives_are_read_in_linear_time():
+    rng = np.random.default_rng(3)
+    one = b"".join(warc._record(k, "u", rng.bytes(1000), "d", "response", None, "2024-01-01T00:00:00Z") for k in range(1000))
+
+    def took(n):
+        began = time.monotonic()
+        assert sum(1 for _ in warc.parse_archive(io.BytesIO(one * n))) == 1000 * n
+        return time.monotonic() - began
+
+    took(1)
+    assert took(80) < 30 * took(8)  # 80 MB against 8 MB
+    with pytest.raises(ValueError, match="ends within"):
+        list(warc.parse_archive(io.BytesIO(one[:-5])))
 
 
 def test_warc_min_bytes(spark):

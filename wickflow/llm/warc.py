@@ -20,6 +20,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -58,53 +59,80 @@ def resolve(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
                       F.when(revisit, F.col("first_id")).alias("refers_to"))
 
 
-def _record(page_id, url, payload: bytes, digest: str, kind: str, refers_to) -> bytes:
-    name = "null" if page_id is None else page_id
-    fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{name}>"), ("WARC-Date", "1970-01-01T00:00:00Z"),
-              ("WARC-Target-URI", (url or "").replace("\r", "%0D").replace("\n", "%0A")), ("WARC-Payload-Digest", f"sha1:{digest}"),
-              ("WARC-Payload-Length", str(len(payload)))]
-    body = payload
-    if kind == "revisit":
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
-        body = b""
-    fields += [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(body)))]
+def _http_head(size: int) -> bytes:
+    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+
+
+def _member(fields: list[tuple[str, str]], block: bytes) -> bytes:
+    """One record as a gzip member, its length and digest made for this block."""
+    fields = [*fields, ("WARC-Block-Digest", f"sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}"), ("Content-Length", str(len(block)))]
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
     pack = zlib.compressobj(6, zlib.DEFLATED, 31)
-    return pack.compress(head.encode() + body + b"\r\n\r\n") + pack.flush()
+    return pack.compress(head.encode()) + pack.compress(block) + pack.compress(b"\r\n\r\n") + pack.flush()
+
+
+def _info(name: str, date: str) -> bytes:
+    block = b"software: wickflow\r\nformat: WARC File Format 1.1\r\n"
+    return _member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:file:{name}>"), ("WARC-Date", date), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], block)
 
 
-def _writer(uri: str):
+def _record(page_id, url, payload: bytes, digest: str, kind: str, refers_to, date: str) -> bytes:
+    """A response with its HTTP message, or a revisit with the message's head alone."""
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{'null' if page_id is None else page_id}>"), ("WARC-Date", date),
+              ("WARC-Target-URI", (url or "").replace("\r", "%0D").replace("\n", "%0A")), ("WARC-Payload-Digest", f"sha1:{digest}"),
+              ("Content-Type", "application/http; msgtype=response")]
+    block = _http_head(len(payload))
+    if kind == "revisit":
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{'null' if refers_to is None else refers_to}>"),
+                   ("WARC-Refers-To-Date", date)]
+    else:
+        block += payload
+    return _member(fields, block)
+
+
+def _writer(uri: str, date: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         fs, root = pafs.FileSystem.from_uri(uri)
+        name = f"part-{TaskContext.get().partitionId():06d}.warc.gz"
         out = tmp = None
         n = 0
         # Rows come sorted by id, so a retried task writes the same bytes under the same name.
         for b in batches:
-            for row in b.to_pylist():
+            for row in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "payload_digest", "record_type", "refers_to"))):
                 if out is None:
                     fs.create_dir(root, recursive=True)
                     tmp = f"{root}/_{uuid.uuid4().hex}"
                     out = fs.open_output_stream(tmp, compression=None)
-                out.write(_record(row["page_id"], row["url"], row["payload"], row["payload_digest"], row["record_type"], row["refers_to"]))
+                    out.write(_info(name, date))
+                out.write(_record(*row, date))
                 n += 1
         if out is not None:
             out.close()
-            name = f"{root}/part-{TaskContext.get().partitionId():06d}.warc.gz"
-            fs.move(tmp, name)
-            yield pa.RecordBatch.from_pydict({"file": [os.path.basename(name)], "records": pa.array([n], pa.int64())})
+            fs.move(tmp, f"{root}/{name}")
+            yield pa.RecordBatch.from_pydict({"file": [name], "records": pa.array([n], pa.int64())})
 
     return write
 
 
-def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of an archive of gzip members."""
-    view = memoryview(data)
-    while len(view):
-        unpack = zlib.decompressobj(31)
-        record = unpack.decompress(view) + unpack.flush()
-        view = view[len(view) - len(unpack.unused_data):]
+def parse_archive(stream, chunk: int = 1 << 16) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record of an archive of gzip members, read from a file object in chunks.
+
+    Held are one record and one chunk, so the time is in proportion to the archive's length.
+    """
+    data = stream.read(chunk)
+    while data:
+        unpack, parts = zlib.decompressobj(31), []
+        while True:
+            parts.append(unpack.decompress(data))
+            if unpack.eof:
+                data = unpack.unused_data or stream.read(chunk)
+                break
+            data = stream.read(chunk)
+            if not data:
+                raise ValueError("the archive ends within a record")
+        record = b"".join(parts)
         end = record.index(b"\r\n\r\n")
         lines = record[:end].decode().split("\r\n")
         head = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
@@ -112,12 +140,19 @@ def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield head, record[start:start + int(head["Content-Length"])]
 
 
+def payload_of(block: bytes) -> tuple[int, bytes]:
+    """(payload length by its HTTP head, payload) of a response's or revisit's block."""
+    end = block.index(b"\r\n\r\n") + 4
+    fields = dict(x.split(": ", 1) for x in block[:end - 4].decode().split("\r\n")[1:])
+    return int(fields["Content-Length"]), block[end:]
+
+
 def _page(urn: str) -> int | None:
     name = urn.removeprefix("<urn:page:").removesuffix(">")
     return None if name == "null" else int(name)
 
 
-def _reader(with_payload: bool):
+def _reader(uri: str, with_payload: bool):
     names = ("page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload")
     types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
 
@@ -125,24 +160,26 @@ def _reader(with_payload: bool):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], names=names)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(uri)
         for b in batches:
-            for content in b.column("content"):
+            for path in b.column("path").to_pylist():
                 rows, held = [], 0
-                for head, block in parse_archive(content.as_buffer()):
-                    kind, digest = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if kind == "response":
-                        size = len(block)
-                        own = base64.b32encode(hashlib.sha1(block).digest()).decode()
-                        if own != digest:
-                            raise ValueError(f"payload of {head['WARC-Record-ID']} has digest {own}, its header says {digest}")
-                    else:
-                        size = int(head["WARC-Payload-Length"])
-                    rows.append((_page(head["WARC-Record-ID"]), head["WARC-Target-URI"], kind, size, digest,
-                                 _page(head["WARC-Refers-To"]) if kind == "revisit" else None, block if with_payload and kind == "response" else None))
-                    held += len(block)
-                    if len(rows) >= 4096 or with_payload and held > 8 << 20:
-                        yield batch(rows)
-                        rows, held = [], 0
+                with fs.open_input_stream(f"{root}/{os.path.basename(path)}", compression=None) as stream:
+                    for head, block in parse_archive(stream):
+                        kind, digest = head["WARC-Type"], head.get("WARC-Payload-Digest", "").removeprefix("sha1:")
+                        if kind not in ("response", "revisit"):
+                            continue
+                        size, payload = payload_of(block)
+                        if kind == "response":
+                            own = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                            if own != digest or size != len(payload):
+                                raise ValueError(f"payload of {head['WARC-Record-ID']} has digest {own} and {len(payload)} bytes, its headers say {digest} and {size}")
+                        rows.append((_page(head["WARC-Record-ID"]), head["WARC-Target-URI"], kind, size, digest,
+                                     _page(head["WARC-Refers-To"]) if kind == "revisit" else None, payload if with_payload and kind == "response" else None))
+                        held += len(block)
+                        if len(rows) >= 4096 or with_payload and held > 8 << 20:
+                            yield batch(rows)
+                            rows, held = [], 0
                 if rows:
                     yield batch(rows)
 
@@ -150,7 +187,11 @@ def _reader(with_payload: bool):
 
 
 def write_archives(pages: DataFrame, uri: str | None = None, min_bytes: int = 0) -> str:
-    """Write deduplicated archives of ``pages`` (page_id, url, html); returns their folder."""
+    """Write deduplicated archives of ``pages`` (page_id, url, html); returns their folder.
+
+    Each archive begins with a warcinfo record; the date of all records is that
+    of the write, taken once, so that a retried task writes the same bytes.
+    """
     spark = pages.sparkSession
     ship(spark)
     uri = uri or scratch_uri(spark, "warc")
@@ -164,21 +205,30 @@ def write_archives(pages: DataFrame, uri: str | None = None, min_bytes: int = 0)
                        F.col("page_id").eqNullSafe(F.col("f_id")) & (F.col("payload_digest") == F.col("f_digest")))
     # The join's own partitions become archives: pages move once at most, and AQE sizes the partitions.
     ready = ready.select("page_id", "url", "payload", "payload_digest", "record_type", "refers_to")
-    done = ready.sortWithinPartitions("page_id", "payload_digest", "url").mapInArrow(_writer(uri), "file string, records long")
+    date = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    done = ready.sortWithinPartitions("page_id", "payload_digest", "url").mapInArrow(_writer(uri, date), "file string, records long")
     materialise(done, "warc-manifest").count()
     return uri
 
 
 def read_archives(spark: SparkSession, uri: str, with_payload: bool = False) -> DataFrame:
-    """Records of the archives in ``uri``; revisits carry their original's id."""
+    """Records of the archives in ``uri``; revisits carry their original's id.
+
+    Only paths are planned by Spark: each task streams its archives from the
+    shared folder, so no archive is ever held whole.
+    """
     ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").schema(
         "path string, modificationTime timestamp, length long, content binary").load(uri)
-    return files.select("content").mapInArrow(_reader(with_payload), RECORD_SCHEMA)
+    return files.select("path").mapInArrow(_reader(uri, with_payload), RECORD_SCHEMA)
 
 
 def resolved_payloads(records: DataFrame) -> DataFrame:
-    """(page_id, payload) with each revisit's payload taken from its original response."""
+    """(page_id, payload) of every record, each revisit's payload taken from its original response.
+
+    Records repeat as they do in ``records``; a revisit whose original is missing
+    has a null payload; an empty input gives an empty output.
+    """
     originals = records.filter("record_type = 'response'").select(F.col("page_id").alias("o_id"), F.col("payload").alias("o_payload")).dropDuplicates(["o_id"])
     met = records.join(originals, F.col("refers_to") == F.col("o_id"), "left")
     return met.select("page_id", F.when(F.col("record_type") == "revisit", F.col("o_payload")).otherwise(F.col("payload")).alias("payload"))
@@ -187,8 +237,10 @@ def resolved_payloads(records: DataFrame) -> DataFrame:
 def warc_round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     if pages.limit(1).count() == 0:
-        return spark.createDataFrame([], RECORD_SCHEMA).drop("payload", "url")
-    return read_archives(spark, write_archives(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+        records = spark.createDataFrame([], RECORD_SCHEMA)
+    else:
+        records = read_archives(spark, write_archives(pages))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def warc_sql() -> str:
