@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from wickflow.llm import editsketch, jaccard, licenses, mixing, packing, quality, secrets, tokenfile, toxicity, warc
+from wickflow.llm import buckets, common, editsketch, jaccard, licenses, mixing, packing, quality, secrets, tokenfile, toxicity, warc
 from wickflow.llm.components import components
 from wickflow.llm.tokens import default_tokenizer, encoder
 
@@ -568,6 +568,74 @@ def test_keep_one(docs):
     assert ids[5] == 1 and not any(ids[k] for k in (6, 8, 10, 11, None)) and all(ids[k] for k in (0, 1, 2, 3, 7, 9))
 
 
+def test_keep_one_leaves_wordless_rows_and_odd_columns(spark):
+    rows = [(1, BASE, "a"), (1, BASE, "b"), (2, "\t\n", "c"), (2, "\t\n", "c"), (3, None, "d"), (3, None, "d"), (4, "", "e"), (None, BASE, "f"), (5, "lone words here", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __key string").select("*", F.lit(1).alias("k_id"), F.lit(2).alias("row"))
+    for some in (docs, docs.filter("doc_id = 2"), docs.filter("doc_id = 1")):
+        left = jaccard.keep_one(some)
+        want = Counter((r["doc_id"], r["text"]) for r in some.collect() if r["doc_id"] is not None)
+        if (1, BASE) in want:
+            want[1, BASE] = 1
+        assert left.columns == docs.columns and Counter((r["doc_id"], r["text"]) for r in left.collect()) == want
+    assert jaccard.keep_one(docs.limit(0)).count() == 0
+
+
+def test_jaccard_recall_at_the_threshold(spark):
+    """Planted pairs just above the threshold, measured against their exact similarity."""
+    rows, planted = [], 0
+    for k in range(600):
+        words = [f"w{k}_{j}" for j in range(104)]
+        changed = list(words)
+        changed[7] = changed[60] = "zz"  # 10 of 100 n-grams differ: 90 / 110
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(changed))]
+        a, b = (set(jaccard.ngrams(t).tolist()) for _, t in rows[-2:])
+        planted += len(a & b) >= 0.8 * len(a | b)
+    assert planted == 600
+    got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_links = 1").count()
+    assert got >= 2 * 0.999 * planted
+
+
+def test_sketches_lose_hardly_any_pair():
+    cut = jaccard.sketch_cut(186, 0.8)
+    rng = np.random.default_rng(5)
+    kept = rng.binomial(186, 0.8 + 0.2 / 256, 200_000) >= cut
+    assert kept.mean() > 0.9999 and cut > 0.6 * 186
+
+
+def test_bucket_links_match_brute_force(spark, monkeypatch):
+    """Members unlike their hub are still tied to each other, in buckets cut into cells."""
+    monkeypatch.setattr(buckets, "CELL", 4)
+    rng = np.random.default_rng(8)
+    value = {k: int(rng.integers(0, 60)) for k in range(120)}
+    keyed = [(int(key), k) for k in value for key in set(rng.choice([1, 2, 3, 50 + k % 7], 2))]
+
+    def alike(one, many):
+        return np.array([abs(int(one) - int(x)) <= 1 for x in many], bool)
+
+    got = buckets.bucket_links(spark.createDataFrame(keyed, "key long, node long"), spark.createDataFrame([(k, str(v).encode()) for k, v in value.items()], "node long, sketch binary"), alike, "test")
+    edges = [(r["u"], r["v"]) for r in got.collect()]
+
+    def groups(pairs):
+        root = {k: k for k in value}
+        for a, b in pairs:
+            old, new = max(root[a], root[b]), min(root[a], root[b])
+            root = {k: new if r == old else r for k, r in root.items()}
+        return root
+
+    members = defaultdict(list)
+    for key, k in keyed:
+        members[key].append(k)
+    assert groups(edges) == groups((a, b) for m in members.values() for a in m for b in m if abs(value[a] - value[b]) <= 1)
+
+
+def test_hot_keys_join_like_others(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rows = spark.createDataFrame([(7 if k % 2 else k, k) for k in range(60)] + [(None, 1)], "key long, by long")
+    table = spark.createDataFrame([(k, f"v{k}") for k in range(0, 60, 3)] + [(7, "hot")], "key long, v string")
+    for how in ("inner", "left"):
+        assert Counter(common.join_hot(rows, table, "key", "by", how).collect()) == Counter(rows.join(table, "key", how).collect())
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}

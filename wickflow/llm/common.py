@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wickflow.scratch import materialise, scratch_uri, ship
 
-__all__ = ["BROADCAST_ROWS", "SPACE", "SPACE_CHARS", "join_dimension", "joined_spans", "materialise", "scratch_uri", "ship", "single_threaded", "table", "text_of"]
+__all__ = ["BROADCAST_ROWS", "SPACE", "SPACE_CHARS", "join_dimension", "join_hot", "joined_spans", "materialise", "scratch_uri", "ship", "single_threaded", "table", "text_of"]
 
 #: The characters that separate words, as a Java/Python character class body.
 SPACE = r"\x20\x09-\x0D"
@@ -44,6 +44,28 @@ def join_dimension(left: DataFrame, right: DataFrame, on: list[str], how: str =
     return left.join(right, on, how)
 
 
+#: A key below this many rows is never salted; at most HOT_KEYS are, each over SALTS parts.
+HOT_ROWS, HOT_KEYS, SALTS = 2_000, 200, 64
+
+
+def join_hot(rows: DataFrame, table: DataFrame, on: str, by: str, how: str = "inner") -> DataFrame:
+    """Join with a table of one row per key, keys that hold very many rows spread.
+
+    The largest keys are counted first (pre-aggregated); their rows are salted by
+    a hash of ``by`` and their row of the table is repeated for each salt. A key
+    beyond the first ``HOT_KEYS`` holds less than one row in that many.
+    """
+    counts = rows.filter(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > HOT_ROWS)
+    hot = [r[0] for r in counts.orderBy(F.desc("c")).limit(HOT_KEYS).select(on).collect()]
+    if not hot:
+        return rows.join(table, on, how)
+    is_hot = F.col(on).isin(hot)
+    salted = rows.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(F.lit("salt"), by), F.lit(SALTS))).otherwise(0).cast("int"))
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = table.withColumn("__salt", F.explode(salts))
+    return salted.join(spread, [on, "__salt"], how).drop("__salt")
+
+
 def single_threaded() -> None:
     """In a Python worker: one thread for each task, as Spark schedules them."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

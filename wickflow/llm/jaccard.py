@@ -4,17 +4,19 @@
    n-gram of all its words. One pass writes a 128-bit digest of the set, its
    size and its band hashes to a table.
 2. Equal sets are one class with a count: copies are never paired.
-3. Classes that share a band hash are tied to the bucket's smallest class (a
-   star, not all pairs), and the stars' components are blocks of candidates.
+3. Classes that share a band hash are compared by sketches, one byte of each
+   MinHash (see ``buckets``); components of what is alike by these are blocks.
+   ``sketch_cut`` asks for so little that hardly any true pair is lost.
 4. Each block's texts are read again and verified exactly: an inverted index
    of the block gives the full intersection size of every pair in it. Blocks
-   over ``CELL`` classes are cut into cells, pairs of slices, so that no task
-   holds more than two slices; pairs are counted where they meet and never
-   become rows.
+   over ``CELL`` classes or ``CELL_GRAMS`` n-grams are cut into cells, pairs of
+   slices, so that no task holds more than two slices; pairs are counted where
+   they meet and never become rows.
 5. Verified links' components are the near-duplicate classes.
 
 ``choose_bands`` picks band and row counts for the target recall at the
-threshold. Blocks are supersets of the candidates, so recall is at least that.
+threshold. Blocks are supersets of the candidates, so recall is at least that,
+less ``SKETCH_LOSS``.
 
 Defined results: texts without words (null and empty ones too) have no n-grams
 and link to nothing, each a class with the other empty ones of n_links 0;
@@ -27,13 +29,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wickflow.llm.common import materialise, ship, text_of
+from wickflow.llm.buckets import bucket_links, roots_of
+from wickflow.llm.common import join_hot, materialise, ship, text_of
 from wickflow.llm.components import components
 
 N = 5
@@ -41,8 +45,10 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 #: Most hash functions a signature may use.
 MAX_HASHES = 192
-#: Classes in a slice of a large block.
-CELL = 1024
+#: Classes and n-grams in a slice of a large block.
+CELL, CELL_GRAMS = 1024, 1 << 20
+#: Share of pairs at the threshold that sketches may lose.
+SKETCH_LOSS = 1e-5
 _SEED = 20_240_607
 _MASK = 2**64 - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -131,13 +137,38 @@ def _coefficients(hashes: int) -> tuple[np.ndarray, np.ndarray]:
     return (rng.integers(0, 2**32, hashes, np.uint64).astype(np.uint32) | np.uint32(1)), rng.integers(0, 2**32, hashes, np.uint64).astype(np.uint32)
 
 
-def band_hashes(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One 64-bit hash per band of the set's MinHash signature."""
-    a, b = _coefficients(bands * rows)
+def min_hashes(grams: np.ndarray, hashes: int) -> np.ndarray:
+    a, b = _coefficients(hashes)
     low = (grams >> np.uint64(32)).astype(np.uint32)
-    best = np.full(bands * rows, 2**32 - 1, np.uint32)
+    best = np.full(hashes, 2**32 - 1, np.uint32)
     for s in range(0, len(low), 2048):
         np.minimum(best, (low[s:s + 2048, None] * a + b).min(axis=0), out=best)
+    return best
+
+
+def sketch_cut(hashes: int, threshold: float, loss: float = SKETCH_LOSS) -> int:
+    """The most bytes that sketches must share for a pair at the threshold to be lost with a probability up to ``loss``."""
+    p = threshold + (1 - threshold) / 256
+    lost = 0.0
+    for k in range(hashes + 1):
+        lost += comb(hashes, k) * p**k * (1 - p) ** (hashes - k)
+        if lost > loss:
+            return k
+    return hashes
+
+
+def alike_sketches(cut: int):
+    """One sketch against many: those that share at least ``cut`` bytes."""
+
+    def alike(one: bytes, many: list[bytes]) -> np.ndarray:
+        table = np.frombuffer(b"".join(many), np.uint8).reshape(len(many), -1)
+        return (table == np.frombuffer(one, np.uint8)).sum(axis=1) >= cut
+
+    return alike
+
+
+def band_hashes(best: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One 64-bit hash per band of the set's MinHash signature."""
     key = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(_BASE)
     for r in best.reshape(bands, rows).T.astype(np.uint64):
         key = _mix(key * np.uint64(_BASE) + r)
@@ -147,22 +178,24 @@ def band_hashes(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _sign(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digest, size, keys = [], [], []
+            digest, size, keys, sketch = [], [], [], []
             for text in b.column("text").to_pylist():
                 g = ngrams(text)
                 digest.append(hashlib.blake2b(g.tobytes(), digest_size=16).digest())
                 size.append(len(g))
-                keys.append(band_hashes(g, bands, rows) if len(g) else np.empty(0, np.int64))
+                best = min_hashes(g, bands * rows) if len(g) else None
+                keys.append(np.empty(0, np.int64) if best is None else band_hashes(best, bands, rows))
+                sketch.append(b"" if best is None else best.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "text_key": b.column("text_key"), "digest": pa.array(digest, pa.binary()),
-                                              "n_grams": pa.array(size, pa.int64()), "bands": pa.array(keys, pa.list_(pa.int64()))})
+                                              "n_grams": pa.array(size, pa.int64()), "bands": pa.array(keys, pa.list_(pa.int64())), "sketch": pa.array(sketch, pa.binary())})
 
     return run
 
 
 def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """Per row: doc_id, a 64-bit key of the text, digest and size of its n-gram set, band hashes."""
+    """Per row: doc_id, a 64-bit key of the text, digest and size of its n-gram set, band hashes, sketch."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of(docs)).alias("text_key"), text_of(docs).alias("text"))
-    return keyed.mapInArrow(_sign(bands, rows), "doc_id long, text_key long, digest binary, n_grams long, bands array<long>")
+    return keyed.mapInArrow(_sign(bands, rows), "doc_id long, text_key long, digest binary, n_grams long, bands array<long>, sketch binary")
 
 
 def pair_links(sets: list[np.ndarray], slice_of: np.ndarray, across: bool, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
@@ -206,27 +239,19 @@ def _verify(threshold: float):
         across = rows[0][1] != rows[0][2]
         nodes, copies = np.array([r[3] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64)
         sets = [ngrams(r[6]) for r in rows]
-        parent = np.arange(len(rows))
+        links = np.zeros(len(rows), np.int64)
 
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
+        def counted() -> Iterator[tuple[int, np.ndarray]]:
+            for i, near in pair_links(sets, np.array([r[5] for r in rows]), across, threshold):
+                links[i] += copies[near].sum()
+                links[near] += copies[i]
+                yield i, near
 
-        links = np.zeros(len(rows), np.int64)
-        for i, near in pair_links(sets, np.array([r[5] for r in rows]), across, threshold):
-            links[i] += copies[near].sum()
-            links[near] += copies[i]
-            for j in near.tolist():
-                a, b = find(i), find(j)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
+        roots = np.array(roots_of(len(rows), counted()))
         got = np.flatnonzero(links)
         if not len(got):
             return None
-        roots = np.array([find(k) for k in got.tolist()])
-        return pa.RecordBatch.from_pydict({"node": nodes[got], "links": links[got], "root": nodes[roots]})
+        return pa.RecordBatch.from_pydict({"node": nodes[got], "links": links[got], "root": nodes[roots[got]]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -257,16 +282,17 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
     signed = materialise(signatures(docs, bands, rows), "jaccard-signatures")
     first = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("text_key").alias("k"))
-    classes = signed.groupBy("digest").agg(F.min(first).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
+    classes = signed.groupBy("digest").agg(F.min(first).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
 
     keyed = classes.filter("n_grams > 0").select("node", F.explode("bands").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "hub")
-    stars = materialise(keyed.join(hubs, "key").filter("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct(), "jaccard-stars")
-    blocks = components(stars, "jaccard-blocks").withColumnRenamed("root", "block")
+    cut = sketch_cut(bands * rows, threshold)
+    edges = bucket_links(keyed, classes.select("node", "sketch"), alike_sketches(cut), "jaccard-buckets")
+    blocks = components(edges, "jaccard-blocks").withColumnRenamed("root", "block")
 
-    wide = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("m")).withColumn("slices", F.ceil(F.col("m") / CELL).cast("int")).select("block", "slices")
-    member = blocks.join(wide, "block").join(classes.select("node", "rep", "copies"), "node")
+    sized = materialise(blocks.join(classes.select("node", "rep", "copies", "n_grams"), "node"), "jaccard-sized")
+    slices = F.ceil(F.greatest(F.count(F.lit(1)) / CELL, F.sum("n_grams") / CELL_GRAMS)).cast("int")
+    member = join_hot(sized, sized.groupBy("block").agg(slices.alias("slices")), "block", "node")
     member = member.withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
     member = materialise(member.select("node", "block", "slice", "slices", "copies", F.col("rep.id").alias("r_id"), F.col("rep.k").alias("r_key")), "jaccard-members")
     # Every pair of slices is one cell; a class goes to the cells of its slice.
@@ -281,13 +307,14 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
 
     linked = verified.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(verified.filter("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v")), "jaccard-classes-of")
-    named = classes.drop("bands").join(linked, "node", "left").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = classes.drop("bands", "sketch").join(linked, "node", "left").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = materialise(named, "jaccard-named")
     least = named.groupBy("root").agg(F.min("rep").alias("least"))
-    full = named.join(least, "root").select(
+    full = join_hot(named, least, "root", "node").select(
         "digest", F.col("least").alias("class_rep"), F.col("rep").alias("copy_rep"),
         F.when(F.col("n_grams") > 0, F.col("copies") - 1 + F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
     full = materialise(full, "jaccard-result")
-    return signed.select("doc_id", "text_key", "digest", "n_grams").join(full, "digest").select(
+    return join_hot(signed.select("doc_id", "text_key", "digest", "n_grams"), full, "digest", "doc_id").select(
         "doc_id", "text_key", F.col("class_rep.id").alias("class_id"), F.col("copy_rep.id").alias("copy_id"), "n_links",
         F.col("class_rep.k").alias("class_key"), "n_grams")
 
@@ -295,16 +322,37 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with one row of each near-duplicate class: that of its smallest id.
 
-    Texts without words are left alone. Of equal rows with that id one stays.
+    Rows without n-grams (null, empty and wordless texts) are left alone,
+    repeated or not. Of equal rows with the kept id and text one stays. Columns
+    keep their names and values, whatever these are; an empty input gives an
+    empty output.
     """
     fates = materialise(jaccard_join(docs, threshold), "jaccard-fates")
+    id_of = lambda c: (F.coalesce(c, F.lit(0)).alias("k_id"), c.isNull().alias("k_null"))
     own = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("class_key"))
-    drop = fates.filter((F.col("n_grams") > 0) & ~own).select(F.col("doc_id").alias("d_id"), F.col("text_key").alias("d_key")).distinct()
-    keyed = docs.withColumn("__key", F.xxhash64(text_of(docs)))
-    # Like the members, this list grows with the corpus and isn't broadcast.
-    left = keyed.join(drop.hint("merge"), keyed["doc_id"].cast("long").eqNullSafe(F.col("d_id")) & (F.col("__key") == F.col("d_key")), "left_anti")
-    repeated = fates.filter((F.col("n_grams") > 0) & own).groupBy("doc_id", "text_key").count().filter("count > 1").limit(1).count()
-    if repeated:
-        words = F.length(F.trim("text")) > 0
-        left = left.filter(words).dropDuplicates(["doc_id", "__key"]).unionByName(left.filter(~F.coalesce(words, F.lit(False))))
-    return left.drop("__key")
+    marks = fates.filter("n_grams > 0").groupBy(*id_of(F.col("doc_id")), F.col("text_key").alias("k_text")).agg(
+        F.first(own).alias("own"), F.count(F.lit(1)).alias("rows")).filter("not own or rows > 1").select("k_id", "k_null", "k_text", "own")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), *id_of(F.col("doc_id").cast("long")), F.xxhash64(text_of(docs)).alias("k_text"))
+    # Like the members, this list grows with the corpus and isn't broadcast; rows of a key are numbered where the join left them.
+    keys = ["k_id", "k_null", "k_text"]
+    met = keyed.join(marks.hint("merge"), keys, "left")
+    met = met.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)))
+    return met.filter(F.col("own").isNull() | F.col("own") & (F.col("nth") == 1)).select("row.*")
+
+
+def jaccard_sql(threshold: float = THRESHOLD, n: int = N) -> str:
+    """The same classes and link counts by an exact join, for DuckDB over ``documents``."""
+    return f"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {n} THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' ')) END)) AS g FROM words),
+classes AS (SELECT g, min(doc_id) AS rep, count(*) AS copies, len(g) AS n, row_number() OVER () AS k FROM sets GROUP BY g),
+grams AS (SELECT k, unnest(g) AS x FROM classes),
+met AS (SELECT a.k AS ka, b.k AS kb, count(*) AS shared FROM grams a JOIN grams b ON a.x = b.x AND a.k <> b.k GROUP BY 1, 2),
+links AS (SELECT ka, kb, b.copies FROM met JOIN classes a ON a.k = ka JOIN classes b ON b.k = kb WHERE shared >= {threshold} * (a.n + b.n - shared) - 1e-9),
+reach AS (SELECT k, k AS r FROM classes UNION SELECT l.kb AS k, r FROM reach JOIN links l ON l.ka = reach.k),
+least AS (SELECT reach.k, min(c.rep) AS class_id FROM reach JOIN classes c ON c.k = reach.r GROUP BY reach.k),
+counted AS (SELECT ka AS k, sum(copies) AS others FROM links GROUP BY ka)
+SELECT s.doc_id, e.class_id, c.rep AS copy_id, CAST(CASE WHEN c.n > 0 THEN c.copies - 1 + coalesce(others, 0) ELSE 0 END AS BIGINT) AS n_links
+FROM sets s JOIN classes c ON c.g = s.g JOIN least e USING (k) LEFT JOIN counted USING (k)
+"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wickflow.llm.common import table
 from wickflow.llm.editsketch import fingerprint_report
-from wickflow.llm.jaccard import jaccard_join
+from wickflow.llm.jaccard import jaccard_join, jaccard_sql
 from wickflow.llm.licenses import license_scan
 from wickflow.llm.mixing import mix, mix_sql
 from wickflow.llm.packing import pack
@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mix": mix_sql(), "op4_warc": warc_sql()}
+    return {"op2_source_mix": mix_sql(), "op4_warc": warc_sql(), "op8_jaccard_join": jaccard_sql()}
