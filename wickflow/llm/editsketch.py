@@ -11,8 +11,9 @@ The fingerprint samples the written string at shared steps: one step in each
 block of 2^level steps, chosen so that coarser samples are subsets of finer
 ones and texts of different length stay comparable. Each sample is one hex
 digit (0 past the end). ``near_duplicates`` bands sampled digits at a
-fingerprint's own level and at coarser ones, ties what shares a band to blocks
-and verifies every pair of a block on whole fingerprints, large blocks in cells.
+fingerprint's own level and at coarser ones, compares what shares a band on
+whole fingerprints (see ``buckets``) and counts the links in the components of
+what is alike, every pair once, large ones in cells.
 
 Defined results: null text counts as empty, and two empty texts have likeness
 1; equal texts have equal fingerprints; repeated ids are ordered by their text;
@@ -33,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wickflow.llm.common import materialise, ship, text_of
+from wickflow.llm.buckets import bucket_links, roots_of
+from wickflow.llm.common import join_hot, materialise, ship, text_of
 from wickflow.llm.components import components
 from wickflow.llm.tokenfile import range_bounds, range_of
 
@@ -199,11 +201,13 @@ def _picks(level: int, slots: int) -> np.ndarray:
     return np.concatenate([np.zeros((1, slots), np.int64), best.T])
 
 
-def band_keys(fingerprint: str, bands: int = 16, digits: int = 6, coarser: int = 1) -> list[str]:
+def band_keys(fingerprint: str, bands: int = 16, digits: int = 6, coarser: int = 1, least: float = 0) -> list[str]:
     """Bit-sampled bands at a fingerprint's level and ``coarser`` ones: ``level.band.digits``.
 
     Each band reads ``digits`` sampled blocks, chosen by a shared hash of band and
-    level among the blocks that have a digit.
+    level among the blocks that have a digit. Coarser levels with fewer than
+    ``least`` such blocks are left out: a text whose own level that is has more
+    than half of SAMPLES there, so the two could not be alike.
     """
     own, _, body = fingerprint.split(":")
     own, x = int(own), _digits(body)
@@ -211,7 +215,7 @@ def band_keys(fingerprint: str, bands: int = 16, digits: int = 6, coarser: int =
     for level in range(own, own + coarser + 1):
         y = x if level == own else _at_level(x, own, level, -(-len(x) >> (level - own)))
         n = int(np.count_nonzero(y))
-        if n:
+        if n and (level == own or n >= least):
             read = (y[_picks(level, bands * digits)[n]] + 48).astype(np.uint8).tobytes().decode("latin-1")
             out += [f"{level}.{k}.{read[k * digits:(k + 1) * digits]}" for k in range(bands)]
     return out
@@ -342,34 +346,56 @@ def cell_links(prints: list[str], slice_of: np.ndarray, across: bool, threshold:
             yield i, after[near], got[near]
 
 
+@lru_cache(maxsize=8 * CELL)
+def _row(fingerprint: bytes) -> tuple[int, np.ndarray]:
+    """Level and digits, padded to all samples."""
+    level, _, body = fingerprint.decode().split(":")
+    out = np.zeros(SAMPLES, np.uint8)
+    out[:len(body)] = _digits(body)
+    return int(level), out
+
+
+def alike_prints(threshold: float):
+    """One fingerprint against many: those at or above the threshold."""
+
+    def alike(one: bytes, many: list[bytes]) -> np.ndarray:
+        level, x = _row(one)
+        rows = [_row(m) for m in many]
+        out = np.zeros(len(many), bool)
+        same = [k for k, (other, _) in enumerate(rows) if other == level]
+        if same:
+            y = np.stack([rows[k][1] for k in same])
+            used = np.maximum(np.count_nonzero(y, axis=1), np.count_nonzero(x))
+            out[same] = ((y == x) & (x > 0)).sum(axis=1) >= threshold * used - 1e-12
+        for k, (other, _) in enumerate(rows):
+            if other != level:
+                out[k] = likeness(one.decode(), many[k].decode()) >= threshold
+        return out
+
+    return alike
+
+
 def _verify(threshold: float):
     """Rows sorted by cell; emits per class its links within the cell, the best likeness and its root there."""
 
     def work(rows: list[tuple]) -> pa.RecordBatch | None:
         copies = np.array([r[4] for r in rows], np.int64)
-        parent = np.arange(len(rows))
+        links, best = np.zeros(len(rows), np.int64), np.zeros(len(rows))
 
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
+        def counted() -> Iterator[tuple[int, np.ndarray]]:
+            for i, near, got in cell_links([r[6] for r in rows], np.array([r[5] for r in rows]), rows[0][1] != rows[0][2], threshold):
+                links[i] += copies[near].sum()
+                links[near] += copies[i]
+                best[i] = max(best[i], got.max())
+                best[near] = np.maximum(best[near], got)
+                yield i, near
 
-        links, best = np.zeros(len(rows), np.int64), np.zeros(len(rows))
-        for i, near, got in cell_links([r[6] for r in rows], np.array([r[5] for r in rows]), rows[0][1] != rows[0][2], threshold):
-            links[i] += copies[near].sum()
-            links[near] += copies[i]
-            best[i] = max(best[i], got.max())
-            best[near] = np.maximum(best[near], got)
-            for j in near.tolist():
-                a, b = find(i), find(j)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
+        roots = roots_of(len(rows), counted())
         met = np.flatnonzero(links)
         if not len(met):
             return None
         return pa.RecordBatch.from_pydict({"node": pa.array([rows[k][3] for k in met], pa.int64()), "links": links[met], "best": best[met],
-                                           "root": pa.array([rows[find(k)][3] for k in met.tolist()], pa.int64())})
+                                           "root": pa.array([rows[roots[k]][3] for k in met.tolist()], pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -386,13 +412,15 @@ def _verify(threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 31, digits: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 64, digits: int = 10) -> DataFrame:
     """(doc_id, representative, likeness, n_links) of every row that has a near duplicate, copies too.
 
     ``representative`` is the smallest id of all that are linked with it, directly
-    or over others, ``n_links`` the number of other rows at or above the
-    threshold, and ``likeness`` the highest with any of them. A pair at 0.8
-    shares one of 31 bands of 6 digits with a probability of at least 0.9999.
+    or over others (null only if all are), ``n_links`` the number of other rows
+    at or above the threshold, and ``likeness`` the highest with any of them. A
+    pair at 0.8 shares one of 64 bands of 10 digits with a probability of at
+    least 0.999, while unlike texts hardly ever do. Null texts count as empty,
+    and empty ones are copies of each other; an empty input gives an empty output.
     """
     spark = docs.sparkSession
     coarser = max(1, math.ceil(-math.log2(threshold)))
@@ -402,16 +430,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 31, di
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"node": b.column("node"), "keys": pa.array([band_keys(f, bands, digits, coarser) for f in b.column("fingerprint").to_pylist()], pa.list_(pa.string()))})
+            yield pa.RecordBatch.from_pydict({"node": b.column("node"), "keys": pa.array([band_keys(f, bands, digits, coarser, threshold * SAMPLES / 2) for f in b.column("fingerprint").to_pylist()], pa.list_(pa.string()))})
 
     keyed = classes.select("node", "fingerprint").mapInArrow(keys, "node long, keys array<string>").select("node", F.explode("keys").alias("key"))
-    keyed = materialise(keyed.select("node", F.xxhash64("key").alias("key")), "edit-keys")
-    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "hub")
-    stars = keyed.join(hubs, "key").filter("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
-    blocks = components(stars, "edit-blocks").withColumnRenamed("root", "block")
+    keyed = materialise(keyed.select("node", F.xxhash64("key").alias("key")).distinct(), "edit-keys")
+    edges = bucket_links(keyed, classes.select("node", F.col("fingerprint").cast("binary").alias("sketch")), alike_prints(threshold), "edit-buckets")
+    blocks = components(edges, "edit-blocks").withColumnRenamed("root", "block")
 
     wide = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("m")).withColumn("slices", F.ceil(F.col("m") / CELL).cast("int")).select("block", "slices")
-    member = blocks.join(wide, "block").join(classes, "node").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
+    member = join_hot(blocks, wide, "block", "node").join(classes, "node").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
     # Every pair of slices is one cell; a class goes to the cells of its slice.
     celled = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(
         "block", F.least("slice", "other").alias("cell_i"), F.greatest("slice", "other").alias("cell_j"), "node", "copies", "slice", "fingerprint")
@@ -423,7 +450,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 31, di
     joined = components(verified.filter("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v")), "edit-classes-of")
     named = classes.join(linked, "node", "left").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = named.filter((F.col("copies") > 1) | F.col("links").isNotNull())
+    named = materialise(named, "edit-named")
     least = named.groupBy("root").agg(F.min("rep").alias("representative"))
-    full = named.join(least, "root").select("fingerprint", "representative", F.when(F.col("copies") > 1, F.lit(1.0)).otherwise(F.col("best")).alias("likeness"),
+    full = join_hot(named, least, "root", "node").select("fingerprint", "representative", F.when(F.col("copies") > 1, F.lit(1.0)).otherwise(F.col("best")).alias("likeness"),
                                             (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return prints.join(full, "fingerprint").select("doc_id", "representative", "likeness", "n_links")
+    return join_hot(prints, full, "fingerprint", "doc_id").select("doc_id", "representative", "likeness", "n_links")
