@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from wickflow.llm import buckets, common, editsketch, jaccard, licenses, mixing, packing, quality, secrets, tokenfile, toxicity, warc
+from wickflow.llm import buckets, common, editsketch, jaccard, licenses, mixing, packing, quality, ranges, secrets, tokenfile, toxicity, warc
 from wickflow.llm.components import components
 from wickflow.llm.tokens import default_tokenizer, encoder
 
@@ -449,14 +449,81 @@ def test_token_files(spark, docs, empty):
     got = sorted(map(tuple, tokenfile.read_token_files(spark, manifest).collect()), key=lambda r: r[1])
     assert got == want
     import pyarrow.fs as pafs
-    row = manifest.orderBy("part").first()
+    row = manifest.orderBy("part", "number").first()
     fs, root = pafs.FileSystem.from_uri(row["uri"])
     f = tokenfile.TokenFile(fs, f"{root}/{row['file']}")
-    ids, mask = f.sequence(int(f.ends[-1]) - 1)
-    assert len(ids) == 64 and mask.sum() == (row["total"] - 1) % 64 + 1 and not ids.flags.owndata
+    ids, mask = f.ids(int(f.ends[-1]) - 1), f.mask(int(f.ends[-1]) - 1)
+    assert len(ids) == 64 and sum(mask.to_pylist()) == (row["total"] - 1) % 64 + 1 and not ids.flags.owndata
+    # Zero copies: both lie within the mapped file's buffers.
+    batch = f.batches[-1]
+    assert batch.column("ids").values.buffers()[1].address <= ids.ctypes.data < batch.column("ids").values.buffers()[1].address + batch.column("ids").values.buffers()[1].size
+    assert mask.buffers()[1].address == batch.column("mask").values.buffers()[1].address
     assert tokenfile.token_round_trip(empty).count() == 0
 
 
+@pytest.fixture
+def crowded(spark, monkeypatch):
+    """Many parts; one id and null ids hold a third of the rows each, and one text is long."""
+    monkeypatch.setattr(ranges, "LEAST_BYTES", 300)
+    rows = [(7, f"seven {k} " * 3) for k in range(60)] + [(None, f"none {k} " * 3) for k in range(60)] + [(k, f"text {k} of some length " * (k % 5)) for k in range(60)] + [(61, "long " * 200)]
+    return spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.lit("clash")).repartition(5)
+
+
+def hashed(docs):
+    return [(r["doc_id"], r["x"], r["text"]) for r in docs.select("doc_id", "text", F.xxhash64("text").alias("x")).collect()]
+
+
+def test_token_files_with_crowded_ids(spark, crowded):
+    manifest = tokenfile.write_token_files(crowded, length=64, parts=40, file_ids=100)
+    got = sorted(map(tuple, tokenfile.read_token_files(spark, manifest).collect()), key=lambda r: r[1])
+    order = sorted(hashed(crowded), key=lambda r: (r[0] is not None, r[0] or 0))
+    assert [r[0] for r in got] == [r[0] for r in order]
+    at, sums = 0, Counter()
+    for r in got:
+        assert r[1] == at
+        at += r[2]
+        sums[r[0], r[2], r[3]] += 1
+    want = Counter()
+    for d, _, t in order:
+        ids = [*library_ids(t), 2]
+        want[d, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    assert sums == want
+    files = manifest.collect()
+    assert len(files) > 20 and len({r["file"] for r in files}) == len(files) and max(r["total"] for r in files if r["docs"] > 1) < 400
+    assert len({r["part"] for r in files}) > 8
+
+
+def test_fingerprint_followers_with_crowded_ids(spark, crowded):
+    got = editsketch.fingerprint_report(crowded).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        many = editsketch.fingerprint_report(crowded).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    texts = {hashlib.sha256(t.encode()).hexdigest(): t for _, _, t in hashed(crowded)}
+    # Whatever the parts: every row once, ids descending, each edited with some row of its own or the next id.
+    for rows in (got, many):
+        assert len(rows) == len(hashed(crowded))
+    ids = sorted({r[0] for r in hashed(crowded) if r[0] is not None}, reverse=True) + [None]
+    by_id = defaultdict(list)
+    for d, _, t in hashed(crowded):
+        by_id[d].append(t)
+    for r in many:
+        d = r["doc_id"]
+        after = by_id[d] + by_id[ids[(ids.index(d) + 1) % len(ids)]] if len(by_id[d]) > 1 else by_id[ids[(ids.index(d) + 1) % len(ids)]]
+        made = {hashlib.sha256(editsketch.edited_text(t, f).encode()).hexdigest() for t in by_id[d] for f in after}
+        assert r["edited_sha256"] in made
+    single = lambda rows: {r["doc_id"]: r["edited_sha256"] for r in rows if r["doc_id"] not in (7, None) and r["doc_id"] != 8 and r["doc_id"] != 0}
+    assert single(got) == single(many) and texts
+
+
+def test_ranges_are_even_and_split_single_ids():
+    fine = [(k, 10, False) for k in range(50)] + [(50, 1000, True)] + [(k, 10, False) for k in range(51, 101)]
+    last, first, split = ranges.joined(fine, 20)
+    assert split[last.index(50)] == 10 and first == [sum(split[:k]) for k in range(len(split))] and last[-1] == 100
+    assert all(s == 1 for k, s in zip(last, split) if k != 50) and 18 <= sum(split) <= 22
+
+
 # --- 7: quality
 
 def brute_stats(t):

@@ -16,7 +16,7 @@ whole fingerprints (see ``buckets``) and counts the links in the components of
 what is alike, every pair once, large ones in cells.
 
 Defined results: null text counts as empty, and two empty texts have likeness
-1; equal texts have equal fingerprints; repeated ids are ordered by their text;
+1; equal texts have equal fingerprints; repeated ids are ordered by a hash of their text;
 an empty input gives an empty output. Other columns are ignored.
 """
 
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from wickflow.llm.buckets import bucket_links, roots_of
 from wickflow.llm.common import join_hot, materialise, ship, text_of
 from wickflow.llm.components import components
-from wickflow.llm.tokenfile import range_bounds, range_of
+from wickflow.llm.ranges import byte_ranges
 
 #: Blocks of a fingerprint: more than half of this, up to this, once a text is long enough.
 SAMPLES = 512
@@ -270,31 +270,33 @@ def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: fingerprints of its text and of its edited text, and likenesses.
 
-    Documents are dealt to ranges of their id, one shuffle of the texts; the
-    first document of each range is copied to the end of the range before it
-    (one row per range), so every document meets its follower.
+    Documents are dealt to ranges of their id that hold equally many bytes, one
+    shuffle of the texts; the first document of each range is copied to the end
+    of the range before it (one row per range), so every document meets its follower.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
-    bounds = range_bounds(rows.select("doc_id"), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    n = len(bounds) + 1
-    # Descending order: range 0 holds the largest ids, null ids are last.
-    ranged = rows.withColumn("part", F.lit(n - 1) - range_of(F.col("doc_id"), bounds))
-    firsts = rows.select("doc_id").withColumn("part", F.lit(n - 1) - range_of(F.col("doc_id"), bounds)).groupBy("part").agg(F.max("doc_id").alias("top")).orderBy("part").collect()
-    if not firsts:
+    ranges = byte_ranges(rows, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if ranges is None:
         return spark.createDataFrame([], _SCHEMA)
+    n = ranges.parts
+    # Descending order: part 0 holds the largest ids, null ids are last.
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    ranged = hashed.withColumn("part", F.lit(n - 1) - ranges.part_of(F.col("doc_id"), F.col("h")))
+    top = F.max(F.struct(F.col("doc_id").isNotNull().alias("k"), F.col("doc_id").alias("id"), F.col("h").alias("h")))
+    firsts = ranged.groupBy("part").agg(top.alias("top")).orderBy("part").collect()
     # The follower of a range's last document is the first of the next range that has any; after the last comes the very first.
-    follows = {r["part"]: firsts[(k - 1) % len(firsts)]["part"] for k, r in enumerate(firsts)}
-    top_of = {r["part"]: r["top"] for r in firsts}
-    tops = F.from_json(F.lit(json.dumps([top_of.get(k) for k in range(n)])), "array<bigint>")
-    before = F.from_json(F.lit(json.dumps([follows.get(k) for k in range(n)])), "array<int>")
-    copies = F.when(F.col("doc_id").eqNullSafe(F.get(tops, F.col("part"))), F.array(
-        F.struct(F.col("part").alias("part"), F.lit(1).alias("own")), F.struct(F.get(before, F.col("part")).alias("part"), F.lit(0).alias("own")))).otherwise(
-        F.array(F.struct(F.col("part").alias("part"), F.lit(1).alias("own"))))
-    dealt = ranged.select("doc_id", "text", F.explode(copies).alias("c")).select("c.part", "c.own", "doc_id", "text").repartition(n, "part")
-    ordered = dealt.sortWithinPartitions("part", F.col("own").desc(), F.col("doc_id").desc_nulls_last(), "text")
-    return ordered.mapInArrow(_pair_rows, _SCHEMA)
+    before = {r["part"]: firsts[k - 1]["part"] for k, r in enumerate(firsts)}
+    tops = {r["part"]: (r["top"]["id"], r["top"]["h"]) for r in firsts}
+    look = lambda values: F.get(F.from_json(F.lit(json.dumps(values)), "array<bigint>"), F.col("part"))
+    is_top = F.col("doc_id").eqNullSafe(look([tops.get(k, (None, 0))[0] for k in range(n)])) & (F.col("h") == look([tops.get(k, (None, 0))[1] for k in range(n)]))
+    here = F.struct(F.col("part").cast("int").alias("part"), F.lit(1).alias("own"))
+    there = F.struct(look([before.get(k) for k in range(n)]).cast("int").alias("part"), F.lit(0).alias("own"))
+    copies = F.when(is_top, F.array(here, there)).otherwise(F.array(here))
+    dealt = ranged.select("doc_id", "h", "text", F.explode(copies).alias("c")).select("c.part", "c.own", "doc_id", "h", "text").repartitionById(n, "part")
+    ordered = dealt.sortWithinPartitions("part", F.col("own").desc(), F.col("doc_id").desc_nulls_last(), F.col("h").desc(), F.col("text").desc())
+    return ordered.select("part", "own", "doc_id", "text").mapInArrow(_pair_rows, _SCHEMA)
 
 
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, shared_bands long"

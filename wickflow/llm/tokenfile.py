@@ -2,15 +2,17 @@
 
 A file holds record batches of two columns, ``ids`` and ``mask``, both lists of
 ``SEQUENCE`` values: rows are equal-length sequences of the running id stream,
-and the mask is 0 where the last row is padded. Batches are uncompressed, so a
-memory-mapped file gives any sequence without a copy. A second, small stream
-file beside it lists each document's start and count in that file.
+and the mask, one bit for each id, is false where the last row is padded.
+Batches are uncompressed, so a memory-mapped file gives any sequence without a
+copy. A second, small stream file beside it lists each document's start and
+count in that file.
 
-Documents are dealt to files by ranges of their id, so file after file is in
-ascending order; starts across files come from the files' totals.
+Documents are dealt to tasks by ranges of their id that hold equally many bytes
+of text; a task writes one file after another of up to ``FILE_IDS`` ids, so file
+after file is in ascending order. Starts across files come from the files' totals.
 
 Defined results: null text counts as empty and holds the end id alone; null
-ids come first; repeated ids are in order of their text; an empty input gives
+ids come first; repeated ids are in order of a hash of their text; an empty input gives
 an empty output. Other columns are ignored.
 """
 
@@ -22,61 +24,48 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wickflow.llm.common import materialise, scratch_uri, ship, text_of
+from wickflow.llm.ranges import byte_ranges
 from wickflow.llm.tokens import crc32_u4, default_tokenizer, encoder
 
 SEQUENCE = 2048
 #: Sequences in a record batch.
 BATCH_ROWS = 256
 END_ID = 2
-#: Most files of one data set; file boundaries are that many numbers on the driver.
-MAX_FILES = 100_000
+#: Ids in a file, apart from the last document's.
+FILE_IDS = 64 << 20
+#: Documents in a batch of a file's index.
+INDEX_ROWS = 50_000
 
 
-def range_bounds(ids: DataFrame, parts: int, column: str = "doc_id") -> list[int]:
-    """Ascending boundaries that cut the ids into about ``parts`` even ranges."""
-    if parts < 2:
-        return []
-    got = ids.agg(F.percentile_approx(column, [k / parts for k in range(1, parts)], 10 * parts + 1000).alias("q")).first()["q"]
-    return sorted(set(got or []))
-
-
-def range_of(column: Column, bounds: list[int]) -> Column:
-    """Number of the range that an id is in: binary search in a constant array; null ids are in the first."""
-    if not bounds:
-        return F.lit(0)
-    steps = len(bounds).bit_length()
-    constant = F.lit(bounds)
-    at = F.lit(0)
-    # Searches by powers of two; each step is one look-up.
-    return F.aggregate(F.lit([1 << k for k in reversed(range(steps))]), at, lambda acc, s: F.when(
-        (acc + s <= len(bounds)) & (F.get(constant, acc + s - 1) < column), acc + s).otherwise(acc))
-
-
-def _write(uri: str, tokenizer: str, end_id: int, length: int):
+def _write(uri: str, tokenizer: str, end_id: int, length: int, file_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         fs, root = pafs.FileSystem.from_uri(uri)
         kind = pa.from_numpy_dtype(enc.dtype)
-        schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+        schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
+        index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         state: dict = {}
 
         def rows(ids: np.ndarray, real: int) -> pa.RecordBatch:
-            mask = (np.arange(len(ids)) < real).astype(np.uint8)
             return pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(ids, kind), length),
-                                               pa.FixedSizeListArray.from_arrays(pa.array(mask), length)], schema=schema)
+                                               pa.FixedSizeListArray.from_arrays(pa.array(np.arange(len(ids)) < real), length)], schema=schema)
 
-        def begin(part: int) -> None:
+        def begin(part: int, number: int) -> None:
             fs.create_dir(root, recursive=True)
-            tmp = f"{root}/_{uuid.uuid4().hex}"
-            out = fs.open_output_stream(tmp, compression=None)
-            state.update(part=part, tmp=tmp, out=out, writer=pa.ipc.new_stream(out, schema), held=[], n_held=0, total=0, docs=[])
+            tmp, tmp_index = f"{root}/_{uuid.uuid4().hex}", f"{root}/_{uuid.uuid4().hex}"
+            out, out_index = (fs.open_output_stream(x, compression=None) for x in (tmp, tmp_index))
+            state.update(part=part, number=number, tmp=tmp, tmp_index=tmp_index, out=out, out_index=out_index, writer=pa.ipc.new_stream(out, schema),
+                         index=pa.ipc.new_stream(out_index, index_schema), held=[], n_held=0, total=0, docs=[], n_docs=0)
 
         def push(final: bool) -> None:
             step = length * BATCH_ROWS
+            if final or len(state["docs"]) >= INDEX_ROWS:
+                state["index"].write_batch(pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*state["docs"])] or [pa.array([], pa.int64())] * 3, schema=index_schema))
+                state["docs"] = []
             if not final and state["n_held"] < step:
                 return
             ids = np.concatenate(state["held"]) if state["held"] else np.empty(0, enc.dtype)
@@ -93,32 +82,31 @@ def _write(uri: str, tokenizer: str, end_id: int, length: int):
 
         def finish() -> pa.RecordBatch:
             push(final=True)
-            state["writer"].close()
-            state["out"].close()
-            name = f"part-{state['part']:06d}.arrow"
-            index = pa.table({"doc_id": pa.array([d for d, _, _ in state["docs"]], pa.int64()), "start": pa.array([s for _, s, _ in state["docs"]], pa.int64()),
-                              "n_tokens": pa.array([n for _, _, n in state["docs"]], pa.int64())})
-            tmp = f"{root}/_{uuid.uuid4().hex}"
-            with fs.open_output_stream(tmp, compression=None) as out, pa.ipc.new_stream(out, index.schema) as w:
-                w.write_table(index)
-            fs.move(tmp, f"{root}/{name}.index")
+            for x in ("writer", "out", "index", "out_index"):
+                state[x].close()
+            name = f"part-{state['part']:06d}-{state['number']:04d}.arrow"
+            fs.move(state["tmp_index"], f"{root}/{name}.index")
             fs.move(state["tmp"], f"{root}/{name}")
-            done = pa.RecordBatch.from_pydict({"part": pa.array([state["part"]], pa.int32()), "file": [name], "total": pa.array([state["total"]], pa.int64()), "docs": pa.array([len(state["docs"])], pa.int64())})
+            done = pa.RecordBatch.from_pydict({"part": pa.array([state["part"]], pa.int32()), "number": pa.array([state["number"]], pa.int32()), "file": [name],
+                                               "total": pa.array([state["total"]], pa.int64()), "docs": pa.array([state["n_docs"]], pa.int64())})
             state.clear()
             return done
 
-        # Rows come sorted by range, then id: one file after another.
+        # Rows come sorted by part, then id: one file after another.
         for b in batches:
             for part, doc, text in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), b.column("text")):
-                if state and state["part"] != part:
+                number = 0
+                if state and (state["part"] != part or state["total"] >= file_ids):
+                    number = state["number"] + 1 if state["part"] == part else 0
                     yield finish()
                 if not state:
-                    begin(part)
+                    begin(part, number)
                 ids = np.append(enc.encode(text.as_py()), enc.dtype.type(end_id))
                 state["docs"].append((doc, state["total"], len(ids)))
                 state["held"].append(ids)
                 state["n_held"] += len(ids)
                 state["total"] += len(ids)
+                state["n_docs"] += 1
                 push(final=False)
         if state:
             yield finish()
@@ -126,17 +114,26 @@ def _write(uri: str, tokenizer: str, end_id: int, length: int):
     return run
 
 
+_MANIFEST = "part int, number int, file string, total long, docs long"
+
+
 def write_token_files(docs: DataFrame, uri: str | None = None, tokenizer: str | None = None, end_id: int = END_ID, length: int = SEQUENCE,
-                      parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the files; returns the manifest (uri, part, file, total, docs), one row per file."""
+                      parts: int | None = None, file_ids: int = FILE_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write the files; returns the manifest (uri, part, number, file, total, docs), one row per file.
+
+    ``parts`` is the least number of tasks; by default there are as many as
+    shuffle partitions, and more where the bytes ask for them.
+    """
     spark = docs.sparkSession
     ship(spark)
     uri = uri or scratch_uri(spark, "token-files")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
-    parts = min(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_FILES)
-    bounds = range_bounds(rows.select("doc_id"), parts)
-    dealt = rows.withColumn("part", range_of(F.col("doc_id"), bounds)).repartition(len(bounds) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text")
-    done = dealt.select("part", "doc_id", "text").mapInArrow(_write(uri, tokenizer or default_tokenizer(), end_id, length), "part int, file string, total long, docs long")
+    ranges = byte_ranges(rows, parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if ranges is None:
+        return spark.createDataFrame([], _MANIFEST).withColumn("uri", F.lit(uri))
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    dealt = hashed.withColumn("part", ranges.part_of(F.col("doc_id"), F.col("h"))).repartitionById(ranges.parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "h", "text")
+    done = dealt.select("part", "doc_id", "text").mapInArrow(_write(uri, tokenizer or default_tokenizer(), end_id, length, file_ids), _MANIFEST)
     return materialise(done.withColumn("uri", F.lit(uri)), "token-manifest")
 
 
@@ -150,16 +147,22 @@ class TokenFile:
         self.length = reader.schema.field("ids").type.list_size
         self.ends = np.cumsum([b.num_rows for b in self.batches])
 
-    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, mask) of sequence ``k``."""
+    def _rows(self, k: int, column: str) -> pa.Array:
         b = int(np.searchsorted(self.ends, k, "right"))
         row = k - (int(self.ends[b - 1]) if b else 0)
-        cut = slice(row * self.length, (row + 1) * self.length)
-        return tuple(self.batches[b].column(c).values.to_numpy(zero_copy_only=True)[cut] for c in ("ids", "mask"))
+        return self.batches[b].column(column).values.slice(row * self.length, self.length)
+
+    def ids(self, k: int) -> np.ndarray:
+        """The ids of sequence ``k``, as they lie in the file."""
+        return self._rows(k, "ids").to_numpy(zero_copy_only=True)
+
+    def mask(self, k: int) -> pa.BooleanArray:
+        """The mask of sequence ``k``, as its bits lie in the file."""
+        return self._rows(k, "mask")
 
     def span(self, start: int, n: int) -> np.ndarray:
         """``n`` ids from position ``start`` of the file's stream."""
-        rows = [self.sequence(k)[0] for k in range(start // self.length, -(-(start + n) // self.length))]
+        rows = [self.ids(k) for k in range(start // self.length, -(-(start + n) // self.length))]
         ids = rows[0] if len(rows) == 1 else np.concatenate(rows)
         at = start % self.length
         return ids[at:at + n]
@@ -171,11 +174,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fs, root = pafs.FileSystem.from_uri(uri)
             tokens = TokenFile(fs, f"{root}/{name}")
             with fs.open_input_file(f"{root}/{name}.index") as f:
-                index = pa.ipc.open_stream(f).read_all()
-            start, count = index.column("start").to_numpy(), index.column("n_tokens").to_numpy()
-            sums = [crc32_u4(tokens.span(s, n)) for s, n in zip(start.tolist(), count.tolist())]
-            out = pa.table({"doc_id": index.column("doc_id"), "start": start + base, "n_tokens": count, "ids_crc32": pa.array(sums, pa.int64())})
-            yield from out.to_batches(max_chunksize=50_000)
+                for index in pa.ipc.open_stream(f):
+                    start, count = index.column("start").to_numpy(), index.column("n_tokens").to_numpy()
+                    sums = [crc32_u4(tokens.span(s, n)) for s, n in zip(start.tolist(), count.tolist())]
+                    yield pa.RecordBatch.from_pydict({"doc_id": index.column("doc_id"), "start": start + base, "n_tokens": count, "ids_crc32": pa.array(sums, pa.int64())})
 
 
 def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -184,9 +186,9 @@ def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     ``base``, the ids in all files before, is a running sum over one row per file.
     """
     ship(spark)
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    placed = manifest.withColumn("base", F.coalesce(F.sum("total").over(before), F.lit(0))).select("part", "uri", "file", "base")
-    spread = placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part")
+    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
+    placed = manifest.withColumn("base", F.coalesce(F.sum("total").over(before), F.lit(0))).select("uri", "file", "base")
+    spread = placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file")
     return spread.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
