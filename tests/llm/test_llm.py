@@ -565,6 +565,19 @@ def test_rules_are_learned(spark):
     assert rules and all(r.precision >= 0.9 for r in rules)
     bad = {k for k, _, q in rows if not q}
     assert {r["doc_id"] for r in out.collect() if not r["kept"]} == bad
+    # The verdict, rule by rule in plain Python.
+    for r in out.collect():
+        holds = [all((r[c.feature] > c.threshold) == c.above for c in rule.conditions) for rule in rules]
+        assert r["rule"] == (holds.index(True) + 1 if any(holds) else 0) and r["kept"] == (not r["base_failed"] and not any(holds))
+    kept = quality.kept_rows(d.withColumn("n_words", F.lit("clash")), d)
+    assert {r["doc_id"] for r in kept.collect()} == {k for k, _, q in rows if q} and kept.columns == ["doc_id", "text", "quality", "n_words"]
+
+
+def test_few_labels_and_repeated_ones(spark):
+    d = spark.createDataFrame([(k % 3, BASE + f" {k}") for k in range(12)] + [(None, BASE)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, None), (None, 0), (99, 0)], "doc_id long, quality int")
+    out, rules = quality.judged(d, labels)
+    assert rules == [] and out.count() == 13 and out.filter("kept").count() == 13
 
 
 # --- 8: Jaccard

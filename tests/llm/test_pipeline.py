@@ -2,7 +2,8 @@
 
 import re
 
-from corpus_pipeline import STAGES
+import numpy as np
+from corpus_pipeline import STAGES, run
 from wickflow.llm.common import materialise
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -26,3 +27,30 @@ def test_stages(spark, tmp_path):
     assert ids["n-gram jaccard join"] == list(range(20)) == ids["secret scans"]
     assert set(ids["mixing sources to target weights"]) <= set(range(20)) and len(ids["mixing sources to target weights"]) >= 20
     assert "sequence_id" in docs.columns and set(ids["best-fit packing"]) == set(ids["mixing sources to target weights"])
+
+
+def test_run_with_labels(spark, tmp_path):
+    """The learned list takes part: texts like those labelled bad go, and nothing else does."""
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(500)]
+    rows, bad = [], set()
+    for k in range(400):
+        w = list(rng.choice(words, 40, replace=False))
+        if k % 5 == 0:
+            w = [x + "***" for x in w]
+            bad.add(k)
+        t = " ".join(w)
+        rows.append((k, t, "en", f"s{k % 2}", len(t)))
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(k not in bad)) for k in range(400) if k % 4], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = STAGES[0][1](spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path))
+    assert {r["doc_id"] for r in kept.collect()} == set(range(400)) - bad and kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    out = run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in out} == set(range(400)) - bad
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in out)
+    for a, b in zip(places, places[1:]):
+        assert b[1] == (a[1] + a[2] if a[0] == b[0] else 0) and b[1] + b[2] <= 4096
+    empty = str(tmp_path / "empty")
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{empty}/labels.parquet")
+    assert run(spark, empty).count() == 0

@@ -145,7 +145,7 @@ def assign(items: DataFrame, capacity: int) -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, capacity: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece with its sequence and offset there."""
-    pieces = materialise(pieces_of(docs, tokenizer or default_tokenizer(), end_id, capacity, id_col, text_col), "pack-pieces")
+    pieces = pieces_of(docs, tokenizer or default_tokenizer(), end_id, capacity, id_col, text_col)
     numbered = materialise(pieces.withColumn("item", F.monotonically_increasing_id()), "pack-items")
     small = assign(numbered.filter(F.col("length") < capacity).select("item", "length"), capacity)
     whole = numbered.filter(F.col("length") >= capacity).withColumn("sequence_id", -F.col("item") - 1).withColumn("offset", F.lit(0).cast("long"))

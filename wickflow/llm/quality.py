@@ -25,7 +25,7 @@ from wickflow.llm.common import SPACE, materialise, text_of
 #: Words in a repeated-passage window.
 WINDOW = 5
 #: Most labelled rows that take part in learning.
-MAX_LABELLED = 200_000
+MAX_LABELLED = 50_000
 #: Histogram bins per statistic: candidate thresholds are their edges.
 BINS = 64
 #: Ratio statistics that conditions may test.
@@ -240,42 +240,41 @@ def verdict(rules: list[Rule]) -> Column:
     return out.otherwise(0) if out is not None else F.lit(0)
 
 
-def learned(stats: DataFrame, labels: DataFrame) -> list[Rule]:
-    """The list learned from a table of statistics and ``labels`` (doc_id, quality).
+def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Rule]:
+    """The list learned from ``docs`` and ``labels`` (doc_id, quality).
 
-    At most ``MAX_LABELLED`` labelled rows, by hash of the id, take part.
+    At most about ``MAX_LABELLED`` labelled rows, by hash of the id, take part;
+    statistics are taken of their texts alone. Repeated labels of an id count as
+    the best of them; a label without a document is left out.
     """
     marks = labels.select(F.col("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality is not null")
     n = marks.count()
     if n > MAX_LABELLED:
         marks = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * MAX_LABELLED / n))
-    marks = marks.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = stats.filter(~base_failed()).join(marks, "doc_id").select(
-        *FEATURES, (F.col("quality") == 0).cast("long").alias("y"), F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(3)).alias("fold"))
-    return learn_rules(materialise(rows.coalesce(max(1, min(8, n // 20_000))), "quality-labelled"))
+    marks = marks.groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").alias("__quality")).limit(2 * MAX_LABELLED)
+    # The marks are bounded, so they are broadcast and the texts don't move.
+    marked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "__id").select(F.struct("__id", "__quality").alias("row"), "text")
+    rows = materialise(text_stats(marked, id_col="row"), "quality-labelled").filter(~base_failed()).select(
+        *FEATURES, (F.col("doc_id.__quality") == 0).cast("long").alias("y"), F.pmod(F.xxhash64(F.lit("fold"), "doc_id.__id"), F.lit(3)).alias("fold"))
+    return learn_rules(materialise(rows.coalesce(max(1, min(8, n // 20_000))), "quality-learnt"))
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[Rule]]:
-    """Statistics of every row with base_failed, rule and kept; the learned list.
-
-    Statistics are written once to the shared folder, so the texts are read
-    once however many passes the learning takes.
-    """
-    stats = materialise(text_stats(docs, id_col, text_col), "quality-stats")
-    rules = learned(stats, labels)
-    return stats.withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules)).withColumn(
+    """Statistics of every row with base_failed, rule and kept; the learned list. One pass over all texts."""
+    rules = learned(docs, labels, id_col, text_col)
+    return text_stats(docs, id_col, text_col).withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules)).withColumn(
         "kept", ~F.col("base_failed") & (F.col("rule") == 0)), rules
 
 
 def kept_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns.
 
-    A first pass over the texts leaves the statistics to learn from; a second
-    judges each row where it is, so no text is shuffled. The row number keeps
-    the optimizer from pushing the filter below the statistics, which would
-    repeat their expressions once per use.
+    Rules are learned from the labelled sample first; one pass then judges each
+    row where it is, so no text is shuffled. The row number keeps the optimizer
+    from pushing the filter below the statistics, which would repeat their
+    expressions once per use.
     """
-    rules = learned(materialise(text_stats(docs), "quality-stats"), labels)
+    rules = learned(docs, labels)
     rows = text_stats(docs.withColumn("__row", F.struct(*docs.columns)), id_col="__row").withColumn("__n", F.monotonically_increasing_id())
     return rows.filter((F.col("__n") >= 0) & ~base_failed() & (verdict(rules) == 0)).select("doc_id.*")
 
