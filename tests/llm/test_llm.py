@@ -4,6 +4,7 @@ import base64
 import glob
 import hashlib
 import io
+import math
 import re
 import time
 import zlib
@@ -355,6 +356,47 @@ def test_machine_learns_pairs():
     assert m.score([0, 1]) > 0.9 and m.score([0]) < 0.2 and m.score([1]) < 0.2 and m.score([]) < 0.1
 
 
+def test_pairs_are_learned_from_texts(spark):
+    """Neither insult nor group tells by itself which pairs are toxic; without factors that is missed."""
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcdef"), 6)) for _ in range(300)]
+    rows = []
+    for k in range(3000):
+        insult, group = (rng.choice(["moron", "vermin"]), rng.choice(["gnomes", "trolls"])) if k % 2 else ("", "")
+        text = [*rng.choice(words, 12), insult, *rng.choice(words, 5), group]
+        rows.append((k, " ".join(text), int((insult, group) in (("moron", "gnomes"), ("vermin", "trolls")))))
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = toxicity.train(d, d)
+    flat = toxicity.Machine(m.bias, m.terms, m.weights, np.zeros_like(m.factors))
+
+    def accuracy(machine):
+        got = {r["doc_id"]: r["score"] for r in toxicity.score_texts(d.select("doc_id", "text"), machine).collect()}
+        held = [(k, t, y) for k, t, y in rows if zlib.crc32(str(k).encode()) % 5 == 0]
+        # Scores by brute force: every weight and every pair of terms in the text.
+        for k, t, _ in held[:60]:
+            at = sorted({machine.terms[x] for x in toxicity.text_terms(t) if x in machine.terms})
+            z = machine.bias + sum(machine.weights[i] for i in at) + sum(float(machine.factors[i] @ machine.factors[j]) for n, i in enumerate(at) for j in at[:n])
+            assert abs(got[k] - 1 / (1 + math.exp(-z))) < 1e-9
+        return sum((got[k] >= 0.5) == bool(y) for k, _, y in held) / len(held)
+
+    assert accuracy(m) > 0.95 and accuracy(flat) < 0.85
+
+
+def test_terms_that_lower_a_score_are_screened(spark):
+    """A word that turns an insult harmless is learned, though it is rare beside clean rows in all."""
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abcdef"), 6)) for _ in range(300)]
+    rows = []
+    for k in range(3000):
+        insult, joke = bool(k % 3 == 0), bool(rng.random() < 0.4)
+        rows.append((k, " ".join([*rng.choice(words, 12), *["moron"] * insult, *["jesting"] * joke]), int(insult and not joke)))
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = toxicity.train(d, d)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(d, d).filter("held_out").collect()}
+    assert {t for t in toxicity.terms_of("jesting")} & set(m.terms)
+    assert sum(got[k] == y for k, _, y in rows if k in got) / len(got) > 0.97
+
+
 def test_toxicity_ignores_held_out_labels(spark, docs, empty):
     rng = np.random.default_rng(1)
     words = ["".join(rng.choice(list("abcdef"), 5)) for _ in range(200)]

@@ -1,10 +1,13 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
-Terms are words and word prefixes, hashed to 62 bits. Terms are screened
-on labelled rows by how far their share among toxic rows lies above that among
-others; the machine learns a weight and a factor vector for each kept term, so
-pairs of terms (an insult with a group mention) add what single weights miss.
-Scoring is one pass over all texts without a shuffle.
+Terms are words and word prefixes, hashed to 62 bits. Terms are screened on
+labelled rows, both ways: by how far their share among toxic rows lies from
+that among others, in all rows and once more in the rows that hold a term of
+the first screen. So a group mention that counts only beside an insult enters
+as well as words that speak for a clean text. The machine learns a weight and a
+factor vector for each kept term, and pairs of terms (an insult with a group
+mention) add what single weights miss. Scoring is one pass over all texts
+without a shuffle.
 
 Learning uses at most ``MAX_LABELLED`` labelled rows, chosen by a hash of the
 id, never the held-out fifth, and each distinct text once. Scores depend on the
@@ -29,10 +32,10 @@ from wickflow.llm.common import materialise, ship, text_of
 
 #: Most labelled rows that are learned from.
 MAX_LABELLED = 20_000
-#: Most terms the machine knows.
-MAX_TERMS = 1024
-#: Least screening score of a term, in standard deviations.
-MIN_Z = 4.9
+#: Most terms of either screen, the clearest first.
+MAX_TERMS = 2048
+#: Least screening score of a term, in standard deviations, and least rows that hold it.
+MIN_Z, MIN_ROWS = 4.9, 5
 FACTORS = 8
 PREFIXES = (4, 5, 6)
 #: Most distinct pieces of text whose terms a worker remembers.
@@ -106,16 +109,39 @@ def fit(rows: list[list[int]], labels: list[int], terms: list[int], epochs: int
     return Machine(float(params[0][0]), {t: i for i, t in enumerate(terms)}, params[1].astype(np.float64), params[2].astype(np.float64))
 
 
-def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows per term by label; a task counts its share of the bounded sample."""
-    seen = (Counter(), Counter())
-    for b in batches:
-        for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
-            seen[y].update(text_terms(text))
-    keys = list(seen[0].keys() | seen[1].keys())
-    for s in range(0, len(keys), 50_000):
-        cut = keys[s:s + 50_000]
-        yield pa.RecordBatch.from_pydict({"term": pa.array(cut, pa.int64()), "neg": pa.array([seen[0][t] for t in cut], pa.int64()), "pos": pa.array([seen[1][t] for t in cut], pa.int64())})
+def _count_terms(anchors: frozenset[int] | None):
+    """Rows per term by label, and in all as term -1; a task counts its share of the bounded sample.
+
+    With ``anchors`` only rows that hold one of them count.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = (Counter(), Counter())
+        for b in batches:
+            for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
+                terms = text_terms(text)
+                if anchors is None or not anchors.isdisjoint(terms):
+                    seen[y].update(terms)
+                    seen[y][-1] += 1
+        keys = list(seen[0].keys() | seen[1].keys())
+        for s in range(0, len(keys), 50_000):
+            cut = keys[s:s + 50_000]
+            yield pa.RecordBatch.from_pydict({"term": pa.array(cut, pa.int64()), "neg": pa.array([seen[0][t] for t in cut], pa.int64()), "pos": pa.array([seen[1][t] for t in cut], pa.int64())})
+
+    return run
+
+
+def _screen(sample: DataFrame, anchors: frozenset[int] | None = None) -> list[tuple[int, float]]:
+    """(term, z) of the terms whose share among toxic rows differs clearly from that among others."""
+    counts = materialise(sample.mapInArrow(_count_terms(anchors), "term long, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")), "toxic-terms")
+    every = counts.filter("term = -1").first()
+    neg, pos = (every["neg"], every["pos"]) if every else (0, 0)
+    if not neg or not pos:
+        return []
+    share = (F.col("neg") + F.col("pos")) / (neg + pos)
+    z = (F.col("pos") / pos - F.col("neg") / neg) / F.sqrt(share * (1.000001 - share) * (1 / pos + 1 / neg))
+    clear = counts.filter((F.col("term") >= 0) & (F.col("neg") + F.col("pos") >= MIN_ROWS)).withColumn("z", z).filter(F.abs("z") >= MIN_Z)
+    return [(r["term"], r["z"]) for r in clear.orderBy(F.desc(F.abs("z")), "term").limit(MAX_TERMS).collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Machine | None:
@@ -129,15 +155,13 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     # The sample's size is bounded, so it is broadcast and the texts don't move.
     rows = docs.join(F.broadcast(marks), "doc_id").select("y", "text")
     sample = materialise(rows.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n")).agg(F.max("y").alias("y"), F.first("text").alias("text")).select("y", "text"), "toxic-sample")
-    totals = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")).first()
-    n, pos = totals["n"], totals["pos"]
-    if not pos or pos == n:
-        return None
-    counts = sample.mapInArrow(_count_terms, "term long, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    share = (F.col("neg") + F.col("pos")) / n
-    z = (F.col("pos") / pos - F.col("neg") / (n - pos)) / F.sqrt(share * (1.000001 - share) * (1 / pos + 1 / (n - pos)))
-    best = counts.filter(F.col("pos") >= max(3, 0.004 * pos)).withColumn("z", z).filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect()
-    terms = [r["term"] for r in best]
+    first = _screen(sample)
+    if not first:
+        totals = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")).first()
+        if not totals["pos"] or totals["pos"] == totals["n"]:
+            return None
+    toxic = frozenset(t for t, z in first if z > 0)
+    terms = list(dict.fromkeys([t for t, _ in first] + [t for t, _ in (_screen(sample, toxic) if toxic else [])]))
     known = {t: i for i, t in enumerate(terms)}
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
