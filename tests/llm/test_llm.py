@@ -801,6 +801,25 @@ def test_signatures_are_gated_and_match(spark):
     assert "cc-by-sa" in got[8]
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("// SPDX-License-Identifier: GPL-2.0-or-later OR MIT\nint main", "gpl-2,mit"), ("# SPDX-License-Identifier: (Apache-2.0 AND BSD-3-Clause)\nmore words", "apache-2,bsd-3-clause"),
+    ("/* SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 */ LGPL next", "gpl-2"), ("<!-- spdx-license-identifier: CC0-1.0 -->", "cc0"), ("SPDX-License-Identifier:\nMIT", ""),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gpl-3"),
+    ("under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License", "lgpl-2.1"),
+    ("Copyright 2020 A. All rights reserved. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "mit"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted. Neither the name of the Foo Institute nor the names of its contributors may be used to endorse or promote products derived from this software", "bsd,bsd-3-clause"),
+    ("All rights reserved by the publisher of this novel.", ""), ("Unauthorized copying of this file, via any medium is strictly prohibited. Proprietary and confidential", "proprietary"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2"), ("The Software shall be used for Good, not Evil.", "json")])
+def test_texts_and_expressions(spark, text, want):
+    assert licenses.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["labels"] == want
+
+
+def test_gate_passes_every_sentence():
+    for label, keyword, body in licenses.SENTENCES:
+        for x in expansions(re._parser.parse(body)):
+            assert keyword in x and any(g in f" {x} " for g in licenses.GATE), (label, x)
+
+
 def expansions(parsed):
     """All texts that a signature expression stands for, one optional part at a time there or not."""
     out = [""]
@@ -809,14 +828,14 @@ def expansions(parsed):
         if name == "LITERAL":
             more = [chr(arg)]
         elif name == "IN":
-            more = [chr(a) for _, a in arg]
+            more = [chr(a) if str(o) == "LITERAL" else "w" for o, a in arg]
         elif name == "BRANCH":
             more = [x for p in arg[1] for x in expansions(p)]
         elif name == "SUBPATTERN":
             more = expansions(arg[3])
         else:
-            assert name == "MAX_REPEAT" and arg[:2] == (0, 1)
-            more = ["", *expansions(arg[2])]
+            assert name in ("MAX_REPEAT", "MIN_REPEAT")
+            more = [*[""] * (arg[0] == 0), *expansions(arg[2])]
         out = [a + b for a in out for b in more]
     return out
 
