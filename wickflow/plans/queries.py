@@ -203,13 +203,25 @@ def trade_exits(spark, d):
     return backtest.exits(df).select("pair", "ts", "close_reason", "exit_ts")
 
 
-@_add()
+_TRADE = ("confidence", "entry_price", "tp_price", "sl_price", "liquidation_price", "size_usdt", "notional_usdt", "fee_entry_usdt", "exit_price", "fee_exit_usdt", "bucket_balance_after")
+_MONEY = ("pnl_gross_usdt", "pnl_net_usdt", "pnl_pct")
+
+
+@_add(sql.query(sql.simulation(LOOSE), """SELECT pair, side AS direction, pattern, ts AS entry_ts, exit_ts, close_reason, forced, CAST(greatest((exit_ts - ts) // 900000, 1) AS INTEGER) AS hold_candles,
+confidence, round(fill, 6) AS entry_price, round(tp_price, 6) AS tp_price, round(sl_price, 6) AS sl_price, round(liquidation_price, 6) AS liquidation_price, size_usdt, round(notional, 6) AS notional_usdt,
+round(fee, 6) AS fee_entry_usdt, round(price, 6) AS exit_price, round(fee, 6) AS fee_exit_usdt, round(10 + net, 4) AS bucket_balance_after, round(gross, 5) AS pnl_gross_usdt, round(net, 5) AS pnl_net_usdt,
+round(net / size_usdt * 100, 4) AS pnl_pct FROM fate WHERE taken"""))
 def backtest_trades(spark, d):
-    """Sequential occupancy; tested against a row-by-row simulator."""
-    return backtest.trades(backtest.backtest(_enriched(spark, d), LOOSE)).drop("bot_id", "timeframe")
+    """Sequential occupancy; tested against a row-by-row simulator too."""
+    t = backtest.trades(backtest.backtest(_enriched(spark, d), LOOSE))
+    return t.select("pair", "direction", "pattern", "entry_ts", "exit_ts", "close_reason", "forced", "hold_candles", *[F.round(c, 6).alias(c) for c in _TRADE], *[F.round(c, 4 if c == "pnl_pct" else 5).alias(c) for c in _MONEY])
 
 
-@_add()
+@_add(sql.query(sql.simulation(LOOSE), """SELECT pair, ts, CASE WHEN outcome = 'fired' AND (risk_reason IS NOT NULL OR NOT coalesce(taken, false)) THEN 'rejected' ELSE outcome END AS outcome,
+CASE WHEN outcome = 'fired' THEN CASE WHEN risk_reason IS NOT NULL OR NOT coalesce(taken, false) THEN 'risk' END ELSE stage END AS stage,
+CASE WHEN outcome = 'fired' THEN coalesce(risk_reason, CASE WHEN NOT coalesce(taken, false) THEN 'daily_loss_limit' END) ELSE reason END AS reason,
+CASE WHEN risk_reason IS NULL AND taken THEN pattern END AS pattern, CASE WHEN risk_reason IS NULL AND taken THEN side END AS direction, CASE WHEN risk_reason IS NULL AND taken THEN confidence END AS confidence
+FROM fate WHERE NOT held"""))
 def backtest_signal_log(spark, d):
     return backtest.signal_log(backtest.backtest(_enriched(spark, d), LOOSE)).drop("bot_id", "timeframe")
 

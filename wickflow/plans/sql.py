@@ -65,22 +65,29 @@ ind AS (SELECT *, CASE WHEN len(el) < 14 THEN 50.0 WHEN al = 0 THEN 100.0 ELSE 1
                CASE WHEN len(tl) < 14 THEN 0.0 ELSE {wilder('dx', 14)} END AS adx, sma20 + band AS bb_upper, sma20 - band AS bb_lower,
                CASE WHEN n20 >= 20 AND sma20 <> 0 THEN 2 * band / sma20 ELSE 0.0 END AS bb_width, least(rn, {FRAME}) AS n FROM dxs)"""
 
-GATES = INDICATORS + f""",
-reg AS (SELECT *, CASE WHEN n < 2 THEN NULL WHEN atr14 < coalesce(atr50_w, atr14) * {P.atr_quiet_multiplier} OR volume_ratio < 0.7 THEN 'QUIET'
-                       WHEN atr14 > coalesce(atr50_w, atr14) * {P.atr_volatile_multiplier} AND adx > 15 THEN 'VOLATILE'
-                       WHEN adx > {P.adx_trend_min} AND (CASE WHEN ema21 <> 0 THEN abs(ema9 - ema21) / ema21 ELSE 0 END) > {P.ema_spread_threshold} THEN 'TRENDING' ELSE 'RANGING' END AS regime,
+def gates(p: Params) -> str:
+    """Regime, trend and volume gates of each candle."""
+    return INDICATORS + f""",
+reg AS (SELECT *, CASE WHEN n < 2 THEN NULL WHEN atr14 < coalesce(atr50_w, atr14) * {p.atr_quiet_multiplier} OR volume_ratio < 0.7 THEN 'QUIET'
+                       WHEN atr14 > coalesce(atr50_w, atr14) * {p.atr_volatile_multiplier} AND adx > 15 THEN 'VOLATILE'
+                       WHEN adx > {p.adx_trend_min} AND (CASE WHEN ema21 <> 0 THEN abs(ema9 - ema21) / ema21 ELSE 0 END) > {p.ema_spread_threshold} THEN 'TRENDING' ELSE 'RANGING' END AS regime,
                CASE WHEN ema9 > ema21 THEN 1 WHEN ema9 < ema21 THEN -1 ELSE 0 END AS k,
-               CASE WHEN ema9 > ema21 AND rsi14 BETWEEN {P.rsi_low} AND {P.rsi_long_max} THEN 'long' WHEN ema9 < ema21 AND rsi14 BETWEEN {P.rsi_short_min} AND {P.rsi_high} THEN 'short' END AS trend FROM ind),
+               CASE WHEN ema9 > ema21 AND rsi14 BETWEEN {p.rsi_low} AND {p.rsi_long_max} THEN 'long' WHEN ema9 < ema21 AND rsi14 BETWEEN {p.rsi_short_min} AND {p.rsi_high} THEN 'short' END AS trend FROM ind),
 str AS (SELECT *, min(k) OVER s AS lo, max(k) OVER s AS hi, count(k) OVER s AS pairs FROM reg WINDOW s AS ({_W} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)),
 gat AS (SELECT *, n < 4 OR pairs < 2 OR coalesce(CASE WHEN trend = 'long' THEN lo = 1 WHEN trend = 'short' THEN hi = -1 END, false) AS streak_ok,
-               CASE session WHEN 'asian' THEN 1.2 WHEN 'london' THEN 1.0 ELSE 0.9 END::DOUBLE * {P.volume_ratio_min}::DOUBLE AS volume_threshold FROM str),
+               CASE session WHEN 'asian' THEN 1.2 WHEN 'london' THEN 1.0 ELSE 0.9 END::DOUBLE * {p.volume_ratio_min}::DOUBLE AS volume_threshold FROM str),
 gate AS (SELECT *, CASE WHEN n < 2 THEN 'insufficient_candles' WHEN regime = 'QUIET' THEN 'quiet_regime' END AS regime_reject,
-                CASE WHEN n < {P.ema_slow + 1} THEN 'insufficient_candles' WHEN trend IS NULL THEN 'no_trend_alignment' WHEN NOT streak_ok THEN 'no_trend_streak' END AS trend_reject,
+                CASE WHEN n < {p.ema_slow + 1} THEN 'insufficient_candles' WHEN trend IS NULL THEN 'no_trend_alignment' WHEN NOT streak_ok THEN 'no_trend_streak' END AS trend_reject,
                 CASE WHEN volume_ratio < volume_threshold THEN 'volume_ratio_below_threshold' END AS volume_reject FROM gat)"""
 
+
 _lag = ", ".join(f"lag({c}, {k}) OVER w AS {c}_{k}" for c in ("open", "close", "volume", "body_size", "body_ratio", "volume_ratio", "bb_width", "direction") for k in range(1, 5))
 _bb = " AND ".join(f"bb_width_{k + 1} >= bb_width{'_' + str(k) if k else ''}" for k in range(4))
-PATTERNS = GATES + f""",
+
+
+def patterns(p: Params) -> str:
+    """Direction and confidence of each detector."""
+    return gates(p) + f""",
 lg AS (SELECT *, {_lag}, min(low) OVER t AS low10, max(high) OVER t AS high10, avg(volume) OVER q AS vma_prev, stddev_pop(volume) OVER q AS vsd_prev
        FROM gate WINDOW w AS ({_W}), t AS ({_W} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), q AS ({_W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
 pre AS (SELECT *, CASE WHEN body_size_1 > 0 THEN body_size / body_size_1 ELSE 0 END AS share, CASE WHEN total_range > 0 THEN (close - low) / total_range ELSE 0 END AS place,
@@ -88,22 +95,22 @@ pre AS (SELECT *, CASE WHEN body_size_1 > 0 THEN body_size / body_size_1 ELSE 0
                CASE WHEN body_size_2 > 0 THEN body_size_1 / body_size_2 ELSE 1 END AS growth, CASE WHEN vma_prev > 0 THEN volume_1 / vma_prev ELSE 1 END AS times,
                CASE WHEN direction_1 = 'bullish' THEN 'long' ELSE 'short' END AS side_1 FROM lg),
 pat AS (SELECT *,
-  n >= 3 AND body_ratio_1 >= {P.body_ratio_min} AND volume_ratio_1 >= {P.volume_ratio_min} AND body_size_1 > 0 AND share BETWEEN {P.retracement_min} AND {P.retracement_max}
+  n >= 3 AND body_ratio_1 >= {p.body_ratio_min} AND volume_ratio_1 >= {p.volume_ratio_min} AND body_size_1 > 0 AND share BETWEEN {p.retracement_min} AND {p.retracement_max}
     AND volume < volume_1 AND direction <> direction_1 AND CASE WHEN direction_1 = 'bullish' THEN close >= open_1 ELSE close <= open_1 END AS f_impulse,
-  n >= 3 AND atr14 <> 0 AND body_size <> 0 AND total_range <> 0 AND lw >= {P.wick_ratio_min} AND place >= 0.7 AND abs(low - low10) <= atr14 AS f_wick_long,
-  n >= 3 AND atr14 <> 0 AND body_size <> 0 AND total_range <> 0 AND uw >= {P.wick_ratio_min} AND place <= 0.3 AND abs(high - high10) <= atr14 AS f_wick_short,
-  n >= 25 AND tr20 <> 0 AND tr5 < tr20 * {P.compression_factor} AND {_bb} AND volume_3 >= volume_2 AND volume_2 >= volume_1 AND volume_ratio >= 1.5
+  n >= 3 AND atr14 <> 0 AND body_size <> 0 AND total_range <> 0 AND lw >= {p.wick_ratio_min} AND place >= 0.7 AND abs(low - low10) <= atr14 AS f_wick_long,
+  n >= 3 AND atr14 <> 0 AND body_size <> 0 AND total_range <> 0 AND uw >= {p.wick_ratio_min} AND place <= 0.3 AND abs(high - high10) <= atr14 AS f_wick_short,
+  n >= 25 AND tr20 <> 0 AND tr5 < tr20 * {p.compression_factor} AND {_bb} AND volume_3 >= volume_2 AND volume_2 >= volume_1 AND volume_ratio >= 1.5
     AND (close > bb_upper OR close < bb_lower) AS f_compression,
   n >= 4 AND direction_2 = direction_1 AND body_size_2 <= body_size_1 AND volume_2 <= volume_1 AND body_size_1 <> 0 AND body_size < 0.4::DOUBLE * body_size_1 AND volume < volume_1
     AND direction <> direction_1 AS f_momentum,
-  n >= 22 AND atr14_prev <> 0 AND volume_1 >= vma_prev + {P.anomaly_volume_stddev} * vsd_prev AND abs(close_1 - open_1) >= {P.anomaly_price_atr} * atr14_prev
+  n >= 22 AND atr14_prev <> 0 AND volume_1 >= vma_prev + {p.anomaly_volume_stddev} * vsd_prev AND abs(close_1 - open_1) >= {p.anomaly_price_atr} * atr14_prev
     AND CASE WHEN direction_1 = 'bullish' THEN close < close_1 ELSE close > close_1 END AS f_anomaly FROM pre),
 det AS (SELECT *,
   CASE WHEN f_impulse THEN side_1 END AS d_impulse,
-  CASE WHEN f_impulse THEN round(least(0.4::DOUBLE + body_ratio_1 * 0.3::DOUBLE + least(volume_ratio_1 / {P.volume_ratio_min}::DOUBLE - 1, 0.3::DOUBLE), 1), 3) END AS c_impulse,
+  CASE WHEN f_impulse THEN round(least(0.4::DOUBLE + body_ratio_1 * 0.3::DOUBLE + least(volume_ratio_1 / {p.volume_ratio_min}::DOUBLE - 1, 0.3::DOUBLE), 1), 3) END AS c_impulse,
   CASE WHEN f_wick_long THEN 'long' WHEN f_wick_short THEN 'short' END AS d_wick,
-  CASE WHEN f_wick_long THEN round(least(0.45::DOUBLE + (lw - {P.wick_ratio_min}) * 0.1::DOUBLE + place * 0.15::DOUBLE, 1), 3)
-       WHEN f_wick_short THEN round(least(0.45::DOUBLE + (uw - {P.wick_ratio_min}) * 0.1::DOUBLE + (1 - place) * 0.15::DOUBLE, 1), 3) END AS c_wick,
+  CASE WHEN f_wick_long THEN round(least(0.45::DOUBLE + (lw - {p.wick_ratio_min}) * 0.1::DOUBLE + place * 0.15::DOUBLE, 1), 3)
+       WHEN f_wick_short THEN round(least(0.45::DOUBLE + (uw - {p.wick_ratio_min}) * 0.1::DOUBLE + (1 - place) * 0.15::DOUBLE, 1), 3) END AS c_wick,
   CASE WHEN f_compression THEN CASE WHEN close > bb_upper THEN 'long' ELSE 'short' END END AS d_compression,
   CASE WHEN f_compression THEN round(least(0.5::DOUBLE + (volume_ratio - 1.5::DOUBLE) * 0.1::DOUBLE, 0.95::DOUBLE), 3) END AS c_compression,
   CASE WHEN f_momentum THEN side_1 END AS d_momentum,
@@ -111,23 +118,66 @@ det AS (SELECT *,
   CASE WHEN f_anomaly THEN CASE WHEN side_1 = 'long' THEN 'short' ELSE 'long' END END AS d_anomaly,
   CASE WHEN f_anomaly THEN round(least(0.5::DOUBLE + (times - 1) * 0.05::DOUBLE, 0.95::DOUBLE), 3) END AS c_anomaly FROM pat)"""
 
+
 #: (short name, pattern, regimes) in registration order.
 DETECTORS = (("impulse", "impulse_retracement", "('TRENDING')"), ("wick", "wick_rejection", "('RANGING')"), ("compression", "compression_breakout", "('VOLATILE')"),
              ("momentum", "momentum_continuation", "('TRENDING')"), ("anomaly", "anomaly_fade", "('VOLATILE', 'RANGING')"))
 _cands = ", ".join(
     f"CASE WHEN d_{s} = trend AND regime IN {r} AND (session <> 'overlap' OR '{name}' = 'compression_breakout') THEN "
     f"{{'confidence': round(c_{s} / (CASE WHEN session = 'asian' THEN 1.1 ELSE 1.0 END)::DOUBLE, 3), 'ord': {-k}, 'pattern': '{name}', 'direction': d_{s}}} END" for k, (s, name, r) in enumerate(DETECTORS))
-SIGNALS = PATTERNS + f""",
+
+
+def signals(p: Params) -> str:
+    """The fired signal or first rejection of each candle."""
+    return patterns(p) + f""",
 scn AS (SELECT *, list_max(list_filter([{_cands}], lambda z: z IS NOT NULL)) AS best FROM det),
 rej AS (SELECT *, CASE WHEN regime_reject IS NOT NULL THEN 'regime:' || regime_reject WHEN trend_reject IS NOT NULL THEN 'trend:' || trend_reject
-                       WHEN best IS NULL THEN 'pattern:no_pattern_fired' WHEN best.confidence < {P.min_confidence}::DOUBLE * (CASE WHEN session = 'asian' THEN 1.1 ELSE 1.0 END)::DOUBLE THEN 'pattern:confidence_below_min'
+                       WHEN best IS NULL THEN 'pattern:no_pattern_fired' WHEN best.confidence < {p.min_confidence}::DOUBLE * (CASE WHEN session = 'asian' THEN 1.1 ELSE 1.0 END)::DOUBLE THEN 'pattern:confidence_below_min'
                        WHEN volume_reject IS NOT NULL THEN 'volume:' || volume_reject WHEN coalesce(atr14, 0) = 0 THEN 'pattern:atr_unavailable' END AS rej FROM scn),
 sig AS (SELECT *, CASE WHEN rej IS NULL THEN 'fired' ELSE 'rejected' END AS outcome, split_part(rej, ':', 1) AS stage, split_part(rej, ':', 2) AS reason,
                CASE WHEN rej IS NULL THEN best.pattern END AS pattern, CASE WHEN rej IS NULL THEN best.direction END AS side, CASE WHEN rej IS NULL THEN best.confidence END AS confidence,
-               CASE WHEN rej IS NULL THEN round(close + (CASE WHEN best.direction = 'long' THEN 1 ELSE -1 END) * atr14 * {P.tp_atr_multiplier}::DOUBLE, 8) END AS tp_price,
-               CASE WHEN rej IS NULL THEN round(close - (CASE WHEN best.direction = 'long' THEN 1 ELSE -1 END) * atr14 * {P.sl_atr_multiplier}::DOUBLE, 8) END AS sl_price,
+               CASE WHEN rej IS NULL THEN round(close + (CASE WHEN best.direction = 'long' THEN 1 ELSE -1 END) * atr14 * {p.tp_atr_multiplier}::DOUBLE, 8) END AS tp_price,
+               CASE WHEN rej IS NULL THEN round(close - (CASE WHEN best.direction = 'long' THEN 1 ELSE -1 END) * atr14 * {p.sl_atr_multiplier}::DOUBLE, 8) END AS sl_price,
                CASE WHEN rej IS NULL THEN CASE WHEN best.confidence >= 0.75 THEN 10.0::DOUBLE ELSE 5.0::DOUBLE END END AS size_usdt FROM rej)"""
 
+
+def simulation(p: Params) -> str:
+    """Exits of all candles, and the walk over candidates: one position at a time, daily loss limit.
+
+    A candidate's successors, whether it is taken or not, are found beforehand,
+    so each step of the recursion is one look-up.
+    """
+    hold = p.max_hold_candles
+    return signals(p) + f""",
+fill AS (SELECT *, round(close, 8) AS entry, round(close, 8) * CASE WHEN side = 'long' THEN 1.0005::DOUBLE ELSE 0.9995::DOUBLE END AS fill, size_usdt * 20 AS notional FROM sig),
+liq AS (SELECT *, fill * CASE WHEN side = 'long' THEN 1 - 1.0::DOUBLE / 20 + 0.005::DOUBLE ELSE 1 + 1.0::DOUBLE / 20 - 0.005::DOUBLE END AS liquidation_price,
+  CASE WHEN outcome = 'fired' THEN CASE WHEN abs(sl_price - entry) = 0 THEN 'sl_distance_zero' WHEN abs(tp_price - entry) / abs(sl_price - entry) < 1.2::DOUBLE THEN 'rr_below_minimum'
+    WHEN abs(tp_price - entry) / nullif(entry, 0) * 100 <= (0.04::DOUBLE + 0.04::DOUBLE + 0.05::DOUBLE + 0.05::DOUBLE) * 1.5::DOUBLE THEN 'fee_not_viable' END END AS risk_reason,
+  max(rn) OVER (PARTITION BY pair) AS last_rn,
+  coalesce(list({{'rn': rn, 'ts': ts, 'h': high, 'l': low, 'c': close}}) OVER (PARTITION BY pair ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND {hold} FOLLOWING), []) AS ahead FROM fill),
+met AS (SELECT *, list_filter(list_transform(ahead, lambda b: {{'rn': b.rn, 'ts': b.ts, 'why': CASE WHEN side = 'long' THEN CASE WHEN b.h >= tp_price THEN 'take_profit' WHEN b.l <= sl_price THEN 'stop_loss' WHEN b.l <= liquidation_price THEN 'liquidated' END
+  ELSE CASE WHEN b.l <= tp_price THEN 'take_profit' WHEN b.h >= sl_price THEN 'stop_loss' WHEN b.h >= liquidation_price THEN 'liquidated' END END}}), lambda b: b.why IS NOT NULL) AS hits FROM liq),
+ends AS (SELECT *, CASE WHEN len(hits) > 0 THEN hits[1].why ELSE 'timeout' END AS close_reason, len(hits) = 0 AND len(ahead) < {hold} AS forced,
+  CASE WHEN len(hits) > 0 THEN hits[1].rn WHEN len(ahead) > 0 THEN ahead[-1].rn ELSE rn END AS exit_rn, CASE WHEN len(hits) > 0 THEN hits[1].ts WHEN len(ahead) > 0 THEN ahead[-1].ts ELSE ts END AS exit_ts FROM met),
+paid AS (SELECT *, CASE close_reason WHEN 'take_profit' THEN tp_price WHEN 'stop_loss' THEN sl_price WHEN 'liquidated' THEN liquidation_price ELSE coalesce(ahead[-1].c, close) END
+  * CASE WHEN side = 'long' THEN 0.9995::DOUBLE ELSE 1.0005::DOUBLE END AS price FROM ends),
+sim AS (SELECT *, (CASE WHEN side = 'long' THEN price - fill ELSE fill - price END) / fill * notional AS gross, notional * 0.0004::DOUBLE AS fee,
+  (CASE WHEN side = 'long' THEN price - fill ELSE fill - price END) / fill * notional - 2 * notional * 0.0004::DOUBLE AS net,
+  CASE WHEN forced THEN last_rn + 1 ELSE exit_rn END AS free_rn, ts - ts % 86400000 AS day, exit_ts - exit_ts % 86400000 AS exit_day FROM paid WHERE rn > 60),
+cand AS (SELECT pair, rn, free_rn, day, exit_day, round(net, 6) AS pnl FROM sim WHERE outcome = 'fired' AND risk_reason IS NULL),
+hop AS (SELECT a.pair, a.rn, a.free_rn, a.day, a.exit_day, a.pnl, min(b.rn) FILTER (WHERE b.rn >= a.free_rn) AS if_taken, min(b.rn) AS if_not
+        FROM cand a LEFT JOIN cand b ON b.pair = a.pair AND b.rn > a.rn GROUP BY ALL),
+walk AS (SELECT h.pair, h.rn, h.free_rn AS free, h.exit_day AS book_day, h.pnl AS book, true AS taken, if_taken AS next FROM hop h JOIN (SELECT pair, min(rn) AS rn FROM cand GROUP BY pair) USING (pair, rn)
+  UNION ALL
+  SELECT h.pair, h.rn, CASE WHEN ok THEN h.free_rn ELSE h.free END, CASE WHEN ok THEN h.exit_day ELSE h.book_day END, CASE WHEN ok THEN CASE WHEN h.book_day = h.exit_day THEN h.book ELSE 0 END + h.pnl ELSE h.book END,
+         ok, CASE WHEN ok THEN if_taken ELSE if_not END
+  FROM (SELECT x.*, w.free, w.book_day, w.book, CASE WHEN w.book_day = x.day THEN w.book ELSE 0 END > -5 AS ok FROM walk w JOIN hop x ON x.pair = w.pair AND x.rn = w.next) h),
+fate AS (SELECT s.*, w.taken, coalesce(max(CASE WHEN w.taken THEN s.free_rn END) OVER (PARTITION BY s.pair ORDER BY s.rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > s.rn, false) AS held
+         FROM sim s LEFT JOIN walk w ON w.pair = s.pair AND w.rn = s.rn)"""
+
+
+GATES, PATTERNS, SIGNALS = gates(P), patterns(P), signals(P)
+
 TRADES = """
 trades AS (SELECT o_orderkey AS trade_id, 'dev-bot' AS bot_id, 'dev' AS env, o_orderpriority AS pair, '1h' AS timeframe, CASE WHEN o_custkey % 2 = 0 THEN 'long' ELSE 'short' END AS direction,
                   CASE o_custkey % 3 WHEN 0 THEN 'wick_rejection' WHEN 1 THEN 'anomaly_fade' ELSE 'impulse_retracement' END AS pattern,
@@ -153,6 +203,7 @@ met AS (SELECT pair, count(*) AS total_trades, count(*) FILTER (WHERE pnl_net_us
 
 def query(ctes: str, select: str) -> str:
     """One statement; ``select`` may begin with a comma and more table expressions."""
+    ctes = ("RECURSIVE " if "\nwalk AS" in ctes else "") + ctes.strip()
     return f"WITH {ctes.strip()}{select}" if select.startswith(",") else f"WITH {ctes.strip()}\n{select}"
 
 
