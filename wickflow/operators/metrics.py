@@ -67,3 +67,17 @@ def compare(baseline: DataFrame, candidate: DataFrame, by: list[str], threshold:
                          F.when(gain.isNull(), "hold").when(gain >= 0, "improve").when(gain < -threshold, "regress").otherwise("hold").alias("result"))
     worse = F.max(F.when(F.col("result") == "regress", 1).otherwise(0)).over(Window.partitionBy(*by))
     return judged.withColumn("verdict", F.when(worse == 1, "REJECT").otherwise("ACCEPT"))
+
+
+#: Least (or, where marked, most) values for going live: the short synthetic run and the run of ninety days.
+SHORT_RUN = (("total_trades", ">=", 5.0), ("win_rate", ">=", 0.55), ("profit_factor", ">=", 1.2))
+LONG_RUN = (("win_rate", ">=", 0.55), ("avg_pnl_usdt", ">=", 0.018), ("max_drawdown_pct", "<=", 30.0), ("sharpe_ratio", ">", 0.0), ("total_trades", ">=", 20.0))
+
+
+def go_live(summary: DataFrame, by: list[str], checks: tuple[tuple[str, str, float], ...] = LONG_RUN) -> DataFrame:
+    """PASS or FAIL per check in long form, and the verdict over all of them; a missing value fails."""
+    row = lambda m, op, limit: F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.coalesce(F.expr(f"{m} {op} {limit}D"), F.lit(False)).alias("ok"))
+    rows = summary.select(*by, F.array(*[row(*c) for c in checks]).alias("x"))
+    verdict = F.when(F.forall("x", lambda c: c["ok"]), "GO").otherwise("NO-GO")
+    return rows.select(*by, verdict.alias("verdict"), F.explode("x").alias("c")).select(
+        *by, F.col("c.metric").alias("metric"), F.col("c.value").alias("value"), F.when(F.col("c.ok"), "PASS").otherwise("FAIL").alias("result"), "verdict")

@@ -62,6 +62,22 @@ def trade_context(trades: DataFrame, candles: DataFrame, hours: int = 48) -> Dat
     return met.select("trade_id", "window", "candle_ts", ((F.col("candle_ts") - F.col("anchor")) / HOUR_MS).alias("offset_hours"))
 
 
+def link_context(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored context rows and those new ones whose (trade_id, candle_ts) is not there yet; of equal new ones one."""
+    key = ["trade_id", "candle_ts"]
+    return stored.unionByName(new.dropDuplicates(key).join(stored.select(*key), key, "left_anti"))
+
+
+def mark_post_complete(trades: DataFrame, now: int, hours: int = 48) -> DataFrame:
+    """Add ``context_post_complete``: the window after the exit has passed."""
+    return trades.withColumn("context_post_complete", F.coalesce(F.col("exit_ts") + hours * HOUR_MS <= now, F.lit(False)))
+
+
+def with_trades(rows: DataFrame, trades: DataFrame, *columns: str) -> DataFrame:
+    """Signals or events with columns of the trade they refer to; null without one."""
+    return rows.join(trades.select("trade_id", *columns), "trade_id", "left")
+
+
 def session_pnl(trades: DataFrame, since: int, bot_id: str, env: str) -> DataFrame:
     mine = trades.filter((F.col("bot_id") == bot_id) & (F.col("env") == env) & F.col("exit_ts").isNotNull() & (F.col("exit_ts") >= since))
     return mine.agg(F.coalesce(F.sum("pnl_net_usdt"), F.lit(0.0)).alias("session_pnl"))

@@ -181,13 +181,16 @@ def reject_breakdown(spark, d):
 
 
 @_add(sql.query(sql.INDICATORS, """, lv AS (SELECT pair, ts, close, close + atr14 * 1.6::DOUBLE AS tp, close - atr14 * 1.0::DOUBLE AS sl, close * (1 - 1.0::DOUBLE / 20 + 0.005::DOUBLE) AS liq FROM ind)
-SELECT pair, ts, CASE WHEN abs(close - liq) / nullif(close, 0) < 0.015::DOUBLE THEN 'liquidation_too_close' WHEN abs(sl - close) = 0 THEN 'sl_distance_zero'
+SELECT pair, ts, CASE WHEN ts // 3600000 % 7 = 0 THEN 'bucket_limit' ELSE CASE WHEN abs(close - liq) / nullif(close, 0) < 0.015::DOUBLE THEN 'liquidation_too_close' WHEN abs(sl - close) = 0 THEN 'sl_distance_zero'
   WHEN abs(tp - close) / abs(sl - close) < 1.2::DOUBLE THEN 'rr_below_minimum' WHEN abs(tp - close) / nullif(close, 0) * 100 <= (0.04::DOUBLE + 0.04::DOUBLE + 0.05::DOUBLE + 0.05::DOUBLE) * 1.5::DOUBLE THEN 'fee_not_viable'
-  WHEN ts // 3600000 % 50 = 0 THEN 'stale_data' END AS reason FROM lv"""))
+  WHEN ts // 3600000 % 11 >= 10 THEN 'daily_loss_limit' WHEN ts // 3600000 % 50 = 0 THEN 'stale_data' END END AS reason FROM lv"""))
 def risk_gates(spark, d):
     c, a = F.col("close"), F.col("atr14")
-    since_reconnect = F.when(F.floor(F.col("ts") / HOUR_MS) % 50 == 0, 30_000)
-    return _enriched(spark, d).select("pair", "ts", risk.reason(c, c + a * PARAMS.tp_atr_multiplier, c - a * PARAMS.sl_atr_multiplier, F.lit("long"), 20, F.lit(0), F.lit(0.0), since_reconnect).alias("reason"))
+    """Every candle taken as a long entry, beside a state that changes by the hour."""
+    hour = F.floor(F.col("ts") / HOUR_MS)
+    since_reconnect = F.when(hour % 50 == 0, 30_000)
+    active, lost = F.when(hour % 7 == 0, 1).otherwise(0), -0.5 * (hour % 11)
+    return _enriched(spark, d).select("pair", "ts", risk.reason(c, c + a * PARAMS.tp_atr_multiplier, c - a * PARAMS.sl_atr_multiplier, F.lit("long"), 20, active, lost, since_reconnect).alias("reason"))
 
 
 @_add(sql.query(sql.INDICATORS, """, e AS (SELECT *, close + atr14 * 1.6::DOUBLE AS tp, close - atr14 AS sl, close * 1.0005::DOUBLE * (1 - 1.0::DOUBLE / 20 + 0.005::DOUBLE) AS liq,
@@ -296,6 +299,53 @@ def compare_metrics(spark, d):
     return metrics.compare(_summary(spark, d), half, ["pair"]).select("pair", "metric", "result", "verdict")
 
 
+def _checks(which) -> str:
+    rows = ", ".join(f"{{'m': '{m}', 'v': {m}::DOUBLE, 'ok': coalesce({m} {op} {limit}::DOUBLE, false)}}" for m, op, limit in which)
+    return f"SELECT pair, unnest([{rows}]) AS c, CASE WHEN list_bool_and(list_transform([{rows}], lambda x: x.ok)) THEN 'GO' ELSE 'NO-GO' END AS verdict FROM met"
+
+
+@_add(sql.query(sql.TRADES, f", a AS ({_checks(metrics.LONG_RUN)}), b AS ({_checks(metrics.SHORT_RUN)}), u AS (SELECT 'long' AS run, * FROM a UNION ALL SELECT 'short', * FROM b) "
+                "SELECT run, pair, c.m AS metric, round(c.v, 6) AS value, CASE WHEN c.ok THEN 'PASS' ELSE 'FAIL' END AS result, verdict FROM u"))
+def go_live(spark, d):
+    """Both sets of checks before going live, per pair."""
+    s = _summary(spark, d)
+    both = [metrics.go_live(s, ["pair"], checks).withColumn("run", F.lit(run)) for run, checks in (("long", metrics.LONG_RUN), ("short", metrics.SHORT_RUN))]
+    return both[0].unionByName(both[1]).withColumn("value", F.round("value", 6)).select("run", "pair", "metric", "value", "result", "verdict")
+
+
+@_add(sql.query(sql.TRADES, f"SELECT trade_id, coalesce(exit_ts + 172800000 <= {MAR_1996}, false) AS context_post_complete FROM trades"))
+def context_post_complete(spark, d):
+    return store.mark_post_complete(_trades(spark, d), MAR_1996).select("trade_id", "context_post_complete")
+
+
+@_add(sql.query(sql.TRADES, """, f AS (SELECT pattern, direction, session, regime, list(pnl_pct ORDER BY exit_ts, pnl_pct) AS p FROM closed GROUP BY ALL)
+SELECT pattern, direction, session, regime, CAST(len(p) AS BIGINT) AS sample_count, round(list_reduce(list_transform(p, lambda x, i: {'n': i, 'a': round(x, 4)}),
+  lambda s, x: {'n': x.n, 'a': round((s.a * (x.n - 1) + p[x.n]) / x.n, 4)}).a, 2) AS avg_pnl_pct FROM f"""))
+def memory_stepwise(spark, d):
+    """The step-wise rounded mean, compared to two decimals."""
+    return memory.stepwise(_closed(spark, d)).withColumn("avg_pnl_pct", F.round("avg_pnl_pct", 2))
+
+
+@_add("SELECT e.event_id, e.event_type, o.o_orderkey AS trade_id, o.o_orderpriority AS pair FROM events e LEFT JOIN orders o ON o.o_orderkey = e.event_id")
+def event_trades(spark, d):
+    """Events with the trade they refer to."""
+    e = _read(spark, d, "events").select("event_id", "event_type", F.col("event_id").alias("trade_id"))
+    t = _trades(spark, d).withColumn("found", F.col("trade_id"))
+    return store.with_trades(e, t, "pair", "found").select("event_id", "event_type", F.col("found").alias("trade_id"), "pair")
+
+
+@_add(sql.query(sql.CANDLES, """, t AS (SELECT pair || ':' || ts AS trade_id, pair, ts AS entry_ts FROM candles WHERE volume >= 4),
+n AS (SELECT trade_id, c.ts AS candle_ts, 'pre' AS "window", t.entry_ts FROM t JOIN candles c ON c.pair = t.pair AND c.ts BETWEEN entry_ts - 172800000 AND entry_ts - 1)
+SELECT trade_id, candle_ts, CASE WHEN candle_ts % 7200000 = 0 THEN 'stored' ELSE "window" END AS "window" FROM n"""))
+def context_links(spark, d):
+    """Context rows added once: of those that are stored, the stored one stays."""
+    c = _candles(spark, d)
+    t = c.filter("volume >= 4").select(F.concat_ws(":", "pair", "ts").alias("trade_id"), "pair", F.col("ts").alias("entry_ts"), F.col("ts").alias("exit_ts"))
+    rows = store.trade_context(t, c).filter("window = 'pre'").select("trade_id", "candle_ts", "window")
+    stored = rows.filter(F.col("candle_ts") % 7_200_000 == 0).withColumn("window", F.lit("stored"))
+    return store.link_context(stored, rows.unionByName(rows))
+
+
 @_add(sql.query(sql.TRADES, f"SELECT round(coalesce(sum(pnl_net_usdt), 0), 6) AS session_pnl FROM trades WHERE bot_id = 'dev-bot' AND env = 'dev' AND exit_ts IS NOT NULL AND exit_ts >= {MAR_1996}"))
 def session_pnl(spark, d):
     return store.session_pnl(_trades(spark, d), MAR_1996, "dev-bot", "dev").select(F.round("session_pnl", 6).alias("session_pnl"))
