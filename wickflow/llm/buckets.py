@@ -93,7 +93,8 @@ def bucket_links(keyed: DataFrame, sketches: DataFrame, alike: Alike, name: str)
     """
     spark = keyed.sparkSession
     shared = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    members = materialise(keyed.join(shared, "key"), f"{name}-members")
+    shared = materialise(shared, f"{name}-shared")
+    members = materialise(join_hot(keyed, shared, "key", "node", sizes=shared), f"{name}-members")
     pairs = members.filter("node <> hub").select("hub", "node").distinct()
     with_node = pairs.join(sketches.withColumnRenamed("sketch", "b"), "node")
     both = join_hot(materialise(with_node, f"{name}-pairs"), sketches.select(F.col("node").alias("hub"), F.col("sketch").alias("a")), "hub", "node")
@@ -104,7 +105,7 @@ def bucket_links(keyed: DataFrame, sketches: DataFrame, alike: Alike, name: str)
     unlike = members.filter("m > 2 and node <> hub").join(stars.filter("not met").select("hub", "node"), ["hub", "node"]).select("key", "node")
     unlike = materialise(unlike, f"{name}-unlike")
     wide = unlike.groupBy("key").agg(F.count(F.lit(1)).alias("l"))
-    rest = join_hot(members.select("key", "node", "hub", "m"), wide, "key", "node").filter("node <> hub")
+    rest = join_hot(members.select("key", "node", "hub", "m"), wide, "key", "node", sizes=shared).filter("node <> hub")
     rest = rest.join(unlike.withColumn("lone", F.lit(True)), ["key", "node"], "left")
     rest = rest.select("key", "node", F.coalesce("lone", F.lit(False)).alias("lone"), F.ceil(F.col("l") / CELL).cast("int").alias("ls"), F.ceil(F.col("m") / CELL).cast("int").alias("ms"))
     slice_of = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "node"), F.col(n)).cast("int")

@@ -48,14 +48,16 @@ def join_dimension(left: DataFrame, right: DataFrame, on: list[str], how: str =
 HOT_ROWS, HOT_KEYS, SALTS = 2_000, 200, 64
 
 
-def join_hot(rows: DataFrame, table: DataFrame, on: str, by: str, how: str = "inner") -> DataFrame:
+def join_hot(rows: DataFrame, table: DataFrame, on: str, by: str, how: str = "inner", sizes: DataFrame | None = None) -> DataFrame:
     """Join with a table of one row per key, keys that hold very many rows spread.
 
     The largest keys are counted first (pre-aggregated); their rows are salted by
     a hash of ``by`` and their row of the table is repeated for each salt. A key
-    beyond the first ``HOT_KEYS`` holds less than one row in that many.
+    beyond the first ``HOT_KEYS`` holds less than one row in that many. Where the
+    counts are known they come as ``sizes`` (key, m).
     """
-    counts = rows.filter(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > HOT_ROWS)
+    counted = rows.filter(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("c")) if sizes is None else sizes.select(on, F.col("m").alias("c"))
+    counts = counted.filter(F.col("c") > HOT_ROWS)
     hot = [r[0] for r in counts.orderBy(F.desc("c")).limit(HOT_KEYS).select(on).collect()]
     if not hot:
         return rows.join(table, on, how)
