@@ -105,7 +105,7 @@ def test_daily_loss_limit(spark):
     day = 86_400_000
     rows = [("b", "p", "5m", k, k + 1, (k // 10) * day, ((k + 1) // 10) * day, -2.0) for k in range(30)]
     df = spark.createDataFrame(rows, "bot_id string, pair string, timeframe string, rn int, free_rn int, day long, exit_day long, pnl_net_usdt double")
-    got = {r["rn"]: r["accepted"] for r in B._occupancy(df, True).collect()}
+    got = {r["rn"]: r["accepted"] for r in B._occupancy(df).collect()}
     state, want = {}, {}
     free = 0
     for k in range(30):

@@ -39,30 +39,48 @@ def test_sql_twin(spark, name):
     pd.testing.assert_frame_equal(_frame(got), _frame(want))
 
 
-@pytest.fixture(scope="module")
-def lively(tmp_path_factory):
-    """Events whose hourly candles are two lively series, so that patterns fire and trades open."""
+def _lively_events(folder, series: tuple[tuple[int, str], ...], candles: int) -> str:
+    """Events whose hourly candles are lively series (seed, pair), so that patterns fire and trades open."""
     rows = []
-    for seed, pair in ((1, "BTC"), (5, "ETH")):
-        for c in R.series(700, seed, pair, 1_736_154_000_000 // HOUR_MS * HOUR_MS, HOUR_MS, "1h"):
+    for seed, pair in series:
+        for c in R.series(candles, seed, pair, 1_736_154_000_000 // HOUR_MS * HOUR_MS, HOUR_MS, "1h"):
             n = max(4, round(c["volume"] / 20))
             for k, v in enumerate([c["open"], c["high"], c["low"], *[c["close"]] * (n - 3)]):
                 rows.append((len(rows), pd.Timestamp(c["ts"] + 1000 * k, unit="ms"), 1, pair, v, "{}"))
-    folder = tmp_path_factory.mktemp("lively")
     pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value", "props"]).astype({"ts": "datetime64[us]"}).to_parquet(folder / "events.parquet")
     return str(folder)
 
 
+@pytest.fixture(scope="module")
+def lively(tmp_path_factory):
+    return _lively_events(tmp_path_factory.mktemp("lively"), ((1, "BTC"), (5, "ETH")), 700)
+
+
+def _as_twin(spark, folder: str, name: str) -> pd.DataFrame:
+    """A query's rows, after they were found equal to its twin's."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{folder}/events.parquet')")
+    got, want = registry.queries()[name](spark, folder).toPandas(), con.execute(registry.oracle_sql()[name]).df()
+    pd.testing.assert_frame_equal(_frame(got), _frame(want))
+    return got
+
+
 @pytest.mark.parametrize(("name", "fires"), [("pat_impulse", "fired"), ("pat_wick", "fired"), ("pat_momentum", "fired"), ("pat_anomaly", "fired"), ("pattern_scan", "pattern"), ("evaluate_signals", "pattern"),
                                              ("backtest_trades", "pair"), ("backtest_signal_log", "pattern")])
 def test_sql_twin_on_a_lively_series(spark, lively, name, fires):
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{lively}/events.parquet')")
-    got, want = registry.queries()[name](spark, lively).toPandas(), con.execute(registry.oracle_sql()[name]).df()
-    pd.testing.assert_frame_equal(_frame(got), _frame(want))
+    got = _as_twin(spark, lively, name)
     assert (got[fires] != False).sum() > 3 and got[fires].replace(False, None).notna().sum() > 3  # noqa: E712
 
 
+def test_walk_forward_twins_on_lively_series(spark, tmp_path):
+    """Either side of the split trades; the tuning query compares every metric of each pair."""
+    folder = _lively_events(tmp_path, ((1, "BTC"), (5, "ETH"), (9, "SOL")), 1600)
+    got = _as_twin(spark, folder, "walk_forward_metrics")
+    assert len(got) == 6 and (got.groupby("fold")["total_trades"].sum() > 3).all()
+    got = _as_twin(spark, folder, "tune_grid")
+    assert len(got) == 15 and (got["candidate"].fillna(0) != 0).sum() > 3
+
+
 def test_upsert_keeps_first_env(spark):
     base = [("dev-1", "p", "5m", 1, 1.0, 1.0, 1.0, 1.0, 1.0)]
     stored = spark.createDataFrame(base, CANDLE).withColumn("env", F.lit("prod"))

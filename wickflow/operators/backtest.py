@@ -3,12 +3,15 @@
 A trade's exit depends on its entry row and the next few rows, so every
 candidate gets its exit from a forward frame. One position at a time and the
 daily loss limit are decided by a fold over candidates, cut into segments at
-points where nothing can be open and a new day has begun, so no fold grows with
-the series.
+points where nothing can be open and a new day has begun. Segments stream
+through sorted, so the fold's memory is one batch whatever a segment's length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +20,7 @@ from wickflow.operators import risk
 from wickflow.operators.indicators import keys, ordered
 from wickflow.operators.signals import evaluate
 from wickflow.params import Params
-from wickflow.scratch import materialise
+from wickflow.scratch import materialise, ship
 
 #: Rows at a series' start that are not traded.
 WARM_UP = 60
@@ -82,27 +85,48 @@ def closes(df: DataFrame) -> DataFrame:
         "hold_candles": F.greatest(F.floor((F.col("exit_ts") - F.col("ts")) / step), F.lit(1)).cast("int")})
 
 
-def _occupancy(cands: DataFrame, reentry_same_candle: bool) -> DataFrame:
-    """Add ``accepted`` and ``day_pnl`` to candidates (rn, free_rn, day, exit_day, pnl_net_usdt)."""
-    w = Window.partitionBy(*keys(cands)).orderBy("rn")
+def _walk(names: list[str]):
+    """Rows sorted by ``names`` and rn; the open position and the day's result are carried over batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment, free, day, pnl = None, -1, -1, 0.0
+        for b in batches:
+            accepted, sums = [], []
+            rows = zip(zip(*(b.column(k).to_pylist() for k in names)), *(b.column(c).to_pylist() for c in ("rn", "free_rn", "day", "exit_day", "pnl_net_usdt")))
+            for key, rn, free_rn, today, exit_day, net in rows:
+                if key != segment:
+                    segment, free, day, pnl = key, -1, -1, 0.0
+                if rn < free:
+                    accepted.append(None)
+                    sums.append(None)
+                    continue
+                so_far = pnl if day == today else 0.0
+                accepted.append(so_far > risk.DAILY_LOSS)
+                sums.append(so_far)
+                if accepted[-1]:
+                    pnl = (pnl if day == exit_day else 0.0) + (net or 0.0)
+                    free, day = free_rn, exit_day
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names[:-1]), b.column("rn"), pa.array(accepted, pa.bool_()), pa.array(sums, pa.float64())],
+                                             names=[*names[:-1], "rn", "accepted", "day_pnl"])
+
+    return run
+
+
+def _occupancy(cands: DataFrame) -> DataFrame:
+    """Keys, rn, ``accepted`` and ``day_pnl`` of candidates (rn, free_rn, day, exit_day, pnl_net_usdt).
+
+    Both are null while a position is open; a trade without a result books
+    nothing. Segments are independent; one of any length streams through.
+    """
+    ship(cands.sparkSession)
+    k = keys(cands)
+    w = Window.partitionBy(*k).orderBy("rn")
     before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
     cut = (F.max("free_rn").over(before) <= F.col("rn")) & (F.max("exit_day").over(before) < F.col("day"))
     cands = cands.withColumn("cut", F.coalesce(cut, F.lit(True)).cast("int")).withColumn("segment", F.sum("cut").over(upto))
-    item = F.struct("rn", "free_rn", "day", "exit_day", F.col("pnl_net_usdt").alias("pnl"))
-    start = F.struct(F.lit(-1).alias("free"), F.lit(-1).cast("long").alias("day"), F.lit(0.0).alias("pnl"), F.array().cast("array<struct<rn:int,ok:boolean,pnl:double>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        today = F.when(s["day"] == x["day"], s["pnl"]).otherwise(0.0)
-        flat = x["rn"] >= s["free"]
-        ok = flat & (today > risk.DAILY_LOSS)
-        booked = F.when(s["day"] == x["exit_day"], s["pnl"]).otherwise(0.0) + x["pnl"]
-        return F.struct(F.when(ok, x["free_rn"]).otherwise(s["free"]).alias("free"), F.when(ok, x["exit_day"]).otherwise(s["day"]).alias("day"),
-                        F.when(ok, booked).otherwise(s["pnl"]).alias("pnl"),
-                        F.when(flat, F.concat(s["out"], F.array(F.struct(x["rn"].alias("rn"), ok.alias("ok"), today.alias("pnl"))))).otherwise(s["out"]).alias("out"))
-
-    done = cands.groupBy(*keys(cands), "segment").agg(F.aggregate(F.array_sort(F.collect_list(item)), start, step, lambda s: s["out"]).alias("out"))
-    flags = done.select(*keys(cands), F.explode("out").alias("o")).select(*keys(cands), F.col("o.rn").alias("rn"), F.col("o.ok").alias("accepted"), F.col("o.pnl").alias("day_pnl"))
-    return cands.drop("cut", "segment").join(flags, [*keys(cands), "rn"], "left")
+    cands = cands.select(*k, "segment", "rn", "free_rn", "day", "exit_day", "pnl_net_usdt")
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in cands.dtypes if c in k), "rn int", "accepted boolean", "day_pnl double"])
+    return cands.repartition(*k, "segment").sortWithinPartitions(*k, "segment", "rn").mapInArrow(_walk([*k, "segment"]), schema)
 
 
 def simulate(evaluated: DataFrame, params: Params = Params(), leverage: int = 20, warm_up: int = WARM_UP, exit_mode: str = "intrabar", reentry_same_candle: bool = True) -> DataFrame:
@@ -119,8 +143,7 @@ def simulate(evaluated: DataFrame, params: Params = Params(), leverage: int = 20
     # Candidates and candles are read from one table: the pipeline above runs once.
     df = materialise(df, "simulation")
     able = (F.col("outcome") == "fired") & F.col("risk_reason").isNull() & F.lit(params.max_active_buckets > 0)
-    fates = _occupancy(df.filter(able), reentry_same_candle).select(*keys(df), "rn", "accepted", "day_pnl")
-    df = df.join(fates, [*keys(df), "rn"], "left")
+    df = df.join(_occupancy(df.filter(able)), [*keys(df), "rn"], "left")
     before = Window.partitionBy(*keys(df)).orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
     held = F.max(F.when(F.col("accepted"), F.col("free_rn"))).over(before) > F.col("rn")
     return df.withColumn("held", F.coalesce(held, F.lit(False)))

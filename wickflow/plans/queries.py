@@ -15,7 +15,7 @@ from wickflow.params import Params
 from wickflow.plans import sql
 from wickflow.plans.adapters import heartbeats_from_events, log_from_events, trades_from_orders
 from wickflow.schemas import DAY_MS, HOUR_MS
-from wickflow.scratch import scratch_uri
+from wickflow.scratch import materialise, scratch_uri
 from wickflow.sources.candles import candles_from_events, dedupe, event_log, recent, since
 from wickflow.streaming import candles as stream
 
@@ -229,22 +229,31 @@ def backtest_signal_log(spark, d):
     return backtest.signal_log(backtest.backtest(_enriched(spark, d), LOOSE)).drop("bot_id", "timeframe")
 
 
-@_add()
+_PLACES = {"profit_factor": 3, "sharpe_ratio": 3, "avg_hold_candles": 2}
+
+
+@_add(f"SELECT pair, fold, total_trades, win_count, loss_count, {', '.join(f'round({c}, {_PLACES.get(c, 4)}) AS {c}' for c in (*sql.FILLED, 'profit_factor'))} FROM ({sql.walk_forward(LOOSE)})")
 def walk_forward_metrics(spark, d):
     run = backtest.walk_forward(_enriched(spark, d), LOOSE)
     groups = run.select("pair", "fold").distinct()
     return metrics.report(metrics.summary(backtest.trades(run), ["pair", "fold"], ["exit_ts", "entry_ts"], groups))
 
 
-@_add()
+#: What the tuning query tries against the parameters as they are.
+TRIED = PARAMS.changed("adx_trend_min", 15.0).changed("body_ratio_min", 0.4)
+
+
+@_add(f"WITH b AS (SELECT * FROM ({sql.walk_forward(PARAMS)}) WHERE fold = 'out_sample'), c AS (SELECT * FROM ({sql.walk_forward(TRIED)}) WHERE fold = 'out_sample'),{sql.compared('b', 'c')}\n"
+      "SELECT pair, metric, round(baseline, 6) AS baseline, round(candidate, 6) AS candidate, result, verdict FROM judged")
 def tune_grid(spark, d):
     """Baseline against candidate on the out-of-sample fold, verdict per pair and metric."""
-    base = _enriched(spark, d)
+    base = materialise(_enriched(spark, d), "tuning-candles")
     out = []
-    for p in (PARAMS, PARAMS.changed("adx_trend_min", 15.0).changed("body_ratio_min", 0.4)):
+    for p in (PARAMS, TRIED):
         run = backtest.walk_forward(base, p)
         out.append(metrics.summary(backtest.trades(run), ["pair", "fold"], ["exit_ts", "entry_ts"], run.select("pair", "fold").distinct()).filter("fold = 'out_sample'"))
-    return metrics.compare(out[0], out[1], ["pair"])
+    judged = metrics.compare(out[0], out[1], ["pair"])
+    return judged.withColumns({c: F.round(c, 6) for c in ("baseline", "candidate")})
 
 
 _MET = ("win_rate", "total_pnl_usdt", "avg_pnl_usdt", "avg_win_usdt", "avg_loss_usdt", "avg_hold_candles", "profit_factor", "sharpe_ratio", "max_drawdown_usdt", "max_drawdown_pct")
@@ -286,13 +295,7 @@ hdd AS (SELECT *, greatest(max(equity) OVER (PARTITION BY pair ORDER BY exit_ts,
 c AS (SELECT pair, count(*) FILTER (WHERE pnl_net_usdt > 0) / count(*) AS win_rate, sum(pnl_net_usdt) AS total_pnl_usdt,
   coalesce(sum(pnl_net_usdt) FILTER (WHERE pnl_net_usdt > 0), 0) / nullif(abs(sum(pnl_net_usdt) FILTER (WHERE pnl_net_usdt <= 0)), 0) AS profit_factor,
   CASE WHEN count(*) >= 2 AND stddev_samp(pnl_pct) > 0 THEN avg(pnl_pct) / stddev_samp(pnl_pct) * sqrt(105120) ELSE 0 END AS sharpe_ratio,
-  CASE WHEN max(peak) > 0 THEN max(peak - equity) / max(peak) * 100 ELSE 0 END AS max_drawdown_pct FROM hdd GROUP BY pair),
-x AS (SELECT b.pair, unnest([{'m': 'win_rate', 'u': 1, 'b': b.win_rate, 'c': c.win_rate}, {'m': 'total_pnl_usdt', 'u': 1, 'b': b.total_pnl_usdt, 'c': c.total_pnl_usdt},
-  {'m': 'sharpe_ratio', 'u': 1, 'b': b.sharpe_ratio, 'c': c.sharpe_ratio}, {'m': 'max_drawdown_pct', 'u': -1, 'b': b.max_drawdown_pct, 'c': c.max_drawdown_pct},
-  {'m': 'profit_factor', 'u': 1, 'b': b.profit_factor, 'c': c.profit_factor}]) AS z FROM b JOIN c USING (pair)),
-g AS (SELECT pair, z.m AS metric, z.u * (z.c - z.b) / abs(nullif(z.b, 0)) AS gain FROM x),
-j AS (SELECT pair, metric, CASE WHEN gain IS NULL THEN 'hold' WHEN gain >= 0 THEN 'improve' WHEN gain < -0.05 THEN 'regress' ELSE 'hold' END AS result FROM g)
-SELECT pair, metric, result, CASE WHEN bool_or(result = 'regress') OVER (PARTITION BY pair) THEN 'REJECT' ELSE 'ACCEPT' END AS verdict FROM j"""))
+  CASE WHEN max(peak) > 0 THEN max(peak - equity) / max(peak) * 100 ELSE 0 END AS max_drawdown_pct FROM hdd GROUP BY pair),""" + sql.compared("b", "c") + "\nSELECT pair, metric, result, verdict FROM judged"))
 def compare_metrics(spark, d):
     t = _closed(spark, d)
     half = metrics.summary(t.filter("trade_id % 2 = 0"), ["pair"], ["exit_ts", "trade_id"])

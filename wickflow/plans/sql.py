@@ -6,6 +6,7 @@ folds, so they check the folds instead of repeating them.
 
 from __future__ import annotations
 
+from wickflow.operators.metrics import COMPARED
 from wickflow.params import Params
 
 P = Params()
@@ -65,14 +66,24 @@ ind AS (SELECT *, CASE WHEN len(el) < 14 THEN 50.0 WHEN al = 0 THEN 100.0 ELSE 1
                CASE WHEN len(tl) < 14 THEN 0.0 ELSE {wilder('dx', 14)} END AS adx, sma20 + band AS bb_upper, sma20 - band AS bb_lower,
                CASE WHEN n20 >= 20 AND sma20 <> 0 THEN 2 * band / sma20 ELSE 0.0 END AS bb_width, least(rn, {FRAME}) AS n FROM dxs)"""
 
-def gates(p: Params) -> str:
+#: Either side of the walk-forward split as a series of its own; stored indicators stay, frames start anew.
+FOLDS = INDICATORS + f""",
+side AS (SELECT pair || '|' || CASE WHEN row_number() OVER ({_W}) <= floor(0.6::DOUBLE * count(*) OVER (PARTITION BY pair)) THEN 'in_sample' ELSE 'out_sample' END AS pair, ts, open, high, low, close, volume,
+                body_size, total_range, body_ratio, upper_wick, lower_wick, direction, session, ema9, ema21, rsi14, atr14, adx, bb_upper, bb_lower, bb_width, volume_ma20, volume_ratio FROM ind),
+side_mv AS (SELECT *, row_number() OVER w AS rn, CASE WHEN lag(close) OVER w IS NULL THEN 0.0 ELSE greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) END AS tr FROM side WINDOW w AS ({_W})),
+side_fr AS (SELECT *, (list(tr) OVER ({_W} ROWS BETWEEN {FRAME - 1} PRECEDING AND CURRENT ROW))[2:] AS tl, (list(tr) OVER ({_W} ROWS BETWEEN {FRAME - 1} PRECEDING AND 1 PRECEDING))[2:] AS pl_tr,
+                   avg(tr) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS tr5, avg(tr) OVER ({_W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS tr20 FROM side_mv),
+folds AS (SELECT *, CASE WHEN rn >= 51 THEN {wilder('tl', 50)} END AS atr50_w, {wilder('coalesce(pl_tr, [])', 14)} AS atr14_prev, least(rn, {FRAME}) AS n FROM side_fr)"""
+
+
+def gates(p: Params, folds: bool = False) -> str:
     """Regime, trend and volume gates of each candle."""
-    return INDICATORS + f""",
+    return (FOLDS if folds else INDICATORS) + f""",
 reg AS (SELECT *, CASE WHEN n < 2 THEN NULL WHEN atr14 < coalesce(atr50_w, atr14) * {p.atr_quiet_multiplier} OR volume_ratio < 0.7 THEN 'QUIET'
                        WHEN atr14 > coalesce(atr50_w, atr14) * {p.atr_volatile_multiplier} AND adx > 15 THEN 'VOLATILE'
                        WHEN adx > {p.adx_trend_min} AND (CASE WHEN ema21 <> 0 THEN abs(ema9 - ema21) / ema21 ELSE 0 END) > {p.ema_spread_threshold} THEN 'TRENDING' ELSE 'RANGING' END AS regime,
                CASE WHEN ema9 > ema21 THEN 1 WHEN ema9 < ema21 THEN -1 ELSE 0 END AS k,
-               CASE WHEN ema9 > ema21 AND rsi14 BETWEEN {p.rsi_low} AND {p.rsi_long_max} THEN 'long' WHEN ema9 < ema21 AND rsi14 BETWEEN {p.rsi_short_min} AND {p.rsi_high} THEN 'short' END AS trend FROM ind),
+               CASE WHEN ema9 > ema21 AND rsi14 BETWEEN {p.rsi_low} AND {p.rsi_long_max} THEN 'long' WHEN ema9 < ema21 AND rsi14 BETWEEN {p.rsi_short_min} AND {p.rsi_high} THEN 'short' END AS trend FROM {'folds' if folds else 'ind'}),
 str AS (SELECT *, min(k) OVER s AS lo, max(k) OVER s AS hi, count(k) OVER s AS pairs FROM reg WINDOW s AS ({_W} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)),
 gat AS (SELECT *, n < 4 OR pairs < 2 OR coalesce(CASE WHEN trend = 'long' THEN lo = 1 WHEN trend = 'short' THEN hi = -1 END, false) AS streak_ok,
                CASE session WHEN 'asian' THEN 1.2 WHEN 'london' THEN 1.0 ELSE 0.9 END::DOUBLE * {p.volume_ratio_min}::DOUBLE AS volume_threshold FROM str),
@@ -85,9 +96,9 @@ _lag = ", ".join(f"lag({c}, {k}) OVER w AS {c}_{k}" for c in ("open", "close", "
 _bb = " AND ".join(f"bb_width_{k + 1} >= bb_width{'_' + str(k) if k else ''}" for k in range(4))
 
 
-def patterns(p: Params) -> str:
+def patterns(p: Params, folds: bool = False) -> str:
     """Direction and confidence of each detector."""
-    return gates(p) + f""",
+    return gates(p, folds) + f""",
 lg AS (SELECT *, {_lag}, min(low) OVER t AS low10, max(high) OVER t AS high10, avg(volume) OVER q AS vma_prev, stddev_pop(volume) OVER q AS vsd_prev
        FROM gate WINDOW w AS ({_W}), t AS ({_W} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), q AS ({_W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
 pre AS (SELECT *, CASE WHEN body_size_1 > 0 THEN body_size / body_size_1 ELSE 0 END AS share, CASE WHEN total_range > 0 THEN (close - low) / total_range ELSE 0 END AS place,
@@ -127,9 +138,9 @@ _cands = ", ".join(
     f"{{'confidence': round(c_{s} / (CASE WHEN session = 'asian' THEN 1.1 ELSE 1.0 END)::DOUBLE, 3), 'ord': {-k}, 'pattern': '{name}', 'direction': d_{s}}} END" for k, (s, name, r) in enumerate(DETECTORS))
 
 
-def signals(p: Params) -> str:
+def signals(p: Params, folds: bool = False) -> str:
     """The fired signal or first rejection of each candle."""
-    return patterns(p) + f""",
+    return patterns(p, folds) + f""",
 scn AS (SELECT *, list_max(list_filter([{_cands}], lambda z: z IS NOT NULL)) AS best FROM det),
 rej AS (SELECT *, CASE WHEN regime_reject IS NOT NULL THEN 'regime:' || regime_reject WHEN trend_reject IS NOT NULL THEN 'trend:' || trend_reject
                        WHEN best IS NULL THEN 'pattern:no_pattern_fired' WHEN best.confidence < {p.min_confidence}::DOUBLE * (CASE WHEN session = 'asian' THEN 1.1 ELSE 1.0 END)::DOUBLE THEN 'pattern:confidence_below_min'
@@ -141,24 +152,24 @@ sig AS (SELECT *, CASE WHEN rej IS NULL THEN 'fired' ELSE 'rejected' END AS outc
                CASE WHEN rej IS NULL THEN CASE WHEN best.confidence >= 0.75 THEN 10.0::DOUBLE ELSE 5.0::DOUBLE END END AS size_usdt FROM rej)"""
 
 
-def simulation(p: Params) -> str:
+def simulation(p: Params, folds: bool = False) -> str:
     """Exits of all candles, and the walk over candidates: one position at a time, daily loss limit.
 
     A candidate's successors, whether it is taken or not, are found beforehand,
     so each step of the recursion is one look-up.
     """
     hold = p.max_hold_candles
-    return signals(p) + f""",
+    return signals(p, folds) + f""",
 fill AS (SELECT *, round(close, 8) AS entry, round(close, 8) * CASE WHEN side = 'long' THEN 1.0005::DOUBLE ELSE 0.9995::DOUBLE END AS fill, size_usdt * 20 AS notional FROM sig),
 liq AS (SELECT *, fill * CASE WHEN side = 'long' THEN 1 - 1.0::DOUBLE / 20 + 0.005::DOUBLE ELSE 1 + 1.0::DOUBLE / 20 - 0.005::DOUBLE END AS liquidation_price,
   CASE WHEN outcome = 'fired' THEN CASE WHEN abs(sl_price - entry) = 0 THEN 'sl_distance_zero' WHEN abs(tp_price - entry) / abs(sl_price - entry) < 1.2::DOUBLE THEN 'rr_below_minimum'
     WHEN abs(tp_price - entry) / nullif(entry, 0) * 100 <= (0.04::DOUBLE + 0.04::DOUBLE + 0.05::DOUBLE + 0.05::DOUBLE) * 1.5::DOUBLE THEN 'fee_not_viable' END END AS risk_reason,
   max(rn) OVER (PARTITION BY pair) AS last_rn,
   coalesce(list({{'rn': rn, 'ts': ts, 'h': high, 'l': low, 'c': close}}) OVER (PARTITION BY pair ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND {hold} FOLLOWING), []) AS ahead FROM fill),
-met AS (SELECT *, list_filter(list_transform(ahead, lambda b: {{'rn': b.rn, 'ts': b.ts, 'why': CASE WHEN side = 'long' THEN CASE WHEN b.h >= tp_price THEN 'take_profit' WHEN b.l <= sl_price THEN 'stop_loss' WHEN b.l <= liquidation_price THEN 'liquidated' END
+bars AS (SELECT *, list_filter(list_transform(ahead, lambda b: {{'rn': b.rn, 'ts': b.ts, 'why': CASE WHEN side = 'long' THEN CASE WHEN b.h >= tp_price THEN 'take_profit' WHEN b.l <= sl_price THEN 'stop_loss' WHEN b.l <= liquidation_price THEN 'liquidated' END
   ELSE CASE WHEN b.l <= tp_price THEN 'take_profit' WHEN b.h >= sl_price THEN 'stop_loss' WHEN b.h >= liquidation_price THEN 'liquidated' END END}}), lambda b: b.why IS NOT NULL) AS hits FROM liq),
 ends AS (SELECT *, CASE WHEN len(hits) > 0 THEN hits[1].why ELSE 'timeout' END AS close_reason, len(hits) = 0 AND len(ahead) < {hold} AS forced,
-  CASE WHEN len(hits) > 0 THEN hits[1].rn WHEN len(ahead) > 0 THEN ahead[-1].rn ELSE rn END AS exit_rn, CASE WHEN len(hits) > 0 THEN hits[1].ts WHEN len(ahead) > 0 THEN ahead[-1].ts ELSE ts END AS exit_ts FROM met),
+  CASE WHEN len(hits) > 0 THEN hits[1].rn WHEN len(ahead) > 0 THEN ahead[-1].rn ELSE rn END AS exit_rn, CASE WHEN len(hits) > 0 THEN hits[1].ts WHEN len(ahead) > 0 THEN ahead[-1].ts ELSE ts END AS exit_ts FROM bars),
 paid AS (SELECT *, CASE close_reason WHEN 'take_profit' THEN tp_price WHEN 'stop_loss' THEN sl_price WHEN 'liquidated' THEN liquidation_price ELSE coalesce(ahead[-1].c, close) END
   * CASE WHEN side = 'long' THEN 0.9995::DOUBLE ELSE 1.0005::DOUBLE END AS price FROM ends),
 sim AS (SELECT *, (CASE WHEN side = 'long' THEN price - fill ELSE fill - price END) / fill * notional AS gross, notional * 0.0004::DOUBLE AS fee,
@@ -178,6 +189,43 @@ fate AS (SELECT s.*, w.taken, coalesce(max(CASE WHEN w.taken THEN s.free_rn END)
 
 GATES, PATTERNS, SIGNALS = gates(P), patterns(P), signals(P)
 
+def met(by: str, order: str) -> str:
+    """Metrics of the trades in ``closed``."""
+    run = f"PARTITION BY {by} ORDER BY {order} ROWS UNBOUNDED PRECEDING"
+    return f"""
+eq AS (SELECT *, sum(pnl_net_usdt) OVER r AS equity FROM closed WINDOW r AS ({run})),
+dd AS (SELECT *, greatest(max(equity) OVER r, 0) AS peak FROM eq WINDOW r AS ({run})),
+met AS (SELECT {by}, count(*) AS total_trades, count(*) FILTER (WHERE pnl_net_usdt > 0) AS win_count, count(*) FILTER (WHERE pnl_net_usdt <= 0) AS loss_count,
+               count(*) FILTER (WHERE pnl_net_usdt > 0) / count(*) AS win_rate, sum(pnl_net_usdt) AS total_pnl_usdt, avg(pnl_net_usdt) AS avg_pnl_usdt,
+               coalesce(avg(pnl_net_usdt) FILTER (WHERE pnl_net_usdt > 0), 0) AS avg_win_usdt, coalesce(avg(pnl_net_usdt) FILTER (WHERE pnl_net_usdt <= 0), 0) AS avg_loss_usdt,
+               avg(hold_candles) AS avg_hold_candles, coalesce(sum(pnl_net_usdt) FILTER (WHERE pnl_net_usdt > 0), 0) / nullif(abs(sum(pnl_net_usdt) FILTER (WHERE pnl_net_usdt <= 0)), 0) AS profit_factor,
+               CASE WHEN count(*) >= 2 AND stddev_samp(pnl_pct) > 0 THEN avg(pnl_pct) / stddev_samp(pnl_pct) * sqrt(105120) ELSE 0 END AS sharpe_ratio,
+               max(peak - equity) AS max_drawdown_usdt, CASE WHEN max(peak) > 0 THEN max(peak - equity) / max(peak) * 100 ELSE 0 END AS max_drawdown_pct FROM dd GROUP BY {by})"""
+
+
+#: Metrics with a value, 0, where a group has no trades.
+FILLED = ("win_rate", "total_pnl_usdt", "avg_pnl_usdt", "avg_win_usdt", "avg_loss_usdt", "avg_hold_candles", "sharpe_ratio", "max_drawdown_usdt", "max_drawdown_pct")
+
+
+def walk_forward(p: Params) -> str:
+    """Metrics of the backtest on either side of the split, as a whole statement."""
+    zero = ", ".join(f"coalesce({c}, 0) AS {c}" for c in ("total_trades", "win_count", "loss_count", *FILLED))
+    return query(simulation(p, True), f""",
+closed AS (SELECT split_part(pair, '|', 1) AS pair, split_part(pair, '|', 2) AS fold, ts AS entry_ts, exit_ts, round(net, 6) AS pnl_net_usdt, round(net / size_usdt * 100, 4) AS pnl_pct,
+                  greatest((exit_ts - ts) // 900000, 1) AS hold_candles FROM fate WHERE taken),{met('pair, fold', 'exit_ts, entry_ts')}
+SELECT pair, fold, {zero}, profit_factor FROM (SELECT DISTINCT split_part(pair, '|', 1) AS pair, split_part(pair, '|', 2) AS fold FROM fate) LEFT JOIN met USING (pair, fold)""")
+
+
+def compared(baseline: str, candidate: str) -> str:
+    """Table expressions that judge each metric of two tables of metrics per pair."""
+    rows = ", ".join(f"{{'m': '{m}', 'u': {1 if up else -1}, 'b': {baseline}.{m}, 'c': {candidate}.{m}}}" for m, up in COMPARED.items())
+    return f"""
+x AS (SELECT {baseline}.pair, unnest([{rows}]) AS z FROM {baseline} JOIN {candidate} USING (pair)),
+g AS (SELECT pair, z.m AS metric, z.b AS baseline, z.c AS candidate, z.u * (z.c - z.b) / abs(nullif(z.b, 0)) AS gain FROM x),
+j AS (SELECT pair, metric, baseline, candidate, CASE WHEN gain IS NULL THEN 'hold' WHEN gain >= 0 THEN 'improve' WHEN gain < -0.05 THEN 'regress' ELSE 'hold' END AS result FROM g),
+judged AS (SELECT *, CASE WHEN bool_or(result = 'regress') OVER (PARTITION BY pair) THEN 'REJECT' ELSE 'ACCEPT' END AS verdict FROM j)"""
+
+
 TRADES = """
 trades AS (SELECT o_orderkey AS trade_id, 'dev-bot' AS bot_id, 'dev' AS env, o_orderpriority AS pair, '1h' AS timeframe, CASE WHEN o_custkey % 2 = 0 THEN 'long' ELSE 'short' END AS direction,
                   CASE o_custkey % 3 WHEN 0 THEN 'wick_rejection' WHEN 1 THEN 'anomaly_fade' ELSE 'impulse_retracement' END AS pattern,
@@ -190,15 +238,7 @@ trades AS (SELECT o_orderkey AS trade_id, 'dev-bot' AS bot_id, 'dev' AS env, o_o
 tsess AS (SELECT *, CASE WHEN (entry_ts // 3600000) % 24 BETWEEN 13 AND 15 THEN 'overlap' WHEN (entry_ts // 3600000) % 24 BETWEEN 8 AND 12 THEN 'london'
                     WHEN (entry_ts // 3600000) % 24 BETWEEN 16 AND 20 THEN 'us' ELSE 'asian' END AS session,
                  CASE trade_id % 3 WHEN 0 THEN 'TRENDING' WHEN 1 THEN 'RANGING' ELSE 'VOLATILE' END AS regime FROM trades),
-closed AS (SELECT * FROM tsess WHERE exit_ts IS NOT NULL),
-eq AS (SELECT *, sum(pnl_net_usdt) OVER r AS equity FROM closed WINDOW r AS (PARTITION BY pair ORDER BY exit_ts, trade_id ROWS UNBOUNDED PRECEDING)),
-dd AS (SELECT *, greatest(max(equity) OVER r, 0) AS peak FROM eq WINDOW r AS (PARTITION BY pair ORDER BY exit_ts, trade_id ROWS UNBOUNDED PRECEDING)),
-met AS (SELECT pair, count(*) AS total_trades, count(*) FILTER (WHERE pnl_net_usdt > 0) AS win_count, count(*) FILTER (WHERE pnl_net_usdt <= 0) AS loss_count,
-               count(*) FILTER (WHERE pnl_net_usdt > 0) / count(*) AS win_rate, sum(pnl_net_usdt) AS total_pnl_usdt, avg(pnl_net_usdt) AS avg_pnl_usdt,
-               coalesce(avg(pnl_net_usdt) FILTER (WHERE pnl_net_usdt > 0), 0) AS avg_win_usdt, coalesce(avg(pnl_net_usdt) FILTER (WHERE pnl_net_usdt <= 0), 0) AS avg_loss_usdt,
-               avg(hold_candles) AS avg_hold_candles, coalesce(sum(pnl_net_usdt) FILTER (WHERE pnl_net_usdt > 0), 0) / nullif(abs(sum(pnl_net_usdt) FILTER (WHERE pnl_net_usdt <= 0)), 0) AS profit_factor,
-               CASE WHEN count(*) >= 2 AND stddev_samp(pnl_pct) > 0 THEN avg(pnl_pct) / stddev_samp(pnl_pct) * sqrt(105120) ELSE 0 END AS sharpe_ratio,
-               max(peak - equity) AS max_drawdown_usdt, CASE WHEN max(peak) > 0 THEN max(peak - equity) / max(peak) * 100 ELSE 0 END AS max_drawdown_pct FROM dd GROUP BY pair)"""
+closed AS (SELECT * FROM tsess WHERE exit_ts IS NOT NULL),""" + met("pair", "exit_ts, trade_id")
 
 
 def query(ctes: str, select: str) -> str:
