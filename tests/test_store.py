@@ -166,17 +166,31 @@ def test_stream_equals_batch(spark):
     assert sorted(key(got)) == sorted(key(want))
 
 
+_POSITION = ("bot_id string, pair string, timeframe string, ts bigint, high double, low double, close double, outcome string, side string, entry_price double, tp_price double, sl_price double, size_usdt double, "
+             "since_reconnect_ms bigint")
+
+
+def _positions(spark, folder, rows: list[tuple], cols: str = _POSITION) -> list[tuple]:
+    spark.createDataFrame(rows, cols).coalesce(1).write.parquet(str(folder / "in"))
+    name = f"positions_{folder.name.replace('-', '_')}"
+    q = position_updates(spark.readStream.schema(cols).parquet(str(folder / "in"))).writeStream.format("memory").queryName(name).option(
+        "checkpointLocation", str(folder / "cp")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return [(r["ts"], r["event"], r["reason"]) for r in spark.sql(f"SELECT * FROM {name} ORDER BY ts").collect()]
+
+
 def test_positions_stream(spark, tmp_path):
     """Keyed positions open, close and respect the one-position rule."""
-    cols = "bot_id string, pair string, timeframe string, ts bigint, high double, low double, close double, outcome string, side string, entry_price double, tp_price double, sl_price double, size_usdt double"
     rows = [("b", "p", "5m", 1, 100.0, 100.0, 100.0, "fired", "long", 100.0, 102.0, 99.0, 10.0), ("b", "p", "5m", 2, 101.0, 99.5, 100.0, "fired", "long", 100.0, 102.0, 99.0, 10.0),
             ("b", "p", "5m", 3, 103.0, 100.0, 102.0, "rejected", None, None, None, None, None)]
-    spark.createDataFrame(rows, cols).coalesce(1).write.parquet(str(tmp_path / "in"))
-    q = position_updates(spark.readStream.schema(cols).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("positions").option(
-        "checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = [(r["ts"], r["event"], r["reason"]) for r in spark.sql("SELECT * FROM positions ORDER BY ts").collect()]
-    assert got == [(1, "open", None), (3, "close", "take_profit")]
+    assert _positions(spark, tmp_path, rows, _POSITION.rsplit(",", 1)[0]) == [(1, "open", None), (3, "close", "take_profit")]
+
+
+def test_positions_stream_passes_the_risk_gates(spark, tmp_path):
+    """Reward below risk, a fee that eats the gain, and a feed that just came back open nothing."""
+    entry = lambda ts, tp, sl, since: ("b", "p", "5m", ts, 100.0, 100.0, 100.0, "fired", "long", 100.0, tp, sl, 10.0, since)
+    rows = [entry(1, 101.0, 99.0, None), entry(2, 100.2, 99.9, None), entry(3, 102.0, 99.0, 59_999), entry(4, 102.0, 99.0, 60_000)]
+    assert _positions(spark, tmp_path, rows) == [(4, "open", None)]
 
 
 class _Cluster:

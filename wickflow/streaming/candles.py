@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from wickflow.functions.candle import SLIPPAGE, TAKER_FEE
+from wickflow.operators import risk
 from wickflow.operators.indicators import FRAME
 from wickflow.operators.signals import enrich, evaluate
 from wickflow.params import Params
@@ -85,18 +87,23 @@ class SignalStream:
         return candles.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def position_updates(candles: DataFrame) -> DataFrame:
+def position_updates(candles: DataFrame, leverage: int = 20) -> DataFrame:
     """Open positions and daily pnl per series as keyed state (``applyInPandasWithState``).
 
     Input rows are evaluated candles (series, ts, high, low, close, outcome, side,
-    prices, size); output is one row per opened or closed trade. State survives
-    restarts with the checkpoint.
+    prices, size, and optionally ``since_reconnect_ms``, the time since the feed
+    came back); output is one row per opened or closed trade. An entry passes
+    all risk gates: the row-local ones and the stale-data guard are columns,
+    capacity and daily loss are state. State survives restarts with the checkpoint.
     """
     import pandas as pd
 
     out = "bot_id string, pair string, timeframe string, ts bigint, event string, side string, price double, reason string, pnl_net_usdt double"
     state = "side string, fill double, tp double, sl double, liq double, size double, held int, day bigint, pnl double"
-    max_hold = Params().max_hold_candles
+    max_hold, slippage, fee, limit = Params().max_hold_candles, SLIPPAGE, TAKER_FEE, risk.DAILY_LOSS
+    back = F.col("since_reconnect_ms") if "since_reconnect_ms" in candles.columns else F.lit(None).cast("long")
+    gate = risk.reason(F.col("entry_price"), F.col("tp_price"), F.col("sl_price"), F.col("side"), leverage, F.lit(0), F.lit(0.0), back)
+    candles = candles.withColumn("able", F.coalesce((F.col("outcome") == "fired") & gate.isNull(), F.lit(False)))
 
     def step(key, frames, held):
         side, fill, tp, sl, liq, size, n, day, pnl = held.get if held.exists else ("", 0.0, 0.0, 0.0, 0.0, 0.0, 0, -1, 0.0)
@@ -113,18 +120,18 @@ def position_updates(candles: DataFrame) -> DataFrame:
                 why = "take_profit" if best >= s * tp else "stop_loss" if worst <= s * sl else "liquidated" if worst <= s * liq else "timeout" if n >= max_hold else ""
                 if why:
                     raw = {"take_profit": tp, "stop_loss": sl, "liquidated": liq}.get(why, r.close)
-                    price = raw * (1 - s * 0.0005)
-                    notional = size * 20
-                    net = round(s * (price - fill) / fill * notional - 2 * notional * 0.0004, 6)
+                    price = raw * (1 - s * slippage)
+                    notional = size * leverage
+                    net = round(s * (price - fill) / fill * notional - 2 * notional * fee, 6)
                     pnl += net
                     rows.append((*key, r.ts, "close", side, round(price, 8), why, net))
                     side = ""
                 else:
                     continue
-            if r.outcome == "fired" and pnl > -5.0:
+            if r.able and pnl > limit:
                 side, s = r.side, 1 if r.side == "long" else -1
-                fill, tp, sl, size, n = r.entry_price * (1 + s * 0.0005), r.tp_price, r.sl_price, r.size_usdt, 0
-                liq = fill * (1 - s / 20 + s * 0.005)
+                fill, tp, sl, size, n = r.entry_price * (1 + s * slippage), r.tp_price, r.sl_price, r.size_usdt, 0
+                liq = fill * (1 - s / leverage + s * 0.005)
                 rows.append((*key, r.ts, "open", side, round(fill, 8), None, None))
         held.update((side, fill, tp, sl, liq, size, n, day, pnl))
         yield pd.DataFrame(rows, columns=["bot_id", "pair", "timeframe", "ts", "event", "side", "price", "reason", "pnl_net_usdt"])
