@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wickflow.llm.common import table
+from wickflow.llm.divergence import divergence, divergence_sql
 from wickflow.llm.editsketch import fingerprint_report
 from wickflow.llm.jaccard import jaccard_join, jaccard_sql
 from wickflow.llm.licenses import license_scan
 from wickflow.llm.mixing import mix, mix_sql
 from wickflow.llm.packing import pack
 from wickflow.llm.quality import quality_rules
+from wickflow.llm.runs import run_report
 from wickflow.llm.secrets import secret_scan
 from wickflow.llm.tokenfile import token_round_trip
 from wickflow.llm.toxicity import toxicity
+from wickflow.llm.urls import url_filter
 from wickflow.llm.warc import warc_round_trip, warc_sql
 
 
@@ -59,9 +62,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_report(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mix": mix_sql(), "op4_warc": warc_sql(), "op8_jaccard_join": jaccard_sql()}
+    return {"op2_source_mix": mix_sql(), "op4_warc": warc_sql(), "op8_jaccard_join": jaccard_sql(), "op13_source_divergence": divergence_sql()}
