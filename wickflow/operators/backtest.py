@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from wickflow.functions.candle import SLIPPAGE, TAKER_FEE, liquidation_price, midnight
 from wickflow.operators import risk
+from wickflow.operators.frames import fields
 from wickflow.operators.indicators import keys, ordered
 from wickflow.operators.signals import evaluate
 from wickflow.params import Params
@@ -29,7 +30,8 @@ BUCKET = 10.0
 
 
 def fold_split(df: DataFrame, train: float = 0.6) -> DataFrame:
-    """Add ``fold``: in_sample for the first part of each series, else out_sample."""
+    """Add ``fold``: in_sample for the first part of each series, else out_sample. Frames of the whole series go."""
+    df = df.drop(*[c for c in fields(Params(), None, True) if c in df.columns])
     w = Window.partitionBy(*keys(df))
     rn, n = F.row_number().over(w.orderBy("ts")), F.count(F.lit(1)).over(w)
     return df.withColumn("fold", F.when(rn <= F.floor(F.lit(float(train)) * n), "in_sample").otherwise("out_sample"))

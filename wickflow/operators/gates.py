@@ -37,13 +37,15 @@ def trend(df: DataFrame, params: Params = Params()) -> DataFrame:
     fast, slow, r = F.col("ema9"), F.col("ema21"), F.col("rsi14")
     way = F.when((fast > slow) & r.between(params.rsi_low, params.rsi_long_max), "long").when(
         (fast < slow) & r.between(params.rsi_short_min, params.rsi_high), "short")
-    prior = frame(df, 3, -1)
-    known = F.when(fast.isNotNull() & slow.isNotNull(), F.when(fast > slow, 1).when(fast < slow, -1).otherwise(0))
-    df = df.withColumns({"trend": way, "k": known}).withColumns({"lo": F.min("k").over(prior), "hi": F.max("k").over(prior), "pairs": F.count("k").over(prior)})
-    agree = F.when(F.col("trend") == "long", F.col("lo") == 1).when(F.col("trend") == "short", F.col("hi") == -1)
-    df = df.withColumn("streak_ok", (F.col("n") < 4) | (F.col("pairs") < 2) | F.coalesce(agree, F.lit(False)))
+    df = df.withColumn("trend", way)
+    if "streak_n" not in df.columns:
+        prior = frame(df, 3, -1)
+        known = F.when(fast.isNotNull() & slow.isNotNull(), F.when(fast > slow, 1).when(fast < slow, -1).otherwise(0))
+        df = df.withColumn("k", known).withColumns({"streak_lo": F.min("k").over(prior), "streak_hi": F.max("k").over(prior), "streak_n": F.count("k").over(prior)}).drop("k")
+    agree = F.when(F.col("trend") == "long", F.col("streak_lo") == 1).when(F.col("trend") == "short", F.col("streak_hi") == -1)
+    df = df.withColumn("streak_ok", (F.col("n") < 4) | (F.col("streak_n") < 2) | F.coalesce(agree, F.lit(False)))
     reject = F.when(F.col("n") < params.ema_slow + 1, "insufficient_candles").when(F.col("trend").isNull(), "no_trend_alignment").when(~F.col("streak_ok"), "no_trend_streak")
-    return df.withColumn("trend_reject", reject).drop("k", "lo", "hi", "pairs")
+    return df.withColumn("trend_reject", reject).drop("streak_lo", "streak_hi", "streak_n")
 
 
 def volume(df: DataFrame, params: Params = Params()) -> DataFrame:

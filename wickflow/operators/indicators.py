@@ -1,10 +1,9 @@
 """Rolling indicators: every value is a function of a bounded row frame.
 
-Recursive averages are folds over the frame: by default the Arrow pass of
-``rolling``, or native folds with scalar accumulators. Plain averages are
-window aggregates that share a partition and order, so Catalyst plans one
-exchange and one sort for all of them. ``chunks`` cuts long series into pieces
-with enough rows before them, so one series doesn't bound the parallelism.
+By default all of them come from the Arrow pass of ``frames``: one exchange and
+one sort. ``native`` says the same by window aggregates and folds with scalar
+accumulators. ``chunks`` cuts long series into pieces with enough rows before
+them, so one series doesn't bound the parallelism.
 """
 
 from __future__ import annotations
@@ -13,12 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickflow.functions.candle import ratio
-from wickflow.operators.rolling import Spec, rolling
+from wickflow.operators.frames import FRAME, STORED, compute, fields, over_series
 from wickflow.params import Params
 from wickflow.schemas import DAY_MS, SERIES
 
-#: Rows of a live frame.
-FRAME = 120
 #: Rows a chunk of a long series aims at.
 CHUNK_ROWS = 500_000
 
@@ -125,20 +122,15 @@ def rest_of(array: Column) -> Column:
     return F.slice(array, 2, F.greatest(F.size(array) - 1, F.lit(0)))
 
 
-def indicators(df: DataFrame, params: Params = Params(), buffer: int = FRAME, native: bool = False) -> DataFrame:
-    """Add the indicator columns to candles; names are fixed although periods are parameters.
-
-    Recursive ones come from an Arrow pass, or with ``native`` from folds in the
-    plan; plain averages and deviations are window aggregates either way.
-    """
-    if native:
-        df = moves(df).withColumn("w", F.collect_list(F.struct("close", "tr", "up", "down", "delta")).over(frame(df, buffer)))
-        closes = F.col("w.close")
-        df = df.withColumns({"ema9": ema(closes, params.ema_fast), "ema21": ema(closes, params.ema_slow), "rsi14": rsi(rest_of(F.col("w.delta"))),
-                             "atr14": wilder(rest_of(F.col("w.tr")), 14), "adx": adx(rest_of(F.col("w")))}).drop("w")
-    else:
-        df = moves(rolling(df, keys(df), {"ema9": Spec("ema", params.ema_fast, buffer), "ema21": Spec("ema", params.ema_slow, buffer), "rsi14": Spec("rsi", 14, buffer),
-                                          "atr14": Spec("atr", 14, buffer), "adx": Spec("adx", 14, buffer)}))
+def indicators(df: DataFrame, params: Params = Params(), buffer: int = FRAME, native: bool = False, only: tuple[str, ...] = STORED) -> DataFrame:
+    """Add the indicator columns to candles, or those of them in ``only``; names are fixed although periods are parameters."""
+    if not native:
+        # Only prices, volumes and what the rows carry are read, so nothing else is asked of the pass.
+        return over_series(df, keys(df), buffer, fields(params, only, False), lambda b, first, number: compute(b, first, number, params, buffer, None, only))
+    df = moves(df).withColumn("w", F.collect_list(F.struct("close", "tr", "up", "down", "delta")).over(frame(df, buffer)))
+    closes = F.col("w.close")
+    df = df.withColumns({"ema9": ema(closes, params.ema_fast), "ema21": ema(closes, params.ema_slow), "rsi14": rsi(rest_of(F.col("w.delta"))),
+                         "atr14": wilder(rest_of(F.col("w.tr")), 14), "adx": adx(rest_of(F.col("w")))}).drop("w")
     w20 = frame(df, 20)
     n20 = F.count(F.lit(1)).over(w20)
     df = df.withColumns({
@@ -154,14 +146,19 @@ def indicators(df: DataFrame, params: Params = Params(), buffer: int = FRAME, na
     return df.withColumn("bb_width", width).drop("sd20", "n20", "sma20")
 
 
-def window_ranges(df: DataFrame, window: int = FRAME, native: bool = False) -> DataFrame:
-    """Moves, and the ATR variants that detectors recompute on the evaluation window."""
-    if native:
-        df = moves(df)
-        df = df.withColumns({"wt": F.collect_list("tr").over(frame(df, window)), "pt": F.collect_list("tr").over(frame(df, window - 1, -1))})
-        rest, prior = rest_of(F.col("wt")), rest_of(F.col("pt"))
-        df = df.withColumns({"atr14_w": wilder(rest, 14), "atr50_w": wilder(rest, 50), "atr14_prev": wilder(prior, 14)}).drop("wt", "pt")
-    else:
-        df = moves(rolling(df, keys(df), {"atr14_w": Spec("atr", 14, window), "atr50_w": Spec("atr", 50, window), "atr14_prev": Spec("atr", 14, window - 1, -1)}))
+def window_ranges(df: DataFrame, window: int = FRAME, native: bool = False, params: Params = Params(), lags: bool = True) -> DataFrame:
+    """Moves, the ATR variants that detectors recompute on the evaluation window, and (not natively) extremes, the trend's streak and, for candles with geometry, lags."""
+    if not native:
+        lags = lags and "body_size" in df.columns
+        return over_series(df, keys(df), window, fields(params, None, True, lags), lambda b, first, number: compute(b, first, number, params, window, window, None, lags))
+    df = moves(df)
+    df = df.withColumns({"wt": F.collect_list("tr").over(frame(df, window)), "pt": F.collect_list("tr").over(frame(df, window - 1, -1))})
+    rest, prior = rest_of(F.col("wt")), rest_of(F.col("pt"))
+    df = df.withColumns({"atr14_w": wilder(rest, 14), "atr50_w": wilder(rest, 50), "atr14_prev": wilder(prior, 14)}).drop("wt", "pt")
     return df.withColumns({"tr5": F.avg("tr").over(frame(df, 5)), "tr20": F.avg("tr").over(frame(df, 20)), "n": F.least(F.col("rn"), F.lit(window)),
                            "atr50_w": F.when(F.col("rn") >= 51, F.col("atr50_w"))})
+
+
+def framed(df: DataFrame, params: Params = Params(), buffer: int = FRAME, window: int = FRAME, lags: bool = True) -> DataFrame:
+    """``indicators`` and ``window_ranges`` of candles with geometry in one pass."""
+    return over_series(df, keys(df), buffer + window, fields(params, STORED, True, lags), lambda b, first, number: compute(b, first, number, params, buffer, window, STORED, lags))

@@ -14,12 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wickflow.functions.candle import ratio
+from wickflow.operators.frames import LAGGED, lags_of
 from wickflow.operators.indicators import frame, ordered
 from wickflow.params import Params
 
 Detector = Callable[[Params], Column]
 REGISTRY: dict[str, Detector] = {}
-_LAGGED = ("open", "close", "volume", "body_size", "body_ratio", "volume_ratio", "bb_width", "direction")
 
 
 def pattern(name: str) -> Callable[[Detector], Detector]:
@@ -33,9 +33,11 @@ def pattern(name: str) -> Callable[[Detector], Detector]:
 
 
 def with_lags(df: DataFrame, params: Params = Params()) -> DataFrame:
-    """Lags, frame extremes and prior-frame statistics that the detectors read."""
+    """Lags, frame extremes and prior-frame statistics that the detectors read, where the frames' pass has not made them."""
+    if f"open_{lags_of(params)}" in df.columns:
+        return df
     w = ordered(df)
-    lags = {f"{c}_{k}": F.lag(c, k).over(w) for c in _LAGGED for k in range(1, max(5, params.momentum_acceleration_candles + 1))}
+    lags = {f"{c}_{k}": F.lag(c, k).over(w) for c in LAGGED for k in range(1, lags_of(params) + 1)}
     prev10, prev20 = frame(df, 10, -1), frame(df, 20, -1)
     return df.withColumns(lags | {
         "low10": F.min("low").over(prev10), "high10": F.max("high").over(prev10),
@@ -125,4 +127,4 @@ def detect(df: DataFrame, params: Params = Params(), names: tuple[str, ...] | No
     """Add one struct column per pattern; the frame's lags are computed once."""
     df = with_lags(df, params)
     kept = df.columns
-    return df.withColumns({f"p_{k}": REGISTRY[k](params) for k in names or tuple(REGISTRY)}).drop(*[x for x in kept if x.rsplit("_", 1)[-1].isdigit() and x.rsplit("_", 1)[0] in _LAGGED])
+    return df.withColumns({f"p_{k}": REGISTRY[k](params) for k in names or tuple(REGISTRY)}).drop(*[x for x in kept if x.rsplit("_", 1)[-1].isdigit() and x.rsplit("_", 1)[0] in LAGGED])

@@ -1,22 +1,15 @@
-"""Recursive indicators over bounded frames as one Arrow pass.
+"""Recursive indicators over bounded frames.
 
 The folds of ``indicators`` say the same in native expressions, at some
 microseconds per step; here a step is a numpy operation over all rows of a
-batch. Rows stream through sorted by series and time with the last frame of
-the batch before as context, so memory is one batch whatever a series' length.
+block. ``frames`` brings the blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
-
-from wickflow.scratch import ship
 
 
 @dataclass(frozen=True)
@@ -66,16 +59,22 @@ def _adx(tr: np.ndarray, up: np.ndarray, down: np.ndarray, s: np.ndarray, m: np.
     return np.where(few < 1, 0.0, np.where(few < p, v / np.maximum(few, 1), v))
 
 
+def moves_of(high: np.ndarray, low: np.ndarray, close: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """True range, directional moves and close delta; 0 on a series' first row, NaN beside a NaN."""
+    i = np.arange(len(close))
+    before, new = np.maximum(i - 1, 0), i == first
+    pc, ph, pl = close[before], high[before], low[before]
+    tr = np.where(new, 0.0, np.maximum(high - low, np.maximum(np.abs(high - pc), np.abs(low - pc))))
+    u, d = high - ph, pl - low
+    unknown = np.where(np.isnan(u) | np.isnan(d), np.nan, 0.0)
+    up, down = np.where(~new & (u > d) & (u > 0), u, unknown), np.where(~new & (d > u) & (d > 0), d, unknown)
+    return tr, np.where(new, 0.0, up), np.where(new, 0.0, down), np.where(new, 0.0, close - pc)
+
+
 def kernel(high: np.ndarray, low: np.ndarray, close: np.ndarray, first: np.ndarray, specs: dict[str, Spec]) -> dict[str, np.ndarray]:
     """Values for every row; ``first`` is the index of the first row at hand of each row's series."""
     i = np.arange(len(close))
-    before = np.maximum(i - 1, 0)
-    new = i == first
-    pc_, ph, pl = close[before], high[before], low[before]
-    tr = np.where(new, 0.0, np.maximum(high - low, np.maximum(np.abs(high - pc_), np.abs(low - pc_))))
-    u, d = high - ph, pl - low
-    up, down = np.where(~new & (u > d) & (u > 0), u, 0.0), np.where(~new & (d > u) & (d > 0), d, 0.0)
-    delta = np.where(new, 0.0, close - pc_)
+    tr, up, down, delta = moves_of(high, low, close, first)
     out = {}
     for name, spec in specs.items():
         m = np.clip(np.minimum(i + spec.end - first + 1, spec.frame), 0, None)
@@ -93,39 +92,3 @@ def kernel(high: np.ndarray, low: np.ndarray, close: np.ndarray, first: np.ndarr
             g, lo = _ema(np.maximum(delta, 0.0), s, m, p), _ema(np.maximum(-delta, 0.0), s, m, p)
             out[name] = np.where(m < p, 50.0, np.where(lo == 0, 100.0, 100.0 - 100.0 / (1.0 + g / np.where(lo == 0, 1.0, lo))))
     return out
-
-
-def rolling(df: DataFrame, keys: list[str], specs: dict[str, Spec]) -> DataFrame:
-    """``df`` with one double column per spec; frames stay within the rows of equal ``keys``."""
-    ship(df.sparkSession)
-    context = max(s.frame - s.end for s in specs.values())
-    kept = [c for c in df.columns if c not in specs]
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes if c in kept), *(f"`{c}` double" for c in specs)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: list[np.ndarray] | None = None
-        last_key = None
-        for b in batches:
-            n = b.num_rows
-            if not n:
-                continue
-            change = np.zeros(n, bool)
-            for k in keys:
-                col = b.column(k)
-                change[1:] |= ~np.asarray(pc.fill_null(pc.equal(col[1:], col[:-1]), False).to_numpy(zero_copy_only=False), bool) & ~(
-                    col[1:].is_null().to_numpy(zero_copy_only=False) & col[:-1].is_null().to_numpy(zero_copy_only=False))
-            key = tuple(b.column(k)[0].as_py() for k in keys)
-            prices = [b.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("high", "low", "close")]
-            held = len(carry[0]) if carry is not None and key == last_key else 0
-            if held:
-                prices = [np.concatenate([x, y]) for x, y in zip(carry, prices)]
-            starts = np.flatnonzero(change)
-            first = np.zeros(held + n, np.int64)
-            for s in starts:
-                first[held + s:] = held + s
-            got = kernel(*prices, first, specs)
-            begin = max(held + n - context, int(first[-1]))
-            carry, last_key = [x[begin:] for x in prices], tuple(b.column(k)[n - 1].as_py() for k in keys)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array(got[c][held:]) for c in specs)], names=[*kept, *specs])
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, "ts").mapInArrow(run, schema)

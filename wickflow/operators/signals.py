@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from wickflow.functions.candle import geometry, session, session_confidence_multiplier
 from wickflow.operators import gates, memory
-from wickflow.operators.indicators import CHUNK_ROWS, FRAME, chunks, indicators, window_ranges
+from wickflow.operators.frames import FRAME
+from wickflow.operators.indicators import CHUNK_ROWS, chunks, framed, indicators, window_ranges
 from wickflow.operators.patterns import REGISTRY, detect
 from wickflow.params import Params
+from wickflow.schemas import SERIES
+from wickflow.scratch import materialise
 
 
 def enrich(candles: DataFrame, params: Params = Params(), buffer: int = FRAME) -> DataFrame:
@@ -17,9 +20,19 @@ def enrich(candles: DataFrame, params: Params = Params(), buffer: int = FRAME) -
     return indicators(geometry(candles), params, buffer)
 
 
+def enrich_framed(candles: DataFrame, params: Params = Params(), buffer: int = FRAME, window: int = FRAME) -> DataFrame:
+    """``enrich`` with the evaluation's frame columns from the same pass, for series that are not split afterwards."""
+    return framed(geometry(candles), params, buffer, window)
+
+
+def with_frames(enriched: DataFrame, params: Params = Params(), lags: bool = True) -> DataFrame:
+    """The evaluation's frame columns, unless the rows have them."""
+    return enriched if "streak_n" in enriched.columns else window_ranges(enriched, params=params, lags=lags)
+
+
 def labelled(enriched: DataFrame, params: Params = Params()) -> DataFrame:
     """Enriched candles with the regime; QUIET is stored as null."""
-    out = gates.regime(window_ranges(enriched), params)
+    out = gates.regime(with_frames(enriched, params, lags=False), params)
     return out.withColumn("regime", F.when(F.col("regime") != "QUIET", F.col("regime")))
 
 
@@ -54,7 +67,12 @@ def evaluate(enriched: DataFrame, params: Params = Params(), pattern_memory: Dat
     A pure function of the evaluation window, so all candles are evaluated at
     once; frames stay inside a ``fold`` where the input has one.
     """
-    df = detect(gates.volume(gates.trend(gates.regime(window_ranges(enriched), params), params), params), params)
+    return judge(with_frames(enriched, params), params, pattern_memory)
+
+
+def judge(df: DataFrame, params: Params = Params(), pattern_memory: DataFrame | None = None) -> DataFrame:
+    """``evaluate`` of rows with their frame columns: projections only, on a stream too."""
+    df = detect(gates.volume(gates.trend(gates.regime(df, params), params), params), params)
     df = scan(df, params, pattern_memory)
     least = F.lit(params.min_confidence) * session_confidence_multiplier(session(F.col("ts")))
     conf = F.col("best.confidence")
@@ -82,10 +100,17 @@ def evaluate_chunked(candles: DataFrame, params: Params = Params(), rows: int =
     A chunk brings the rows before it that two frames and the lags need, so
     results are those of the whole series, in as many tasks as there are chunks.
     """
-    out = evaluate(enrich(chunks(candles, 2 * FRAME + 20, rows), params), params)
+    out = evaluate(enrich_framed(chunks(candles, 2 * FRAME + 20, rows), params), params)
     return out.filter("own").drop("own", "chunk", "rn", "n")
 
 
+def evaluate_candles(candles: DataFrame, params: Params = Params(), rows: int = CHUNK_ROWS) -> DataFrame:
+    """``evaluate`` of raw candles; where a series holds more than ``rows``, all are cut into chunks."""
+    candles = materialise(candles, "candles")
+    longest = candles.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    return evaluate_chunked(candles, params, rows) if longest > rows else evaluate(enrich_framed(candles, params), params).drop("rn", "n")
+
+
 def probe(evaluated: DataFrame, last: int | None = None) -> DataFrame:
     """Counts of outcomes by stage and reason with their share."""
     from pyspark.sql import Window

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wickflow.functions.candle import geometry, liquidation_price, session, session_confidence_multiplier, session_volume_multiplier
 from wickflow.operators import backtest, gates, memory, metrics, risk, signals, store
-from wickflow.operators.indicators import moves, window_ranges
+from wickflow.operators.indicators import indicators, moves
 from wickflow.operators.patterns import detect
 from wickflow.params import Params
 from wickflow.plans import sql
@@ -53,7 +53,7 @@ def _enriched(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _windowed(spark: SparkSession, d: str) -> DataFrame:
-    return window_ranges(_enriched(spark, d))
+    return signals.enrich_framed(_candles(spark, d))
 
 
 def _gated(spark: SparkSession, d: str) -> DataFrame:
@@ -102,12 +102,13 @@ def liquidation_levels(spark, d):
 
 @_add(sql.query(sql.INDICATORS, f"SELECT pair, ts, {sql.r8('ema9', 'ema21')}, ema9 > ema21 AS uptrend FROM ind"))
 def ema_cross(spark, d):
-    return _enriched(spark, d).select("pair", "ts", *_r8("ema9", "ema21"), (F.col("ema9") > F.col("ema21")).alias("uptrend"))
+    return indicators(_candles(spark, d), only=("ema9", "ema21")).select("pair", "ts", *_r8("ema9", "ema21"), (F.col("ema9") > F.col("ema21")).alias("uptrend"))
 
 
-def _indicator(name: str, *columns: str, source=_enriched) -> None:
+def _indicator(name: str, *columns: str, source=None) -> None:
     def f(spark, d):
-        return source(spark, d).select("pair", "ts", *_r8(*columns))
+        df = source(spark, d) if source else indicators(_candles(spark, d), only=columns)
+        return df.select("pair", "ts", *_r8(*columns))
 
     f.__name__ = name
     _add(sql.query(sql.INDICATORS, f"SELECT pair, ts, {sql.r8(*columns)} FROM ind"))(f)
@@ -132,7 +133,7 @@ def regime_label(spark, d):
 @_add(sql.query(sql.GATES, """, h AS (SELECT coalesce(CASE WHEN regime <> 'QUIET' THEN regime END, 'None') AS regime, count(*) AS n FROM gate GROUP BY 1)
 SELECT regime, n, round(n * 100.0::DOUBLE / sum(n) OVER (), 8) AS pct FROM h"""))
 def regime_histogram(spark, d):
-    return store.histogram(signals.labelled(_enriched(spark, d)), "regime").select("regime", "n", *_r8("pct"))
+    return store.histogram(signals.labelled(_windowed(spark, d)), "regime").select("regime", "n", *_r8("pct"))
 
 
 @_add(sql.query(sql.GATES, "SELECT pair, ts, trend FROM gate"))
@@ -171,13 +172,13 @@ def pattern_scan(spark, d):
 
 @_add(sql.query(sql.SIGNALS, "SELECT pair, ts, outcome, stage, reason, pattern, side, confidence, tp_price, sl_price, size_usdt FROM sig"))
 def evaluate_signals(spark, d):
-    return signals.evaluate(_enriched(spark, d)).select("pair", "ts", "outcome", "stage", "reason", "pattern", "side", "confidence", "tp_price", "sl_price", "size_usdt")
+    return signals.evaluate_candles(_candles(spark, d)).select("pair", "ts", "outcome", "stage", "reason", "pattern", "side", "confidence", "tp_price", "sl_price", "size_usdt")
 
 
 @_add(sql.query(sql.SIGNALS, """, c AS (SELECT coalesce(stage, 'fired') AS stage, coalesce(reason, 'fired') AS reason, count(*) AS n FROM sig WHERE rn > 60 GROUP BY 1, 2)
 SELECT stage, reason, n, round(n * 100.0::DOUBLE / sum(n) OVER (), 8) AS pct FROM c"""))
 def reject_breakdown(spark, d):
-    return signals.probe(signals.evaluate(_enriched(spark, d)).filter("rn > 60")).select("stage", "reason", "n", *_r8("pct"))
+    return signals.probe(signals.evaluate(_windowed(spark, d)).filter("rn > 60")).select("stage", "reason", "n", *_r8("pct"))
 
 
 @_add(sql.query(sql.INDICATORS, """, lv AS (SELECT pair, ts, close, close + atr14 * 1.6::DOUBLE AS tp, close - atr14 * 1.0::DOUBLE AS sl, close * (1 - 1.0::DOUBLE / 20 + 0.005::DOUBLE) AS liq FROM ind)
@@ -216,7 +217,7 @@ round(fee, 6) AS fee_entry_usdt, round(price, 6) AS exit_price, round(fee, 6) AS
 round(net / size_usdt * 100, 4) AS pnl_pct FROM fate WHERE taken"""))
 def backtest_trades(spark, d):
     """Sequential occupancy; tested against a row-by-row simulator too."""
-    t = backtest.trades(backtest.backtest(_enriched(spark, d), LOOSE))
+    t = backtest.trades(backtest.backtest(_windowed(spark, d), LOOSE))
     return t.select("pair", "direction", "pattern", "entry_ts", "exit_ts", "close_reason", "forced", "hold_candles", *[F.round(c, 6).alias(c) for c in _TRADE], *[F.round(c, 4 if c == "pnl_pct" else 5).alias(c) for c in _MONEY])
 
 
@@ -226,7 +227,7 @@ CASE WHEN outcome = 'fired' THEN coalesce(risk_reason, CASE WHEN NOT coalesce(ta
 CASE WHEN risk_reason IS NULL AND taken THEN pattern END AS pattern, CASE WHEN risk_reason IS NULL AND taken THEN side END AS direction, CASE WHEN risk_reason IS NULL AND taken THEN confidence END AS confidence
 FROM fate WHERE NOT held"""))
 def backtest_signal_log(spark, d):
-    return backtest.signal_log(backtest.backtest(_enriched(spark, d), LOOSE)).drop("bot_id", "timeframe")
+    return backtest.signal_log(backtest.backtest(_windowed(spark, d), LOOSE)).drop("bot_id", "timeframe")
 
 
 _PLACES = {"profit_factor": 3, "sharpe_ratio": 3, "avg_hold_candles": 2}
