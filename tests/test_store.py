@@ -12,11 +12,9 @@ from pyspark.sql import functions as F
 
 from wickflow import registry, scratch
 from wickflow.operators import memory, risk, store
-from wickflow.operators.signals import enrich, evaluate
 from wickflow.schemas import CANDLE, DAY_MS, HOUR_MS
-from wickflow.scratch import scratch_uri
 from wickflow.sources.candles import duration_seconds, read_ohlcv_json, recent
-from wickflow.streaming.candles import SignalStream, position_updates
+from wickflow.streaming.trading import position_updates
 
 DATA = "/root/testdata/sf0.001"
 
@@ -149,23 +147,6 @@ def test_retention_boundary(spark):
     assert [r["candle_id"] for r in store.expired_candles(c, ctx, now).collect()] == ["a"]
 
 
-def test_stream_equals_batch(spark):
-    """Signals of three micro-batches equal those of one batch job; replays change nothing."""
-    rows = R.series(360, 7)
-    frames = [spark.createDataFrame([tuple(r[c.split()[0]] for c in CANDLE.split(", ")) for r in rows[a:b]], CANDLE) for a, b in ((0, 300), (300, 330), (330, 360))]
-    root = scratch_uri(spark, "signals")
-    s = SignalStream(root)
-    for k, f in enumerate(frames):
-        s.process(f, k)
-    s.process(frames[2], 2)
-    cols = ["ts", "outcome", "stage", "reason", "regime", "pattern", "side", "confidence"]
-    got = sorted(map(tuple, spark.read.parquet(f"{root}/signals").select(*cols).collect()))
-    whole = frames[0].unionByName(frames[1]).unionByName(frames[2])
-    want = sorted(map(tuple, evaluate(enrich(whole)).select(*cols).collect()))
-    key = lambda rows: [tuple("" if x is None else x for x in r) for r in rows]
-    assert sorted(key(got)) == sorted(key(want))
-
-
 _POSITION = ("bot_id string, pair string, timeframe string, ts bigint, high double, low double, close double, outcome string, side string, entry_price double, tp_price double, sl_price double, size_usdt double, "
              "since_reconnect_ms bigint")
 

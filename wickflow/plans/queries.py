@@ -18,6 +18,7 @@ from wickflow.schemas import DAY_MS, HOUR_MS
 from wickflow.scratch import materialise, scratch_uri
 from wickflow.sources.candles import candles_from_events, dedupe, event_log, recent, since
 from wickflow.streaming import candles as stream
+from wickflow.streaming import trading
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -516,3 +517,30 @@ def stream_candles(spark, d):
     q = stream.to_files(stream.closed_candles(stream.stream_events(spark, f"{d}/events.parque[t]")), f"{root}/candles", f"{root}/checkpoint")
     q.awaitTermination()
     return spark.read.parquet(f"{root}/candles").select("pair", "ts", "open", "high", "low", "close", "volume")
+
+
+def _streamed(spark: SparkSession, d: str) -> str:
+    """The folder of the tick-to-trade stream over all events."""
+    root = scratch_uri(spark, "trading")
+    ticks = stream.stream_events(spark, f"{d}/events.parque[t]")
+    trading.start(trading.trading(stream.closed_candles(ticks), LOOSE), f"{root}/rows", f"{root}/checkpoint").awaitTermination()
+    return f"{root}/rows"
+
+
+@_add(sql.query(sql.closed_only(sql.simulation(LOOSE)), """SELECT pair, ts, CASE WHEN outcome = 'fired' AND (risk_reason IS NOT NULL OR NOT coalesce(taken, false)) THEN 'rejected' ELSE outcome END AS outcome,
+CASE WHEN outcome = 'fired' THEN CASE WHEN risk_reason IS NOT NULL OR NOT coalesce(taken, false) THEN 'risk' END ELSE stage END AS stage,
+CASE WHEN outcome = 'fired' THEN coalesce(risk_reason, CASE WHEN NOT coalesce(taken, false) THEN 'daily_loss_limit' END) ELSE reason END AS reason,
+CASE WHEN risk_reason IS NULL AND taken THEN pattern END AS pattern, CASE WHEN risk_reason IS NULL AND taken THEN side END AS direction, CASE WHEN risk_reason IS NULL AND taken THEN confidence END AS confidence
+FROM fate WHERE NOT held"""))
+def stream_signal_log(spark, d):
+    """What the stream from ticks to trades logs for every candle on which no position is open."""
+    return trading.signal_log(spark, _streamed(spark, d)).drop("bot_id", "timeframe")
+
+
+@_add(sql.query(sql.closed_only(sql.simulation(LOOSE)), """SELECT pair, side AS direction, pattern, ts AS entry_ts, exit_ts, close_reason, CAST(greatest((exit_ts - ts) // 900000, 1) AS INTEGER) AS hold_candles,
+round(fill, 6) AS entry_price, round(price, 6) AS exit_price, round(net, 5) AS pnl_net_usdt, round(net / size_usdt * 100, 4) AS pnl_pct FROM fate WHERE taken AND NOT forced"""))
+def stream_trades(spark, d):
+    """Trades that the stream closes; a position still open at its end has no row."""
+    t = trading.trades(spark, _streamed(spark, d))
+    return t.select("pair", "direction", "pattern", "entry_ts", "exit_ts", "close_reason", "hold_candles", *[F.round(c, 6).alias(c) for c in ("entry_price", "exit_price")],
+                    F.round("pnl_net_usdt", 5).alias("pnl_net_usdt"), F.round("pnl_pct", 4).alias("pnl_pct"))

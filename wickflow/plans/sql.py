@@ -34,6 +34,15 @@ ticks AS (SELECT event_type AS pair, epoch_us(ts) // 1000 AS ms, event_id, value
 candles AS (SELECT pair, ms - ms % 3600000 AS ts, first(value ORDER BY ms, event_id) AS open, max(value) AS high, min(value) AS low,
                    last(value ORDER BY ms, event_id) AS close, CAST(count(*) AS DOUBLE) AS volume FROM ticks GROUP BY pair, ms - ms % 3600000)"""
 
+_ALL_WINDOWS = "GROUP BY pair, ms - ms % 3600000)"
+
+
+def closed_only(ctes: str, step: int = 3_600_000, delay: int = 600_000) -> str:
+    """The same over windows that a watermark ``delay`` behind the newest tick has passed."""
+    assert ctes.count(_ALL_WINDOWS) == 1
+    return ctes.replace(_ALL_WINDOWS, f"{_ALL_WINDOWS[:-1]} HAVING ms - ms % {step} + {step} <= (SELECT max(ms) - {delay} FROM ticks))")
+
+
 GEOMETRY = CANDLES + """,
 geo AS (SELECT *, abs(close - open) AS body_size, high - low AS total_range, high - greatest(open, close) AS upper_wick, least(open, close) - low AS lower_wick,
                CASE WHEN close >= open THEN 'bullish' ELSE 'bearish' END AS direction, CASE WHEN high - low > 0 THEN abs(close - open) / (high - low) ELSE 0.0 END AS body_ratio,

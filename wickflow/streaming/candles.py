@@ -1,10 +1,7 @@
-"""Streaming candles and signals.
+"""Streaming candles.
 
 Closed candles come from tumbling windows under a watermark (append mode), so a
-late tick can't reopen a candle. Signals run in ``foreachBatch``: each batch of
-closed candles is evaluated with the same plan as a batch job over itself and
-the rows before it that the frames need, read from the candle store. State is
-the store, in the shared folder, so a restart continues where it stopped.
+late tick can't reopen a candle. ``trading`` goes on from them.
 """
 
 from __future__ import annotations
@@ -13,18 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from wickflow.functions.candle import SLIPPAGE, TAKER_FEE
-from wickflow.operators import risk
-from wickflow.operators.indicators import FRAME
-from wickflow.operators.signals import enrich, evaluate
-from wickflow.params import Params
-from wickflow.schemas import SERIES, TIMEFRAME_MS
-from wickflow.sources.candles import recent
+from wickflow.schemas import TIMEFRAME_MS
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-#: Rows of history that make every frame of a new row complete: the evaluation
-#: window, plus a stored-indicator frame for the rows that lags refer to.
-HISTORY = 2 * FRAME + 20
 
 
 def stream_events(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
@@ -44,96 +32,3 @@ def closed_candles(events: DataFrame, timeframe: str = "1h", delay: str = "10 mi
 def to_files(candles: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append closed candles to Parquet files, exactly once; ends when the input is used up."""
     return candles.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-
-
-class SignalStream:
-    """Evaluate each batch of closed candles and append signals to ``<root>/signals``.
-
-    Batches are written to ``batch=<id>`` folders with overwrite, so a batch
-    that runs twice after a failure leaves one copy.
-    """
-
-    def __init__(self, root: str, params: Params = Params()) -> None:
-        self.root, self.params = root.rstrip("/"), params
-
-    def _store(self, spark: SparkSession, batch_id: int, schema) -> DataFrame | None:
-        """Candles of earlier batches only."""
-        if batch_id == 0:
-            return None
-        path = f"{self.root}/candles"
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
-            return None
-        return spark.read.schema(f"{schema}, batch bigint").option("basePath", path).parquet(path).filter(F.col("batch") < batch_id).drop("batch")
-
-    def process(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fields = ", ".join(f"{c} {t}" for c, t in batch.dtypes)
-        batch.write.mode("overwrite").parquet(f"{self.root}/candles/batch={batch_id}")
-        new = spark.read.schema(fields).parquet(f"{self.root}/candles/batch={batch_id}")
-        old = self._store(spark, batch_id, fields)
-        if old is None:
-            known = new
-        else:
-            # A stored candle wins over a repeat of it; late ones are not in the watermark's batches.
-            new = new.join(old.select(*SERIES, "ts"), [*SERIES, "ts"], "left_anti")
-            known = recent(old, HISTORY).unionByName(new)
-        first = new.groupBy(*SERIES).agg(F.min("ts").alias("from_ts"))
-        signals = evaluate(enrich(known, self.params), self.params).join(first, list(SERIES)).filter(F.col("ts") >= F.col("from_ts"))
-        signals.select(*SERIES, "ts", "outcome", "stage", "reason", "regime", "pattern", "side", "confidence", "entry_price", "tp_price", "sl_price", "size_usdt").write.mode(
-            "overwrite").parquet(f"{self.root}/signals/batch={batch_id}")
-
-    def start(self, candles: DataFrame, checkpoint: str) -> StreamingQuery:
-        return candles.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-
-
-def position_updates(candles: DataFrame, leverage: int = 20) -> DataFrame:
-    """Open positions and daily pnl per series as keyed state (``applyInPandasWithState``).
-
-    Input rows are evaluated candles (series, ts, high, low, close, outcome, side,
-    prices, size, and optionally ``since_reconnect_ms``, the time since the feed
-    came back); output is one row per opened or closed trade. An entry passes
-    all risk gates: the row-local ones and the stale-data guard are columns,
-    capacity and daily loss are state. State survives restarts with the checkpoint.
-    """
-    import pandas as pd
-
-    out = "bot_id string, pair string, timeframe string, ts bigint, event string, side string, price double, reason string, pnl_net_usdt double"
-    state = "side string, fill double, tp double, sl double, liq double, size double, held int, day bigint, pnl double"
-    max_hold, slippage, fee, limit = Params().max_hold_candles, SLIPPAGE, TAKER_FEE, risk.DAILY_LOSS
-    back = F.col("since_reconnect_ms") if "since_reconnect_ms" in candles.columns else F.lit(None).cast("long")
-    gate = risk.reason(F.col("entry_price"), F.col("tp_price"), F.col("sl_price"), F.col("side"), leverage, F.lit(0), F.lit(0.0), back)
-    candles = candles.withColumn("able", F.coalesce((F.col("outcome") == "fired") & gate.isNull(), F.lit(False)))
-
-    def step(key, frames, held):
-        side, fill, tp, sl, liq, size, n, day, pnl = held.get if held.exists else ("", 0.0, 0.0, 0.0, 0.0, 0.0, 0, -1, 0.0)
-        rows = []
-        for r in pd.concat(list(frames)).sort_values("ts").itertuples():
-            today = r.ts // 86_400_000
-            if today > day:
-                day, pnl = today, 0.0
-            if side:
-                n += 1
-                long = side == "long"
-                best, worst = (r.high, r.low) if long else (-r.low, -r.high)
-                s = 1 if long else -1
-                why = "take_profit" if best >= s * tp else "stop_loss" if worst <= s * sl else "liquidated" if worst <= s * liq else "timeout" if n >= max_hold else ""
-                if why:
-                    raw = {"take_profit": tp, "stop_loss": sl, "liquidated": liq}.get(why, r.close)
-                    price = raw * (1 - s * slippage)
-                    notional = size * leverage
-                    net = round(s * (price - fill) / fill * notional - 2 * notional * fee, 6)
-                    pnl += net
-                    rows.append((*key, r.ts, "close", side, round(price, 8), why, net))
-                    side = ""
-                else:
-                    continue
-            if r.able and pnl > limit:
-                side, s = r.side, 1 if r.side == "long" else -1
-                fill, tp, sl, size, n = r.entry_price * (1 + s * slippage), r.tp_price, r.sl_price, r.size_usdt, 0
-                liq = fill * (1 - s / leverage + s * 0.005)
-                rows.append((*key, r.ts, "open", side, round(fill, 8), None, None))
-        held.update((side, fill, tp, sl, liq, size, n, day, pnl))
-        yield pd.DataFrame(rows, columns=["bot_id", "pair", "timeframe", "ts", "event", "side", "price", "reason", "pnl_net_usdt"])
-
-    return candles.groupBy(*SERIES).applyInPandasWithState(step, out, state, "append", "NoTimeout")
