@@ -19,6 +19,7 @@ from wickflow.functions.candle import SLIPPAGE, TAKER_FEE, liquidation_price, mi
 from wickflow.operators import risk
 from wickflow.operators.frames import fields
 from wickflow.operators.indicators import keys, ordered
+from wickflow.operators.prefix import CHUNK_ROWS, cut, numbered, running, whole
 from wickflow.operators.signals import evaluate
 from wickflow.params import Params
 from wickflow.scratch import materialise, ship
@@ -29,12 +30,14 @@ WARM_UP = 60
 BUCKET = 10.0
 
 
-def fold_split(df: DataFrame, train: float = 0.6) -> DataFrame:
+def fold_split(df: DataFrame, train: float = 0.6, rows: int = CHUNK_ROWS) -> DataFrame:
     """Add ``fold``: in_sample for the first part of each series, else out_sample. Frames of the whole series go."""
     df = df.drop(*[c for c in fields(Params(), None, True) if c in df.columns])
-    w = Window.partitionBy(*keys(df))
-    rn, n = F.row_number().over(w.orderBy("ts")), F.count(F.lit(1)).over(w)
-    return df.withColumn("fold", F.when(rn <= F.floor(F.lit(float(train)) * n), "in_sample").otherwise("out_sample"))
+    k, df = keys(df), materialise(df, "split")
+    df = whole(numbered(cut(df, k, "ts", rows), k, ["ts"], "__rn"))
+    # Counts per series are pre-aggregated, and joined instead of windowed.
+    df = df.join(df.groupBy(*k).agg(F.count(F.lit(1)).alias("__n")), k)
+    return df.withColumn("fold", F.when(F.col("__rn") <= F.floor(F.lit(float(train)) * F.col("__n")), "in_sample").otherwise("out_sample")).drop("__rn", "__n")
 
 
 def entries(evaluated: DataFrame, leverage: int) -> DataFrame:
@@ -114,7 +117,7 @@ def _walk(names: list[str]):
     return run
 
 
-def _occupancy(cands: DataFrame) -> DataFrame:
+def _occupancy(cands: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
     """Keys, rn, ``accepted`` and ``day_pnl`` of candidates (rn, free_rn, day, exit_day, pnl_net_usdt).
 
     Both are null while a position is open; a trade without a result books
@@ -122,16 +125,16 @@ def _occupancy(cands: DataFrame) -> DataFrame:
     """
     ship(cands.sparkSession)
     k = keys(cands)
-    w = Window.partitionBy(*k).orderBy("rn")
-    before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
-    cut = (F.max("free_rn").over(before) <= F.col("rn")) & (F.max("exit_day").over(before) < F.col("day"))
-    cands = cands.withColumn("cut", F.coalesce(cut, F.lit(True)).cast("int")).withColumn("segment", F.sum("cut").over(upto))
+    cands = running(cut(cands, k, "day", rows), k, ["rn"], {"busy_rn": ("max", F.col("free_rn")), "busy_day": ("max", F.col("exit_day"))}, exclusive=True)
+    anew = (F.col("busy_rn") <= F.col("rn")) & (F.col("busy_day") < F.col("day"))
+    cands = whole(running(cands.withColumn("cut", F.coalesce(anew, F.lit(True)).cast("int")), k, ["rn"], {"segment": ("sum", F.col("cut"))}))
     cands = cands.select(*k, "segment", "rn", "free_rn", "day", "exit_day", "pnl_net_usdt")
     schema = ", ".join([*(f"`{c}` {t}" for c, t in cands.dtypes if c in k), "rn int", "accepted boolean", "day_pnl double"])
     return cands.repartition(*k, "segment").sortWithinPartitions(*k, "segment", "rn").mapInArrow(_walk([*k, "segment"]), schema)
 
 
-def simulate(evaluated: DataFrame, params: Params = Params(), leverage: int = 20, warm_up: int = WARM_UP, exit_mode: str = "intrabar", reentry_same_candle: bool = True) -> DataFrame:
+def simulate(evaluated: DataFrame, params: Params = Params(), leverage: int = 20, warm_up: int = WARM_UP, exit_mode: str = "intrabar", reentry_same_candle: bool = True,
+             rows: int = CHUNK_ROWS) -> DataFrame:
     """Evaluated candles after the warm-up with the fate of each: exits, accepted, held.
 
     ``accepted`` is true for trades, false where the daily loss limit stopped
@@ -145,10 +148,10 @@ def simulate(evaluated: DataFrame, params: Params = Params(), leverage: int = 20
     # Candidates and candles are read from one table: the pipeline above runs once.
     df = materialise(df, "simulation")
     able = (F.col("outcome") == "fired") & F.col("risk_reason").isNull() & F.lit(params.max_active_buckets > 0)
-    df = df.join(_occupancy(df.filter(able)), [*keys(df), "rn"], "left")
-    before = Window.partitionBy(*keys(df)).orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
-    held = F.max(F.when(F.col("accepted"), F.col("free_rn"))).over(before) > F.col("rn")
-    return df.withColumn("held", F.coalesce(held, F.lit(False)))
+    k = keys(df)
+    df = df.join(_occupancy(df.filter(able), rows), [*k, "rn"], "left")
+    df = whole(running(cut(df, k, "ts", rows), k, ["rn"], {"busy": ("max", F.when(F.col("accepted"), F.col("free_rn")))}, exclusive=True))
+    return df.withColumn("held", F.coalesce(F.col("busy") > F.col("rn"), F.lit(False))).drop("busy")
 
 
 def trades(simulated: DataFrame) -> DataFrame:
@@ -169,7 +172,7 @@ def signal_log(simulated: DataFrame, max_active_buckets: int = 1) -> DataFrame:
                      F.when(risk_reason.isNull(), F.col("pattern")).alias("pattern"), F.when(risk_reason.isNull(), F.col("side")).alias("direction"), F.when(risk_reason.isNull(), F.col("confidence")).alias("confidence"))
 
 
-def equity_curve(simulated: DataFrame, ref_compatible: bool = False) -> DataFrame:
+def equity_curve(simulated: DataFrame, ref_compatible: bool = False, rows: int = CHUNK_ROWS) -> DataFrame:
     """Equity after each candle from trades closed up to it; forced closes come after the last.
 
     With ``ref_compatible`` a candle that closes a trade has two points.
@@ -177,8 +180,7 @@ def equity_curve(simulated: DataFrame, ref_compatible: bool = False) -> DataFram
     k = keys(simulated)
     booked = simulated.filter(F.col("accepted") & ~F.col("forced")).groupBy(*k, F.col("exit_rn").alias("rn")).agg(F.sum("pnl_net_usdt").alias("booked"))
     points = simulated.select(*k, "rn", "ts").join(booked, [*k, "rn"], "left")
-    run = Window.partitionBy(*k).orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
-    points = points.withColumn("equity", F.sum(F.coalesce("booked", F.lit(0.0))).over(run))
+    points = whole(running(cut(points, k, "ts", rows), k, ["rn"], {"equity": ("sum", F.coalesce("booked", F.lit(0.0)))}))
     if ref_compatible:
         points = points.withColumn("point", F.explode(F.sequence(F.lit(1), F.when(F.col("booked").isNotNull(), 2).otherwise(1))))
     return points.drop("booked")

@@ -7,23 +7,25 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wickflow.operators.prefix import CHUNK_ROWS, cut, running, whole
+
 #: Five-minute bars in a year.
 PERIODS = 105_120
 #: Compared metrics; true: higher is better.
 COMPARED = {"win_rate": True, "total_pnl_usdt": True, "sharpe_ratio": True, "max_drawdown_pct": False, "profit_factor": True}
 
 
-def drawdowns(trades: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Trades with running equity, its peak (never below 0) and the drawdown."""
-    run = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    df = trades.withColumn("equity", F.sum("pnl_net_usdt").over(run))
-    df = df.withColumn("peak", F.greatest(F.max("equity").over(run), F.lit(0.0)))
+def drawdowns(trades: DataFrame, by: list[str], order: list[str], rows: int = CHUNK_ROWS) -> DataFrame:
+    """Trades with running equity, its peak (never below 0) and the drawdown; groups of over ``rows`` trades in chunks."""
+    df = running(cut(trades, by, order[0], rows), by, order, {"equity": ("sum", F.col("pnl_net_usdt"))})
+    df = whole(running(df, by, order, {"peak": ("max", F.col("equity"))}))
+    df = df.withColumn("peak", F.greatest(F.col("peak"), F.lit(0.0)))
     return df.withColumn("drawdown", F.col("peak") - F.col("equity"))
 
 
-def summary(trades: DataFrame, by: list[str], order: list[str], keep: DataFrame | None = None) -> DataFrame:
+def summary(trades: DataFrame, by: list[str], order: list[str], keep: DataFrame | None = None, rows: int = CHUNK_ROWS) -> DataFrame:
     """All metrics per group, unrounded; ``keep`` lists groups that get a zero row without trades."""
-    df = drawdowns(trades, by, order)
+    df = drawdowns(trades, by, order, rows)
     pnl = F.col("pnl_net_usdt")
     win, loss = F.when(pnl > 0, pnl), F.when(pnl <= 0, pnl)
     n, wins = F.count(F.lit(1)), F.count(win)

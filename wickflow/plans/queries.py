@@ -286,6 +286,14 @@ def equity_curve(spark, d):
     return metrics.drawdowns(_closed(spark, d), ["pair"], ["exit_ts", "trade_id"]).select("pair", "trade_id", F.round("equity", 6).alias("equity"), F.round("drawdown", 6).alias("drawdown"))
 
 
+@_add(sql.query(sql.TRADES, "SELECT trade_id, round(sum(pnl_net_usdt) OVER a, 6) AS equity, round(greatest(max(e) OVER a, 0) - e, 6) AS drawdown FROM (SELECT *, sum(pnl_net_usdt) OVER (ORDER BY exit_ts, trade_id ROWS UNBOUNDED PRECEDING) AS e FROM closed) "
+                "WINDOW a AS (ORDER BY exit_ts, trade_id ROWS UNBOUNDED PRECEDING)"))
+def account_curve(spark, d):
+    """Equity and drawdown of one account over all pairs: a single series, run in chunks of about a thousand trades."""
+    t = _closed(spark, d).withColumn("account", F.lit(1))
+    return metrics.drawdowns(t, ["account"], ["exit_ts", "trade_id"], rows=1_000).select("trade_id", F.round("equity", 6).alias("equity"), F.round("drawdown", 6).alias("drawdown"))
+
+
 @_add(sql.query(sql.TRADES, "SELECT pair, coalesce(close_reason, 'unknown') AS reason, count(*) AS n FROM closed GROUP BY 1, 2"))
 def close_reasons(spark, d):
     return metrics.close_reasons(_closed(spark, d), ["pair"]).select("pair", F.explode("close_reasons").alias("reason", "n"))
