@@ -8,7 +8,7 @@ lagged columns that ``with_lags`` adds, so a scan of all of them shares one sort
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,8 +123,14 @@ def anomaly_fade(p: Params) -> Column:
                   spike_vol_ratio=times, spike_move_atr=ratio(move, c("atr14_prev")))
 
 
+@lru_cache(maxsize=256)
+def _column(detector: Detector, params: Params) -> Column:
+    """A detector's column, which depends on its parameters alone: built once, since a build takes longer than a small run."""
+    return detector(params)
+
+
 def detect(df: DataFrame, params: Params = Params(), names: tuple[str, ...] | None = None) -> DataFrame:
     """Add one struct column per pattern; the frame's lags are computed once."""
     df = with_lags(df, params)
     kept = df.columns
-    return df.withColumns({f"p_{k}": REGISTRY[k](params) for k in names or tuple(REGISTRY)}).drop(*[x for x in kept if x.rsplit("_", 1)[-1].isdigit() and x.rsplit("_", 1)[0] in LAGGED])
+    return df.withColumns({f"p_{k}": _column(REGISTRY[k], params) for k in names or tuple(REGISTRY)}).drop(*[x for x in kept if x.rsplit("_", 1)[-1].isdigit() and x.rsplit("_", 1)[0] in LAGGED])

@@ -27,6 +27,9 @@ _FOLD = {"sum": F.sum, "count": F.count, "max": F.max}
 
 def cut(df: DataFrame, by: list[str], at: str, rows: int = CHUNK_ROWS) -> DataFrame:
     """``df`` as it is, or with a chunk number and written once if a group holds more than ``rows``; ``at`` (milliseconds) leads the order."""
+    # A table of no more rows than that can't hold a longer group.
+    if df.count() <= rows:
+        return df
     longest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
     if longest <= rows:
         return df

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wickflow.functions.candle import geometry, session, session_confidence_multiplier
@@ -42,23 +44,26 @@ def scan(df: DataFrame, params: Params = Params(), pattern_memory: DataFrame | N
     ``pattern_memory`` (pattern, direction, sample_count, win_rate) adjusts and
     suppresses; the scan looks it up by pattern and direction.
     """
-    factor = session_confidence_multiplier(session(F.col("ts")))
-    known = F.create_map()
     if pattern_memory is not None:
         # Patterns x directions: a handful of rows, read as one map per run.
         rows = pattern_memory.select(F.concat_ws(":", "pattern", "direction").alias("k"), F.struct("sample_count", "win_rate").alias("v"))
         df = df.crossJoin(F.broadcast(rows.agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("__m"))))
-        known = F.col("__m")
-    found = []
-    for k, name in enumerate(REGISTRY):
+    return df.withColumn("best", _best(tuple(REGISTRY), pattern_memory is not None))
+
+
+@lru_cache(maxsize=64)
+def _best(names: tuple[str, ...], remembered: bool) -> Column:
+    """The candidate of highest confidence among the detectors' columns, of equals the first registered; with memory from the map ``__m``."""
+    factor, found = session_confidence_multiplier(session(F.col("ts"))), []
+    for k, name in enumerate(names):
         hit = F.col(f"p_{name}")
         conf, skip = hit["confidence"], F.lit(False)
-        if pattern_memory is not None:
-            m = F.try_element_at(known, F.concat(F.lit(f"{name}:"), F.col("trend")))
+        if remembered:
+            m = F.try_element_at(F.col("__m"), F.concat(F.lit(f"{name}:"), F.col("trend")))
             conf, skip = memory.adjust(conf, m["sample_count"], m["win_rate"]), memory.suppressed(m["sample_count"], m["win_rate"])
         ok = hit.isNotNull() & (hit["direction"] == F.col("trend")) & gates.permitted(name) & ~skip
         found.append(F.when(ok, F.struct(F.round(conf / factor, 3).alias("confidence"), F.lit(-k).alias("order"), F.lit(name).alias("pattern"), hit["direction"].alias("direction"))))
-    return df.withColumn("best", F.array_max(F.array_compact(F.array(*found))))
+    return F.array_max(F.array_compact(F.array(*found)))
 
 
 def evaluate(enriched: DataFrame, params: Params = Params(), pattern_memory: DataFrame | None = None) -> DataFrame:
@@ -73,25 +78,28 @@ def evaluate(enriched: DataFrame, params: Params = Params(), pattern_memory: Dat
 def judge(df: DataFrame, params: Params = Params(), pattern_memory: DataFrame | None = None) -> DataFrame:
     """``evaluate`` of rows with their frame columns: projections only, on a stream too."""
     df = detect(gates.volume(gates.trend(gates.regime(df, params), params), params), params)
-    df = scan(df, params, pattern_memory)
+    reject, made = _verdict(params)
+    return scan(df, params, pattern_memory).withColumn("reject", reject).withColumns(made).drop("reject", "best")
+
+
+@lru_cache(maxsize=64)
+def _verdict(params: Params) -> tuple[Column, dict[str, Column]]:
+    """The first rejection (stage, reason), and the signal's columns."""
+    why = lambda stage, reason: F.struct(F.lit(stage).alias("stage"), reason.alias("reason"))
     least = F.lit(params.min_confidence) * session_confidence_multiplier(session(F.col("ts")))
     conf = F.col("best.confidence")
-    late = F.when(F.col("best").isNull(), F.struct(F.lit("pattern").alias("stage"), F.lit("no_pattern_fired").alias("reason"))).when(
-        conf < least, F.struct(F.lit("pattern").alias("stage"), F.lit("confidence_below_min").alias("reason"))).when(
-        F.col("volume_reject").isNotNull(), F.struct(F.lit("volume").alias("stage"), F.col("volume_reject").alias("reason"))).when(
-        F.coalesce(F.col("atr14"), F.lit(0.0)) == 0, F.struct(F.lit("pattern").alias("stage"), F.lit("atr_unavailable").alias("reason")))
-    first = F.when(F.col("regime_reject").isNotNull(), F.struct(F.lit("regime").alias("stage"), F.col("regime_reject").alias("reason"))).when(
-        F.col("trend_reject").isNotNull(), F.struct(F.lit("trend").alias("stage"), F.col("trend_reject").alias("reason"))).otherwise(late)
+    first = F.when(F.col("regime_reject").isNotNull(), why("regime", F.col("regime_reject"))).when(F.col("trend_reject").isNotNull(), why("trend", F.col("trend_reject"))).when(
+        F.col("best").isNull(), why("pattern", F.lit("no_pattern_fired"))).when(conf < least, why("pattern", F.lit("confidence_below_min"))).when(
+        F.col("volume_reject").isNotNull(), why("volume", F.col("volume_reject"))).when(F.coalesce(F.col("atr14"), F.lit(0.0)) == 0, why("pattern", F.lit("atr_unavailable")))
     sign = F.when(F.col("best.direction") == "long", 1.0).otherwise(-1.0)
-    df = df.withColumn("reject", first)
     fired = F.col("reject").isNull()
     level = lambda m: F.when(fired, F.round(F.col("close") + sign * F.col("atr14") * m, 8))
-    return df.withColumns({
+    return first, {
         "outcome": F.when(fired, "fired").otherwise("rejected"), "stage": F.col("reject.stage"), "reason": F.col("reject.reason"),
         "pattern": F.when(fired, F.col("best.pattern")), "side": F.when(fired, F.col("best.direction")), "confidence": F.when(fired, conf),
         "entry_price": F.when(fired, F.round("close", 8)), "tp_price": level(params.tp_atr_multiplier), "sl_price": level(-params.sl_atr_multiplier),
         "size_usdt": F.when(fired, F.when(conf >= 0.75, 10.0).otherwise(5.0)),
-    }).drop("reject", "best")
+    }
 
 
 def evaluate_chunked(candles: DataFrame, params: Params = Params(), rows: int = CHUNK_ROWS) -> DataFrame:
