@@ -60,13 +60,13 @@ def exits(df: DataFrame, params: Params = Params(), exit_mode: str = "intrabar")
     """Add exit_rn, exit_ts, close_reason, raw exit price and ``forced`` to every row from its forward frame."""
     w = ordered(df)
     high, low = ("high", "low") if exit_mode == "intrabar" else ("close", "close")
-    ahead = F.collect_list(F.struct("rn", "ts", F.col(high).alias("h"), F.col(low).alias("l"), "close")).over(w.rowsBetween(1, params.max_hold_candles))
-    df = df.withColumn("ahead", ahead)
+    ahead = F.collect_list(F.struct("rn", "ts", F.col(high).alias("h"), F.col(low).alias("l"), "close")).over(w.rowsBetween(1, params.largest("max_hold_candles")))
+    df = df.withColumn("ahead", F.slice(ahead, 1, F.lit(params.max_hold_candles)))
     bar = lambda b: hit(F.col("side"), b["h"], b["l"], F.col("tp_price"), F.col("sl_price"), F.col("liquidation_price"))
     met = F.filter(F.transform("ahead", lambda b: F.struct(b["rn"].alias("rn"), b["ts"].alias("ts"), b["close"].alias("close"), bar(b).alias("why"))), lambda b: b["why"].isNotNull())
     last = F.when(F.size("ahead") > 0, F.element_at("ahead", -1))
     df = df.withColumn("first", F.when(F.size(met) > 0, F.get(met, 0))).withColumn("last", last)
-    timeout = F.size("ahead") >= params.max_hold_candles
+    timeout = F.size("ahead") >= F.lit(params.max_hold_candles)
     why = F.coalesce(F.col("first.why"), F.lit("timeout"))
     raw = F.when(why == "take_profit", F.col("tp_price")).when(why == "stop_loss", F.col("sl_price")).when(why == "liquidated", F.col("liquidation_price")).otherwise(
         F.coalesce(F.col("last.close"), F.col("close")))
@@ -147,7 +147,7 @@ def simulate(evaluated: DataFrame, params: Params = Params(), leverage: int = 20
     df = df.withColumns({"free_rn": free.cast("int"), "day": midnight(F.col("ts")), "exit_day": midnight(F.col("exit_ts"))}).filter(F.col("rn") > warm_up)
     # Candidates and candles are read from one table: the pipeline above runs once.
     df = materialise(df, "simulation")
-    able = (F.col("outcome") == "fired") & F.col("risk_reason").isNull() & F.lit(params.max_active_buckets > 0)
+    able = (F.col("outcome") == "fired") & F.col("risk_reason").isNull() & (F.lit(params.max_active_buckets) > 0)
     k = keys(df)
     df = df.join(_occupancy(df.filter(able), rows), [*k, "rn"], "left")
     df = whole(running(cut(df, k, "ts", rows), k, ["rn"], {"busy": ("max", F.when(F.col("accepted"), F.col("free_rn")))}, exclusive=True))

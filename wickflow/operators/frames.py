@@ -122,7 +122,7 @@ def windowed(block: pa.RecordBatch, first: np.ndarray, number: np.ndarray, param
 
 
 def lags_of(params: Params) -> int:
-    return max(LAGS, params.momentum_acceleration_candles)
+    return max(LAGS, params.largest("momentum_acceleration_candles"))
 
 
 def fields(params: Params, only: tuple[str, ...] | None, window: bool, lags: bool = True) -> dict[str, str]:

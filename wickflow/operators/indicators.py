@@ -21,8 +21,8 @@ CHUNK_ROWS = 500_000
 
 
 def keys(df: DataFrame) -> list[str]:
-    """Partition columns of a series' windows: fold and chunk too where they exist."""
-    return [*SERIES, *[c for c in ("fold", "chunk") if c in df.columns]]
+    """Partition columns of a series' windows: fold, chunk and trial too where they exist."""
+    return [*SERIES, *[c for c in ("fold", "chunk", "trial") if c in df.columns]]
 
 
 def frame(df: DataFrame, n: int, end: int = 0):

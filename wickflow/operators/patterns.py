@@ -100,7 +100,12 @@ def compression_breakout(p: Params) -> Column:
 @pattern("momentum_continuation")
 def momentum_continuation(p: Params) -> Column:
     """N candles one way with growing bodies and volumes, then a small counter candle."""
-    c, n = F.col, p.momentum_acceleration_candles
+    hits = [(n, _momentum(p, n)) for n in p.values("momentum_acceleration_candles")]
+    return hits[0][1] if len(hits) == 1 else F.coalesce(*[F.when(p.momentum_acceleration_candles == n, hit) for n, hit in hits])
+
+
+def _momentum(p: Params, n: int) -> Column:
+    c = F.col
     back = range(n, 0, -1)  # oldest first
     grows = lambda x: [c(f"{x}_{a}") <= c(f"{x}_{b}") for a, b in zip(back, list(back)[1:])]
     ok = _all(c("n") >= n + 2, *[c(f"direction_{k}") == c("direction_1") for k in back], *grows("body_size"), *grows("volume"),

@@ -6,6 +6,9 @@ import json
 from collections.abc import Mapping
 from dataclasses import dataclass, fields, replace
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 @dataclass(frozen=True)
 class Params:
@@ -37,6 +40,13 @@ class Params:
     anomaly_price_atr: float = 2.0
     momentum_acceleration_candles: int = 2
 
+    def largest(self, name: str) -> int:
+        """The parameter where a plan's shape needs a number: a frame's length, a count of lags."""
+        return getattr(self, name)
+
+    def values(self, name: str) -> tuple:
+        return (getattr(self, name),)
+
     @classmethod
     def from_dict(cls, raw: Mapping) -> Params:
         """From ``{name: {"value": v}}`` or ``{name: v}``; names every missing key at once."""
@@ -62,6 +72,29 @@ class Params:
         return replace(self, **{name: cast})
 
 
+@dataclass(frozen=True)
+class ColumnParams:
+    """Parameters that rows bring along: each attribute is a column, so gates and detectors read them as they read numbers.
+
+    ``sets`` are all that may occur; where a plan's shape depends on a parameter
+    it is made for the largest, or for each distinct value.
+    """
+
+    sets: tuple[Params, ...]
+
+    def __getattr__(self, name: str) -> Column:
+        if name not in NAMES:
+            raise AttributeError(name)
+        return F.col(f"p_{name}")
+
+    def largest(self, name: str) -> int:
+        return max(getattr(s, name) for s in self.sets)
+
+    def values(self, name: str) -> tuple:
+        return tuple(sorted({getattr(s, name) for s in self.sets}))
+
+
+NAMES = tuple(f.name for f in fields(Params))
 #: Tuning ranges.
 RANGES = {
     "ema_fast": (5, 20), "ema_slow": (15, 50), "rsi_low": (30.0, 55.0), "rsi_high": (45.0, 70.0), "rsi_long_max": (60.0, 90.0),

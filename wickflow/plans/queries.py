@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wickflow.functions.candle import geometry, liquidation_price, session, session_confidence_multiplier, session_volume_multiplier
-from wickflow.operators import backtest, gates, memory, metrics, risk, signals, store
+from wickflow.operators import backtest, gates, memory, metrics, risk, signals, store, trials
 from wickflow.operators.indicators import indicators, moves
 from wickflow.operators.patterns import detect
 from wickflow.params import Params
@@ -258,6 +258,17 @@ def tune_grid(spark, d):
     return judged.withColumns({c: F.round(c, 6) for c in ("baseline", "candidate")})
 
 
+#: Sets that are tried at once; gates, detectors, exits and levels all differ.
+TRIALS = {"baseline": PARAMS, "wide": TRIED, "patient": LOOSE.changed("max_hold_candles", 6).changed("tp_atr_multiplier", 2.0), "strict": LOOSE.changed("min_confidence", 0.6).changed("sl_atr_multiplier", 0.8)}
+
+
+@_add(sql.trials(TRIALS))
+def tune_trials(spark, d):
+    """All sets in one plan; verdict and kept set per pair and trial."""
+    judged = trials.judge_trials(_enriched(spark, d), TRIALS)
+    return judged.select("pair", "trial", "metric", *[F.round(c, 6).alias(c) for c in ("baseline", "candidate")], "result", "verdict", "kept")
+
+
 _MET = ("win_rate", "total_pnl_usdt", "avg_pnl_usdt", "avg_win_usdt", "avg_loss_usdt", "avg_hold_candles", "profit_factor", "sharpe_ratio", "max_drawdown_usdt", "max_drawdown_pct")
 
 

@@ -235,6 +235,16 @@ j AS (SELECT pair, metric, baseline, candidate, CASE WHEN gain IS NULL THEN 'hol
 judged AS (SELECT *, CASE WHEN bool_or(result = 'regress') OVER (PARTITION BY pair) THEN 'REJECT' ELSE 'ACCEPT' END AS verdict FROM j)"""
 
 
+def trials(sets: dict[str, Params]) -> str:
+    """Every set against the one called baseline, one whole walk-forward each."""
+    names = [n for n in sets if n != "baseline"]
+    each = ",\n".join(f"{'b' if n == 'baseline' else 'c_' + n} AS (SELECT * FROM ({walk_forward(p)}) WHERE fold = 'out_sample')" for n, p in sets.items())
+    candidates = " UNION ALL ".join(f"SELECT * REPLACE (pair || '|{n}' AS pair) FROM c_{n}" for n in names)
+    return (f"WITH {each},\nbase AS (SELECT b.* REPLACE (b.pair || '|' || t.n AS pair) FROM b, (SELECT unnest({names}) AS n) t), cand AS ({candidates}),{compared('base', 'cand')}\n"
+            "SELECT split_part(pair, '|', 1) AS pair, split_part(pair, '|', 2) AS trial, metric, round(baseline, 6) AS baseline, round(candidate, 6) AS candidate, result, verdict, "
+            "CASE verdict WHEN 'ACCEPT' THEN split_part(pair, '|', 2) ELSE 'baseline' END AS kept FROM judged")
+
+
 TRADES = """
 trades AS (SELECT o_orderkey AS trade_id, 'dev-bot' AS bot_id, 'dev' AS env, o_orderpriority AS pair, '1h' AS timeframe, CASE WHEN o_custkey % 2 = 0 THEN 'long' ELSE 'short' END AS direction,
                   CASE o_custkey % 3 WHEN 0 THEN 'wick_rejection' WHEN 1 THEN 'anomaly_fade' ELSE 'impulse_retracement' END AS pattern,
