@@ -3,6 +3,7 @@
 import glob
 import json
 import os
+import random
 
 import duckdb
 import pandas as pd
@@ -64,7 +65,7 @@ def _as_twin(spark, folder: str, name: str) -> pd.DataFrame:
 
 
 @pytest.mark.parametrize(("name", "fires"), [("pat_impulse", "fired"), ("pat_wick", "fired"), ("pat_momentum", "fired"), ("pat_anomaly", "fired"), ("pattern_scan", "pattern"), ("evaluate_signals", "pattern"),
-                                             ("backtest_trades", "pair"), ("backtest_signal_log", "pattern")])
+                                             ("backtest_trades", "pair"), ("backtest_signal_log", "pattern"), ("memory_signals", "best_pattern"), ("pat_compression", "pair")])
 def test_sql_twin_on_a_lively_series(spark, lively, name, fires):
     got = _as_twin(spark, lively, name)
     assert (got[fires] != False).sum() > 3 and got[fires].replace(False, None).notna().sum() > 3  # noqa: E712
@@ -103,12 +104,28 @@ def test_memory(spark):
     avg = 0.0
     for n, r in enumerate(rows, 1):
         avg = round((avg * (n - 1) + r[-1]) / n, 4)
-    assert memory.stepwise(t).first()["avg_pnl_pct"] == pytest.approx(avg, abs=1e-4)
+    grown = memory.stepwise(t.repartition(5)).first()
+    assert (grown["avg_pnl_pct"], grown["win_rate"], grown["sample_count"], grown["last_updated"]) == (avg, 0.75, 24, 23)
+    assert memory.stepwise(t.limit(0)).count() == 0
     cases = spark.createDataFrame([(0.6, 9, 0.1), (0.6, 10, 0.9), (0.6, 10, None), (0.2, 30, 0.0), (1.0, 30, 1.0)], "raw double, n int, wr double")
     got = [r[0] for r in cases.select(memory.adjust(F.col("raw"), F.col("n"), F.col("wr"))).collect()]
     assert got == [0.6, 0.69, 0.6, 0.3, 0.95]
 
 
+def test_memory_at_time_sees_no_later_trade(spark):
+    """Counts of each row equal a count over the trades that closed before it, on keys that hold most trades."""
+    rng = random.Random(6)
+    trades = [(rng.choice("aaab"), rng.choice(["long", "short", None]), rng.choice([None, *range(0, 20 * DAY_MS, DAY_MS // 3)]), rng.choice([-1.0, 2.0, None])) for _ in range(900)]
+    rows = [(k, rng.choice("aabc"), rng.choice(["long", "short", None]), rng.randrange(0, 22 * DAY_MS, DAY_MS // 3)) for k in range(300)]
+    t = spark.createDataFrame(trades, "pattern string, direction string, exit_ts long, pnl_net_usdt double")
+    got = memory.at_time(spark.createDataFrame(rows, "id int, pattern string, direction string, ts long"), t).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        past = [x for x in trades if x[:2] == (r["pattern"], r["direction"]) and x[2] is not None and x[2] < r["ts"]]
+        wins = sum((x[3] or 0) > 0 for x in past)
+        assert (r["sample_count"], r["win_count"]) == (len(past), wins) and r["win_rate"] == (pytest.approx(wins / len(past), abs=5.1e-5) if past else None)
+
+
 def test_memory_merge_matches_whole(spark):
     rows = [("w", "long", "us", "RANGING", k, 1.0 if k % 3 else -1.0, float(k)) for k in range(12)]
     t = spark.createDataFrame(rows, "pattern string, direction string, session string, regime string, exit_ts long, pnl_net_usdt double, pnl_pct double")

@@ -40,6 +40,11 @@ def cut(df: DataFrame, by: list[str], at: str, rows: int = CHUNK_ROWS) -> DataFr
     return materialise(_small_join(df.withColumn("__day", day), chunks, [*by, "__day"]).drop("__day"), "chunked")
 
 
+def by_day(df: DataFrame, at: str) -> DataFrame:
+    """``df`` with each UTC day of ``at`` (milliseconds) as a chunk, for groups that are long by nature."""
+    return df.withColumn(CHUNK, F.coalesce(F.floor(F.col(at) / DAY_MS), F.lit(-(1 << 40))))
+
+
 def _small_join(df: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
     """Join with a table of few rows, keys compared with nulls equal."""
     table = table.select(*[F.col(c).alias(f"__k{k}") for k, c in enumerate(on)], *[c for c in table.columns if c not in on])

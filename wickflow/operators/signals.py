@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wickflow.functions.candle import geometry, session, session_confidence_multiplier
 from wickflow.operators import gates, memory
 from wickflow.operators.frames import FRAME
-from wickflow.operators.indicators import CHUNK_ROWS, chunks, framed, indicators, window_ranges
+from wickflow.operators.indicators import CHUNK_ROWS, chunks, framed, indicators, keys, window_ranges
 from wickflow.operators.patterns import REGISTRY, detect
 from wickflow.params import Params
 from wickflow.schemas import SERIES
@@ -48,7 +48,7 @@ def scan(df: DataFrame, params: Params = Params(), pattern_memory: DataFrame | N
         # Patterns x directions: a handful of rows, read as one map per run.
         rows = pattern_memory.select(F.concat_ws(":", "pattern", "direction").alias("k"), F.struct("sample_count", "win_rate").alias("v"))
         df = df.crossJoin(F.broadcast(rows.agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("__m"))))
-    return df.withColumn("best", _best(tuple(REGISTRY), pattern_memory is not None))
+    return df.withColumn("best", _best(tuple(REGISTRY), "__m" in df.columns)).drop("__m")
 
 
 @lru_cache(maxsize=64)
@@ -77,9 +77,33 @@ def evaluate(enriched: DataFrame, params: Params = Params(), pattern_memory: Dat
 
 def judge(df: DataFrame, params: Params = Params(), pattern_memory: DataFrame | None = None) -> DataFrame:
     """``evaluate`` of rows with their frame columns: projections only, on a stream too."""
-    df = detect(gates.volume(gates.trend(gates.regime(df, params), params), params), params)
+    return _fired(scan(_detected(df, params), params, pattern_memory), params)
+
+
+def _detected(df: DataFrame, params: Params) -> DataFrame:
+    return detect(gates.volume(gates.trend(gates.regime(df, params), params), params), params)
+
+
+def evaluate_at_time(enriched: DataFrame, trades: DataFrame, params: Params = Params(), keep_best: bool = False) -> DataFrame:
+    """``evaluate`` with the memory that each candle could have: of trades closed before it, by pattern and direction.
+
+    Only candidates along the trend ask the memory, a few of all candles.
+    ``keep_best`` leaves the scan's choice, fired or not, in ``best``.
+    """
+    df = materialise(_detected(with_frames(enriched, params), params), "detected")
+    series = [*keys(df), "ts"]
+    hits = F.array(*[F.when(F.col(f"p_{name}")["direction"] == F.col("trend"), F.lit(name)) for name in REGISTRY])
+    asked = df.select(*series, F.col("trend").alias("direction"), F.explode(F.array_compact(hits)).alias("pattern"))
+    met = memory.at_time(asked, trades)
+    entry = F.struct(F.concat_ws(":", "pattern", "direction").alias("k"), F.struct("sample_count", "win_rate").alias("v"))
+    # At most one entry for each detector.
+    known = met.groupBy(*series).agg(F.map_from_entries(F.collect_list(entry)).alias("__m"))
+    return _fired(scan(df.join(known, series, "left"), params), params, keep_best)
+
+
+def _fired(df: DataFrame, params: Params, keep_best: bool = False) -> DataFrame:
     reject, made = _verdict(params)
-    return scan(df, params, pattern_memory).withColumn("reject", reject).withColumns(made).drop("reject", "best")
+    return df.withColumn("reject", reject).withColumns(made).drop("reject", *([] if keep_best else ["best"]))
 
 
 @lru_cache(maxsize=64)

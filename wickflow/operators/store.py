@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickflow.functions.candle import midnight
+from wickflow.operators.prefix import by_day, numbered, whole
 from wickflow.schemas import DAY_MS, HOUR_MS, SERIES
 
 
@@ -46,7 +47,12 @@ def retained(df: DataFrame, now: int, days: int) -> DataFrame:
 
 
 def trade_context(trades: DataFrame, candles: DataFrame, hours: int = 48) -> DataFrame:
-    """Candles within ``hours`` before entry and after exit of each trade, with their offset.
+    """Candles within ``hours`` before entry and after exit of each trade, with their offset in hours and in candles.
+
+    In candles: 0 is the first one at or after the anchor, -1 the last before it,
+    missing candles don't count. The difference of positions in the series needs
+    no window over it: positions are counts per day, summed over days, plus the
+    rank within the day; the anchor's is next to its own window's.
 
     A range join made of equi-joins: each window is cut into days, and pair and
     day are the join key, so hot pairs spread over their days.
@@ -57,9 +63,11 @@ def trade_context(trades: DataFrame, candles: DataFrame, hours: int = 48) -> Dat
         ends.select("trade_id", "pair", F.lit("post").alias("window"), F.col("exit_ts").alias("anchor"), F.col("exit_ts").alias("lo"), (F.col("exit_ts") + span).alias("hi")))
     day = lambda c: F.floor(F.col(c) / DAY_MS)
     windows = windows.withColumn("day", F.explode(F.sequence(day("lo"), day("hi"))))
-    bars = candles.select("pair", F.col("ts").alias("candle_ts"), day("ts").alias("day"))
-    met = windows.join(bars, ["pair", "day"]).filter(F.col("candle_ts").between(F.col("lo"), F.col("hi")))
-    return met.select("trade_id", "window", "candle_ts", ((F.col("candle_ts") - F.col("anchor")) / HOUR_MS).alias("offset_hours"))
+    bars = whole(numbered(by_day(candles.select("pair", F.col("ts").alias("candle_ts")), "candle_ts"), ["pair"], ["candle_ts"], "position"))
+    met = windows.join(bars.withColumn("day", day("candle_ts")), ["pair", "day"]).filter(F.col("candle_ts").between(F.col("lo"), F.col("hi")))
+    mine = Window.partitionBy("trade_id", "window")
+    anchor = F.when(F.col("window") == "pre", F.max("position").over(mine) + 1).otherwise(F.min("position").over(mine))
+    return met.select("trade_id", "window", "candle_ts", ((F.col("candle_ts") - F.col("anchor")) / HOUR_MS).alias("offset_hours"), (F.col("position") - anchor).cast("int").alias("offset_candles"))
 
 
 def link_context(stored: DataFrame, new: DataFrame) -> DataFrame:

@@ -342,12 +342,12 @@ def context_post_complete(spark, d):
     return store.mark_post_complete(_trades(spark, d), MAR_1996).select("trade_id", "context_post_complete")
 
 
-@_add(sql.query(sql.TRADES, """, f AS (SELECT pattern, direction, session, regime, list(pnl_pct ORDER BY exit_ts, pnl_pct) AS p FROM closed GROUP BY ALL)
-SELECT pattern, direction, session, regime, CAST(len(p) AS BIGINT) AS sample_count, round(list_reduce(list_transform(p, lambda x, i: {'n': i, 'a': round(x, 4)}),
-  lambda s, x: {'n': x.n, 'a': round((s.a * (x.n - 1) + p[x.n]) / x.n, 4)}).a, 2) AS avg_pnl_pct FROM f"""))
+@_add(sql.query(sql.TRADES, """, f AS (SELECT pattern, direction, session, regime, list(pnl_pct ORDER BY exit_ts, pnl_pct) AS p, count(*) FILTER (WHERE pnl_net_usdt > 0) AS w, max(exit_ts) AS u FROM closed GROUP BY ALL)
+SELECT pattern, direction, session, regime, CAST(len(p) AS BIGINT) AS sample_count, w AS win_count, round(w::DOUBLE / len(p), 4) AS win_rate, u AS last_updated,
+  list_reduce(list_transform(p, lambda x, i: {'n': i, 'a': printf('%.4f', x)::DOUBLE}), lambda s, x: {'n': x.n, 'a': printf('%.4f', (s.a * (x.n - 1) + p[x.n]) / x.n)::DOUBLE}).a AS avg_pnl_pct FROM f"""))
 def memory_stepwise(spark, d):
-    """The step-wise rounded mean, compared to two decimals."""
-    return memory.stepwise(_closed(spark, d)).withColumn("avg_pnl_pct", F.round("avg_pnl_pct", 2))
+    """Memory as it grows trade by trade, its mean rounded at every step and compared to the last of its four decimals."""
+    return memory.stepwise(_closed(spark, d))
 
 
 @_add("SELECT e.event_id, e.event_type, o.o_orderkey AS trade_id, o.o_orderpriority AS pair FROM events e LEFT JOIN orders o ON o.o_orderkey = e.event_id")
@@ -436,13 +436,15 @@ def retention_anti_join(spark, d):
 
 
 @_add(sql.query(sql.CANDLES, """, t AS (SELECT row_number() OVER (ORDER BY pair, ts) AS trade_id, pair, ts AS entry_ts, ts + 7200000 AS exit_ts FROM candles WHERE volume >= 4),
-t2 AS (SELECT pair || ':' || entry_ts AS trade_id, pair, entry_ts, exit_ts FROM t)
-SELECT trade_id, 'pre' AS "window", c.ts AS candle_ts, round((c.ts - entry_ts) / 3600000, 8) AS offset_hours FROM t2 JOIN candles c ON c.pair = t2.pair AND c.ts BETWEEN entry_ts - 172800000 AND entry_ts - 1
-UNION ALL SELECT trade_id, 'post', c.ts, round((c.ts - exit_ts) / 3600000, 8) FROM t2 JOIN candles c ON c.pair = t2.pair AND c.ts BETWEEN exit_ts AND exit_ts + 172800000"""))
+t2 AS (SELECT pair || ':' || entry_ts AS trade_id, pair, entry_ts, exit_ts FROM t),
+num AS (SELECT pair, ts, row_number() OVER (PARTITION BY pair ORDER BY ts) AS k FROM candles),
+t3 AS (SELECT *, (SELECT count(*) FROM candles x WHERE x.pair = t2.pair AND x.ts < t2.entry_ts) + 1 AS entry_k, (SELECT count(*) FROM candles x WHERE x.pair = t2.pair AND x.ts < t2.exit_ts) + 1 AS exit_k FROM t2)
+SELECT trade_id, 'pre' AS "window", c.ts AS candle_ts, round((c.ts - entry_ts) / 3600000, 8) AS offset_hours, CAST(c.k - entry_k AS INTEGER) AS offset_candles FROM t3 JOIN num c ON c.pair = t3.pair AND c.ts BETWEEN entry_ts - 172800000 AND entry_ts - 1
+UNION ALL SELECT trade_id, 'post', c.ts, round((c.ts - exit_ts) / 3600000, 8), CAST(c.k - exit_k AS INTEGER) FROM t3 JOIN num c ON c.pair = t3.pair AND c.ts BETWEEN exit_ts AND exit_ts + 172800000"""))
 def trade_context_range(spark, d):
     c = _candles(spark, d)
     t = c.filter("volume >= 4").select(F.concat_ws(":", "pair", "ts").alias("trade_id"), "pair", F.col("ts").alias("entry_ts"), (F.col("ts") + 2 * HOUR_MS).alias("exit_ts"))
-    return store.trade_context(t, c).select("trade_id", "window", "candle_ts", *_r8("offset_hours"))
+    return store.trade_context(t, c).select("trade_id", "window", "candle_ts", *_r8("offset_hours"), "offset_candles")
 
 
 @_add(sql.query(sql.TRADES, "SELECT pattern, direction, session, regime, count(*) AS sample_count, count(*) FILTER (WHERE pnl_net_usdt > 0) AS win_count, round(count(*) FILTER (WHERE pnl_net_usdt > 0)::DOUBLE / count(*), 4) AS win_rate, "
@@ -478,24 +480,34 @@ def walk_forward_split(spark, d):
     return backtest.fold_split(_candles(spark, d)).select("pair", "ts", "fold")
 
 
-@_add(sql.query(sql.INDICATORS, """, e AS (SELECT *, CASE WHEN ts // 3600000 % 2 = 0 THEN 1 ELSE -1 END AS k FROM ind),
-p AS (SELECT *, close * CASE WHEN k = 1 THEN 1.0005::DOUBLE ELSE 0.9995::DOUBLE END AS fill, round(close + k * atr14 * 1.6::DOUBLE, 8) AS tp, round(close - k * atr14, 8) AS sl FROM e),
-q AS (SELECT *, fill * CASE WHEN k = 1 THEN 1 - 1.0::DOUBLE / 20 + 0.005::DOUBLE ELSE 1 + 1.0::DOUBLE / 20 - 0.005::DOUBLE END AS liq,
-  list({'ts': ts, 'h': high, 'l': low, 'c': close}) OVER (PARTITION BY pair ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS ahead FROM p),
-m AS (SELECT *, list_filter(list_transform(coalesce(ahead, []), lambda b: {'ts': b.ts, 'why': CASE WHEN k = 1 THEN CASE WHEN b.h >= tp THEN 'take_profit' WHEN b.l <= sl THEN 'stop_loss' WHEN b.l <= liq THEN 'liquidated' END
-  ELSE CASE WHEN b.l <= tp THEN 'take_profit' WHEN b.h >= sl THEN 'stop_loss' WHEN b.h >= liq THEN 'liquidated' END END}), lambda b: b.why IS NOT NULL) AS met FROM q),
-r AS (SELECT *, CASE WHEN len(met) > 0 THEN met[1].why ELSE 'timeout' END AS close_reason,
-  CASE WHEN len(met) > 0 THEN met[1].ts WHEN len(coalesce(ahead, [])) > 0 THEN ahead[-1].ts ELSE ts END AS exit_ts FROM m),
-x AS (SELECT *, CASE close_reason WHEN 'take_profit' THEN tp WHEN 'stop_loss' THEN sl WHEN 'liquidated' THEN liq ELSE coalesce(ahead[-1].c, close) END * CASE WHEN k = 1 THEN 0.9995::DOUBLE ELSE 1.0005::DOUBLE END AS price FROM r)
-SELECT pair, ts, close_reason, CAST(greatest((exit_ts - ts) // 900000, 1) AS INTEGER) AS hold_candles, round(CASE WHEN fill > 0 THEN k * (price - fill) / fill * 200 END, 6) AS pnl_gross_usdt FROM x"""))
+@_add(sql.query(sql.POSITIONS, "SELECT pair, ts, close_reason, hold_candles, round(gross, 6) AS pnl_gross_usdt FROM position"))
 def position_results(spark, d):
     """Every candle taken as an entry, long on even hours and short on odd ones."""
+    return _positions(spark, d).select("pair", "ts", "close_reason", "hold_candles", "pnl_gross_usdt")
+
+
+def _positions(spark: SparkSession, d: str) -> DataFrame:
     even = F.floor(F.col("ts") / HOUR_MS) % 2 == 0
     sign = F.when(even, 1.0).otherwise(-1.0)
     df = moves(_enriched(spark, d)).withColumns({"outcome": F.lit("fired"), "side": F.when(even, "long").otherwise("short"), "entry_price": F.col("close"), "size_usdt": F.lit(10.0),
                                                  "tp_price": F.round(F.col("close") + sign * F.col("atr14") * 1.6, 8), "sl_price": F.round(F.col("close") - sign * F.col("atr14"), 8)})
     df = backtest.exits(backtest.entries(df, 20)).withColumn("fill", F.when(F.col("fill") > 0, F.col("fill")))
-    return backtest.closes(df).select("pair", "ts", "close_reason", "hold_candles", "pnl_gross_usdt")
+    return backtest.closes(df)
+
+
+#: The detector that a candle's position counts for, by its hour, so that memory grows on all of them.
+_NAMES = ("impulse_retracement", "wick_rejection", "compression_breakout", "momentum_continuation", "anomaly_fade")
+
+
+@_add(sql.query(sql.remembered(LOOSE, sql.POSITIONS + f""",
+past AS (SELECT ({list(_NAMES)})[1 + (ts // 3600000) % 5] AS pattern, CASE WHEN k = 1 THEN 'long' ELSE 'short' END AS direction, exit_ts, round(gross, 6) AS pnl FROM position)"""),
+    "SELECT pair, ts, outcome, stage, reason, pattern, side, confidence, best.pattern AS best_pattern, best.confidence AS best_confidence FROM sig"))
+def memory_signals(spark, d):
+    """Signals under the memory that each candle could have: of positions closed before it."""
+    past = _positions(spark, d).select(F.element_at(F.array(*map(F.lit, _NAMES)), (F.lit(1) + F.floor(F.col("ts") / HOUR_MS) % 5).cast("int")).alias("pattern"), F.col("side").alias("direction"), "exit_ts",
+                                       F.col("pnl_gross_usdt").alias("pnl_net_usdt"))
+    df = signals.evaluate_at_time(_windowed(spark, d), past, LOOSE, keep_best=True)
+    return df.select("pair", "ts", "outcome", "stage", "reason", "pattern", "side", "confidence", F.col("best.pattern").alias("best_pattern"), F.col("best.confidence").alias("best_confidence"))
 
 
 @_add(sql.query(sql.TRADES, "SELECT trade_id, CASE WHEN trade_id % 2 = 0 THEN exit_ts END AS exit_ts, CASE WHEN trade_id % 2 = 0 THEN close_reason END AS close_reason FROM trades"))

@@ -161,6 +161,31 @@ sig AS (SELECT *, CASE WHEN rej IS NULL THEN 'fired' ELSE 'rejected' END AS outc
                CASE WHEN rej IS NULL THEN CASE WHEN best.confidence >= 0.75 THEN 10.0::DOUBLE ELSE 5.0::DOUBLE END END AS size_usdt FROM rej)"""
 
 
+#: Every candle taken as a position, long on even hours and short on odd ones: exits, holding time and gross result.
+POSITIONS = INDICATORS + """,
+pe AS (SELECT *, CASE WHEN ts // 3600000 % 2 = 0 THEN 1 ELSE -1 END AS k FROM ind),
+pp AS (SELECT *, close * CASE WHEN k = 1 THEN 1.0005::DOUBLE ELSE 0.9995::DOUBLE END AS fill, round(close + k * atr14 * 1.6::DOUBLE, 8) AS tp, round(close - k * atr14, 8) AS sl FROM pe),
+pq AS (SELECT *, fill * CASE WHEN k = 1 THEN 1 - 1.0::DOUBLE / 20 + 0.005::DOUBLE ELSE 1 + 1.0::DOUBLE / 20 - 0.005::DOUBLE END AS liq,
+  list({'ts': ts, 'h': high, 'l': low, 'c': close}) OVER (PARTITION BY pair ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS ahead FROM pp),
+pm AS (SELECT *, list_filter(list_transform(coalesce(ahead, []), lambda b: {'ts': b.ts, 'why': CASE WHEN k = 1 THEN CASE WHEN b.h >= tp THEN 'take_profit' WHEN b.l <= sl THEN 'stop_loss' WHEN b.l <= liq THEN 'liquidated' END
+  ELSE CASE WHEN b.l <= tp THEN 'take_profit' WHEN b.h >= sl THEN 'stop_loss' WHEN b.h >= liq THEN 'liquidated' END END}), lambda b: b.why IS NOT NULL) AS met FROM pq),
+pr AS (SELECT *, CASE WHEN len(met) > 0 THEN met[1].why ELSE 'timeout' END AS close_reason,
+  CASE WHEN len(met) > 0 THEN met[1].ts WHEN len(coalesce(ahead, [])) > 0 THEN ahead[-1].ts ELSE ts END AS exit_ts FROM pm),
+px AS (SELECT *, CASE close_reason WHEN 'take_profit' THEN tp WHEN 'stop_loss' THEN sl WHEN 'liquidated' THEN liq ELSE coalesce(ahead[-1].c, close) END * CASE WHEN k = 1 THEN 0.9995::DOUBLE ELSE 1.0005::DOUBLE END AS price FROM pr),
+position AS (SELECT pair, ts, k, close_reason, exit_ts, CAST(greatest((exit_ts - ts) // 900000, 1) AS INTEGER) AS hold_candles, CASE WHEN fill > 0 THEN k * (price - fill) / fill * 200 END AS gross FROM px)"""
+
+
+def remembered(p: Params, trades: str) -> str:
+    """The scan's choice with the memory of ``trades`` (table expressions that end in ``past``) closed before each candle."""
+    know = ", ".join(f"(SELECT {{'n': count(*), 'wr': round(count(*) FILTER (WHERE t.pnl > 0)::DOUBLE / nullif(count(*), 0), 4)}} FROM past t WHERE t.pattern = '{name}' AND t.direction = det.trend AND t.exit_ts < det.ts) AS m_{s}"
+                     for s, name, _ in DETECTORS)
+    cands = ", ".join(
+        f"CASE WHEN d_{s} = trend AND regime IN {r} AND (session <> 'overlap' OR '{name}' = 'compression_breakout') AND NOT coalesce(m_{s}.n >= 20 AND m_{s}.wr < 0.35::DOUBLE, false) THEN "
+        f"{{'confidence': round(CASE WHEN m_{s}.n >= 10 THEN round(greatest(0.3::DOUBLE, least(0.95::DOUBLE, c_{s} * 0.7::DOUBLE + m_{s}.wr * 0.3::DOUBLE)), 3) ELSE c_{s} END / (CASE WHEN session = 'asian' THEN 1.1 ELSE 1.0 END)::DOUBLE, 3), "
+        f"'ord': {-k}, 'pattern': '{name}', 'direction': d_{s}}} END" for k, (s, name, r) in enumerate(DETECTORS))
+    return signals(p).replace(INDICATORS, trades).replace(f"list_max(list_filter([{_cands}]", f"list_max(list_filter([{cands}]").replace("AS best FROM det)", f"AS best FROM (SELECT *, {know} FROM det))")
+
+
 def simulation(p: Params, folds: bool = False) -> str:
     """Exits of all candles, and the walk over candidates: one position at a time, daily loss limit.
 
