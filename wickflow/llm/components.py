@@ -30,5 +30,5 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         changed = moved.filter("root <> old").limit(1).count()
         roots = moved.select("node", "root")
         if not changed:
-            break
-    return roots
+            return roots
+    raise RuntimeError("components have not settled in 63 rounds")

@@ -22,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,7 +50,7 @@ BENIGN = frozenset("count counts length len size limit ttl expiry expires timeou
 #: Words of names whose secrets may be digits alone.
 DIGITS = frozenset("pin otp passcode password passwd pwd passphrase".split())
 #: Texts without any of these hold no sensitive name.
-_SENSITIVE_PART = re.compile("pass|pwd|secret|token|key|credential|bearer|auth|pin|salt|cookie", re.I)
+_SENSITIVE_PART = re.compile("pass|pwd|secret|token|key|credential|bearer|auth|pin|salt|cookie|identified", re.I)
 _PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|<.*>|\$\w+|\$?\{.*\}|\$\(.*\)|%\(.*\)s|%\w+%|none|null|true|false|todo|tbd|changeme|change_me|example.*|your[_-]?.*|placeholder.*|dummy.*|sample.*|(?:os\.)?(?:process\.)?env(?:iron)?[.:].*)$", re.I)
 #: Names written as values: ``session-token``, ``ACCESS_TOKEN``.
 _IDENTIFIER = re.compile(r"[a-z]+(?:[-_. /][a-z]+)*|[A-Z]+(?:_[A-Z]+)*")
@@ -74,8 +75,8 @@ _BODY = {
 #: A whole configuration line with a bare value; ``#`` and ``;`` end it only after a space.
 _BARE_LINE = re.compile(r"^[ \t]*(?:export[ \t]+|set[ \t]+|-[ \t]+)?([A-Za-z_][\w.-]*)[ \t]*[=:][ \t]*([^\s\"'(){}\[\]]{5,}[^\s\"'(){}\[\];,])[;,]?[ \t]*(?:[#;][^\n]*)?$", re.M)
 #: An element or tag of markup, up to its text.
-_TAG = re.compile(r"<([A-Za-z_][\w.:-]*)[^<>]*+>([^<>\s]{6,})?(</\1\s*>)?")
-_ATTRIBUTE = re.compile(r"([\w.:-]+)\s*=\s*(?:\"([^\"<>]*)\"|'([^'<>]*)')")
+_TAG = re.compile(r"<([A-Za-z_][\w.:-]*+)[^<>]*+>([^<>\s]{6,})?(</\1\s*+>)?")
+_ATTRIBUTE = re.compile(r"(?<![\w.:-])([\w.:-]++)\s*+=\s*+(?:\"([^\"<>]*+)\"|'([^'<>]*+)')")
 #: Places where a name-literal pair may stand: an operator, or a literal first in a call.
 _TRIGGER = re.compile(r"[=:]|\([ \t]*[\"']|\.equals")
 #: A type between a colon and ``=``: ``str``, ``Option<&'static str>``, ``string | null``.
@@ -91,9 +92,22 @@ _DECLARES = frozenset("var let val dim declare const".split())
 _BLOCKS = frozenset("if elif else case while for with try default except when".split())
 #: Last words of calls whose first two literals are a name and its value (or its default).
 _CALLS = frozenset("get getenv getordefault get_or_default setdefault set put setproperty getproperty setenv putenv env environ add append header setheader config param option define".split())
+#: Values under a name that stand in none of the lexer's forms.
+_BLOCK = re.compile(r"^([ \t]*+)(?:-[ \t]++)?([A-Za-z_][\w.-]*+):[ \t]++[|>][-+0-9]*+[ \t]*+((?:\n\1[ \t]++\S[^\n]*+)++)", re.M)
+_DASHED = re.compile(r"^([ \t]*+)(?:-[ \t]++)?([A-Za-z_][\w.-]*+):[ \t]*+((?:\n\1[ \t]*+-[ \t]++[^\s:#][^\n:#]*+(?=\n|\Z))++)", re.M)
+_LIST = re.compile(r"(?<![\w.-])([A-Za-z_][\w.-]*+)[\"']?\s*+[:=]\s*+[\[({]((?:\s*+(?:\"[^\"\n]*+\"|'[^'\n]*+')\s*+,?)++)\s*+[\])}]")
+_INDEXED = re.compile(r"(?<![\w.-])([A-Za-z_][\w.]*+)\[\s*+[\"'][^\"'\]\n]*+[\"']\s*+\]\s*+=\s*+([\"'])([^\"'\n]*+)\2")
+_WORDED = re.compile(r"(?<![\w.-])([A-Za-z_][\w.-]*+)[ \t]++(?:to|is|as|by)[ \t]++([\"'])([^\"'\n]*+)\2", re.I)
+_SQL = re.compile(r"(?<!\w)(?:identified[ \t]++by|password)[ \t]++'([^'\n]*+)'", re.I)
+_OPTION = re.compile(r"(?<!\S)--?([A-Za-z][\w-]*+)(?:=|[ \t]++)([\"']?)([^\s\"']++)\2(?!\S)")
+_HEADER = re.compile(r"authorization[\"']?[ \t]*+[:=][ \t]*+[\"']?(?:bearer|basic|token|apikey)[ \t]++([^\s\"'<>]++)", re.I)
+_CREDENTIALS = re.compile(r"(?<![\w+.-])[A-Za-z][\w+.-]*+://[^\s/:@\"'<>]*+:([^\s/@\"'<>]++)@")
+_QUOTED = re.compile(r"\"([^\"\n]*+)\"|'([^'\n]*+)'")
 THRESHOLD = 0.6
-#: A joined constant is propagated up to this many characters; its parts are still scored where they are assigned.
-MAX_JOINED = 4096
+#: Characters of a joined value that are kept from either end; what else is scored, its length and character counts, is exact.
+ENDS = 128
+#: Lengths and counts of joined values stop growing here (a constant may double itself on every line).
+SATURATED = 1 << 40
 
 
 @lru_cache(maxsize=100_000)
@@ -106,21 +120,63 @@ def name_score(name: str) -> float:
     return max((SENSITIVE.get(w, 0.0) for w in joined), default=0.0)
 
 
-def literal_score(value: str, name: str = "") -> float:
+class Value:
+    """A literal, or a join of such; a join refers to its parts and copies none of their text but their ends."""
+
+    __slots__ = ("counts", "head", "parts", "size", "span", "tail")
+
+    def __init__(self, text: str = "", span: tuple[int, int] | None = None, parts: tuple[Value, ...] = ()) -> None:
+        self.span, self.parts = span, parts
+        if not parts:
+            self.size, self.head, self.tail, self.counts = len(text), text, "", None
+            return
+        self.size = min(SATURATED, sum(p.size for p in parts))
+        self.counts = Counter()
+        for p in parts:
+            for c, n in (Counter(p.head) if p.counts is None else p.counts).items():
+                self.counts[c] = min(SATURATED, self.counts[c] + n)
+        ends = [p.head if p.counts is None else (p.head, p.tail) for p in parts]
+        if self.size <= ENDS:
+            self.head, self.tail = "".join(e if isinstance(e, str) else e[0] for e in ends), ""
+        else:
+            self.head = self.tail = ""
+            for e in ends:
+                if len(self.head) < ENDS:
+                    self.head += e[:ENDS] if isinstance(e, str) else e[0]
+            for e in reversed(ends):
+                if len(self.tail) < ENDS:
+                    self.tail = (e[-ENDS:] if isinstance(e, str) else e[1] or e[0]) + self.tail
+            self.head, self.tail = self.head[:ENDS], self.tail[-ENDS:]
+
+    @classmethod
+    def joined(cls, parts: list[Value]) -> Value:
+        return parts[0] if len(parts) == 1 else cls(parts=tuple(parts))
+
+
+def literal_score(value: str | Value, name: str = "") -> float:
     """How secret-like a literal is: length, variety of classes and entropy; prose, placeholders, plain URLs and names score low."""
+    size = counts = None
+    if isinstance(value, Value):
+        size, counts = value.size, value.counts
+        # Of a long join the patterns see the ends.
+        value = value.head + value.tail if counts is not None and size > ENDS else value.head
     if value.lstrip().startswith("-----BEGIN") and "PRIVATE KEY" in value[:80]:
         return 1.0
-    value = value.strip()
-    if len(value) < 6 or _PLACEHOLDER.match(value) or any(c.isspace() for c in value) or _URL.match(value):
+    if counts is None or size <= ENDS:
+        value = value.strip()
+        counts, size = Counter(value), len(value)
+    if size < 6 or any(c.isspace() for c in counts) or _URL.match(value):
         return 0.0
-    if value.isdigit() and not DIGITS & {w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", name)}:
+    if _PLACEHOLDER.match(value) and (len(counts) == 1 or len(set(value)) > 1):
+        return 0.0
+    if all(c.isdigit() for c in counts) and not DIGITS & {w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", name)}:
         return 0.3
-    if len(value) < 24 and _IDENTIFIER.fullmatch(value):
+    if size < 24 and _IDENTIFIER.fullmatch(value):
         return 0.5
-    counts = Counter(value)
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    classes = sum(map(bool, (re.search(p, value) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))))
-    return min(1.0, 0.35 + 0.03 * min(len(value), 12) + 0.1 * (classes - 1) + 0.05 * min(entropy, 4.0))
+    entropy = -sum(n / size * math.log2(n / size) for n in counts.values() if n < size)
+    seen = "".join(counts)
+    classes = sum(map(bool, (re.search(p, seen) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))))
+    return min(1.0, 0.35 + 0.03 * min(size, 12) + 0.1 * (classes - 1) + 0.05 * min(entropy, 4.0))
 
 
 def _declared(names: list[str]) -> list[str]:
@@ -130,7 +186,7 @@ def _declared(names: list[str]) -> list[str]:
     return names[-1:]
 
 
-Pair = tuple[str, str, list[tuple[int, int]]]
+Pair = tuple[str, Value]
 
 
 class _Lexer:
@@ -138,8 +194,8 @@ class _Lexer:
 
     def __init__(self, text: str) -> None:
         self.text, self.found = text, []
-        #: Constants seen so far: value and the places of its parts.
-        self.constants: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+        #: Constants seen so far.
+        self.constants: dict[str, Value] = {}
         #: Up to where an opening quote of this kind is known to have no closing one.
         self.dead = dict.fromkeys(_BODY, 0)
 
@@ -163,12 +219,11 @@ class _Lexer:
     def _flush(self) -> None:
         if self.targets and self.value:
             # The most sensitive name; of equals the last.
-            name, joined = max(reversed(self.targets), key=name_score), "".join(v for v, _ in self.value)
-            parts = [x for _, spans in self.value for x in spans]
-            self.found.append((name, joined, parts))
-            if not self.compared and len(joined) <= MAX_JOINED:
+            name, joined = max(reversed(self.targets), key=name_score), Value.joined(self.value)
+            self.found.append((name, joined))
+            if not self.compared:
                 for n in self.targets:
-                    self.constants[n] = self.constants[n.rsplit(".", 1)[-1]] = joined, parts
+                    self.constants[n] = self.constants[n.rsplit(".", 1)[-1]] = joined
         self.targets, self.value, self.joining, self.compared, self.fresh = [], [], False, False, False
 
     def _statement(self, at: int) -> int:
@@ -200,7 +255,7 @@ class _Lexer:
                 if self.targets:
                     lead = len(body) - len(body.lstrip()) if len(quote) == 3 else 0
                     tail = len(body) - len(body.rstrip()) if len(quote) == 3 else 0
-                    self.value.append((body[lead:len(body) - tail], [(t.end() + lead, end - tail)] if lead + tail < len(body) else []))
+                    self.value.append(Value(body[lead:len(body) - tail], (t.end() + lead, end - tail) if lead + tail < len(body) else None))
                     self.joining = False
                 else:
                     names, closed = [body] if re.fullmatch(r"[A-Za-z_][\w.-]*", body) else [], False
@@ -257,7 +312,7 @@ def _markup(text: str) -> Iterator[Pair]:
     """Elements and name-value attributes of markup."""
     for m in _TAG.finditer(text):
         if m.group(2) and m.group(3):
-            yield m.group(1), m.group(2), [m.span(2)]
+            yield m.group(1), Value(m.group(2), m.span(2))
         end = m.start(2) if m.group(2) else m.end()
         if "=" not in text[m.start():end]:
             continue
@@ -267,39 +322,90 @@ def _markup(text: str) -> Iterator[Pair]:
             name = named.group(2) or named.group(3) or ""
             if valued:
                 g = 2 if valued.group(2) is not None else 3
-                yield name, valued.group(g), [valued.span(g)]
+                yield name, Value(valued.group(g), valued.span(g))
             elif m.group(2):
-                yield name, m.group(2), [m.span(2)]
+                yield name, Value(m.group(2), m.span(2))
+
+
+def _marked(value: str) -> bool:
+    """A bare word or path of names is a reference rather than a literal."""
+    return bool(re.search(r"[0-9]|[^\w.-]", value))
+
+
+def _singular(name: str) -> str:
+    return name[:-1] if name[-1:] in "sS" else name
+
+
+def _other_forms(text: str) -> Iterator[Pair]:
+    """Blocks and lists under a name, indexed names, SQL, command-line options, headers, credentials in URLs."""
+    if ":" in text:
+        for m in _BLOCK.finditer(text):
+            for line in re.finditer(r"\S[^\n]*", text[m.start(3):m.end(3)]):
+                yield m.group(2), Value(line.group().rstrip(), (m.start(3) + line.start(), m.start(3) + line.start() + len(line.group().rstrip())))
+        for m in _DASHED.finditer(text):
+            for item in re.finditer(r"\n[ \t]*-[ \t]+[\"']?([^\s\"']+)[\"']?[ \t]*(?=\n|$)", text[m.start(3):m.end(3)]):
+                if _marked(item.group(1)):
+                    yield _singular(m.group(2)), Value(item.group(1), (m.start(3) + item.start(1), m.start(3) + item.end(1)))
+        for m in _HEADER.finditer(text):
+            yield "token", Value(m.group(1), m.span(1))
+    for m in _LIST.finditer(text):
+        for item in _QUOTED.finditer(text, *m.span(2)):
+            g = 1 if item.group(1) is not None else 2
+            yield _singular(m.group(1)), Value(item.group(g), item.span(g))
+    for pattern in (_INDEXED, _WORDED):
+        for m in pattern.finditer(text):
+            yield m.group(1), Value(m.group(3), m.span(3))
+    for m in _SQL.finditer(text):
+        yield "password", Value(m.group(1), m.span(1))
+    if "-" in text:
+        for m in _OPTION.finditer(text):
+            if _marked(m.group(3)):
+                yield m.group(1), Value(m.group(3), m.span(3))
+
+
+def _credentials(text: str) -> Iterator[Pair]:
+    for m in _CREDENTIALS.finditer(text):
+        yield "password", Value(m.group(1), m.span(1))
 
 
 def pairs(text: str) -> list[Pair]:
-    """(name, joined literal, spans of its parts) of assignments in a text, constants propagated.
+    """(name, value) of assignments in a text, constants propagated.
 
     Read are assignments, object entries, keyword arguments, comparisons with a
     literal, calls such as ``get("name", "default")``, whole configuration lines
-    with a bare value and markup. Literals may be joined, triple-quoted or stand
-    on the next line. Parts stand where they were written: that of a constant is
-    its definition. The time is in proportion to the text's length.
+    with a bare value, markup and the forms of ``_other_forms``. Literals may be
+    joined, triple-quoted or stand on the next line. Parts stand where they were
+    written: that of a constant is its definition. The time is in proportion to
+    the text's length.
     """
     found = _Lexer(text).run()
-    for m in _BARE_LINE.finditer(text):
-        # A bare word or path of names is a reference rather than a literal.
-        if re.search(r"[0-9]|[^\w.-]", m.group(2)):
-            found.append((m.group(1), m.group(2), [m.span(2)]))
+    found += [(m.group(1), Value(m.group(2), m.span(2))) for m in _BARE_LINE.finditer(text) if _marked(m.group(2))]
     if "</" in text or "/>" in text:
         found += _markup(text)
+    found += _other_forms(text)
     return found
 
 
 def named_spans(text: str) -> list[tuple[int, int]]:
-    if not _SENSITIVE_PART.search(text):
-        return []
-    found = set()
-    for name, value, parts in pairs(text):
+    found = _credentials(text) if "://" in text and "@" in text else iter(())
+    if _SENSITIVE_PART.search(text):
+        found = chain(found, pairs(text))
+    # Values are kept while they are known by their identity.
+    spans, seen, kept = set(), set(), []
+    for name, value in found:
         n = name_score(name)
         if n and n * literal_score(value, name) >= THRESHOLD:
-            found.update((start, end) for start, end in parts if start < end)
-    return sorted(found)
+            # Parts that stand in several secrets are walked once.
+            left = [value]
+            while left:
+                v = left.pop()
+                if id(v) not in seen:
+                    seen.add(id(v))
+                    kept.append(v)
+                    left += v.parts
+                    if v.span is not None and v.span[0] < v.span[1]:
+                        spans.add(v.span)
+    return sorted(spans)
 
 
 def scan(text: str) -> dict:

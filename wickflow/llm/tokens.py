@@ -30,6 +30,12 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+#: The steps before the merges that the way by words stands for; a file with any other goes to the library whole.
+NORMALISED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         single_threaded()
@@ -40,10 +46,9 @@ class Encoder:
         self.lib = Tokenizer.from_file(path)
         self.size = self.lib.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        norm = spec.get("normalizer") or {}
-        kinds = [x["type"] for x in norm.get("normalizers", [])]
-        pre = [x["type"] for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-        self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and pre == ["Split", "ByteLevel"] and spec.get("post_processor") is None
+        norm = (spec.get("normalizer") or {}).get("normalizers")
+        pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers")
+        self.by_word = norm == NORMALISED and pre == SPLIT and spec.get("post_processor") is None
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.memo: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
