@@ -75,14 +75,19 @@ def at_time(rows: DataFrame, trades: DataFrame, key: tuple[str, ...] = ("pattern
     return run.filter(F.col("__row").isNotNull()).select("__row.*", "sample_count", "win_count", F.round(F.col("win_count") / F.nullif(F.col("sample_count"), F.lit(0)), 4).alias("win_rate"))
 
 
-def merge(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Upsert: memory rows of both, counts added and rates recomputed."""
-    both = old.select(*KEY, "sample_count", "win_count", "avg_pnl_pct", "last_updated").unionByName(new.select(*KEY, "sample_count", "win_count", "avg_pnl_pct", "last_updated"))
+def total(rows: DataFrame) -> DataFrame:
+    """Memory rows of any number of sources: counts added and rates recomputed."""
     mean = F.sum(F.col("avg_pnl_pct") * F.col("sample_count")) / F.sum("sample_count")
-    return both.groupBy(*KEY).agg(F.sum("sample_count").alias("sample_count"), F.sum("win_count").alias("win_count"), F.round(mean, 4).alias("avg_pnl_pct"), F.max("last_updated").alias("last_updated")).withColumn(
+    return rows.groupBy(*KEY).agg(F.sum("sample_count").alias("sample_count"), F.sum("win_count").alias("win_count"), F.round(mean, 4).alias("avg_pnl_pct"), F.max("last_updated").alias("last_updated")).withColumn(
         "win_rate", F.round(F.col("win_count") / F.col("sample_count"), 4))
 
 
+def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Upsert: memory rows of both."""
+    names = (*KEY, "sample_count", "win_count", "avg_pnl_pct", "last_updated")
+    return total(old.select(*names).unionByName(new.select(*names)))
+
+
 def adjust(raw: Column, samples: Column, win_rate: Column, min_samples: int = 10) -> Column:
     blended = F.round(F.greatest(F.lit(0.30), F.least(F.lit(0.95), raw * 0.70 + win_rate * 0.30)), 3)
     return F.when((F.coalesce(samples, F.lit(0)) >= min_samples) & win_rate.isNotNull(), blended).otherwise(raw)

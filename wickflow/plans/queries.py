@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wickflow.functions.candle import geometry, liquidation_price, session, session_confidence_multiplier, session_volume_multiplier
-from wickflow.operators import backtest, gates, memory, metrics, risk, signals, store, trials
+from wickflow.operators import backtest, gates, memory, metrics, risk, signals, store, trials, versions
 from wickflow.operators.indicators import indicators, moves
 from wickflow.operators.patterns import detect
 from wickflow.params import Params
@@ -429,6 +429,39 @@ def candle_upsert(spark, d):
     return store.upsert_candles(stored, incoming).select("pair", "ts", "close", "volume", "env")
 
 
+#: What the merged candle store holds.
+_STORED = "bot_id string, pair string, timeframe string, ts bigint, open double, high double, low double, close double, volume double, env string"
+
+
+@_add(SQL["candle_upsert"])
+def candle_store_stream(spark, d):
+    """The same through the merge-on-read store: a first version, streamed later ones, compacted on the way, one batch twice."""
+    c, root = materialise(_candles(spark, d), "store-candles"), scratch_uri(spark, "store")
+    held = versions.VersionStore(f"{root}/table", _STORED)
+    held.write(since(c, JAN_10).withColumn("env", F.lit("seed")), 0)
+    incoming = c.withColumn("close", F.when(F.col("ts") >= JAN_10, F.col("close") + 1).otherwise(F.col("close")))
+    incoming.repartition(3, "pair").write.parquet(f"{root}/in")
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        for _ in range(2 if batch_id == 0 else 1):
+            held.write(batch, batch_id + 1)
+        if batch_id == 1:
+            held.compact(spark)
+
+    feed = spark.readStream.schema(incoming.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    feed.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return held.read(spark).select("pair", "ts", "close", "volume", "env")
+
+
+@_add(sql.query(sql.CANDLES, f"SELECT pair, ts, close FROM candles WHERE ts >= {JAN_10} + 5 * 3600000 OR volume >= 3"))
+def retention_by_days(spark, d):
+    """Candles in day partitions after retention: old days go as folders, those with referenced candles are rewritten."""
+    c, root = _candles(spark, d).withColumn("candle_id", F.concat_ws(":", "pair", "ts")), scratch_uri(spark, "days")
+    c.withColumn("day", F.floor(F.col("ts") / DAY_MS)).repartition("day").write.partitionBy("day").parquet(root)
+    versions.expire_days(spark, root, JAN_10 + 5 * HOUR_MS + 90 * DAY_MS, 90, c.filter("volume >= 3"))
+    return spark.read.parquet(root).select("pair", "ts", "close")
+
+
 @_add(sql.query(sql.CANDLES, f"SELECT pair, ts FROM candles c WHERE ts < {JAN_10} AND NOT EXISTS (SELECT 1 FROM candles x WHERE x.volume >= 3 AND x.pair = c.pair AND x.ts = c.ts)"))
 def retention_anti_join(spark, d):
     c = _candles(spark, d).withColumn("candle_id", F.concat_ws(":", "pair", "ts"))
