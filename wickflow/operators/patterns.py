@@ -52,7 +52,12 @@ def _long(direction: str) -> Column:
     return F.col(direction) == "bullish"
 
 
+#: Details that are price levels, to two places; all others have three.
+_LEVELS = ("level", "bb_upper", "bb_lower")
+
+
 def _fired(when: Column, direction: Column, confidence: Column, **details: Column) -> Column:
+    details = {k: F.round(v.cast("double"), 2 if k in _LEVELS else 3) for k, v in details.items()}
     return F.when(when, F.struct(direction.alias("direction"), F.round(confidence, 3).alias("confidence"),
                                  F.create_map(*[x for k, v in details.items() for x in (F.lit(k), v.cast("double"))]).alias("details")))
 

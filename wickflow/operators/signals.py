@@ -17,6 +17,13 @@ from wickflow.schemas import SERIES
 from wickflow.scratch import materialise
 
 
+def reason_text(params: Params = Params()) -> Column:
+    """The first rejection's reason with its values, of evaluated rows that kept ``best``; null for fired ones."""
+    least = F.lit(params.min_confidence) * session_confidence_multiplier(session(F.col("ts")))
+    return F.when(F.col("reason") == "volume_ratio_below_threshold", F.format_string("volume_ratio_below_threshold:%.3f<%.3f", "volume_ratio", "volume_threshold")).when(
+        F.col("reason") == "confidence_below_min", F.format_string("confidence_below_min:%.3f<%.3f", "best.confidence", least)).otherwise(F.col("reason"))
+
+
 def enrich(candles: DataFrame, params: Params = Params(), buffer: int = FRAME) -> DataFrame:
     """Candles with geometry and stored indicators."""
     return indicators(geometry(candles), params, buffer)
@@ -66,18 +73,18 @@ def _best(names: tuple[str, ...], remembered: bool) -> Column:
     return F.array_max(F.array_compact(F.array(*found)))
 
 
-def evaluate(enriched: DataFrame, params: Params = Params(), pattern_memory: DataFrame | None = None) -> DataFrame:
+def evaluate(enriched: DataFrame, params: Params = Params(), pattern_memory: DataFrame | None = None, keep_best: bool = False) -> DataFrame:
     """One row per candle: a fired signal or the first rejection.
 
     A pure function of the evaluation window, so all candles are evaluated at
     once; frames stay inside a ``fold`` where the input has one.
     """
-    return judge(with_frames(enriched, params), params, pattern_memory)
+    return judge(with_frames(enriched, params), params, pattern_memory, keep_best)
 
 
-def judge(df: DataFrame, params: Params = Params(), pattern_memory: DataFrame | None = None) -> DataFrame:
+def judge(df: DataFrame, params: Params = Params(), pattern_memory: DataFrame | None = None, keep_best: bool = False) -> DataFrame:
     """``evaluate`` of rows with their frame columns: projections only, on a stream too."""
-    return _fired(scan(_detected(df, params), params, pattern_memory), params)
+    return _fired(scan(_detected(df, params), params, pattern_memory), params, keep_best)
 
 
 def _detected(df: DataFrame, params: Params) -> DataFrame:

@@ -108,10 +108,18 @@ def session_stats(trades: DataFrame) -> DataFrame:
 
 
 def daily_summary(trades: DataFrame) -> DataFrame:
-    """Per UTC day of exit: trades, wins, pnl and win rate."""
+    """Per UTC day of exit: trades, wins, pnl, win rate, and the positions open when the day ends.
+
+    Open positions are entries minus exits up to the day: counts per day, summed over days.
+    """
     done = trades.filter(F.col("exit_ts").isNotNull()).withColumn("day_ts", midnight(F.col("exit_ts")))
     won = F.count_if(F.col("pnl_net_usdt") > 0)
-    return done.groupBy("day_ts").agg(F.count(F.lit(1)).alias("trades"), won.alias("wins"), F.sum("pnl_net_usdt").alias("pnl"), (won / F.count(F.lit(1))).alias("win_rate"))
+    days = done.groupBy("day_ts").agg(F.count(F.lit(1)).alias("trades"), won.alias("wins"), F.sum("pnl_net_usdt").alias("pnl"), (won / F.count(F.lit(1))).alias("win_rate"))
+    moves = trades.select(F.explode(F.array_compact(F.array(F.struct(midnight(F.col("entry_ts")).alias("day_ts"), F.lit(1).alias("n")), F.when(F.col("exit_ts").isNotNull(), F.struct(midnight(F.col("exit_ts")).alias("day_ts"), F.lit(-1).alias("n")))))).alias("m"))
+    # One row per day from here on.
+    upto = Window.orderBy("day_ts").rowsBetween(Window.unboundedPreceding, 0)
+    active = moves.groupBy("m.day_ts").agg(F.sum("m.n").alias("n")).select("day_ts", F.sum("n").over(upto).alias("active"))
+    return days.join(active, "day_ts")
 
 
 def histogram(df: DataFrame, column: str, none: str = "None") -> DataFrame:
@@ -130,9 +138,12 @@ def stale(heartbeats: DataFrame, now: int, seconds: int = 90) -> DataFrame:
     return latest(heartbeats, ["bot_id"], "ts").withColumn("stale", (F.lit(now) - F.col("ts")) / 1000.0 > seconds)
 
 
-def alert_text(trades: DataFrame) -> DataFrame:
-    """Message lines for closed trades; sending them is not part of the engine."""
-    return trades.withColumn("message", F.format_string("%s %s %s closed by %s, pnl %.4f", F.upper("pair"), "direction", "pattern", "close_reason", "pnl_net_usdt"))
+def regime_changes(labelled: DataFrame) -> DataFrame:
+    """Where a series' regime differs from its candle before: ts, the new regime and its pairs; quiet stretches count as ``None``."""
+    now = F.coalesce("regime", F.lit("None"))
+    before = F.lag(now).over(Window.partitionBy(*SERIES).orderBy("ts"))
+    moved = labelled.select("pair", "ts", now.alias("regime"), before.alias("before")).filter("before <> regime")
+    return moved.groupBy("ts", "regime").agg(F.array_sort(F.collect_set("pair")).alias("pairs"))
 
 
 def save(df: DataFrame, table: str, partition_by: tuple[str, ...] = ()) -> None:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wickflow.functions import messages
 from wickflow.functions.candle import geometry, liquidation_price, session, session_confidence_multiplier, session_volume_multiplier
 from wickflow.operators import backtest, gates, memory, metrics, risk, signals, store, trials, versions
 from wickflow.operators.indicators import indicators, moves
@@ -16,7 +17,7 @@ from wickflow.plans import sql
 from wickflow.plans.adapters import heartbeats_from_events, log_from_events, trades_from_orders
 from wickflow.schemas import DAY_MS, HOUR_MS
 from wickflow.scratch import materialise, scratch_uri
-from wickflow.sources.candles import candles_from_events, dedupe, event_log, recent, since
+from wickflow.sources.candles import candles_from_events, dedupe, event_log, read_ohlcv_json, recent, since, write_ohlcv_json
 from wickflow.streaming import candles as stream
 from wickflow.streaming import trading
 
@@ -31,6 +32,12 @@ JAN_10 = 1_704_844_800_000
 MAR_1996 = 825_638_400_000
 
 
+#: Trades by day of exit, for the SQL of the reports.
+_DAYS = """, d AS (SELECT exit_ts - exit_ts % 86400000 AS day_ts, count(*) AS trades, count(*) FILTER (WHERE pnl_net_usdt > 0) AS wins, sum(pnl_net_usdt) AS pnl, count(*) FILTER (WHERE pnl_net_usdt > 0)::DOUBLE / count(*) AS win_rate
+  FROM closed GROUP BY 1),
+day AS (SELECT *, (SELECT count(*) FROM trades x WHERE x.entry_ts < day_ts + 86400000 AND coalesce(x.exit_ts >= day_ts + 86400000, true)) AS active FROM d)"""
+
+
 def _add(twin: str | None = None) -> Callable[[Query], Query]:
     def wrap(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -182,13 +189,60 @@ def reject_breakdown(spark, d):
     return signals.probe(signals.evaluate(_windowed(spark, d)).filter("rn > 60")).select("stage", "reason", "n", *_r8("pct"))
 
 
+@_add(sql.query(sql.SIGNALS, """SELECT pair, ts, stage, CASE reason WHEN 'volume_ratio_below_threshold' THEN printf('volume_ratio_below_threshold:%.3f<%.3f', volume_ratio, volume_threshold)
+WHEN 'confidence_below_min' THEN printf('confidence_below_min:%.3f<%.3f', best.confidence, 0.55::DOUBLE * (CASE WHEN session = 'asian' THEN 1.1 ELSE 1.0 END)::DOUBLE) ELSE reason END AS reason FROM sig WHERE outcome = 'rejected'"""))
+def reject_reasons(spark, d):
+    """Rejections with the values that decided."""
+    df = signals.evaluate(_windowed(spark, d), keep_best=True).filter("outcome = 'rejected'")
+    return df.select("pair", "ts", "stage", signals.reason_text().alias("reason"))
+
+
+@_add(sql.query(sql.signals(LOOSE), "SELECT pattern, side AS direction, count(*) AS n FROM sig WHERE outcome = 'fired' GROUP BY 1, 2"))
+def fired_patterns(spark, d):
+    """Fired signals by pattern and direction."""
+    fired = signals.evaluate(_windowed(spark, d), LOOSE).filter("outcome = 'fired'")
+    return store.top(fired.select("pattern", F.col("side").alias("direction")), ["pattern", "direction"])
+
+
+@_add(sql.query(sql.GATES, """, l AS (SELECT pair, coalesce(CASE WHEN regime <> 'QUIET' THEN regime END, 'None') AS regime FROM gate QUALIFY row_number() OVER (PARTITION BY pair ORDER BY ts DESC) <= 500),
+h AS (SELECT regime, count(*) AS n FROM l GROUP BY 1) SELECT regime, n, round(n * 100.0::DOUBLE / sum(n) OVER (), 8) AS pct FROM h"""))
+def recent_regimes(spark, d):
+    """Regimes of the last 500 candles of each pair."""
+    return store.histogram(recent(signals.labelled(_windowed(spark, d)), 500), "regime").select("regime", "n", *_r8("pct"))
+
+
+@_add(sql.query(sql.PATTERNS, """, u AS (SELECT pair, ts, 'impulse_retracement' AS pattern, unnest([{'k': 'trigger_body_ratio', 'v': round(body_ratio_1, 3)}, {'k': 'trigger_vol_ratio', 'v': round(volume_ratio_1, 3)}, {'k': 'retrace_frac', 'v': round(share, 3)}]) AS x FROM det WHERE d_impulse IS NOT NULL
+UNION ALL SELECT pair, ts, 'wick_rejection', unnest([{'k': 'wick_ratio', 'v': round(CASE WHEN d_wick = 'long' THEN lw ELSE uw END, 3)}, {'k': 'close_position', 'v': round(place, 3)},
+  {'k': 'level', 'v': round(CASE WHEN d_wick = 'long' THEN low10 ELSE high10 END, 2)}]) FROM det WHERE d_wick IS NOT NULL
+UNION ALL SELECT pair, ts, 'momentum_continuation', unnest([{'k': 'setup_candles', 'v': 2.0::DOUBLE}, {'k': 'body_growth', 'v': round(growth, 3)}, {'k': 'retrace_body_ratio', 'v': round(body_size / body_size_1, 3)}]) FROM det WHERE d_momentum IS NOT NULL
+UNION ALL SELECT pair, ts, 'anomaly_fade', unnest([{'k': 'spike_vol_ratio', 'v': round(times, 3)}, {'k': 'spike_move_atr', 'v': round(abs(close_1 - open_1) / atr14_prev, 3)}]) FROM det WHERE d_anomaly IS NOT NULL
+UNION ALL SELECT pair, ts, 'compression_breakout', unnest([{'k': 'atr5_atr20_ratio', 'v': round(tr5 / tr20, 3)}, {'k': 'vol_ratio', 'v': round(volume_ratio, 3)}, {'k': 'bb_upper', 'v': round(bb_upper, 2)}, {'k': 'bb_lower', 'v': round(bb_lower, 2)}]) FROM det WHERE d_compression IS NOT NULL)
+SELECT pair, ts, pattern, x.k AS detail, x.v AS value FROM u"""))
+def pattern_details(spark, d):
+    """The rounded details of every hit."""
+    df = detect(_windowed(spark, d))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("pattern"), F.col(f"p_{n}")["details"].alias("details")) for _, n, _ in sql.DETECTORS])).alias("h")
+    return df.select("pair", "ts", each).filter("h.details is not null").select("pair", "ts", "h.pattern", F.explode("h.details").alias("detail", "value"))
+
+
+@_add(sql.query(sql.INDICATORS, """, e AS (SELECT *, close + atr14 * 1.6::DOUBLE AS tp, close - atr14 AS sl, close * 1.0005::DOUBLE * (1 - 1.0::DOUBLE / 20 + 0.005::DOUBLE) AS liq,
+  list({'ts': ts, 'c': close}) OVER (PARTITION BY pair ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS ahead FROM ind),
+m AS (SELECT *, list_filter(list_transform(coalesce(ahead, []), lambda b: {'ts': b.ts, 'why': CASE WHEN b.c >= tp THEN 'take_profit' WHEN b.c <= sl THEN 'stop_loss' WHEN b.c <= liq THEN 'liquidated' END}),
+  lambda b: b.why IS NOT NULL) AS met FROM e)
+SELECT pair, ts, CASE WHEN len(met) > 0 THEN met[1].why ELSE 'timeout' END AS close_reason,
+  CASE WHEN len(met) > 0 THEN met[1].ts WHEN len(coalesce(ahead, [])) > 0 THEN ahead[-1].ts ELSE ts END AS exit_ts FROM m"""))
+def close_price_exits(spark, d):
+    """Exits by closing prices alone, every candle taken as a long entry."""
+    return _long_exits(spark, d, "close")
+
+
 @_add(sql.query(sql.INDICATORS, """, lv AS (SELECT pair, ts, close, close + atr14 * 1.6::DOUBLE AS tp, close - atr14 * 1.0::DOUBLE AS sl, close * (1 - 1.0::DOUBLE / 20 + 0.005::DOUBLE) AS liq FROM ind)
 SELECT pair, ts, CASE WHEN ts // 3600000 % 7 = 0 THEN 'bucket_limit' ELSE CASE WHEN abs(close - liq) / nullif(close, 0) < 0.015::DOUBLE THEN 'liquidation_too_close' WHEN abs(sl - close) = 0 THEN 'sl_distance_zero'
   WHEN abs(tp - close) / abs(sl - close) < 1.2::DOUBLE THEN 'rr_below_minimum' WHEN abs(tp - close) / nullif(close, 0) * 100 <= (0.04::DOUBLE + 0.04::DOUBLE + 0.05::DOUBLE + 0.05::DOUBLE) * 1.5::DOUBLE THEN 'fee_not_viable'
   WHEN ts // 3600000 % 11 >= 10 THEN 'daily_loss_limit' WHEN ts // 3600000 % 50 = 0 THEN 'stale_data' END END AS reason FROM lv"""))
 def risk_gates(spark, d):
-    c, a = F.col("close"), F.col("atr14")
     """Every candle taken as a long entry, beside a state that changes by the hour."""
+    c, a = F.col("close"), F.col("atr14")
     hour = F.floor(F.col("ts") / HOUR_MS)
     since_reconnect = F.when(hour % 50 == 0, 30_000)
     active, lost = F.when(hour % 7 == 0, 1).otherwise(0), -0.5 * (hour % 11)
@@ -203,9 +257,13 @@ SELECT pair, ts, CASE WHEN len(met) > 0 THEN met[1].why ELSE 'timeout' END AS cl
   CASE WHEN len(met) > 0 THEN met[1].ts WHEN len(coalesce(ahead, [])) > 0 THEN ahead[-1].ts ELSE ts END AS exit_ts FROM m"""))
 def trade_exits(spark, d):
     """Every candle taken as a long entry."""
+    return _long_exits(spark, d, "intrabar")
+
+
+def _long_exits(spark: SparkSession, d: str, exit_mode: str) -> DataFrame:
     df = moves(_enriched(spark, d)).withColumns({"side": F.lit("long"), "tp_price": F.col("close") + F.col("atr14") * 1.6, "sl_price": F.col("close") - F.col("atr14")})
     df = df.withColumn("liquidation_price", liquidation_price(F.col("close") * 1.0005, F.col("side"), 20))
-    return backtest.exits(df).select("pair", "ts", "close_reason", "exit_ts")
+    return backtest.exits(df, exit_mode=exit_mode).select("pair", "ts", "close_reason", "exit_ts")
 
 
 _TRADE = ("confidence", "entry_price", "tp_price", "sl_price", "liquidation_price", "size_usdt", "notional_usdt", "fee_entry_usdt", "exit_price", "fee_exit_usdt", "bucket_balance_after")
@@ -350,6 +408,31 @@ def memory_stepwise(spark, d):
     return memory.stepwise(_closed(spark, d))
 
 
+@_add(sql.query(sql.TRADES, f"{_DAYS} SELECT day_ts, printf('{messages.DAILY_SUMMARY.replace('%s', '%d active')}', trades, {sql.half_up('win_rate * 100', 1)}, {sql.half_up('pnl', 4)}, active) AS message FROM day"))
+def daily_messages(spark, d):
+    return store.daily_summary(_trades(spark, d)).select("day_ts", messages.day_summed().alias("message"))
+
+
+_MESSAGE = "CASE WHEN close_reason = 'liquidated' THEN printf('{0}', pair, n4, b, bot_id) WHEN pnl_net_usdt > 0 THEN printf('{1}', pair, upper(direction), e, n4, p2, close_reason) ELSE printf('{2}', pair, upper(direction), e, n4, p2, close_reason, b) END"
+
+
+@_add(sql.query(sql.TRADES, f", t AS (SELECT * REPLACE (CASE WHEN trade_id % 8 = 1 THEN 'liquidated' ELSE coalesce(close_reason, 'manual') END AS close_reason), CAST(round(entry_price, 2) AS VARCHAR) AS e, CAST(round(entry_price, 2) AS VARCHAR) AS b, {sql.half_up('pnl_net_usdt', 4)} AS n4, CASE WHEN pnl_pct < 0 THEN -abs({sql.half_up('pnl_pct', 2)}) ELSE {sql.half_up('pnl_pct', 2)} END AS p2 FROM closed)\n"
+                f"SELECT trade_id, {_MESSAGE.format(messages.LIQUIDATION, messages.CLOSED_PROFIT, messages.CLOSED_LOSS)} AS message FROM t"))
+def close_messages(spark, d):
+    """What is said of each closed trade."""
+    t = _closed(spark, d).withColumns({"close_reason": F.when(F.col("trade_id") % 8 == 1, "liquidated").otherwise(F.coalesce("close_reason", F.lit("manual"))),
+                                       "exit_price": F.round("entry_price", 2), "bucket_balance_after": F.round("entry_price", 2)})
+    return t.select("trade_id", messages.trade_closed().alias("message"))
+
+
+@_add(sql.query(sql.GATES, """, l AS (SELECT pair, ts, coalesce(CASE WHEN regime <> 'QUIET' THEN regime END, 'None') AS regime FROM gate),
+m AS (SELECT *, lag(regime) OVER (PARTITION BY pair ORDER BY ts) AS before FROM l)
+SELECT ts, regime, '<b>REGIME CHANGE</b> → ' || regime || chr(10) || 'Pairs: ' || string_agg(pair, ', ' ORDER BY pair) AS message FROM m WHERE before <> regime GROUP BY ts, regime"""))
+def regime_messages(spark, d):
+    """Regime changes of all pairs at a time."""
+    return store.regime_changes(signals.labelled(_windowed(spark, d))).select("ts", "regime", messages.regime_changed().alias("message"))
+
+
 @_add("SELECT e.event_id, e.event_type, o.o_orderkey AS trade_id, o.o_orderpriority AS pair FROM events e LEFT JOIN orders o ON o.o_orderkey = e.event_id")
 def event_trades(spark, d):
     """Events with the trade they refer to."""
@@ -396,10 +479,9 @@ def session_stats(spark, d):
     return store.session_stats(_trades(spark, d))
 
 
-@_add(sql.query(sql.TRADES, "SELECT exit_ts - exit_ts % 86400000 AS day_ts, count(*) AS trades, count(*) FILTER (WHERE pnl_net_usdt > 0) AS wins, round(sum(pnl_net_usdt), 6) AS pnl, "
-                "round(count(*) FILTER (WHERE pnl_net_usdt > 0)::DOUBLE / count(*), 8) AS win_rate FROM closed GROUP BY 1"))
+@_add(sql.query(sql.TRADES, f"{_DAYS} SELECT day_ts, trades, wins, round(pnl, 6) AS pnl, round(win_rate, 8) AS win_rate, active FROM day"))
 def daily_summary(spark, d):
-    return store.daily_summary(_trades(spark, d)).select("day_ts", "trades", "wins", F.round("pnl", 6).alias("pnl"), *_r8("win_rate"))
+    return store.daily_summary(_trades(spark, d)).select("day_ts", "trades", "wins", F.round("pnl", 6).alias("pnl"), *_r8("win_rate"), "active")
 
 
 @_add(sql.query(sql.SIGNALS, "SELECT round(min(atr14 / close * 100), 8) AS min_atr_pct, round(avg(atr14 / close * 100), 8) AS mean_atr_pct, round(max(atr14 / close * 100), 8) AS max_atr_pct, "
@@ -574,6 +656,23 @@ def event_log_filter(spark, d):
     return log.select("event_id", "ts", "category", F.get_json_object("payload", "$.k").cast("long").alias("k"))
 
 
+@_add("SELECT event_id, epoch_us(ts) // 1000 AS ts, event_type AS category FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
+def last_events(spark, d):
+    """The newest twenty log rows."""
+    return log_from_events(_read(spark, d, "events")).orderBy(F.desc("ts"), F.desc("event_id")).limit(20).select("event_id", "ts", "category")
+
+
+@_add(sql.query(sql.CANDLES, "SELECT pair, ts, open, high, low, close, volume FROM candles"))
+def ohlcv_json_round_trip(spark, d):
+    """Candles written as OHLCV JSON, a folder per pair, and read back."""
+    c, root, out = materialise(_candles(spark, d), "json-candles"), scratch_uri(spark, "json"), None
+    for pair in sorted(r[0] for r in c.select("pair").distinct().collect()):  # event types: a handful
+        write_ohlcv_json(c.filter(F.col("pair") == pair), f"{root}/{pair}", 2)
+        rows = read_ohlcv_json(spark, f"{root}/{pair}", pair, "1h")
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("pair", "ts", "open", "high", "low", "close", "volume")
+
+
 @_add(sql.query(sql.CANDLES, "SELECT pair, ts, open, high, low, close, volume FROM candles WHERE ts + 3600000 <= (SELECT max(ms) - 600000 FROM ticks)"))
 def stream_candles(spark, d):
     """Closed windows of the streamed events; the tail within the watermark stays open."""

@@ -291,5 +291,10 @@ def query(ctes: str, select: str) -> str:
     return f"WITH {ctes.strip()}{select}" if select.startswith(",") else f"WITH {ctes.strip()}\n{select}"
 
 
+def half_up(x: str, places: int) -> str:
+    """A double rounded by its decimal text, ties away from zero."""
+    return f"CAST(CAST(({x})::DOUBLE AS VARCHAR)::DECIMAL(38, {places}) AS DOUBLE)"
+
+
 def r8(*columns: str) -> str:
     return ", ".join(f"round({c}, 8) AS {c.split('.')[-1]}" for c in columns)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,10 +35,27 @@ def read_ohlcv_json(spark: SparkSession, path: str, pair: str, timeframe: str, b
                       *[F.col("r")[k].alias(n) for k, n in enumerate(("open", "high", "low", "close", "volume"), 1)])
 
 
-def write_ohlcv_json(candles: DataFrame, path: str) -> None:
-    """Rows as JSON lines of ``[ts, o, h, l, c, v]``."""
+def write_ohlcv_json(candles: DataFrame, path: str, files: int = 1) -> None:
+    """Files of ``[[ts, o, h, l, c, v], ...]``, one array each, that ``read_ohlcv_json`` reads back.
+
+    Rows go to ``files`` ranges of time and stream through sorted; the brackets
+    come with the first and last row. A range without rows has no file.
+    """
     values = F.array(*[F.col(c).cast("double") for c in ("ts", "open", "high", "low", "close", "volume")])
-    candles.select(F.to_json(values).alias("value")).write.mode("overwrite").text(path)
+    lines = candles.repartitionByRange(files, "ts").sortWithinPartitions("ts").select(F.to_json(values, {"ignoreNullFields": "false"}).alias("value"))
+
+    def bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, lead = None, "["
+        for b in batches:
+            for line in b.column("value").to_pylist():
+                if held is not None:
+                    yield pa.RecordBatch.from_pydict({"value": [f"{lead}{held},"]})
+                    lead = ""
+                held = line
+        if held is not None:
+            yield pa.RecordBatch.from_pydict({"value": [f"{lead}{held}]"]})
+
+    lines.mapInArrow(bracketed, "value string").write.mode("overwrite").text(path)
 
 
 def recent(candles: DataFrame, n: int) -> DataFrame:
@@ -68,5 +87,5 @@ def event_log(events: DataFrame, since_ts: int | None = None, levels: tuple[str,
 
 
 def dedupe(candles: DataFrame) -> DataFrame:
-    """One row per candle identity; the latest version wins where there is one."""
+    """One row per candle identity, for repeats that are equal; ``store.latest`` picks among versions."""
     return candles.dropDuplicates([*SERIES, "ts"])
