@@ -89,7 +89,7 @@ def stored(block: pa.RecordBatch, first: np.ndarray, params: Params, buffer: int
         out["volume_ma20"] = last20.mean(volume)
         out["volume_sd20"] = np.where(last20.size < 2, 0.0, last20.deviation(volume))
         some = out["volume_ma20"] > 0
-        out["volume_ratio"] = np.where(some, volume / np.where(some, out["volume_ma20"], 1.0), 1.0)
+        out["volume_ratio"] = np.where(some, volume / np.where(some, out["volume_ma20"], 1.0), np.where(np.isnan(out["volume_ma20"]), np.nan, 1.0))
     if {"bb_upper", "bb_lower", "bb_width"} & set(only):
         mean, wide = last20.mean(close), last20.size >= 20
         band = np.where(wide, 2.0 * last20.deviation(close), 0.0)

@@ -51,7 +51,7 @@ def _adx(tr: np.ndarray, up: np.ndarray, down: np.ndarray, s: np.ndarray, m: np.
         if t >= p - 1:
             st, su, sd = sums
             ok = (st != 0) & (su + sd != 0)
-            dx = np.where(ok, 100.0 * np.abs(su - sd) / np.where(ok, su + sd, 1.0), 0.0)
+            dx = np.where(np.isnan(st), np.nan, np.where(ok, 100.0 * np.abs(su - sd) / np.where(ok, su + sd, 1.0), 0.0))
             n = t - p + 2
             new = v + dx if n < p else (v + dx) / p if n == p else (v * (p - 1) + dx) / p
             v = np.where(act, new, v)

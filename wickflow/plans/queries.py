@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wickflow.functions import messages
 from wickflow.functions.candle import geometry, liquidation_price, session, session_confidence_multiplier, session_volume_multiplier
-from wickflow.operators import backtest, gates, memory, metrics, risk, signals, store, trials, versions
+from wickflow.operators import backtest, gates, memory, metrics, repair, risk, signals, store, trials, versions
 from wickflow.operators.indicators import indicators, moves
 from wickflow.operators.patterns import detect
 from wickflow.params import Params
@@ -133,6 +133,15 @@ _indicator("volume_stats", "volume_ma20", "volume_sd20", "volume_ratio")
 _indicator("all_indicators", "ema9", "ema21", "rsi14", "atr14", "bb_upper", "bb_lower", "bb_width", "adx", "volume_ma20", "volume_ratio")
 
 
+@_add(sql.query(sql.INDICATORS, f"SELECT pair, ts, {sql.r8(*repair.NAMES)} FROM ind"))
+def fill_indicators(spark, d):
+    """Stored candles with gaps: single values, all of an hour, a stretch of days; only their frames are computed again."""
+    held, hour = materialise(_enriched(spark, d), "stored-candles"), F.floor(F.col("ts") / HOUR_MS)
+    lost = (hour % 211 == 0) | (F.col("pair") == "error") & F.col("ts").between(JAN_10, JAN_10 + 2 * DAY_MS)
+    gaps = {c: F.when(~lost & ~((hour % 97 == 0) & F.lit(c in ("adx", "ema9"))), F.col(c)) for c in repair.NAMES}
+    return repair.fill_missing(materialise(held.withColumns(gaps), "gaps")).select("pair", "ts", *_r8(*repair.NAMES))
+
+
 @_add(sql.query(sql.GATES, "SELECT pair, ts, regime, regime_reject FROM gate"))
 def regime_label(spark, d):
     return _gated(spark, d).select("pair", "ts", "regime", "regime_reject")
