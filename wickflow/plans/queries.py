@@ -16,8 +16,9 @@ from wickflow.params import Params
 from wickflow.plans import sql
 from wickflow.plans.adapters import heartbeats_from_events, log_from_events, trades_from_orders
 from wickflow.schemas import DAY_MS, HOUR_MS
-from wickflow.scratch import materialise, scratch_uri
+from wickflow.scratch import materialise, scratch_uri, ship
 from wickflow.sources.candles import candles_from_events, dedupe, event_log, read_ohlcv_json, recent, since, write_ohlcv_json
+from wickflow.sources.pages import CandlePages, write_pages
 from wickflow.streaming import candles as stream
 from wickflow.streaming import trading
 
@@ -671,6 +672,20 @@ def last_events(spark, d):
     return log_from_events(_read(spark, d, "events")).orderBy(F.desc("ts"), F.desc("event_id")).limit(20).select("event_id", "ts", "category")
 
 
+@_add(sql.query(sql.CANDLES, "SELECT pair, ts, open, high, low, close, volume FROM candles WHERE pair = 'click' AND ts < (SELECT max(ts) FROM candles WHERE pair = 'click')"))
+def paged_history(spark, d):
+    """One pair's history from pages of two exchanges: the first lacks every seventh candle and a fifth of its pages."""
+    ship(spark)
+    spark.dataSource.register(CandlePages)
+    c, root = materialise(_candles(spark, d).filter("pair = 'click'"), "paged-candles"), scratch_uri(spark, "pages")
+    hour = F.floor(F.col("ts") / HOUR_MS)
+    write_pages(c.filter((hour % 7 != 0) & (F.floor(hour / 100) % 5 != 0)), f"{root}/first", 100)
+    write_pages(c, f"{root}/second", 60)
+    last = c.agg(F.max("ts")).first()[0] or 0
+    reader = spark.read.format("candle_pages").options(roots=f"{root}/none,{root}/first,{root}/second", timeframe="1h", pair="click", now=str(last + HOUR_MS), pagespertask="2")
+    return reader.load().select("pair", "ts", "open", "high", "low", "close", "volume")
+
+
 @_add(sql.query(sql.CANDLES, "SELECT pair, ts, open, high, low, close, volume FROM candles"))
 def ohlcv_json_round_trip(spark, d):
     """Candles written as OHLCV JSON, a folder per pair, and read back."""
