@@ -164,7 +164,16 @@ SENTENCES = (
     ("proprietary", "unauthorized copying", r"unauthorized copying of this file via any medium is strictly prohibited"),
     ("proprietary", "license agreement", r"use of this software is subject to the terms of your (?:commercial )?license agreement"),
 )
-_GRANT = r"(?:licensed|released|distributed|available|published|provided|covered|redistributed|redistribute it and or modify it)(?: under| by)(?: the)?(?: terms of)?(?: the)? "
+_GRANT = (r"(?:(?:licensed|released|distributed|available|published|provided|covered|redistributed|redistribute it and or modify it) under|(?:licensed|covered|governed) by)"
+          r"(?: the)?(?: terms of)?(?: the)? ")
+#: A grant that is denied, with what it denies.
+_DENIED = rf" (?:not|never|isn t|aren t|nor) (?:be |been )?{_GRANT}(?:(?:[^ ]+ ){{0,4}}?licen[sc]es?|[^ ]+)(?= )"
+#: What else a grant lists: ``licensed under MIT or Apache-2.0``, ``under either the X license or the Y``.
+_LISTED = r"licensed under (?:either |both |the |of |terms )*+(?:[^ ]+ ){1,7}?(?:or|and) (?:the |at your option )?((?:[^ ]+ ?){1,5})"
+#: A heading in the raw text: ``License: MIT``, ``"license": "Apache-2.0"``, ``## Licence - GPL v3``; a line holds one.
+_HEADING = r"(?im)(?:^[ \t\"'*#/;>.-]*(?:project |code |software )?|[,{][ \t]*[\"'])licen[sc]es?[\"']?[ \t]*(?:[:=]|-|\u2013)[ \t]*[\"'\[]*([^\n\"']{2,60})"
+#: Families named by an everyday word: they count with a grant and the word license only.
+_EVERYDAY = frozenset(("python", "php", "ruby", "elastic", "postgresql", "openssl", "bsl"))
 _LICENSE = r" licen[sc]e"
 
 
@@ -177,8 +186,13 @@ def signatures() -> list[tuple[str, str, str, float]]:
             forms = rf"(?:public )?(?:licen[sc]e )?(?:version |v ?)?{v}"
             exact.append((f"{label}-{v.replace(' ', '.').removesuffix('.0')}", keyword, rf"{_GRANT}{body} ?{forms}", 1.0))
             named.append((f"{label}-{v.replace(' ', '.').removesuffix('.0')}", keyword, rf"{body}{_LICENSE} ?(?:version |v ?)?{v}", 0.9))
+            if label in GNU and " " not in keyword:
+                named.append((f"{label}-{v.replace(' ', '.').removesuffix('.0')}", keyword, rf"{body} ?(?:version |v ?){v}", 0.8))
             if label in GNU:
                 exact.append((f"{label}-{v.replace(' ', '.').removesuffix('.0')}", keyword, rf"(?:you can redistribute it and or modify it under the terms of the )?{body}{_LICENSE} as published by the free software foundation (?:either )?(?:version |v ?){v}(?: of the license)?", 1.0))
+        if label in _EVERYDAY:
+            exact.append((label, keyword, rf"{_GRANT}{body}{_LICENSE}", 0.9))
+            continue
         exact.append((label, keyword, rf"{_GRANT}{body}(?:{_LICENSE})?", 0.9))
         loose.append((label, keyword, rf"{body}(?: public)?{_LICENSE}", 0.7))
     for label, short, long in CC_ELEMENTS:
@@ -198,7 +212,7 @@ def signatures() -> list[tuple[str, str, str, float]]:
 #: licence word, a grant ("... under", "... by"), a Creative Commons
 #: name or one of the sentences.
 GATE = ("licen", " under ", "creative", "cc by", "cc0", "public domain", "rights reserved", "proprietary", "permission", "redistribut",
-        "provided", "do what the", "distributed by", "released by", "available by", "published by", "covered by",
+        "provided", "do what the", "covered by", "licensed by", "governed by", "gpl v", "gplv", "gpl version",
         "freebsd project", "advertising materials", "acknowledg", "product includes", "used for good", "deal with the software", "origin of this software", "png reference", "package may be copied",
         "without restriction", "x consortium", "endorse or promote", "neighboring rights", "buy me a beer", "either the terms", "hosted or managed", "unauthorized copying", "openrail", "mit no attribution", "apache org", "supplied as is")
 
@@ -289,14 +303,23 @@ def _kept_spans(spans: Column) -> Column:
 def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, normalised text ``t`` (null unless some keyword is in it), n_words, labels of SPDX expressions and kept intervals.
 
-    Intervals are in characters of the normalised text, with a negated end.
+    Intervals are in characters of the normalised text (without denied grants, and with headings and lists after its end), with a negated end.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), words_only(text_of(docs, text_col)).alias("x"), spdx_labels(text_of(docs, text_col)).alias("spdx"))
-    gated = base.select("doc_id", "spdx", F.when(F.length("x") > 2, _spaces(F.col("x")) - 1).otherwise(0).cast("long").alias("n_words"), F.when(_any(F.lower("x"), GATE), F.col("x")).alias("x"))
-    lowered = gated.select("doc_id", "n_words", "spdx", F.when(F.col("x").isNotNull(), lower_ascii(F.col("x"))).alias("t"))
-    t = F.col("t")
-    present = F.filter(_rule_table(), lambda r: F.contains(t, r["kw"]))
-    spans = F.when(t.isNotNull(), _kept_spans(F.flatten(F.transform(present, lambda r: _rule_spans(t, r)))))
+    text = text_of(docs, text_col)
+    # Headings are read as grants of each license they name.
+    headed = F.when(F.contains(F.lower(text), F.lit("licen")), F.regexp_extract_all(text, F.lit(_HEADING), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    base = docs.select(F.col(id_col).alias("doc_id"), words_only(text).alias("x"), spdx_labels(text).alias("spdx"), headed.alias("headed"))
+    gated = base.select("doc_id", "spdx", "headed", F.when(F.length("x") > 2, _spaces(F.col("x")) - 1).otherwise(0).cast("long").alias("n_words"), F.when(_any(F.lower("x"), GATE), F.col("x")).alias("x"))
+    lowered = gated.select("doc_id", "n_words", "spdx", "headed", F.when(F.col("x").isNotNull(), lower_ascii(F.col("x"))).alias("t"))
+    # Denied grants go; what headings and lists grant is said once more after the text, as a grant of its own.
+    said = F.when(F.contains("t", F.lit(" under ")) | F.contains("t", F.lit("ed by ")), F.regexp_replace("t", _DENIED, " ")).otherwise(F.col("t"))
+    listed = F.when(F.contains("t", F.lit("licensed under ")), F.regexp_extract_all("t", F.lit(_LISTED), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    named = F.flatten(F.transform("headed", lambda h: F.split(lower_ascii(words_only(h)), " (?:or|and) ")))
+    granted = F.transform(F.concat(listed, named), lambda g: F.concat(F.lit("licensed under "), F.btrim(g, F.lit(" ")), F.lit(" . ")))
+    lowered = lowered.withColumn("u", F.when(F.col("t").isNotNull(), F.concat(said, F.array_join(granted, ""))))
+    u = F.col("u")
+    present = F.filter(_rule_table(), lambda r: F.contains(u, r["kw"]))
+    spans = F.when(u.isNotNull(), _kept_spans(F.flatten(F.transform(present, lambda r: _rule_spans(u, r)))))
     return lowered.select("doc_id", "n_words", "t", "spdx", F.coalesce(spans, F.array().cast(_SPANS)).alias("spans"))
 
 
