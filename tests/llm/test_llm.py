@@ -894,13 +894,13 @@ def test_joined_versions_and_expat(spark, text, label):
     assert any(label in str(v).split(",") for v in row.asDict().values()), row
 
 
-#: Short notices and ordinary prose, with their labels; written from a review of misses, not from the rules.
+#: Short notices and ordinary prose, with their labels; written from a review of misses, not from the rules. Base phrases count even where they are denied.
 NOTICES = [
     ("License: MIT", "mit"), ('{"name": "x", "license": "Apache-2.0"}', "apache-2"), ("# License\n\nfoo\nLicence - GPL v3\n", "gpl-3"), ("license = 'BSD-3-Clause'\n", "bsd-3-clause"), ("This is GNU GPL v3 software", "gpl-3"),
     ("dual licensed under MIT or Apache-2.0", "apache-2,mit"), ("Licensed under either the MIT license or the Apache License, Version 2.0", "apache-2,mit"), ("License: MIT OR Apache-2.0", "apache-2,mit"), ("uses LGPLv2.1 code", "lgpl-2.1"),
     ("released under the Python license", "python"), ("It is covered by the ISC license.", "isc"), ("licensed under the Boost Software License", "bsl"),
     ("python license training", ""), ("the driving license was provided by the boost software license", ""), ("elastic license of the city provided by php", ""), ("This code is not released under the GPL license", ""),
-    ("never been distributed under the BSD License", ""), ("never been distributed under the MIT License", "mit"),  # whose base phrase stays ("a license to drive under the bridge and by the river", ""), ("license renewals: monday", ""), ("published by ruby and distributed by python", "")]
+    ("never been distributed under the BSD License", ""), ("never been distributed under the MIT License", "mit"), ("a license to drive under the bridge and by the river", ""), ("license renewals: monday", ""), ("published by ruby and distributed by python", "")]
 
 
 def test_short_notices_and_prose(spark):
