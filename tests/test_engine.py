@@ -184,3 +184,14 @@ def test_params():
     assert p.changed("ema_fast", "12").ema_fast == 12
     with pytest.raises(ValueError):
         p.changed("ema_fast", 99)
+
+
+def test_evaluation_is_one_pass(spark, rows):
+    """One exchange, one sort and one Arrow pass from candles to signals; single indicators ask the pass for no more than themselves."""
+    raw = [tuple(r[c.split()[0]] for c in CANDLE.split(", ")) for r in rows["BTC"][:80]]
+    df = spark.createDataFrame(raw, CANDLE)
+    plan = S.evaluate(S.enrich_framed(df, LOOSE), LOOSE)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and "Window" not in plan
+    assert set(indicators(df, only=("rsi14",)).columns) - set(df.columns) == {"rsi14"}
+    a, b = ({r["ts"]: (r["outcome"], r["reason"], r["regime"]) for r in x.collect()} for x in (S.evaluate(S.enrich_framed(df, LOOSE), LOOSE), S.evaluate_candles(df, LOOSE, rows=20)))
+    assert a == b
