@@ -10,6 +10,8 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
+from itertools import zip_longest
 
 import duckdb
 import numpy as np
@@ -276,6 +278,61 @@ def test_fingerprint_report(docs, empty):
     assert editsketch.fingerprint_report(empty).count() == 0
 
 
+def one_walk(text):
+    """What the walk writes at each step, one step at a time."""
+    mask = 2**64 - 1
+
+    def mix(x, salt):
+        x = (x + salt * 0x9E3779B97F4A7C15 + editsketch.SEED) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 29) * 0x94D049BB133111EB & mask
+        return x ^ x >> 32
+
+    @lru_cache(maxsize=None)
+    def moves(step, kind):
+        bit = lambda s: mix(s * 256 + kind, 1) >> 40 & 1
+        return bool(bit(step)) or step == 1023 and not any(map(bit, range(1024)))
+
+    written = []
+    for c in map(ord, text):
+        while True:
+            written.append(c)
+            if moves((len(written) - 1) % 1024, (c * 2654435761 & 0xFFFFFFFF) >> 24):
+                break
+
+    def digits(level):
+        out = []
+        for at in range(-(-len(written) >> level)):
+            for k in range(level, 0, -1):
+                at = 2 * at + (mix(at, 100 + k) >> 33 & 1)
+            out.append((mix(written[at] << 20 ^ at, 7) >> 20) % 15 + 1 if at < len(written) else 0)
+        return out
+
+    return next(k for k in range(64) if -(-len(written) >> k) <= 512), digits
+
+
+def one_likeness(a, b):
+    """Share of the steps sampled at the coarser level of two texts at which both wrote the same."""
+    (la, da), (lb, db) = one_walk(a), one_walk(b)
+    pairs = [(x, y) for x, y in zip_longest(da(max(la, lb)), db(max(la, lb)), fillvalue=0) if x or y]
+    return sum(x == y for x, y in pairs) / len(pairs) if pairs else 1.0
+
+
+def test_likenesses_match_brute_force(docs):
+    rows = sorted(collected(docs), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    got = {(r["doc_id"], r["edited_sha256"]): r for r in editsketch.fingerprint_report(docs).collect()}
+    walked = 0
+    for k, (d, t) in enumerate(rows):
+        nxt = rows[(k + 1) % len(rows)][1]
+        edited = t[:len(t) - len(t) // 3] + nxt[:len(t) // 3]
+        r = got[d, hashlib.sha256(edited.encode()).hexdigest()]
+        assert r["near_edited"] == pytest.approx(one_likeness(t, edited), abs=1e-12)
+        assert r["near_next"] == pytest.approx(one_likeness(t, nxt), abs=1e-12)
+        level, digits = one_walk(t)
+        assert r["fingerprint"] == f"{level}:{len(t)}:" + "".join(f"{x:x}" for x in digits(level))
+        walked += level > 0
+    assert walked  # texts that are sampled, not written whole
+
+
 def test_edits_move_fingerprints_little():
     rng = np.random.default_rng(3)
     text = " ".join("".join(rng.choice(list("abcdefghij"), rng.integers(2, 8))) for _ in range(2500))

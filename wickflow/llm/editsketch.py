@@ -428,14 +428,20 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 64, di
     coarser = max(1, math.ceil(-math.log2(threshold)))
     prints = materialise(fingerprint_table(docs), "edit-prints")
     classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "edit-classes")
+    # Rows find their class again by a digest, a twentieth of a fingerprint.
+    digest = F.unhex(F.md5("fingerprint"))
+    classes = materialise(classes.withColumn("digest", digest).withColumn("node", F.monotonically_increasing_id()), "edit-classes")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"node": b.column("node"), "keys": pa.array([band_keys(f, bands, digits, coarser, threshold * SAMPLES / 2) for f in b.column("fingerprint").to_pylist()], pa.list_(pa.string()))})
+            found = [sorted({xxhash.xxh3_64_intdigest(k) - (1 << 63) for k in band_keys(f, bands, digits, coarser, threshold * SAMPLES / 2)}) for f in b.column("fingerprint").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"node": b.column("node"), "keys": pa.array(found, pa.list_(pa.int64()))})
 
-    keyed = classes.select("node", "fingerprint").mapInArrow(keys, "node long, keys array<string>").select("node", F.explode("keys").alias("key"))
-    keyed = materialise(keyed.select("node", F.xxhash64("key").alias("key")).distinct(), "edit-keys")
+    # A node lists each key once, so nothing has to be made distinct by a shuffle.
+    keyed = classes.select("node", "fingerprint").mapInArrow(keys, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
+    keyed = materialise(keyed, "edit-keys")
     edges = bucket_links(keyed, classes.select("node", F.col("fingerprint").cast("binary").alias("sketch")), alike_prints(threshold), "edit-buckets")
     blocks = components(edges, "edit-blocks").withColumnRenamed("root", "block")
 
@@ -454,6 +460,6 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 64, di
     named = named.filter((F.col("copies") > 1) | F.col("links").isNotNull())
     named = materialise(named, "edit-named")
     least = named.groupBy("root").agg(F.min("rep").alias("representative"))
-    full = join_hot(named, least, "root", "node").select("fingerprint", "representative", F.when(F.col("copies") > 1, F.lit(1.0)).otherwise(F.col("best")).alias("likeness"),
+    full = join_hot(named, least, "root", "node").select("digest", "representative", F.when(F.col("copies") > 1, F.lit(1.0)).otherwise(F.col("best")).alias("likeness"),
                                             (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return join_hot(prints, full, "fingerprint", "doc_id").select("doc_id", "representative", "likeness", "n_links")
+    return join_hot(prints.select("doc_id", digest.alias("digest")), full, "digest", "doc_id").select("doc_id", "representative", "likeness", "n_links")
