@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickflow.functions.candle import midnight
-from wickflow.operators.prefix import by_day, numbered, whole
 from wickflow.schemas import DAY_MS, HOUR_MS, SERIES
 
 
@@ -50,9 +49,9 @@ def trade_context(trades: DataFrame, candles: DataFrame, hours: int = 48) -> Dat
     """Candles within ``hours`` before entry and after exit of each trade, with their offset in hours and in candles.
 
     In candles: 0 is the first one at or after the anchor, -1 the last before it,
-    missing candles don't count. The difference of positions in the series needs
-    no window over it: positions are counts per day, summed over days, plus the
-    rank within the day; the anchor's is next to its own window's.
+    missing candles don't count. A window holds every candle of its span, so the
+    offset is the rank counted away from the anchor: one window of bounded size,
+    positions in the series aren't needed. Repeated rows share a rank.
 
     A range join made of equi-joins: each window is cut into days, and pair and
     day are the join key, so hot pairs spread over their days.
@@ -63,11 +62,11 @@ def trade_context(trades: DataFrame, candles: DataFrame, hours: int = 48) -> Dat
         ends.select("trade_id", "pair", F.lit("post").alias("window"), F.col("exit_ts").alias("anchor"), F.col("exit_ts").alias("lo"), (F.col("exit_ts") + span).alias("hi")))
     day = lambda c: F.floor(F.col(c) / DAY_MS)
     windows = windows.withColumn("day", F.explode(F.sequence(day("lo"), day("hi"))))
-    bars = whole(numbered(by_day(candles.select("pair", F.col("ts").alias("candle_ts")), "candle_ts"), ["pair"], ["candle_ts"], "position"))
-    met = windows.join(bars.withColumn("day", day("candle_ts")), ["pair", "day"]).filter(F.col("candle_ts").between(F.col("lo"), F.col("hi")))
-    mine = Window.partitionBy("trade_id", "window")
-    anchor = F.when(F.col("window") == "pre", F.max("position").over(mine) + 1).otherwise(F.min("position").over(mine))
-    return met.select("trade_id", "window", "candle_ts", ((F.col("candle_ts") - F.col("anchor")) / HOUR_MS).alias("offset_hours"), (F.col("position") - anchor).cast("int").alias("offset_candles"))
+    bars = candles.select("pair", F.col("ts").alias("candle_ts"), F.floor(F.col("ts") / DAY_MS).alias("day"))
+    met = windows.join(bars, ["pair", "day"]).filter(F.col("candle_ts").between(F.col("lo"), F.col("hi")))
+    pre = F.col("window") == "pre"
+    away = F.dense_rank().over(Window.partitionBy("trade_id", "pair", "window", "anchor").orderBy(F.when(pre, -F.col("candle_ts")).otherwise(F.col("candle_ts"))))
+    return met.select("trade_id", "window", "candle_ts", ((F.col("candle_ts") - F.col("anchor")) / HOUR_MS).alias("offset_hours"), F.when(pre, -away).otherwise(away - 1).alias("offset_candles"))
 
 
 def link_context(stored: DataFrame, new: DataFrame) -> DataFrame:
@@ -110,16 +109,19 @@ def session_stats(trades: DataFrame) -> DataFrame:
 def daily_summary(trades: DataFrame) -> DataFrame:
     """Per UTC day of exit: trades, wins, pnl, win rate, and the positions open when the day ends.
 
-    Open positions are entries minus exits up to the day: counts per day, summed over days.
+    Open positions are entries minus exits up to the day: counts per day, summed
+    over days. A trade is a move of its day of entry and one of its day of exit,
+    so one pass and one exchange make both.
     """
-    done = trades.filter(F.col("exit_ts").isNotNull()).withColumn("day_ts", midnight(F.col("exit_ts")))
-    won = F.count_if(F.col("pnl_net_usdt") > 0)
-    days = done.groupBy("day_ts").agg(F.count(F.lit(1)).alias("trades"), won.alias("wins"), F.sum("pnl_net_usdt").alias("pnl"), (won / F.count(F.lit(1))).alias("win_rate"))
-    moves = trades.select(F.explode(F.array_compact(F.array(F.struct(midnight(F.col("entry_ts")).alias("day_ts"), F.lit(1).alias("n")), F.when(F.col("exit_ts").isNotNull(), F.struct(midnight(F.col("exit_ts")).alias("day_ts"), F.lit(-1).alias("n")))))).alias("m"))
+    move = lambda at, n, pnl, done: F.struct(midnight(F.col(at)).alias("day_ts"), F.lit(n).alias("n"), pnl.alias("pnl"), F.lit(done).alias("done"))
+    pnl = F.col("pnl_net_usdt").cast("double")
+    moves = F.array_compact(F.array(move("entry_ts", 1, F.lit(None).cast("double"), False), F.when(F.col("exit_ts").isNotNull(), move("exit_ts", -1, pnl, True))))
+    days = trades.select(F.explode(moves).alias("m")).select("m.*").groupBy("day_ts").agg(
+        F.count_if("done").alias("trades"), F.count_if(F.col("pnl") > 0).alias("wins"), F.sum("pnl").alias("pnl"), F.sum("n").alias("n"))
     # One row per day from here on.
     upto = Window.orderBy("day_ts").rowsBetween(Window.unboundedPreceding, 0)
-    active = moves.groupBy("m.day_ts").agg(F.sum("m.n").alias("n")).select("day_ts", F.sum("n").over(upto).alias("active"))
-    return days.join(active, "day_ts")
+    days = days.withColumn("active", F.sum("n").over(upto)).filter("trades > 0")
+    return days.select("day_ts", "trades", "wins", "pnl", (F.col("wins") / F.col("trades")).alias("win_rate"), "active")
 
 
 def histogram(df: DataFrame, column: str, none: str = "None") -> DataFrame:
