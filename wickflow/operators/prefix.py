@@ -30,11 +30,11 @@ def cut(df: DataFrame, by: list[str], at: str, rows: int = CHUNK_ROWS) -> DataFr
     # A table of no more rows than that can't hold a longer group.
     if df.count() <= rows:
         return df
-    longest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
-    if longest <= rows:
-        return df
     day = F.coalesce(F.floor(F.col(at) / DAY_MS), F.lit(-(1 << 40)))  # nulls come first, as they sort
     days = materialise(df.groupBy(*by, day.alias("__day")).agg(F.count(F.lit(1)).alias("__n")), "days")
+    longest = days.groupBy(*by).agg(F.sum("__n").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    if longest <= rows:
+        return df
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     chunks = days.withColumn(CHUNK, F.floor(before / rows)).drop("__n")
     return materialise(_small_join(df.withColumn("__day", day), chunks, [*by, "__day"]).drop("__day"), "chunked")

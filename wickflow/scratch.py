@@ -23,7 +23,9 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     package = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="wickflow-code-")) / "wickflow_engine.zip"
+    folder = tempfile.mkdtemp(prefix="wickflow-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the driver serves the file until it ends
+    target = Path(folder) / "wickflow_engine.zip"
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(package.rglob("*.py")):
             z.write(p, p.relative_to(package.parent))
