@@ -1,5 +1,11 @@
 """The stream from candles to trades against the batch run."""
 
+import os
+import re
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 import rowwise as R
 from pyspark.sql import functions as F
@@ -130,3 +136,19 @@ def test_three_micro_batches_equal_one_batch_job(spark, tmp_path):
         feed.run(lambda s: trading.signals(s).withColumn("kind", F.lit("signal")))
     cols = ("ts", "outcome", "stage", "reason", "regime", "pattern", "side", "confidence", "bb_width", "rsi14")
     assert rounded(spark.read.parquet(feed.root).select(*cols)) == rounded(evaluate(enrich(frame(spark, rows))).select(*cols))
+
+
+def test_runs_from_any_folder(tmp_path):
+    """Keyed state starts a Python worker beside the driver, which gets no shipped files."""
+    root = str(Path(__file__).resolve().parent.parent)
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+import __spark_entry__
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+print("trades", __spark_entry__.queries()["stream_trades"](spark, "/root/testdata/sf0.001").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert re.search(r"^trades \d+$", done.stdout, re.M), done.stderr[-2000:]

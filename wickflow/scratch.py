@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import re
 import shutil
 import tempfile
@@ -33,6 +34,14 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def ship_to_driver(spark: SparkSession) -> None:
+    """Show the Python workers that Spark starts beside the driver, as keyed state does, where this package is: they get no shipped files."""
+    environment, here = spark.sparkContext.environment, str(Path(__file__).resolve().parent.parent)
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if here not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([here, *paths])
+
+
 def scratch_root(spark: SparkSession) -> str:
     """This application's folder under ``spark.checkpoint.dir``, or under the context's checkpoint folder.
 

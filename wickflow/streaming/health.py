@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from wickflow.schemas import HEARTBEAT
-from wickflow.scratch import ship
+from wickflow.scratch import ship, ship_to_driver
 from wickflow.streaming.trading import use_rocksdb
 
 #: Fixed value: silence after which a bot counts as stale.
@@ -61,6 +61,7 @@ def watch(heartbeats: DataFrame, seconds: float = STALE_SECONDS) -> DataFrame:
     """Streamed heartbeats to changes of state: a row when a bot appears, falls silent for ``seconds`` and comes back."""
     use_rocksdb(heartbeats.sparkSession)
     ship(heartbeats.sparkSession)
+    ship_to_driver(heartbeats.sparkSession)
     return heartbeats.select(*[c.split()[0] for c in HEARTBEAT.split(", ")]).groupBy("bot_id").transformWithStateInPandas(Watch(seconds), WATCH, "append", "ProcessingTime")
 
 

@@ -31,7 +31,7 @@ from wickflow.operators.frames import FRAME, STORED, compute, fields
 from wickflow.operators.signals import judge
 from wickflow.params import Params
 from wickflow.schemas import DAY_MS, SERIES
-from wickflow.scratch import ship
+from wickflow.scratch import ship, ship_to_driver
 from wickflow.sources.candles import recent
 
 #: Rows of history that make every frame of a new row complete: the evaluation
@@ -107,6 +107,7 @@ def with_frames(candles: DataFrame, params: Params = Params(), stored: DataFrame
     """Streamed candles with all frame columns, from keyed state alone; ``stored`` fills it before the first batch."""
     spark = candles.sparkSession
     ship(spark)
+    ship_to_driver(spark)
     use_rocksdb(spark)
     types = dict(candles.dtypes)
     made = fields(params, STORED, True)
@@ -238,6 +239,7 @@ def positions(entries: DataFrame, params: Params, warm_up: int, exit_mode: str =
     """Tagged rows of judged candles with their entry columns, closed trades with all their results."""
     use_rocksdb(entries.sparkSession)
     ship(entries.sparkSession)
+    ship_to_driver(entries.sparkSession)
     step = Positions(params, warm_up, exit_mode, reentry_same_candle)
     return backtest.closes(entries.select(*SERIES, *_READ).groupBy(*SERIES).transformWithStateInPandas(step, _TAGGED, "append", "None"))
 
